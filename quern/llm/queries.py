@@ -7,6 +7,19 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import table
 from quern.llm.quality_rules import quality_rules
+from quern.llm.token_counts import token_counts
+
+
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer file on this machine; the package is installed on all of them."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts(docs, vocabulary("word_bpe_49k.json")).drop("text")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,5 +27,5 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op5_quality_rules,)}
+QUERIES = {f.__name__: f for f in (op4_token_counts, op5_quality_rules)}
 ORACLES: dict[str, str] = {}

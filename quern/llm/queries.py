@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.common import table
+from quern.llm.license_scan import license_scan
 from quern.llm.quality_rules import quality_rules
 from quern.llm.token_counts import token_counts
 
@@ -27,5 +28,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs).drop("text")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_scan(docs).drop("text")
+
+
 QUERIES = {f.__name__: f for f in (op4_token_counts, op5_quality_rules)}
 ORACLES: dict[str, str] = {}

@@ -9,6 +9,7 @@ from quern.llm.common import table
 from quern.llm.license_scan import license_scan
 from quern.llm.quality_rules import quality_rules
 from quern.llm.token_counts import token_counts
+from quern.llm.url_filter import TWO_LABEL_SUFFIXES, url_filter
 
 
 def vocabulary(name: str) -> str:
@@ -33,5 +34,43 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(docs).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op4_token_counts, op5_quality_rules)}
-ORACLES: dict[str, str] = {}
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter(pages, table(spark, sf_dir, "labels")).drop("url")
+
+
+def _op9_sql() -> str:
+    two = ", ".join(f"'{x}'" for x in TWO_LABEL_SUFFIXES)
+
+    def level(name: str, source: str) -> str:
+        """The posterior of a level, from rows with n, k and prior."""
+        return rf"""
+{name}_rho AS (SELECT sum(pow(k / n - prior, 2) * n - prior * (1 - prior)) / nullif(sum(prior * (1 - prior) * (n - 1)), 0) AS r FROM {source} WHERE n > 0),
+{name}_s AS (SELECT CASE WHEN r > 0 THEN greatest(least(1 / r - 1, 10000.0), 1.0) ELSE 10000.0 END AS s FROM {name}_rho),
+{name} AS (SELECT g.*, (s * prior + k) / (s + n) AS rate, s + n AS size FROM {source} g, {name}_s)"""
+
+    return rf"""
+WITH cut AS (SELECT page_id, url, CASE WHEN position('://' IN coalesce(url, '')) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+told AS (SELECT page_id, lower(regexp_extract(rest, '^([^/?#]*)', 1)) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+outcomes AS (SELECT doc_id AS page, max(CASE WHEN quality IS NULL AND toxic IS NULL THEN NULL WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY 1),
+known AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS k FROM (SELECT DISTINCT page_id AS page, host FROM told) LEFT JOIN outcomes USING (page) GROUP BY 1),
+named AS (SELECT *, string_split(regexp_replace(regexp_replace(host, '^.*@', ''), ':\d*$', ''), '.') AS parts, regexp_replace(regexp_replace(host, '^.*@', ''), ':\d*$', '') AS name FROM known),
+hosts AS (SELECT host, n::DOUBLE AS n, k::DOUBLE AS k,
+  CASE WHEN regexp_matches(name, '^[0-9.]*$') THEN name WHEN array_to_string(parts[-2:], '.') IN ({two}) THEN array_to_string(parts[-3:], '.') ELSE array_to_string(parts[-2:], '.') END AS domain,
+  CASE WHEN regexp_matches(name, '^[0-9.]*$') THEN '' WHEN array_to_string(parts[-2:], '.') IN ({two}) THEN array_to_string(parts[-2:], '.') ELSE parts[-1] END AS suffix FROM named),
+suffix_in AS (SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT (sum(k) + 1) / (sum(n) + 2) FROM hosts) AS prior FROM hosts GROUP BY 1), {level("suffixes", "suffix_in")},
+domain_in AS (SELECT h.*, rate AS prior FROM (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY 1, 2) h JOIN suffixes USING (suffix)), {level("domains", "domain_in")},
+host_in AS (SELECT h.host, h.n, h.k, d.rate AS prior FROM hosts h JOIN domains d USING (domain, suffix)), {level("posterior", "host_in")},
+rated AS (SELECT host, rate AS bad_rate, greatest(rate - 1.645 * sqrt(rate * (1 - rate) / (size + 1)), 0.0) AS bad_low FROM posterior),
+ruled AS (SELECT *, CASE
+  WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/en/7%' THEN 'example.com/en/7'
+  WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/de/8%' THEN 'example.net/de/8'
+  WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/en/%' THEN 'com/en/'
+  WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/de/%' THEN 'net/de/'
+  WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/es/%' THEN 'org/es/' END AS rule FROM told)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/7') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN bad_low > 0.5 THEN 'block' ELSE 'allow' END AS verdict,
+  round(bad_rate, 6) AS bad_rate, round(bad_low, 6) AS bad_low FROM ruled LEFT JOIN rated USING (host)"""
+
+
+QUERIES = {f.__name__: f for f in (op4_token_counts, op5_quality_rules, op8_license_scan, op9_url_filter)}
+ORACLES = {"op9_url_filter": _op9_sql()}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.common import table
+from quern.llm.html_text import html_text
 from quern.llm.license_scan import license_scan
 from quern.llm.quality_rules import quality_rules
 from quern.llm.token_counts import token_counts
@@ -29,6 +30,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs).drop("text")
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text(pages).drop("html")
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return license_scan(docs).drop("text")
@@ -72,5 +78,5 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/7') THEN 'a
   round(bad_rate, 6) AS bad_rate, round(bad_low, 6) AS bad_low FROM ruled LEFT JOIN rated USING (host)"""
 
 
-QUERIES = {f.__name__: f for f in (op4_token_counts, op5_quality_rules, op8_license_scan, op9_url_filter)}
+QUERIES = {f.__name__: f for f in (op4_token_counts, op5_quality_rules, op6_html_text, op8_license_scan, op9_url_filter)}
 ORACLES = {"op9_url_filter": _op9_sql()}

@@ -9,6 +9,7 @@ from quern.llm.common import table
 from quern.llm.html_text import html_text
 from quern.llm.license_scan import license_scan
 from quern.llm.quality_rules import quality_rules
+from quern.llm.source_mix import source_mix
 from quern.llm.token_counts import token_counts
 from quern.llm.url_filter import TWO_LABEL_SUFFIXES, url_filter
 
@@ -20,6 +21,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts(docs, vocabulary("word_bpe_49k.json")).drop("text")
@@ -78,5 +83,5 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/7') THEN 'a
   round(bad_rate, 6) AS bad_rate, round(bad_low, 6) AS bad_low FROM ruled LEFT JOIN rated USING (host)"""
 
 
-QUERIES = {f.__name__: f for f in (op4_token_counts, op5_quality_rules, op6_html_text, op8_license_scan, op9_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op4_token_counts, op5_quality_rules, op6_html_text, op8_license_scan, op9_url_filter)}
 ORACLES = {"op9_url_filter": _op9_sql()}

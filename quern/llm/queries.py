@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm.best_fit import best_fit
 from quern.llm.common import table
 from quern.llm.html_text import html_text
 from quern.llm.license_scan import license_scan
@@ -40,6 +41,10 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text(pages).drop("html")
 
 
+def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return license_scan(docs).drop("text")
@@ -83,5 +88,5 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/7') THEN 'a
   round(bad_rate, 6) AS bad_rate, round(bad_low, 6) AS bad_low FROM ruled LEFT JOIN rated USING (host)"""
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op4_token_counts, op5_quality_rules, op6_html_text, op8_license_scan, op9_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op4_token_counts, op5_quality_rules, op6_html_text, op7_best_fit, op8_license_scan, op9_url_filter)}
 ORACLES = {"op9_url_filter": _op9_sql()}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.llm.best_fit import best_fit
 from quern.llm.common import table
 from quern.llm.html_text import html_text
+from quern.llm.jaccard_join import jaccard_groups
 from quern.llm.license_scan import license_scan
 from quern.llm.quality_rules import quality_rules
 from quern.llm.source_mix import source_mix
@@ -55,6 +56,10 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(pages, table(spark, sf_dir, "labels")).drop("url")
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def _op9_sql() -> str:
     two = ", ".join(f"'{x}'" for x in TWO_LABEL_SUFFIXES)
 
@@ -88,5 +93,5 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/7') THEN 'a
   round(bad_rate, 6) AS bad_rate, round(bad_low, 6) AS bad_low FROM ruled LEFT JOIN rated USING (host)"""
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op4_token_counts, op5_quality_rules, op6_html_text, op7_best_fit, op8_license_scan, op9_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op4_token_counts, op5_quality_rules, op6_html_text, op7_best_fit, op8_license_scan, op9_url_filter, op10_jaccard_join)}
 ORACLES = {"op9_url_filter": _op9_sql()}

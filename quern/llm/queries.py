@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.best_fit import best_fit
 from quern.llm.common import table
+from quern.llm.exact_topk import exact_topk
 from quern.llm.html_text import html_text
 from quern.llm.jaccard_join import jaccard_groups
 from quern.llm.license_scan import license_scan
@@ -27,6 +28,18 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk(table(spark, sf_dir, "embeddings"))
+
+
+_OP3_SQL = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score
+  FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank, vec_id, score FROM (SELECT *, (row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id))::INTEGER AS rank FROM s) WHERE rank <= 5"""
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts(docs, vocabulary("word_bpe_49k.json")).drop("text")
@@ -93,5 +106,5 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/7') THEN 'a
   round(bad_rate, 6) AS bad_rate, round(bad_low, 6) AS bad_low FROM ruled LEFT JOIN rated USING (host)"""
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op4_token_counts, op5_quality_rules, op6_html_text, op7_best_fit, op8_license_scan, op9_url_filter, op10_jaccard_join)}
-ORACLES = {"op9_url_filter": _op9_sql()}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op3_exact_topk, op4_token_counts, op5_quality_rules, op6_html_text, op7_best_fit, op8_license_scan, op9_url_filter, op10_jaccard_join)}
+ORACLES = {"op3_exact_topk": _OP3_SQL, "op9_url_filter": _op9_sql()}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.best_fit import best_fit
 from quern.llm.common import table
+from quern.llm.context_mixing import lm_scores
 from quern.llm.exact_topk import exact_topk
 from quern.llm.html_text import html_text
 from quern.llm.jaccard_join import jaccard_groups
@@ -28,6 +29,10 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(table(spark, sf_dir, "embeddings"))
 
@@ -106,5 +111,5 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/7') THEN 'a
   round(bad_rate, 6) AS bad_rate, round(bad_low, 6) AS bad_low FROM ruled LEFT JOIN rated USING (host)"""
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op3_exact_topk, op4_token_counts, op5_quality_rules, op6_html_text, op7_best_fit, op8_license_scan, op9_url_filter, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_lm_scores, op3_exact_topk, op4_token_counts, op5_quality_rules, op6_html_text, op7_best_fit, op8_license_scan, op9_url_filter, op10_jaccard_join)}
 ORACLES = {"op3_exact_topk": _OP3_SQL, "op9_url_filter": _op9_sql()}

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quern.llm.best_fit import best_fit
 from quern.llm.common import table
 from quern.llm.context_mixing import lm_scores
@@ -111,5 +111,5 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/7') THEN 'a
   round(bad_rate, 6) AS bad_rate, round(bad_low, 6) AS bad_low FROM ruled LEFT JOIN rated USING (host)"""
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_lm_scores, op3_exact_topk, op4_token_counts, op5_quality_rules, op6_html_text, op7_best_fit, op8_license_scan, op9_url_filter, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_lm_scores, op3_exact_topk, op4_token_counts, op5_quality_rules, op6_html_text, op7_best_fit, op8_license_scan, op9_url_filter, op10_jaccard_join)} | {"pipeline": corpus_pipeline.run}
 ORACLES = {"op3_exact_topk": _OP3_SQL, "op9_url_filter": _op9_sql()}

@@ -20,3 +20,6 @@ def query(sql: str | None = None):
         return f
 
     return add
+
+
+from quern.plans import series  # noqa: E402, F401

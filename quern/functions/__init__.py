@@ -1 +1 @@
-
+"""Column -> Column builders."""

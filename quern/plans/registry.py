@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from quern.plans import relational, scores, series  # noqa: E402, F401
+from quern.plans import relational, retrievals, scores, series, texts  # noqa: E402, F401

@@ -86,7 +86,7 @@ def _op9_sql() -> str:
         return rf"""
 {name}_rho AS (SELECT sum(pow(k / n - prior, 2) * n - prior * (1 - prior)) / nullif(sum(prior * (1 - prior) * (n - 1)), 0) AS r FROM {source} WHERE n > 0),
 {name}_s AS (SELECT CASE WHEN r > 0 THEN greatest(least(1 / r - 1, 10000.0), 1.0) ELSE 10000.0 END AS s FROM {name}_rho),
-{name} AS (SELECT g.*, (s * prior + k) / (s + n) AS rate, s + n AS size FROM {source} g, {name}_s)"""
+{name} AS (SELECT g.*, (least(s, rests) * prior + k) / (least(s, rests) + n) AS rate, least(s, rests) + n AS size FROM {source} g, {name}_s)"""
 
     return rf"""
 WITH cut AS (SELECT page_id, url, CASE WHEN position('://' IN coalesce(url, '')) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
@@ -97,9 +97,9 @@ named AS (SELECT *, string_split(regexp_replace(regexp_replace(host, '^.*@', '')
 hosts AS (SELECT host, n::DOUBLE AS n, k::DOUBLE AS k,
   CASE WHEN regexp_matches(name, '^[0-9.]*$') THEN name WHEN array_to_string(parts[-2:], '.') IN ({two}) THEN array_to_string(parts[-3:], '.') ELSE array_to_string(parts[-2:], '.') END AS domain,
   CASE WHEN regexp_matches(name, '^[0-9.]*$') THEN '' WHEN array_to_string(parts[-2:], '.') IN ({two}) THEN array_to_string(parts[-2:], '.') ELSE parts[-1] END AS suffix FROM named),
-suffix_in AS (SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT (sum(k) + 1) / (sum(n) + 2) FROM hosts) AS prior FROM hosts GROUP BY 1), {level("suffixes", "suffix_in")},
-domain_in AS (SELECT h.*, rate AS prior FROM (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY 1, 2) h JOIN suffixes USING (suffix)), {level("domains", "domain_in")},
-host_in AS (SELECT h.host, h.n, h.k, d.rate AS prior FROM hosts h JOIN domains d USING (domain, suffix)), {level("posterior", "host_in")},
+suffix_in AS (SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT (sum(k) + 1) / (sum(n) + 2) FROM hosts) AS prior, (SELECT sum(n) + 2 FROM hosts) AS rests FROM hosts GROUP BY 1), {level("suffixes", "suffix_in")},
+domain_in AS (SELECT h.*, rate AS prior, size AS rests FROM (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY 1, 2) h JOIN suffixes USING (suffix)), {level("domains", "domain_in")},
+host_in AS (SELECT h.host, h.n, h.k, d.rate AS prior, d.size AS rests FROM hosts h JOIN domains d USING (domain, suffix)), {level("posterior", "host_in")},
 rated AS (SELECT host, rate AS bad_rate, greatest(rate - 1.645 * sqrt(rate * (1 - rate) / (size + 1)), 0.0) AS bad_low FROM posterior),
 ruled AS (SELECT *, CASE
   WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/en/7%' THEN 'example.com/en/7'

@@ -70,17 +70,22 @@ def host_reputation(pages: DataFrame, labels: DataFrame, params: Reputation) ->
     domain, suffix = _parents(F.col("host"))
     hosts = written(known.select("host", "n", "k", domain.alias("domain"), suffix.alias("suffix")))
 
+    seen_in_all = hosts.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
+    total = hosts.agg(((F.sum("k") + 1) / (F.sum("n") + 2)).alias("m")).scalar()
+
     def level(groups: DataFrame, prior: Column | None, above: DataFrame | None, parent: list[str]) -> DataFrame:
-        """The groups with their posterior: rate (mean), size (strength)."""
-        g = groups.withColumn("prior", prior) if above is None else groups.join(above.select(*parent, F.col("rate").alias("prior")), parent)
+        """The groups with their posterior: rate (mean), size (strength). A prior is no stronger than what it rests on."""
+        if above is None:
+            g = groups.withColumn("prior", prior).withColumn("rests", seen_in_all + 2)
+        else:
+            g = groups.join(above.select(*parent, F.col("rate").alias("prior"), F.col("size").alias("rests")), parent)
         spread = F.col("prior") * (1 - F.col("prior"))
         seen = g.filter("n > 0")
         rho = seen.agg(F.try_divide(F.sum(F.pow(F.col("k") / F.col("n") - F.col("prior"), 2) * F.col("n") - spread), F.sum(spread * (F.col("n") - 1))).alias("r"))
         strength = rho.select(F.when(F.col("r") > 0, F.greatest(F.least(1 / F.col("r") - 1, F.lit(params.strongest)), F.lit(params.weakest))).otherwise(params.strongest).alias("s"))
-        g = g.withColumn("s", strength.scalar())
+        g = g.withColumn("s", F.least(strength.scalar(), F.col("rests")))
         return g.select(*[c for c in groups.columns if c not in ("n", "k")], ((F.col("s") * F.col("prior") + F.col("k")) / (F.col("s") + F.col("n"))).alias("rate"), (F.col("s") + F.col("n")).alias("size"))
 
-    total = hosts.agg(((F.sum("k") + 1) / (F.sum("n") + 2)).alias("m")).scalar()
     sums = F.sum("n").alias("n"), F.sum("k").alias("k")
     suffixes = level(hosts.groupBy("suffix").agg(*sums), total, None, [])
     domains = level(hosts.groupBy("domain", "suffix").agg(*sums), None, suffixes, ["suffix"])

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 
 def hourly_counts(stream: DataFrame, ts: str = "ts", key: str = "event_type", value: str = "value", late: str = "1 hour") -> DataFrame:
@@ -26,6 +27,6 @@ def into_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "appen
     return w.foreachBatch(each).start() if each else w.format("parquet").option("path", path).start()
 
 
-def read_stream(spark: SparkSession, path: str, schema: str, files: int = 8) -> DataFrame:
+def read_stream(spark: SparkSession, path: str, schema: StructType | str, files: int = 8) -> DataFrame:
     """Parquet files as they come, a few at a time."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)

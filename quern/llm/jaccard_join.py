@@ -4,9 +4,10 @@ Jaccard distance of shingle sets is a metric, but unrelated texts all lie at dis
 around pivot *documents* alone would each have to be given nearly all documents. The first pivots therefore are single
 shingles. With all shingles in one order, rare ones first, a document is nearest to the pivot of its rarest shingle,
 and the window of documents that a linked one may come from reaches to the pivots of its first
-n - ceil(0.75 n) + 1 shingles: two linked documents always meet in a region. A region with few documents is joined
-directly. A larger one takes a document as its pivot, is cut into rings by distance from it, each ring with the window
-of the next one that the triangle inequality allows, and the rings are joined in the same way. Regions whose documents
+n - ceil(0.75 n) + 1 shingles: two linked documents always meet in a region, and with c - 1 more shingles in c of them. A
+region with few documents is joined directly, where only pairs that meet in c regions are measured. A larger one takes a document as its pivot and is cut into rings by distance from it, each ring with the window
+of the next one that the triangle inequality allows; a ring that is still large is joined by more and more pivots of
+its own. Regions whose documents
 are in one group already are done; groups of near copies get there early through a first round of min-wise keys.
 
 Each compared pair is measured on whole sets, so all links that decide groups are exact. Shingles and sets are known by
@@ -22,26 +23,28 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import WordHasher, as_bytes, mix64, written
+from quern.llm.common import WordHasher, as_bytes, dropped, mix64, written
 
 _C = np.uint64(0xD6E8FEB86659FD93)
-_SEEDS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
+_SEEDS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 _CHUNKS = 256
 
 
 @dataclass(frozen=True)
 class Join:
     """Links: 100 * intersection >= percent * union of the sets of `words`-word shingles. cell_bits: size of the table of
-    counts that puts shingles in order; it changes the speed alone. leaf: documents of a region joined directly.
+    counts that puts shingles in order; it changes the speed alone. leaf: documents of a region joined directly. common: of
+    their first shingles two linked sets share so many (or all that they need), if each brings as many less one more of them.
     broadcast_rows: a table of so many ids is small enough to be sent to every executor."""
 
     words: int = 5
     percent: int = 75
     cell_bits: int = 22
     leaf: int = 64
+    common: int = 4
     broadcast_rows: int = 2_000_000
 
 
@@ -82,7 +85,7 @@ def _node(u: np.ndarray) -> int:
 
 
 def _read(docs: DataFrame, p: Join) -> DataFrame:
-    """A row a document: id, th (hash of its text), n, node (of its set), keys (four min-wise ones); and for each task rows of its cells."""
+    """A row a document: id, th (hash of its text), n, node (of its set), keys (two min-wise ones); and for each task rows of its cells."""
     kinds = pa.schema([("n", pa.int64()), ("node", pa.int64()), ("keys", pa.list_(pa.int64())), ("chunk", pa.int32()), ("cells", pa.binary())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,12 +164,12 @@ def _per_set(texts: DataFrame, p: Join, name: str, part) -> DataFrame:
 
 
 def _heads(docs: DataFrame, cells: np.ndarray, p: Join) -> DataFrame:
-    """node, n and head (its first n - ceil(percent n / 100) + 1 shingles in the order) of each set."""
+    """node, n and head (its first n - ceil(percent n / 100) + common shingles in the order) of each set."""
     table = docs.sparkSession.sparkContext.broadcast(cells)
 
     def head(u: np.ndarray) -> np.ndarray:
         key = (table.value[u >> np.uint64(64 - p.cell_bits)].astype(np.uint64) << np.uint64(56)) | (u >> np.uint64(8))
-        return u[np.argsort(key, kind="stable")[: len(u) - -(-p.percent * len(u) // 100) + 1]]
+        return u[np.argsort(key, kind="stable")[: len(u) - -(-p.percent * len(u) // 100) + p.common]]
 
     return _per_set(docs, p, "head", head)
 
@@ -177,19 +180,21 @@ def _sized(df: DataFrame, p: Join) -> DataFrame:
 
 
 def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, p: Join) -> DataFrame:
-    """node and set (all its shingles) of the given nodes."""
-    wanted = written(classes.join(nodes, "node", "left_semi").select("th"))
-
-    texts = docs.join(_sized(wanted, p), "th", "left_semi")
-    made = _per_set(texts, p, "set", lambda u: u)
-    return written(made.groupBy("node").agg(F.first("set").alias("set")))
+    """node and set (all its shingles) of the given nodes, read from one document of each."""
+    wanted = written(classes.join(nodes, "node", "left_semi").select(F.col("one.th").alias("t"), F.col("one.id").alias("i")))
+    sized = _sized(wanted, p)
+    texts = docs.join(sized, (docs["th"] == sized["t"]) & docs["id"].eqNullSafe(sized["i"]), "left_semi")
+    out = written(_per_set(texts, p, "set", lambda u: u).select("node", "set"))
+    if out.count() == out.select("node").distinct().count():
+        return out
+    return written(out.groupBy("node").agg(F.first("set").alias("set")))  # a row of the table is there more than once
 
 
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """x, y, both (size of the intersection), any (of the union) of pairs of nodes."""
-    a, b = sets.select(F.col("node").alias("x"), F.col("set").alias("a")), sets.select(F.col("node").alias("y"), F.col("set").alias("b"))
-    joined = pairs.join(a, "x").join(b, "y").withColumn("both", F.size(F.array_intersect("a", "b")))
-    return joined.select("x", "y", "both", (F.size("a") + F.size("b") - F.col("both")).alias("any"))
+    """x, y, both (size of the intersection), any (of the union) of pairs of nodes, a written table."""
+    ends = lambda c: sets.withColumnsRenamed({"node": c, "set": f"set_{c}"}).join(pairs.select(c).distinct(), c, "left_semi")
+    joined = pairs.join(ends("x"), "x").join(ends("y"), "y").withColumn("both", F.size(F.array_intersect("set_x", "set_y")))
+    return written(joined.select("x", "y", "both", (F.size("set_x") + F.size("set_y") - F.col("both")).alias("any")))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -225,7 +230,7 @@ def jaccard_groups(df: DataFrame, text: str = "text", id: str = "doc_id", params
     docs = df.select(F.col(f"`{id}`").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     read = written(_read(docs, p))
     rows = read.filter("chunk is null").select("id", "th", "n", "node", "keys")
-    classes = written(rows.filter("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.min("th").alias("th"), F.first("keys").alias("keys")))
+    classes = written(rows.filter("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.min(F.struct("th", "id")).alias("one"), F.first("keys").alias("keys")))
     labels = _link(docs, read, classes, p)
     named = _named(classes.select("node", "least"), labels, p)
     least = written(named.groupBy("comp").agg(F.min("least").alias("component_id")))
@@ -236,57 +241,75 @@ def jaccard_groups(df: DataFrame, text: str = "text", id: str = "doc_id", params
 
 def _link(docs: DataFrame, read: DataFrame, classes: DataFrame, p: Join) -> DataFrame | None:
     """node, comp of the nodes with links (written), or None if there are none."""
+    fit = 100 * F.least("nx", "ny") >= p.percent * F.greatest("nx", "ny")
+    is_link = 100 * F.col("both") >= p.percent * F.col("any")
 
-    def pairs_of(df: DataFrame) -> DataFrame:
-        fit = 100 * F.least("nx", "ny") >= p.percent * F.greatest("nx", "ny")
-        return written(df.filter(fit).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+    def ordered(df: DataFrame) -> DataFrame:
+        """Distinct pairs whose sizes allow a link, the smaller node first."""
+        return df.filter(fit).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
-    def measured(pairs: DataFrame, sets: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """(measures, sets so far); sets are made for nodes that have none yet."""
-        nodes = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct()
-        fresh = nodes if sets is None else nodes.join(sets.select("node"), "node", "left_anti")
-        made = _sets(docs, classes, fresh, p)
-        sets = made if sets is None else sets.unionByName(made)
-        return written(_measured(pairs, sets)), sets
+    def with_sets(nodes: DataFrame, sets: DataFrame | None) -> DataFrame:
+        made = _sets(docs, classes, nodes if sets is None else nodes.join(sets.select("node"), "node", "left_anti"), p)
+        return made if sets is None else sets.unionByName(made)
 
-    is_link = 100 * F.col("both") >= p.percent * F.col("any")
+    def merged(links: DataFrame | None, *found: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        for f in found:
+            f = f.filter(is_link).select("x", "y")
+            links = f if links is None else links.unionByName(f)
+        links = written(links.distinct())
+        return links, None if links.isEmpty() else components(links)
+
+    def both_ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct()
 
     # First round: of the sets with a min-wise key in common, the least is compared with each other one.
     keys = classes.select("node", "n", F.posexplode("keys").alias("j", "key"))
     pivots = written(keys.groupBy("j", "key").agg(F.min(F.struct("node", "n")).alias("p"), F.max("node").alias("last")).filter("p.node < last").select("j", "key", F.col("p.node").alias("y"), F.col("p.n").alias("ny")))
-    found, sets = measured(pairs_of(keys.join(pivots, ["j", "key"]).filter("node <> y").select(F.col("node").alias("x"), F.col("n").alias("nx"), "y", "ny")), None)
-    links = found.filter(is_link).select("x", "y")
-    labels = None if links.isEmpty() else components(links)
+    pairs = written(ordered(keys.join(pivots, ["j", "key"]).filter("node <> y").select(F.col("node").alias("x"), F.col("n").alias("nx"), "y", "ny")))
+    sets = with_sets(both_ends(pairs), None)
+    links, labels = merged(None, _measured(pairs, sets))
+    dropped(pairs)
 
     # Regions of single shingles: those whose sets are not all of one component.
     heads = written(_heads(docs, _cells(read, p), p))
     each = _named(heads, labels, p).select(F.explode("head").alias("region"), "node", "n", "comp")
     live = written(each.groupBy("region").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("region"))
     region = written(each.join(_sized(live, p), "region").select("region", "node", "n").distinct())
+    dropped(heads, live)
 
+    turn = 0
     while not region.isEmpty():
-        named = _named(region, labels, p)
-        told = written(named.groupBy("region").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("p"), F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").drop("a", "b"))
-        rows = written(named.join(told.select("region", "size", F.col("p.node").alias("y"), F.col("p.n").alias("ny")), "region"))
+        named = written(_named(region, labels, p))
+        told = written(named.groupBy("region").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node")).alias("p"), F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b"))
+        rows = written(named.join(told.select("region", "size", F.col("p.node").alias("pivot")), "region"))
         small, large = rows.filter(F.col("size") <= p.leaf), rows.filter(F.col("size") > p.leaf)
-        left, right = small.select("region", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx")), small.select("region", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"))
-        direct = left.join(right, "region").filter("x < y AND cx <> cy").select("x", "nx", "y", "ny")
-        found, sets = measured(pairs_of(direct), sets)
-        rings, fresh = None, found.filter(is_link).select("x", "y")
-        if not large.isEmpty():  # distances from the region's pivot, of all its sets: rings need them beyond the links
-            spokes = written(large.filter("node <> y").select(F.least("node", "y").alias("x"), F.greatest("node", "y").alias("y")).distinct())
-            far, sets = measured(spokes, sets)
-            fresh = fresh.unionByName(far.filter(is_link).select("x", "y"))
-            d = large.filter("node <> y").select("region", "node", "n", F.least("node", "y").alias("x"), F.greatest("node", "y").alias("y")).join(far, ["x", "y"])
+        left, right = (small.select("region", F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("comp").alias(f"c{c}")) for c in "xy")
+        met = left.join(right, "region").filter("x < y AND cx <> cy").filter(fit)
+        if turn == 0:
+            # Pairs that share shingles of large regions may meet less often in small ones: they meet in the large ones.
+            often = met.groupBy("x", "y", "nx", "ny").count().filter(F.col("count") >= F.least(F.lit(p.common), F.ceil(p.percent * F.greatest("nx", "ny") / 100)))
+            direct = written(ordered(often))
+            # Distances of all sets of a large region from its pivot, for its rings.
+            spokes = written(large.filter("node <> pivot").select(F.least("node", "pivot").alias("x"), F.greatest("node", "pivot").alias("y")).distinct())
+            sets = with_sets(both_ends(direct.unionByName(spokes)), sets)
+            far = _measured(spokes, sets)
+            d = large.filter("node <> pivot").select("region", "node", "n", F.least("node", "pivot").alias("x"), F.greatest("node", "pivot").alias("y")).join(far, ["x", "y"])
             step = 1 - p.percent / 100
             ring = F.least(F.floor((1 - F.col("both") / F.col("any")) / step + 1e-9), F.lit(int(1 / step + 1e-9) - 1))
             cut = d.select("region", "node", "n", ring.alias("home"), F.explode(F.array(ring, ring - 1)).alias("ring"))
             cut = written(cut.select(F.xxhash64("region", "ring").alias("region"), "node", "n", (F.col("ring") == F.col("home")).alias("inner")))
             whole = written(cut.groupBy("region").agg(F.count("*").alias("c"), F.bool_or("inner").alias("inner")).filter("c > 1 AND inner").select("region"))
-            rings = written(cut.join(_sized(whole, p), "region", "left_semi").select("region", "node", "n").distinct())
-        links = written(links.unionByName(fresh).distinct())
-        labels = None if links.isEmpty() else components(links)
-        if rings is None:
-            break
-        region = rings
+            region = written(cut.join(_sized(whole, p), "region", "left_semi").select("region", "node", "n").distinct())
+            links, labels = merged(links, _measured(direct, sets), far)
+        else:  # four times as many pivots each time: most regions are one component after a few, and the hard ones come to an end
+            place = F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("node", F.lit(turn))))
+            ranked = written(large.select("region", "node", "n", "comp", place.alias("place")))
+            pivots = ranked.filter(F.col("place") <= 4**turn).select("region", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"))
+            spokes = ranked.join(pivots, "region").filter("node <> y AND comp <> cy").select(F.col("node").alias("x"), F.col("n").alias("nx"), "y", "ny")
+            pairs = written(ordered(met.select("x", "nx", "y", "ny").unionByName(spokes)))
+            sets = with_sets(both_ends(pairs), sets)
+            links, labels = merged(links, _measured(pairs, sets))
+            region = written(ranked.filter(F.col("place") > 4**turn).select("region", "node", "n"))
+        dropped(rows, named)
+        turn += 1
     return labels

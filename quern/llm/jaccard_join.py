@@ -6,8 +6,8 @@ shingles. With all shingles in one order, rare ones first, a document is nearest
 and the window of documents that a linked one may come from reaches to the pivots of its first
 n - ceil(0.75 n) + 1 shingles: two linked documents always meet in a region, and with c - 1 more shingles in c of them. A
 region with few documents is joined directly, where only pairs that meet in c regions are measured. A larger one takes a document as its pivot and is cut into rings by distance from it, each ring with the window
-of the next one that the triangle inequality allows; a ring that is still large is joined by more and more pivots of
-its own. Regions whose documents
+of the next one that the triangle inequality allows; in a ring that is still large, pivots of its largest component take
+in others, and what then is outside it is compared with all of the ring. Regions whose documents
 are in one group already are done; groups of near copies get there early through a first round of min-wise keys.
 
 Each compared pair is measured on whole sets, so all links that decide groups are exact. Shingles and sets are known by
@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import WordHasher, as_bytes, dropped, mix64, written
@@ -37,7 +37,7 @@ _CHUNKS = 256
 class Join:
     """Links: 100 * intersection >= percent * union of the sets of `words`-word shingles. cell_bits: size of the table of
     counts that puts shingles in order; it changes the speed alone. leaf: documents of a region joined directly. common: of
-    their first shingles two linked sets share so many (or all that they need), if each brings as many less one more of them.
+    their first shingles two linked sets share so many (or all that they need), if each brings as many less one more of them. turns: of pivots in a large region before what is left is compared whole.
     broadcast_rows: a table of so many ids is small enough to be sent to every executor."""
 
     words: int = 5
@@ -45,6 +45,7 @@ class Join:
     cell_bits: int = 22
     leaf: int = 64
     common: int = 4
+    turns: int = 4
     broadcast_rows: int = 2_000_000
 
 
@@ -197,16 +198,17 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return written(joined.select("x", "y", "both", (F.size("set_x") + F.size("set_y") - F.col("both")).alias("any")))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, comp (the smallest node of its component) of all nodes of edges (x, y): the least label of the neighbours,
-    then that label's own label, until none changes. Edges and labels are written tables."""
-    both = written(edges.select("x", "y").union(edges.select("y", "x")).distinct())
+def components(edges: DataFrame, p: Join) -> DataFrame:
+    """node, comp (the smallest node of its component) of all nodes of edges (x, y), a written table: each node takes the least label
+    of its neighbours, then that label's own label, until none changes."""
+    both = edges.select("x", "y").union(edges.select("y", "x"))
     labels = written(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.min("x")).alias("comp")))
     while True:
-        near = both.join(labels.select(F.col("node").alias("y"), F.col("comp").alias("c")), "y").groupBy(F.col("x").alias("node")).agg(F.min("c").alias("c"))
-        step = written(labels.join(near, "node").select("node", "comp", F.least("comp", "c").alias("new")))
-        far = step.select(F.col("node").alias("new"), F.col("new").alias("jump"))
-        after = written(step.join(far, "new", "left").select("node", F.col("comp").alias("old"), F.least("new", F.coalesce("jump", "new")).alias("comp")))
+        known = _sized(labels, p)
+        near = both.join(known.select(F.col("node").alias("y"), F.col("comp").alias("c")), "y").groupBy(F.col("x").alias("node")).agg(F.min("c").alias("c"))
+        step = near.join(known, "node").select("node", "comp", F.least("comp", "c").alias("new"))
+        jump = known.select(F.col("node").alias("new"), F.col("comp").alias("jump"))
+        after = written(step.join(jump, "new", "left").select("node", F.col("comp").alias("old"), F.least("new", F.coalesce("jump", "new")).alias("comp")))
         labels = after.select("node", "comp")
         if after.filter("old <> comp").isEmpty():
             return labels
@@ -257,7 +259,7 @@ def _link(docs: DataFrame, read: DataFrame, classes: DataFrame, p: Join) -> Data
             f = f.filter(is_link).select("x", "y")
             links = f if links is None else links.unionByName(f)
         links = written(links.distinct())
-        return links, None if links.isEmpty() else components(links)
+        return links, None if links.isEmpty() else components(links, p)
 
     def both_ends(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct()
@@ -278,10 +280,13 @@ def _link(docs: DataFrame, read: DataFrame, classes: DataFrame, p: Join) -> Data
     dropped(heads, live)
 
     turn = 0
-    while not region.isEmpty():
+    while region is not None and not region.isEmpty():
         named = written(_named(region, labels, p))
-        told = written(named.groupBy("region").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node")).alias("p"), F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b"))
-        rows = written(named.join(told.select("region", "size", F.col("p.node").alias("pivot")), "region"))
+        # Per region: its size, its largest component, and of that a pivot.
+        by_comp = named.groupBy("region", "comp").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n")).alias("p"))
+        told = by_comp.groupBy("region").agg(F.sum("c").alias("size"), F.max(F.struct("c", "comp", "p")).alias("top"), F.count("*").alias("k")).filter("k > 1")
+        told = written(told.select("region", "size", F.col("top.p.node").alias("pivot"), F.col("top.p.n").alias("np"), F.col("top.comp").alias("top")))
+        rows = written(named.join(told, "region"))
         small, large = rows.filter(F.col("size") <= p.leaf), rows.filter(F.col("size") > p.leaf)
         left, right = (small.select("region", F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("comp").alias(f"c{c}")) for c in "xy")
         met = left.join(right, "region").filter("x < y AND cx <> cy").filter(fit)
@@ -301,15 +306,16 @@ def _link(docs: DataFrame, read: DataFrame, classes: DataFrame, p: Join) -> Data
             whole = written(cut.groupBy("region").agg(F.count("*").alias("c"), F.bool_or("inner").alias("inner")).filter("c > 1 AND inner").select("region"))
             region = written(cut.join(_sized(whole, p), "region", "left_semi").select("region", "node", "n").distinct())
             links, labels = merged(links, _measured(direct, sets), far)
-        else:  # four times as many pivots each time: most regions are one component after a few, and the hard ones come to an end
-            place = F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("node", F.lit(turn))))
-            ranked = written(large.select("region", "node", "n", "comp", place.alias("place")))
-            pivots = ranked.filter(F.col("place") <= 4**turn).select("region", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"))
-            spokes = ranked.join(pivots, "region").filter("node <> y AND comp <> cy").select(F.col("node").alias("x"), F.col("n").alias("nx"), "y", "ny")
+        else:
+            rest = large.filter("comp <> top").select("region", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"), F.col("pivot").alias("y"), F.col("np").alias("ny"))
+            if turn <= p.turns:  # what is outside the largest component is compared with a pivot in it, another one each turn
+                spokes, region = rest.drop("region", "cx"), written(large.select("region", "node", "n"))
+            else:  # what is still outside is compared with the whole region
+                every = large.select("region", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"))
+                spokes, region = rest.drop("y", "ny").join(every, "region").filter("cx <> cy").select("x", "nx", "y", "ny"), None
             pairs = written(ordered(met.select("x", "nx", "y", "ny").unionByName(spokes)))
             sets = with_sets(both_ends(pairs), sets)
             links, labels = merged(links, _measured(pairs, sets))
-            region = written(ranked.filter(F.col("place") > 4**turn).select("region", "node", "n"))
         dropped(rows, named)
         turn += 1
     return labels

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd

@@ -314,7 +314,7 @@ def test_a_piece_s_costs_are_a_probability():
     """The costs of all first bits and so of all words sum to one: 2 ** -cost over both values of the last bit of a byte."""
     rng = np.random.default_rng(0)
     refined = rng.uniform(0.05, 0.95, 256 * 129)
-    model = context_mixing.Trained(rng.normal(size=5 << 10).astype(np.float32), np.zeros(5 << 10, dtype=np.int8), rng.normal(size=(6, 20)), -np.log2(np.stack([1 - refined, refined], axis=1)).ravel(), 10)
+    model = context_mixing.Trained(rng.normal(size=context_mixing.CONTEXTS << 10).astype(np.float32), np.zeros(context_mixing.CONTEXTS << 10, dtype=np.int8), rng.normal(size=(context_mixing.CONTEXTS + 1, 20)), -np.log2(np.stack([1 - refined, refined], axis=1)).ravel(), 10)
     model.levels = model.levels.astype(np.int64)
     every = model.bits([bytes([b]) for b in range(256)], np.zeros(256, dtype=np.int64))
     assert 2.0 ** -every @ np.ones(256) == pytest.approx(1.0)

@@ -2,8 +2,9 @@
 
 Each family of licenses has hand-written patterns for its name and its address; five forms (identifier tag, grant,
 address, title, mention) make the ordered rules, so a form written once holds for all families. A rule runs on a text
-only if the text holds the rule's keyword, and no rule runs on a text without any gate word. Detections are intervals
-of characters. One that lies inside another of the same or a higher priority is suppressed; of equal intervals the one
+only if the text holds the rule's keyword, and none on a text that no rule can match, which the gate tells from the rules
+themselves. Rules see a text with its white space, line ends with the comment marks around them included, as one space
+each. Detections are intervals of characters. One that lies inside another of the same or a higher priority is suppressed; of equal intervals the one
 with the higher priority, then the earlier rule, stays.
 """
 
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -96,8 +98,8 @@ GRANT = r"(?:licen[sc]ed|released|distributed|available|published|provided|cover
 LICENSE = r"(?: public)? licen[sc]e(?:,? version \d(?:\.\d)?)?"
 CONFIDENCE = {4: 0.99, 3: 0.95, 2: 0.8, 1: 0.5}
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: A text without any of these holds no detection: each form or family needs one of them.
-GATE = r"(?i)licen[sc]|spdx|copyright|rights reserved|proprietary|public domain|commercial use|creativecommons|gnu\.org|gpl"
+#: Line ends with the comment marks of the next line and borders of boxes, and other white space that is not one space.
+_GAPS = r"(?:\h++[*#|]++)?\h*+\v[\h\v]*+(?:(?:<!--+|/\*+|//+!?|\*+/?|#+|;+|--+|%+|>+|!+|\|+|dnl(?!\w)|rem(?!\w))[\h\v]*+)*+|\h{2,}+|[\h&&[^ ]]"
 
 
 @dataclass(frozen=True)
@@ -108,6 +110,11 @@ class Rule:
     pattern: str
 
 
+def hosts(url: str) -> list[str]:
+    """The hosts of an address pattern, one of which every match holds."""
+    return re.sub(r"^\(\?:(.*?)\)", r"\1", url.split("/")[0]).replace("\\b", "").replace("\\.", ".").split("|")
+
+
 def rules() -> list[Rule]:
     """All rules, in their order."""
     out = []
@@ -115,7 +122,7 @@ def rules() -> list[Rule]:
         out.append(Rule(label, 4, "spdx", rf"spdx-licen[sc]e-identifier: ?(?:\(?[\w.+-]+ (?:or|and|with) )*{tag}(?![\w.+-])"))
         out.append(Rule(label, 3, word, rf"(?<!\w){GRANT}(?:{name})(?:{LICENSE})?(?!\w)"))
         if url:
-            out.append(Rule(label, 3, "/", rf"(?:https?://)?(?:www\.)?{url}"))
+            out.append(Rule(label, 3, "|".join(hosts(url)), rf"(?:https?://)?(?:www\.)?{url}"))
         out.append(Rule(label, 2, word, rf"(?<!\w)(?:the )?(?:{name}){LICENSE}(?!\w)"))
         out.append(Rule(label, 1, word, rf"licen[sc]e[:=] ?\"?(?:{name})(?!\w)"))
     return out + [Rule(label, p, word, rf"(?<!\w)(?:{pattern})(?!\w)") for label, p, word, pattern in OTHERS]
@@ -134,12 +141,35 @@ def _own(names: list[str]) -> list[Column]:
     return [F.col(f"`{c}`") for c in names]
 
 
+def _any(text: Column, words: set[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in sorted(words)])
+
+
+def _can_match(text: Column) -> Column:
+    """Whether a rule can match: tags, titles and mentions hold a form of license, addresses their host, grants the form with a name."""
+    names = "|".join(name for _, _, name, _, _ in FAMILIES)
+    sites = {h for _, _, _, url, _ in FAMILIES if url for h in hosts(url)}
+    named = {w for _, _, word, _ in OTHERS for w in word.split("|")} | {"license", "licence"}
+    addressed = _any(text, {"." + h.rsplit(".", 1)[1] for h in sites}) & _any(text, sites)
+    return _any(text, named) | addressed | text.rlike(rf"(?<!\w){GRANT}(?:{names})")
+
+
+def _may_match(low: Column) -> Column:
+    """Whether a rule may match once gaps are one space: one word, which no gap parts, of each way that _can_match knows."""
+    sites = {h for _, _, _, url, _ in FAMILIES if url for h in hosts(url)}
+    named = {max(w.split(), key=len) for _, _, word, _ in OTHERS for w in word.split("|")} | {"license", "licence"}
+    verbs = {"licensed", "licenced", "released", "distributed", "available", "published", "provided", "covered", "governed", "redistribute"}
+    return _any(low, named | verbs) | (_any(low, {"." + h.rsplit(".", 1)[1] for h in sites}) & _any(low, sites))
+
+
 def _candidates(df: DataFrame, text: str, phrases: dict[str, str]) -> tuple[DataFrame, Column]:
-    """df with __low, and the gate: whether a text can hold a phrase or a detection."""
+    """df with __low and __flat (that with one space for each gap), and the gate: whether a text can hold a phrase or a detection."""
     t = F.coalesce(F.col(text), F.lit(""))
     longest = {max(p.split(), key=len) for p in phrases}
-    gate = t.rlike(GATE + "".join(f"|{re.escape(w)}" for w in sorted(longest)))
-    return df.withColumn("__low", F.translate(t, _UPPER, _LOWER)).withColumn("__n", F.regexp_count(t, F.lit(_CASED_WORD)).cast("long")), gate
+    told = df.withColumn("__low", F.translate(t, _UPPER, _LOWER)).withColumn("__flat", F.regexp_replace("__low", _GAPS, " "))
+    flat = F.exists(F.array(F.regexp_replace("__low", _GAPS, " ")), _can_match)  # a lambda, so that it is flattened once and not in each condition
+    gate = F.exists(F.array("__low"), _may_match) & flat
+    return told.withColumn("__n", F.regexp_count(t, F.lit(_CASED_WORD)).cast("long")), F.exists(F.array("__low"), lambda x: _any(x, longest)) | gate if longest else gate
 
 
 def _detections(text: Column) -> Column:
@@ -198,10 +228,10 @@ def license_scan(df: DataFrame, text: str = "text", phrases: dict[str, str] | No
         lasts.append(F.when(n > 0, F.col("__n") - _spaces(F.element_at(pieces, -1))))
         named.append(F.when(n > 0, F.lit(label)))
     some = some.select(
-        *_own(own), "__row", "__low", "__n", sum(counts, F.lit(0)).cast("long").alias("__count"), F.array_min(F.array_compact(F.array(*firsts))).cast("long").alias("__first"),
+        *_own(own), "__row", "__flat", "__n", sum(counts, F.lit(0)).cast("long").alias("__count"), F.array_min(F.array_compact(F.array(*firsts))).cast("long").alias("__first"),
         F.array_max(F.array_compact(F.array(*lasts))).cast("long").alias("__last"), F.array_sort(F.array_distinct(F.array_compact(F.array(*named)))).alias("__base"),
     )
-    spans = license_spans(some, "__low", "__row", [*_own(own), *map(F.col, ("__n", "__count", "__first", "__last", "__base"))])
+    spans = license_spans(some, "__flat", "__row", [*_own(own), *map(F.col, ("__n", "__count", "__first", "__last", "__base"))])
     live = ~F.col("suppressed")
     trust = F.element_at(F.create_map(*[F.lit(x) for kv in CONFIDENCE.items() for x in kv]), F.col("priority"))
     found = spans.groupBy("__row").agg(F.first("carried", ignorenulls=True).alias("c"), F.collect_set(F.when(live, F.col("label"))).alias("found"), F.max(F.when(live, trust)).alias("trust"))

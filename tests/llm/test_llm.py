@@ -103,6 +103,26 @@ def test_license_words(spark, data):
         re.compile(rule.pattern)
 
 
+def test_license_gate_and_gaps(spark):
+    cases = {
+        "Released under Apache 2.0.": "apache-2.0", "Distributed under the BSD terms": "bsd", "published under CC BY-SA 4.0": "cc-by-sa", "see https://www.mozilla.org/MPL/2.0/": "mpl-2.0",
+        "http://www.eclipse.org/legal/epl-v10.html": "epl-1.0", "at unlicense.org": "unlicense", "openfontlicense.org": "ofl-1.1", "licensed under the GNU General\nPublic License v3": "gpl,gpl-3.0", "GNU  Lesser\tGeneral\u00a0Public License": "lgpl",
+        "/*\n * covered by the Mozilla    *\n *\n * Public License, version  2.0 */": "mpl-2.0", "# released into the\r\n# public domain": "public-domain", "https://creativecommons.org/licenses/by/\nx": "cc-by",
+        "open\n// database  license": "odbl-1.0", "published by the press": "",
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    assert {r["text"]: r["labels"] for r in license_scan.license_scan(df).collect()} == cases
+    grants = [(k, f"covered by {w}") for k, (_, w) in enumerate((f[0], x) for f in license_scan.FAMILIES for x in f[4].split("|"))]
+    urls = [(k, f"x {h} y") for k, h in enumerate(h for f in license_scan.FAMILIES if f[3] for h in license_scan.hosts(f[3]))]
+    low = spark.createDataFrame(grants + urls, "k long, text string")
+    can = {r["text"]: r["can"] for r in low.select("text", (license_scan._can_match(F.col("text")) & license_scan._may_match(F.col("text"))).alias("can")).collect()}
+    for _, text in grants + urls:  # no text that a rule matches is turned away
+        assert can[text] or not any(re.search(r.pattern, text) for r in license_scan.rules())
+    for rule in license_scan.rules():  # and each rule runs on what it matches
+        for _, text in grants + urls:
+            assert not re.search(rule.pattern, text) or any(w in text for w in rule.keyword.split("|"))
+
+
 # 9
 
 def test_url_filter_sql(spark, data, same_rows):

@@ -330,6 +330,14 @@ def test_lm_scores(spark, data):
     assert context_mixing.lm_scores(df.limit(0), params=p).count() == 0
 
 
+def test_counters_do_not_depend_on_the_partitioning(spark):
+    rows = [(0, b"aa", 20_000_000), (0, b"ab", 100_000)] + [(0, f"w{i}".encode(), 40_000 + i) for i in range(40)]
+    m = context_mixing.Model(slot_bits=12, lanes=8)
+    words = spark.createDataFrame(rows, "g int, word binary, c long")
+    one, many = (context_mixing._counters(words.repartition(n), m) for n in (1, 8))
+    assert (one == many).all()
+
+
 def test_a_piece_s_costs_are_a_probability():
     """The costs of all first bits and so of all words sum to one: 2 ** -cost over both values of the last bit of a byte."""
     rng = np.random.default_rng(0)

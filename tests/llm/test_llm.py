@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import types
 import zlib
 
 import numpy as np
@@ -338,6 +339,14 @@ def test_counters_do_not_depend_on_the_partitioning(spark):
     assert (one == many).all()
 
 
+def test_pairs_are_learnt_by_their_whole_count(spark):
+    m = context_mixing.Model(slot_bits=12)
+    words = spark.createDataFrame([(0, b"\x7f", 1_000_000), (0, b"@", 64)], "g int, word binary, c long").coalesce(1)
+    empty = types.SimpleNamespace(value=np.zeros((context_mixing.CONTEXTS << 12, 2), dtype=np.uint16))
+    _, refined = context_mixing._mixer(words, empty, m)
+    assert refined[64] == pytest.approx(0.25 + 0.5 * 7 / 8, abs=1e-3)  # seven of the eight bits of the frequent byte are ones, one of the other's
+
+
 def test_a_piece_s_costs_are_a_probability():
     """The costs of all first bits and so of all words sum to one: 2 ** -cost over both values of the last bit of a byte."""
     rng = np.random.default_rng(0)

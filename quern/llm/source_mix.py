@@ -1,16 +1,23 @@
 """Mixing sources to target weights by Pfair scheduling, with DataFrame functions alone.
 
-Weights are whole shares of a frame of slots. The j-th block of a source with share a of A slots may not come before its
-release floor(j A / a) and has to come before its deadline ceil((j + 1) A / a); in each slot the released block with
-the earliest deadline goes, ties to the larger share and then by name. Any prefix of the mix then holds less than
-one block more or less of a source than its weight says. As windows repeat after A slots, one frame, scheduled once in a
-fold over its slots, gives the slot of every block of the table.
+The j-th block of a source of weight w (weights sum to 1) may not come before its release floor(j / w) and has to come
+before its deadline ceil((j + 1) / w); in each slot the released block with the earliest deadline goes, ties to the
+larger weight and then by name. Any prefix of the mix then holds less than one block more or less of a source than its
+weight says, however long the mix. Weights are taken as they are, in whole numbers, and the driver schedules the whole mix, a
+step a block; only counts of blocks come to it, and rows find their slot by a join.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
+from array import array
 from dataclasses import dataclass
+from fractions import Fraction
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +26,7 @@ from quern.llm.common import written
 
 @dataclass(frozen=True)
 class Mix:
-    """block: documents in a block. slots: of a frame, at least one for each source. power: where no weights are given
+    """block: documents in a block. slots: in how many of them shares are told. power: where no weights are given
     a source weighs its rows to this power. once: each block goes once, and later slots of a source that has run out stay empty;
     else the mix goes on until each source has been read whole, and shorter sources start again."""
 
@@ -30,10 +37,14 @@ class Mix:
     bucket: int = 1024
 
 
+#: A schedule of so many blocks is small enough to be sent to every executor; longer ones are written in parts of so many.
+BROADCAST_SLOTS = 1 << 19
+
+
 def shares(sizes: DataFrame, params: Mix, weights: dict[str | None, float] | None) -> DataFrame:
-    """source, n, blocks, share (whole, at least 1, their sum slots or the number of sources where that is more) for
-    sizes (source, n), which has a row a source. Weights of sources without rows are left out; a source without a
-    weight gets what is left by the smallest given one."""
+    """source, n, blocks, share (its weight's part of slots, not rounded) for sizes (source, n), which has a row a source.
+    Weights of sources without rows are left out; a source without a weight gets the smallest given one, and one of
+    weight 0 has no place in the mix."""
     if weights:
         named = F.create_map(*[F.lit(x) for k, v in weights.items() if k is not None for x in (k, float(v))]) if any(k is not None for k in weights) else None
         least = float(min(weights.values()))
@@ -41,37 +52,31 @@ def shares(sizes: DataFrame, params: Mix, weights: dict[str | None, float] | Non
         weight = F.when(F.col("source").isNull(), F.lit(float(weights.get(None, least)))).otherwise(known)
     else:
         weight = F.pow(F.col("n"), F.lit(params.power))
-    all_ = Window.partitionBy(F.lit(0))
-    by_rest = all_.orderBy(F.desc("rest"), F.desc("n"), "source").rowsBetween(Window.unboundedPreceding, 0)
-    w = sizes.withColumn("weight", weight).withColumn("count", F.count("*").over(all_))
-    w = w.withColumn("room", F.greatest(F.lit(params.slots) - F.col("count"), F.lit(0)))  # each has one slot at least
-    exact = w.withColumn("exact", F.col("room") * F.col("weight") / F.sum("weight").over(all_))
-    w = exact.withColumn("rest", F.col("exact") - F.floor("exact")).withColumn("left", F.col("room") - F.sum(F.floor("exact")).over(all_))
-    share = F.floor("exact") + 1 + F.when(F.row_number().over(by_rest) <= F.col("left"), 1).otherwise(0)
-    return w.select("source", "n", F.ceil(F.col("n") / params.block).cast("long").alias("blocks"), share.cast("long").alias("share"))
-
-
-def frame(shared: DataFrame) -> DataFrame:
-    """source, k, slot: where the k-th block of a source goes in a frame. Earliest deadline first among the released, as
-    one fold; its size is that of a frame and not that of the table."""
-    order = F.array_sort(F.collect_list(F.struct((-F.col("share")).alias("neg"), F.col("source").alias("source"))))
-    one = shared.agg(order.alias("s"), F.sum("share").alias("a"))
-    slot_type, a = "bigint", F.col("a")
-
-    def due(k: Column, neg: Column) -> Column:
-        return F.ceil((k + 1) * a / -neg).cast("long")
-
-    first = F.transform("s", lambda x, i: F.struct(due(F.lit(0).cast("long"), x["neg"]).alias("due"), i.alias("i"), F.lit(0).cast("long").alias("k"), x["neg"].alias("neg")))
-    start = F.struct(first.alias("heads"), F.array().cast("array<struct<i:int,k:bigint,slot:bigint>>").alias("plan"))
-
-    def step(state: Column, slot: Column) -> Column:
-        free = F.filter(state["heads"], lambda h: F.floor(h["k"] * a / -h["neg"]) <= slot)
-        best = F.array_min(free)
-        heads = F.transform(state["heads"], lambda h: F.when(h["i"] == best["i"], F.struct(due(h["k"] + 1, h["neg"]).alias("due"), h["i"].alias("i"), (h["k"] + 1).alias("k"), h["neg"].alias("neg"))).otherwise(h))
-        return F.struct(heads.alias("heads"), F.array_append(state["plan"], F.struct(best["i"].alias("i"), best["k"].alias("k"), slot.cast(slot_type).alias("slot"))).alias("plan"))
-
-    made = one.filter("a > 0").select("s", F.aggregate(F.sequence(F.lit(0).cast("long"), a - 1), start, step, lambda x: x["plan"]).alias("plan"))
-    return made.select("s", F.explode("plan").alias("x")).select(F.col("s")[F.col("x.i")]["source"].alias("source"), F.col("x.k").alias("k"), F.col("x.slot").alias("slot"))
+    share = params.slots * F.col("weight") / F.sum("weight").over(Window.partitionBy(F.lit(0)))
+    return sizes.withColumn("weight", weight).filter("weight > 0").select("source", "n", F.ceil(F.col("n") / params.block).cast("long").alias("blocks"), share.alias("share"))
+
+
+def schedule(share: list[float], blocks: list[int]) -> tuple[array, array]:
+    """(source, which of its blocks) by slot, until each source has gone `blocks` times. Earliest deadline first among the
+    released; sources are in the order in which ties are broken. Windows are of whole numbers, so no rounding shifts them."""
+    exact = [Fraction(x) for x in share]
+    unit = math.lcm(*(x.denominator for x in exact)) if exact else 1
+    parts = [int(x * unit) for x in exact]
+    whole, k, left = sum(parts), [0] * len(parts), sum(n > 0 for n in blocks)
+    waiting, ready = [(0, i) for i in range(len(parts))], []
+    who, which, t = array("i"), array("q"), 0
+    while left:
+        while waiting and waiting[0][0] <= t:
+            i = heapq.heappop(waiting)[1]
+            heapq.heappush(ready, (-(-(k[i] + 1) * whole // parts[i]), i))
+        i = heapq.heappop(ready)[1]
+        who.append(i)
+        which.append(k[i])
+        k[i] += 1
+        left -= k[i] == blocks[i]
+        heapq.heappush(waiting, (k[i] * whole // parts[i], i))
+        t += 1
+    return who, which
 
 
 def ranked(df: DataFrame, source: str, order: Column, bucket: int) -> DataFrame:
@@ -106,17 +111,20 @@ def source_mix(df: DataFrame, source: str = "source", order: str = "doc_id", wei
     made = ("slot", "block", "pass", "place")
     own = [F.col(f"`{c}`") for c in df.columns if c not in made]
     sizes = df.groupBy(F.col(f"`{source}`").cast("string").alias("source")).agg(F.count("*").alias("n"))
-    shared = written(shares(sizes, params, weights))  # a row a source
-    name = F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source"))).alias("__s")
-    plan = written(frame(shared)).select(name, F.col("k").alias("__k"), F.col("slot").alias("__slot"))  # a row a slot of a frame
-    length = shared.agg(F.sum("share")).scalar()
-    last = shared.select(name, ((F.col("blocks") - 1) % F.col("share")).alias("__k"), F.floor((F.col("blocks") - 1) / F.col("share")).alias("turn")).join(plan, ["__s", "__k"])
-    end = last.agg(F.max(F.col("turn") * length + F.col("__slot")) + 1).scalar()  # by then each source has been read whole
+    spark = df.sparkSession
+    told = sorted(shares(sizes, params, weights).collect(), key=lambda r: (-r["share"], r["source"] is not None, r["source"] or ""))  # a row a source
+    who, which = schedule([r["share"] for r in told], [r["blocks"] for r in told])
+    jobs = np.bincount(np.frombuffer(who, dtype=np.int32), minlength=len(told)) if who else np.zeros(len(told), dtype=np.int64)
+    name = ["-" if r["source"] is None else "+" + r["source"] for r in told]
+    shared = pa.table({"__s": pa.array(name, pa.string()), "__i": pa.array(range(len(told)), pa.int32()), "__blocks": pa.array([r["blocks"] for r in told], pa.int64()), "__jobs": pa.array(jobs, pa.int64())})
+    shared = written(spark.createDataFrame(shared))
+    ranges = [slice(at, at + BROADCAST_SLOTS) for at in range(0, max(len(who), 1), BROADCAST_SLOTS)]
+    parts = [spark.createDataFrame(pa.table({"__i": pa.array(who[x], pa.int32()), "__j": pa.array(which[x], pa.int64()), "slot": pa.array(range(x.start, min(x.stop, len(who))), pa.int64())})) for x in ranges]
+    plan = written(reduce(DataFrame.unionAll, parts))
+    if len(who) <= BROADCAST_SLOTS:
+        plan = F.broadcast(plan)
     placed = ranked(df.select(*own), source, F.col(f"`{order}`"), params.bucket)
-    placed = placed.withColumn("__block", F.floor(F.col("__rank") / params.block)).join(shared.select(name, "blocks", "share"), "__s")
-    turns = F.lit(1) if params.once else F.greatest(F.ceil((F.ceil(end * F.col("share") / length) - F.col("__block")) / F.col("blocks")), F.lit(1)).cast("long")
-    read = placed.withColumn("__pass", F.explode(F.sequence(F.lit(0).cast("long"), turns - 1))).withColumn("__j", F.col("__block") + F.col("__pass") * F.col("blocks"))
-    read = read.withColumn("__k", F.col("__j") % F.col("share")).join(plan, ["__s", "__k"])
-    slot = F.floor(F.col("__j") / F.col("share")) * length + F.col("__slot")
-    out = read.select(*own, slot.alias("slot"), F.col("__block").alias("block"), F.col("__pass").alias("pass"), (F.col("__rank") % params.block).cast("int").alias("place"))
-    return out if params.once else out.filter(F.col("slot") < end)
+    placed = placed.withColumn("__block", F.floor(F.col("__rank") / params.block)).join(shared, "__s")
+    turns = F.lit(1) if params.once else F.ceil((F.col("__jobs") - F.col("__block")) / F.col("__blocks")).cast("long")
+    read = placed.withColumn("__pass", F.explode(F.sequence(F.lit(0).cast("long"), turns - 1))).withColumn("__j", F.col("__block") + F.col("__pass") * F.col("__blocks"))
+    return read.join(plan, ["__i", "__j"]).select(*own, "slot", F.col("__block").alias("block"), F.col("__pass").alias("pass"), (F.col("__rank") % params.block).cast("int").alias("place"))

@@ -199,6 +199,19 @@ def test_source_mix_keeps_to_its_weights(spark):
     assert once.count() == len(rows) + 2 and source_mix.source_mix(df.limit(0)).count() == 0
 
 
+def test_source_mix_takes_weights_as_they_are(spark):
+    df = spark.createDataFrame([(i, "b" if i < 12 else f"s{i % 30}") for i in range(3000)], "doc_id long, source string")
+    weights = {"b": 0.0003, **{f"s{i}": 0.9997 * (i + 1) / 465 for i in range(30)}}
+    out = source_mix.source_mix(df, weights=weights, params=source_mix.Mix(block=4, slots=20)).select("source", "slot").distinct().toPandas().sort_values("slot")
+    assert list(out.slot) == list(range(len(out))) and len(out) > 6000
+    for s, w in weights.items():
+        assert np.abs(np.cumsum(out.source == s) - w * np.arange(1, len(out) + 1)).max() < 1
+    who, which = source_mix.schedule([0.7, 0.2, 0.1], [1000, 10, 3])
+    for i, w in enumerate((0.7, 0.2, 0.1)):
+        done = np.array(who) == i
+        assert np.abs(np.cumsum(done) - w * np.arange(1, len(who) + 1)).max() < 1 and list(np.array(which)[done]) == list(range(done.sum()))
+
+
 # 7
 
 def test_pack_is_best_fit():

@@ -5,8 +5,10 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +17,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a temporary one, but only if driver and
+    executors are one process; a cluster without a shared folder is an error."""
     d = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_quern_dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = spark._quern_dir = "file://" + tempfile.mkdtemp(prefix="quern-")
     return d
 
@@ -31,8 +36,8 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def dropped(*tables: DataFrame) -> None:
-    """Delete written tables that nothing needs any more, and let the driver forget finished shuffles, whose files
-    Spark removes only when the driver's garbage is collected."""
+    """Delete written tables that nothing needs any more. Shuffle files of finished steps go when the driver's heap is
+    collected (spark.cleaner.periodicGC.interval, half an hour by default): a job of many steps asks for that here."""
     spark = tables[0].sparkSession
     jvm = spark.sparkContext._jvm
     for df in tables:
@@ -52,6 +57,18 @@ def with_row_id(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of few rows, so that few of their values become Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def raw_texts(column: pa.Array) -> list[bytes]:
+    """Strings of an Arrow column as UTF-8; null is empty."""
+    return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of uint64 that spreads every bit."""
     x = x.astype(np.uint64, copy=True)
@@ -79,7 +96,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 class WordHasher:
     """64-bit hashes of the words of texts, many texts at once; lower: A-Z count as a-z."""
 
-    SLICE = 1 << 22
+    SLICE = 1 << 18  # bytes of text hashed at once: small enough for a core's cache
 
     def __init__(self, lower: bool = True) -> None:
         self._code = np.arange(1, 257, dtype=np.uint64)

@@ -2,16 +2,22 @@
 
 Jaccard distance of shingle sets is a metric, but unrelated texts all lie at distance 1 from each other, so regions
 around pivot *documents* alone would each have to be given nearly all documents. The first pivots therefore are single
-shingles. With all shingles in one order, rare ones first, a document is nearest to the pivot of its rarest shingle,
-and the window of documents that a linked one may come from reaches to the pivots of its first
-n - ceil(0.75 n) + 1 shingles: two linked documents always meet in a region, and with c - 1 more shingles in c of them. A
-region with few documents is joined directly, where only pairs that meet in c regions are measured. A larger one takes a document as its pivot and is cut into rings by distance from it, each ring with the window
-of the next one that the triangle inequality allows; in a ring that is still large, pivots of its largest component take
-in others, and what then is outside it is compared with all of the ring. Regions whose documents
-are in one group already are done; groups of near copies get there early through a first round of min-wise keys.
-
-Each compared pair is measured on whole sets, so all links that decide groups are exact. Shingles and sets are known by
-64-bit hashes.
+shingles. With all shingles in one order, rare ones first, a document is nearest to the pivot of its rarest shingle, and
+the window of documents that a linked one may come from reaches to the pivots of its first n - ceil(0.75 n) + 1 shingles:
+two linked documents always meet in the region of the first shingle they share, where both still have as many shingles
+to come as the link needs. Regions with few documents are joined directly.
+
+A larger region takes a document as its pivot; regions with one pivot are one Voronoi region. It is cut into rings by
+distance from the pivot, each with the window of the next one that the triangle inequality allows. Rings are joined
+recursively in blocks of bounded size, each pair of blocks in a task of its own. Regions whose documents are in one group
+already are done; groups of near copies get there early through a first round of min-wise keys.
+
+A pair is measured on whole sets only if its sketches allow a link. A sketch has a bit for each of 1,024 cells, the parity
+of how many shingles of the set fall into it, so two sets differ in at least as many shingles as their sketches in bits:
+no link is lost. A block first tells a forest of possible links between groups, and, once that has been measured, all that
+are still possible. Each link that decides a group has been measured, and a pair is passed over only where sizes,
+places, the triangle inequality, sketches or a common group rule it out or make it needless. Shingles are known by 64-bit
+hashes, sets by 128-bit ones.
 """
 
 from __future__ import annotations
@@ -26,38 +32,37 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import WordHasher, as_bytes, dropped, mix64, written
+from quern.llm.common import WordHasher, dropped, mix64, raw_texts, sliced, with_row_id, written
 
 _C = np.uint64(0xD6E8FEB86659FD93)
 _SEEDS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 _CHUNKS = 256
+_SKETCH = 1024  # bits
 
 
 @dataclass(frozen=True)
 class Join:
     """Links: 100 * intersection >= percent * union of the sets of `words`-word shingles. cell_bits: size of the table of
-    counts that puts shingles in order; it changes the speed alone. leaf: documents of a region joined directly. common: of
-    their first shingles two linked sets share so many (or all that they need), if each brings as many less one more of them. turns: of pivots in a large region before what is left is compared whole.
-    broadcast_rows: a table of so many ids is small enough to be sent to every executor."""
+    counts that puts shingles in order; it changes the speed alone. leaf: documents of a region joined directly. block:
+    documents of a block of a larger one. broadcast_rows: a table of so many ids is small enough to be sent to every executor."""
 
     words: int = 5
     percent: int = 75
     cell_bits: int = 22
     leaf: int = 64
-    common: int = 4
-    turns: int = 4
-    broadcast_rows: int = 2_000_000
+    block: int = 2048
+    broadcast_rows: int = 500_000
 
 
 class Shingler:
-    """Sorted distinct shingle hashes of texts. Texts of fewer words than a shingle have one of all their words."""
+    """Sorted distinct shingle hashes of texts (bytes). Texts of fewer words than a shingle have one of all their words."""
 
     def __init__(self, words: int) -> None:
         self.words, self.hasher = words, WordHasher(lower=True)
 
     def __call__(self, texts) -> Iterator[tuple[int, list[np.ndarray]]]:
         """(index of the first text, sets) by slices."""
-        for at, h, bounds in self.hasher(as_bytes(texts)):
+        for at, h, bounds in self.hasher(texts):
             n = len(h) - self.words + 1
             rolled = np.zeros(max(n, 0), dtype=np.uint64)
             for k in range(self.words if n > 0 else 0):
@@ -81,21 +86,30 @@ class Shingler:
         return mix64(x)
 
 
-def _node(u: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(u.tobytes(), seed=len(u)) - (1 << 63) if len(u) else 0
+def _node(u: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(u.tobytes(), seed=len(u))
+
+
+def _sketches(every: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Parities of the cells of sets that lie one after the other: uint64 words, a row a set."""
+    if not len(lens):
+        return np.zeros((0, _SKETCH // 64), dtype=np.uint64)
+    cell = (every * np.uint64(0x9FB21C651E98DF25) >> np.uint64(64 - _SKETCH.bit_length() + 1)).astype(np.int64)
+    at = cell + np.repeat(np.arange(len(lens)) * _SKETCH, lens)
+    return np.packbits((np.bincount(at, minlength=len(lens) * _SKETCH) & 1).astype(np.uint8)).view(np.uint64).reshape(len(lens), -1)
 
 
 def _read(docs: DataFrame, p: Join) -> DataFrame:
-    """A row a document: id, th (hash of its text), n, node (of its set), keys (two min-wise ones); and for each task rows of its cells."""
-    kinds = pa.schema([("n", pa.int64()), ("node", pa.int64()), ("keys", pa.list_(pa.int64())), ("chunk", pa.int32()), ("cells", pa.binary())])
+    """A row a document: id, th (hash of its text), n, node (of its set), keys (two min-wise ones), sketch; and for each task rows of its cells."""
+    kinds = pa.schema([("n", pa.int64()), ("node", pa.binary()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary()), ("chunk", pa.int32()), ("cells", pa.binary())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, cells, schema = Shingler(p.words), np.zeros(1 << p.cell_bits, dtype=np.uint32), None
-        for batch in batches:
+        for batch in sliced(batches):
             own = batch.select(["id", "th"])
             schema = own.schema
-            sizes, nodes, keys = [], [], []
-            for _, sets in shingler(batch.column("text").to_pylist()):
+            sizes, nodes, keys, sketches = [], [], [], []
+            for _, sets in shingler(raw_texts(batch.column("text"))):
                 lens = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
                 every = np.concatenate(sets)
                 np.add.at(cells, every >> np.uint64(64 - p.cell_bits), 1)
@@ -109,17 +123,18 @@ def _read(docs: DataFrame, p: Join) -> DataFrame:
                 sizes += lens.tolist()
                 nodes += map(_node, sets)
                 keys += mine
+                sketches += [x.tobytes() for x in _sketches(every, lens)]
             n = len(sizes)
-            made = [pa.array(x, f.type) for x, f in zip((sizes, nodes, keys, [None] * n, [None] * n), kinds, strict=True)]
+            made = [pa.array(x, f.type) for x, f in zip((sizes, nodes, keys, sketches, [None] * n, [None] * n), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*own.columns, *made], schema=pa.schema([*schema, *kinds]))
         if schema is not None:
             parts = np.minimum(cells, 65535).astype(np.uint16).reshape(_CHUNKS, -1)
             told = [k for k in range(_CHUNKS) if parts[k].any()]
-            blank = [pa.nulls(len(told), f.type) for f in [*schema, *list(kinds)[:3]]]
+            blank = [pa.nulls(len(told), f.type) for f in [*schema, *list(kinds)[:4]]]
             yield pa.RecordBatch.from_arrays([*blank, pa.array(told, pa.int32()), pa.array([parts[k].tobytes() for k in told], pa.binary())], schema=pa.schema([*schema, *kinds]))
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "th", "text").mapInArrow(read, f"id {kind}, th long, n long, node long, keys array<long>, chunk int, cells binary")
+    return docs.select("id", "th", "text").mapInArrow(read, f"id {kind}, th long, n long, node binary, keys array<long>, sketch binary, chunk int, cells binary")
 
 
 def _cells(read: DataFrame, p: Join) -> np.ndarray:
@@ -144,33 +159,36 @@ def _logs(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _per_set(texts: DataFrame, p: Join, name: str, part) -> DataFrame:
-    """node, n and part(set), named, of each set of a table of texts; copies in a task are left out."""
+    """node and part(set), named, of each set of a table of texts; copies that follow each other in a task are left out."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, known = Shingler(p.words), set()
-        for batch in batches:
-            nodes, sizes, parts = [], [], [np.zeros(0, dtype=np.uint64)]
-            for _, sets in shingler(batch.column("text").to_pylist()):
+        for batch in sliced(batches):
+            nodes, parts = [], [np.zeros(0, dtype=np.uint64)]
+            if len(known) > 100_000:
+                known.clear()
+            for _, sets in shingler(raw_texts(batch.column("text"))):
                 for u in sets:
                     if len(u) and (node := _node(u)) not in known:
                         known.add(node)
                         nodes.append(node)
-                        sizes.append(len(u))
                         parts.append(part(u))
             ends = np.cumsum([len(x) for x in parts], dtype=np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), lists], names=["node", "n", name])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), lists], names=["node", name])
 
-    return texts.select("text").mapInArrow(made, f"node long, n long, {name} array<long>")
+    return texts.select("text").mapInArrow(made, f"node binary, {name} array<long>").groupBy("node").agg(F.first(name).alias(name))
 
 
 def _heads(docs: DataFrame, cells: np.ndarray, p: Join) -> DataFrame:
-    """node, n and head (its first n - ceil(percent n / 100) + common shingles in the order) of each set."""
+    """node and head (its first n - ceil(percent n / 100) + 1 shingles in the order) of each set."""
     table = docs.sparkSession.sparkContext.broadcast(cells)
 
     def head(u: np.ndarray) -> np.ndarray:
         key = (table.value[u >> np.uint64(64 - p.cell_bits)].astype(np.uint64) << np.uint64(56)) | (u >> np.uint64(8))
-        return u[np.argsort(key, kind="stable")[: len(u) - -(-p.percent * len(u) // 100) + p.common]]
+        m = len(u) - -(-p.percent * len(u) // 100) + 1
+        first = np.argpartition(key, m - 1)[:m] if m < len(u) else np.arange(len(u))
+        return u[first[np.lexsort((u[first], key[first]))]]
 
     return _per_set(docs, p, "head", head)
 
@@ -180,24 +198,80 @@ def _sized(df: DataFrame, p: Join) -> DataFrame:
     return F.broadcast(df) if df.count() <= p.broadcast_rows else df
 
 
-def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, p: Join) -> DataFrame:
-    """node and set (all its shingles) of the given nodes, read from one document of each."""
-    wanted = written(classes.join(nodes, "node", "left_semi").select(F.col("one.th").alias("t"), F.col("one.id").alias("i")))
-    sized = _sized(wanted, p)
+def _sets(docs: DataFrame, classes: DataFrame, ks: DataFrame, p: Join) -> DataFrame:
+    """k and set (all its shingles) of the classes with the given k, read from one document of each."""
+    wanted = written(classes.join(ks, "k", "left_semi").select(F.col("one.th").alias("t"), F.col("one.id").alias("i"), "node", "k"))
+    sized = _sized(wanted.select("t", "i"), p)
     texts = docs.join(sized, (docs["th"] == sized["t"]) & docs["id"].eqNullSafe(sized["i"]), "left_semi")
-    out = written(_per_set(texts, p, "set", lambda u: u).select("node", "set"))
-    if out.count() == out.select("node").distinct().count():
-        return out
-    return written(out.groupBy("node").agg(F.first("set").alias("set")))  # a row of the table is there more than once
+    return written(_per_set(texts, p, "set", lambda u: u).join(_sized(wanted.select("node", "k"), p), "node").select("k", "set"))
 
 
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """x, y, both (size of the intersection), any (of the union) of pairs of nodes, a written table."""
-    ends = lambda c: sets.withColumnsRenamed({"node": c, "set": f"set_{c}"}).join(pairs.select(c).distinct(), c, "left_semi")
-    joined = pairs.join(ends("x"), "x").join(ends("y"), "y").withColumn("both", F.size(F.array_intersect("set_x", "set_y")))
+    """x, y, both (size of the intersection), any (of the union) of pairs of classes, a written table."""
+    ends = lambda c: sets.withColumnsRenamed({"k": c, "set": f"set_{c}"}).join(pairs.select(c).distinct(), c, "left_semi")
+    joined = pairs.select("x", "y").join(ends("x"), "x").join(ends("y"), "y").withColumn("both", F.size(F.array_intersect("set_x", "set_y")))
     return written(joined.select("x", "y", "both", (F.size("set_x") + F.size("set_y") - F.col("both")).alias("any")))
 
 
+def _may_link(nx: np.ndarray, ny: np.ndarray, apart: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes that differ in `apart` shingles at least can be linked: 100 both >= percent any, both + any = nx + ny."""
+    both = (nx + ny - apart) // 2
+    return (100 * both >= percent * (nx + ny - both)) & (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny))
+
+
+def _words(column) -> np.ndarray:
+    """Sketches of a column as rows of uint64."""
+    return np.frombuffer(b"".join(column), dtype=np.uint64).reshape(-1, _SKETCH // 64)
+
+
+def _possible(pairs: DataFrame, classes: DataFrame, p: Join) -> DataFrame:
+    """Those of pairs (x, y) whose sketches allow a link."""
+    ends = lambda c: classes.select(F.col("k").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y, nx, ny = (batch.column(c).to_numpy() for c in ("x", "y", "nx", "ny"))
+            apart = np.bitwise_count(_words(batch.column("sx").to_pylist()) ^ _words(batch.column("sy").to_pylist())).sum(axis=1, dtype=np.int64)
+            ok = _may_link(nx, ny, apart, p.percent)
+            yield pa.RecordBatch.from_arrays([pa.array(x[ok]), pa.array(y[ok])], names=["x", "y"])
+
+    return pairs.join(ends("x"), "x").join(ends("y"), "y").mapInArrow(look, "x long, y long")
+
+
+def _in_blocks(rows: DataFrame, classes: DataFrame, forest: bool, p: Join) -> DataFrame:
+    """x < y of classes that share a region (rows: region, k, comp), are of different components and may be linked. forest: of
+    those of a pair of blocks, only as many as join the same components as all do."""
+    sizes = rows.groupBy("region").agg(F.ceil(F.count("*") / p.block).cast("int").alias("blocks"))
+    told = rows.join(sizes, "region").withColumn("b", F.pmod(F.xxhash64("k", "region"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
+    dealt = told.select("region", "k", "comp", "b", other).select("region", "k", "comp", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
+    dealt = dealt.join(classes.select("k", "n", "sketch"), "k")
+
+    def look(pdf: pd.DataFrame) -> pd.DataFrame:
+        k, n, words, side = pdf["k"].to_numpy(), pdf["n"].to_numpy(), _words(pdf["sketch"]), pdf["b"].to_numpy()
+        label = np.unique(pdf["comp"].to_numpy(), return_inverse=True)[1]
+        same = pdf["i"].iloc[0] == pdf["j"].iloc[0]
+        left, right = (np.arange(len(k)),) * 2 if same else (np.flatnonzero(side == pdf["i"].iloc[0]), np.flatnonzero(side == pdf["j"].iloc[0]))
+        found = []
+        for a in left.tolist():
+            near = right[label[right] != label[a]]
+            if same:
+                near = near[near > a]
+            near = near[100 * np.minimum(n[near], n[a]) >= p.percent * np.maximum(n[near], n[a])]
+            if not len(near):
+                continue
+            near = near[_may_link(n[near], n[a], np.bitwise_count(words[near] ^ words[a]).sum(axis=1, dtype=np.int64), p.percent)]
+            if forest and len(near):
+                theirs, first = np.unique(label[near], return_index=True)
+                near = near[first]
+                label[np.isin(label, theirs)] = label[a]
+            found += [(k[a], k[b]) for b in near.tolist()]
+        out = np.sort(np.array(found, dtype=np.int64).reshape(-1, 2), axis=1)
+        return pd.DataFrame({"x": out[:, 0], "y": out[:, 1]})
+
+    return dealt.groupBy("region", "i", "j").applyInPandas(look, "x long, y long").distinct()
+
+
 def components(edges: DataFrame, p: Join) -> DataFrame:
     """node, comp (the smallest node of its component) of all nodes of edges (x, y), a written table: each node takes the least label
     of its neighbours, then that label's own label, until none changes."""
@@ -215,10 +289,20 @@ def components(edges: DataFrame, p: Join) -> DataFrame:
 
 
 def _named(df: DataFrame, labels: DataFrame | None, p: Join) -> DataFrame:
-    """df with comp, the component of its node."""
+    """df with comp, the component of its class."""
     if labels is None:
-        return df.withColumn("comp", F.col("node"))
-    return df.join(_sized(labels, p), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        return df.withColumn("comp", F.col("k"))
+    return df.join(_sized(labels.withColumnRenamed("node", "k"), p), "k", "left").withColumn("comp", F.coalesce("comp", "k"))
+
+
+def _grouped(df: DataFrame, text: str, id: str, p: Join) -> tuple[DataFrame, DataFrame]:  # noqa: A002
+    """(rows: id, th, n, node, a row a document; node, comp of the sets, n > 0)."""
+    docs = df.select(F.col(f"`{id}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    read = written(_read(docs, p))
+    rows = read.filter("chunk is null").select("id", "th", "n", "node", "keys", "sketch")
+    one = rows.filter("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.min(F.struct("th", "id")).alias("one"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    classes = written(with_row_id(one, "k"))
+    return rows.select("id", "th", "n", "node"), _named(classes.select("node", "k", "least"), _link(docs, read, classes, p), p)
 
 
 def jaccard_groups(df: DataFrame, text: str = "text", id: str = "doc_id", params: Join | None = None) -> DataFrame:  # noqa: A002
@@ -226,96 +310,99 @@ def jaccard_groups(df: DataFrame, text: str = "text", id: str = "doc_id", params
 
     Words: runs without white space, A-Z lower-cased. Null texts and texts without words have no shingles and no links;
     texts with fewer words than a shingle have one shingle of all their words. Repeated rows are copies of each other.
-    Null ids take part and are no smallest id; an empty table gives an empty one. Other columns are not returned.
+    Rows of one id and other texts each have their own links. Null ids take part and are no smallest id; an empty table
+    gives an empty one. A very long text is one set in one task's memory, 8 bytes a word. Other columns are not returned.
     """
     p = params or Join()
-    docs = df.select(F.col(f"`{id}`").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    read = written(_read(docs, p))
-    rows = read.filter("chunk is null").select("id", "th", "n", "node", "keys")
-    classes = written(rows.filter("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.min(F.struct("th", "id")).alias("one"), F.first("keys").alias("keys")))
-    labels = _link(docs, read, classes, p)
-    named = _named(classes.select("node", "least"), labels, p)
+    rows, named = _grouped(df, text, id, p)
+    named = written(named)
     least = written(named.groupBy("comp").agg(F.min("least").alias("component_id")))
     of_node = written(named.join(least, "comp").select("node", "component_id"))
     out = rows.join(_sized(of_node, p), "node", "left")
     return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
+def one_of_each(df: DataFrame, text: str = "text", id: str = "doc_id", params: Join | None = None) -> DataFrame:  # noqa: A002
+    """df with one row of each group of linked documents: that of the smallest id (null ids last), of several with that id the
+    one of the least text hash, and of repeated rows with that id and text the least by all columns. Texts without words are
+    linked with nothing and all stay. An empty table gives an empty one."""
+    p = params or Join()
+    rows, named = _grouped(df, text, id, p)
+    told = rows.filter("n > 0").groupBy("node", "id", "th").agg(F.count("*").alias("times")).join(named.select("node", "comp"), "node")
+    first = told.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th", "times")).alias("x"))
+    first = written(first.select(F.col("x.id").alias("__i"), F.col("x.th").alias("__t"), F.col("x.times").alias("__times")))
+    docs = df.withColumn("__th", F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
+    sized = _sized(first, p)
+    found = docs.join(sized, (docs["__th"] == sized["__t"]) & docs[id].eqNullSafe(sized["__i"]))
+    own = [F.col(f"`{c}`") for c in df.columns]
+    many = found.filter("__times > 1").groupBy("__i", "__t").agg(F.min(F.struct(*own)).alias("x")).select("x.*")
+    empty = df.filter(~F.coalesce(F.col(f"`{text}`").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    return found.filter("__times = 1").select(*own).unionByName(many).unionByName(empty)
+
+
 def _link(docs: DataFrame, read: DataFrame, classes: DataFrame, p: Join) -> DataFrame | None:
-    """node, comp of the nodes with links (written), or None if there are none."""
+    """node (a class's k), comp of the classes with links (written), or None if there are none."""
     fit = 100 * F.least("nx", "ny") >= p.percent * F.greatest("nx", "ny")
     is_link = 100 * F.col("both") >= p.percent * F.col("any")
 
     def ordered(df: DataFrame) -> DataFrame:
-        """Distinct pairs whose sizes allow a link, the smaller node first."""
-        return df.filter(fit).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+        """Distinct pairs, the smaller class first."""
+        return df.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
-    def with_sets(nodes: DataFrame, sets: DataFrame | None) -> DataFrame:
-        made = _sets(docs, classes, nodes if sets is None else nodes.join(sets.select("node"), "node", "left_anti"), p)
+    def with_sets(pairs: DataFrame, sets: DataFrame | None) -> DataFrame:
+        ks = pairs.select(F.col("x").alias("k")).union(pairs.select("y")).distinct()
+        made = _sets(docs, classes, ks if sets is None else ks.join(sets.select("k"), "k", "left_anti"), p)
         return made if sets is None else sets.unionByName(made)
 
-    def merged(links: DataFrame | None, *found: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-        for f in found:
-            f = f.filter(is_link).select("x", "y")
-            links = f if links is None else links.unionByName(f)
-        links = written(links.distinct())
+    def merged(links: DataFrame | None, found: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        f = found.filter(is_link).select("x", "y")
+        links = written((f if links is None else links.unionByName(f)).distinct())
         return links, None if links.isEmpty() else components(links, p)
 
-    def both_ends(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct()
-
     # First round: of the sets with a min-wise key in common, the least is compared with each other one.
-    keys = classes.select("node", "n", F.posexplode("keys").alias("j", "key"))
-    pivots = written(keys.groupBy("j", "key").agg(F.min(F.struct("node", "n")).alias("p"), F.max("node").alias("last")).filter("p.node < last").select("j", "key", F.col("p.node").alias("y"), F.col("p.n").alias("ny")))
-    pairs = written(ordered(keys.join(pivots, ["j", "key"]).filter("node <> y").select(F.col("node").alias("x"), F.col("n").alias("nx"), "y", "ny")))
-    sets = with_sets(both_ends(pairs), None)
+    keys = classes.select("k", "n", F.posexplode("keys").alias("j", "key"))
+    pivots = written(keys.groupBy("j", "key").agg(F.min(F.struct("k", "n")).alias("p"), F.max("k").alias("last")).filter("p.k < last").select("j", "key", F.col("p.k").alias("y"), F.col("p.n").alias("ny")))
+    pairs = ordered(keys.join(pivots, ["j", "key"]).filter("k <> y").select(F.col("k").alias("x"), F.col("n").alias("nx"), "y", "ny").filter(fit))
+    pairs = written(_possible(pairs, classes, p))
+    sets = with_sets(pairs, None)
     links, labels = merged(None, _measured(pairs, sets))
-    dropped(pairs)
+    dropped(pairs, pivots)
 
     # Regions of single shingles: those whose sets are not all of one component.
-    heads = written(_heads(docs, _cells(read, p), p))
-    each = _named(heads, labels, p).select(F.explode("head").alias("region"), "node", "n", "comp")
-    live = written(each.groupBy("region").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("region"))
-    region = written(each.join(_sized(live, p), "region").select("region", "node", "n").distinct())
+    heads = written(_heads(docs, _cells(read, p), p).join(_named(classes.select("node", "k", "n"), labels, p), "node").select("k", "n", "comp", "head"))
+    each = heads.select("k", "n", "comp", F.posexplode("head").alias("place", "region"))
+    live = written(each.groupBy("region").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("size")).filter("a < b").select("region", "size"))
+    rows = written(each.join(_sized(live, p), "region").withColumn("left", F.col("n") - F.col("place")).drop("place"))
     dropped(heads, live)
-
-    turn = 0
-    while region is not None and not region.isEmpty():
-        named = written(_named(region, labels, p))
-        # Per region: its size, its largest component, and of that a pivot.
-        by_comp = named.groupBy("region", "comp").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n")).alias("p"))
-        told = by_comp.groupBy("region").agg(F.sum("c").alias("size"), F.max(F.struct("c", "comp", "p")).alias("top"), F.count("*").alias("k")).filter("k > 1")
-        told = written(told.select("region", "size", F.col("top.p.node").alias("pivot"), F.col("top.p.n").alias("np"), F.col("top.comp").alias("top")))
-        rows = written(named.join(told, "region"))
-        small, large = rows.filter(F.col("size") <= p.leaf), rows.filter(F.col("size") > p.leaf)
-        left, right = (small.select("region", F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("comp").alias(f"c{c}")) for c in "xy")
-        met = left.join(right, "region").filter("x < y AND cx <> cy").filter(fit)
-        if turn == 0:
-            # Pairs that share shingles of large regions may meet less often in small ones: they meet in the large ones.
-            often = met.groupBy("x", "y", "nx", "ny").count().filter(F.col("count") >= F.least(F.lit(p.common), F.ceil(p.percent * F.greatest("nx", "ny") / 100)))
-            direct = written(ordered(often))
-            # Distances of all sets of a large region from its pivot, for its rings.
-            spokes = written(large.filter("node <> pivot").select(F.least("node", "pivot").alias("x"), F.greatest("node", "pivot").alias("y")).distinct())
-            sets = with_sets(both_ends(direct.unionByName(spokes)), sets)
-            far = _measured(spokes, sets)
-            d = large.filter("node <> pivot").select("region", "node", "n", F.least("node", "pivot").alias("x"), F.greatest("node", "pivot").alias("y")).join(far, ["x", "y"])
-            step = 1 - p.percent / 100
-            ring = F.least(F.floor((1 - F.col("both") / F.col("any")) / step + 1e-9), F.lit(int(1 / step + 1e-9) - 1))
-            cut = d.select("region", "node", "n", ring.alias("home"), F.explode(F.array(ring, ring - 1)).alias("ring"))
-            cut = written(cut.select(F.xxhash64("region", "ring").alias("region"), "node", "n", (F.col("ring") == F.col("home")).alias("inner")))
-            whole = written(cut.groupBy("region").agg(F.count("*").alias("c"), F.bool_or("inner").alias("inner")).filter("c > 1 AND inner").select("region"))
-            region = written(cut.join(_sized(whole, p), "region", "left_semi").select("region", "node", "n").distinct())
-            links, labels = merged(links, _measured(direct, sets), far)
-        else:
-            rest = large.filter("comp <> top").select("region", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"), F.col("pivot").alias("y"), F.col("np").alias("ny"))
-            if turn <= p.turns:  # what is outside the largest component is compared with a pivot in it, another one each turn
-                spokes, region = rest.drop("region", "cx"), written(large.select("region", "node", "n"))
-            else:  # what is still outside is compared with the whole region
-                every = large.select("region", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"))
-                spokes, region = rest.drop("y", "ny").join(every, "region").filter("cx <> cy").select("x", "nx", "y", "ny"), None
-            pairs = written(ordered(met.select("x", "nx", "y", "ny").unionByName(spokes)))
-            sets = with_sets(both_ends(pairs), sets)
-            links, labels = merged(links, _measured(pairs, sets))
-        dropped(rows, named)
-        turn += 1
+    small, large = rows.filter(F.col("size") <= p.leaf), rows.filter(F.col("size") > p.leaf)
+    left, right = (small.select("region", *(F.col(x).alias(x + c) for x in ("k", "n", "comp", "left"))) for c in "xy")
+    need = p.percent * (F.col("nx") + F.col("ny")) / (100 + p.percent) - 1e-6  # shingles that a link has in common
+    met = left.join(right, "region").filter("kx < ky AND compx <> compy").filter(fit & (F.least("leftx", "lefty") >= need))
+    pairs = written(_possible(ordered(met.select(F.col("kx").alias("x"), F.col("ky").alias("y"))), classes, p))
+
+    # Larger ones: a pivot each; distances from it on whole sets; rings with their windows.
+    pivot = large.groupBy("region").agg(F.min(F.struct(F.xxhash64("k").alias("h"), "k")).alias("p")).select("region", F.col("p.k").alias("pivot"))
+    near = written(large.join(pivot, "region").select("pivot", "k", "comp").distinct())
+    spokes = written(ordered(near.filter("k <> pivot").select(F.col("k").alias("x"), F.col("pivot").alias("y"))))
+    sets = with_sets(pairs.unionByName(spokes), sets)
+    far = _measured(spokes, sets)
+    links, labels = merged(links, far.unionByName(_measured(pairs, sets)))
+    step = 1 - p.percent / 100
+    ring = F.least(F.floor((1 - F.col("both") / F.col("any")) / step + 1e-9), F.lit(int(1 / step + 1e-9) - 1))
+    apart = near.drop("comp").filter("k <> pivot").withColumns({"x": F.least("k", "pivot"), "y": F.greatest("k", "pivot")}).join(far, ["x", "y"])
+    cut = apart.select("pivot", "k", ring.alias("home"), F.explode(F.array(ring, ring - 1)).alias("ring"))
+    cut = written(cut.select(F.concat_ws("/", "pivot", "ring").alias("region"), "k", (F.col("ring") == F.col("home")).alias("inner")))
+    dropped(pairs, spokes, near, rows)
+    tried = far
+    for forest in (True, False):
+        named = written(_named(cut, labels, p))
+        open_ = named.groupBy("region").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.bool_or("inner").alias("own")).filter("a < b AND own").select("region")
+        pairs = _in_blocks(named.join(open_, "region", "left_semi"), classes, forest, p)
+        pairs = written(pairs.join(tried.select("x", "y"), ["x", "y"], "left_anti"))
+        if not pairs.isEmpty():
+            sets = with_sets(pairs, sets)
+            found = _measured(pairs, sets)
+            tried = tried.select("x", "y").unionByName(found.select("x", "y"))
+            links, labels = merged(links, found)
+        dropped(named)
     return labels

@@ -266,8 +266,8 @@ def plain_groups(rows):
     return sorted(((i, len(sets[k]), least.get(find(k))) for k, (i, _) in enumerate(rows)), key=repr)
 
 
-@pytest.mark.parametrize("leaf", [64, 2])
-def test_jaccard_groups(spark, data, leaf):
+@pytest.mark.parametrize(("leaf", "block"), [(64, 2048), (2, 2048), (2, 5)])
+def test_jaccard_groups(spark, data, leaf, block):
     rng = random.Random(5)
     base = [" ".join(rng.choice("abcdefghij") + rng.choice("klmnop") for _ in range(60)) for _ in range(4)]
     near = []
@@ -278,7 +278,7 @@ def test_jaccard_groups(spark, data, leaf):
         near.append(" ".join(w))
     df = texts(spark, [*near, "A b C", "a b c d", "a b c d e f", "A B C D E F"])
     rows = [(r["doc_id"], r["text"]) for r in df.collect()]
-    out = jaccard_join.jaccard_groups(df, params=jaccard_join.Join(leaf=leaf, cell_bits=12))
+    out = jaccard_join.jaccard_groups(df, params=jaccard_join.Join(leaf=leaf, block=block, cell_bits=12))
     assert sorted((tuple(r) for r in out.collect()), key=repr) == plain_groups(rows)
     if leaf == 64:
         assert jaccard_join.jaccard_groups(df.limit(0)).count() == 0
@@ -286,6 +286,28 @@ def test_jaccard_groups(spark, data, leaf):
         assert sorted((tuple(r) for r in jaccard_join.jaccard_groups(real).collect()), key=repr) == plain_groups([tuple(r) for r in real.collect()])
 
 
+def test_sketches_lose_no_link():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        n, m = rng.integers(1, 400, 2)
+        common = rng.integers(0, min(n, m) + 1)
+        every = rng.integers(0, 1 << 63, n + m - common).astype(np.uint64)
+        a, b = every[:n], every[n - common :]
+        s = jaccard_join._sketches(np.concatenate([a, b]), np.array([len(a), len(b)]))
+        apart = np.bitwise_count(s[0] ^ s[1]).sum()
+        assert apart <= n + m - 2 * common
+        if 100 * common >= 75 * (n + m - common):
+            assert jaccard_join._may_link(np.array([n]), np.array([m]), np.array([apart]), 75)[0]
+
+
+def test_one_of_each(spark):
+    a, b, c = ("a1 a2 a3 a4 a5 a6 a7", "b1 b2 b3 b4 b5 b6", "c1 c2")
+    rows = [(3, a, "x"), (5, a, "x"), (5, b, "y"), (5, b, "x"), (6, b, "z"), (None, c, "u"), (None, c, "t"), (None, "", "v"), (8, None, "w"), (8, None, "w"), (9, " \n", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert sorted(map(tuple, jaccard_join.one_of_each(df).collect()), key=repr) == sorted([(3, a, "x"), (5, b, "x"), (None, c, "t"), *rows[7:]], key=repr)
+    assert jaccard_join.one_of_each(df.limit(0)).count() == 0
+
+
 # 3
 
 def test_exact_topk_sql(spark, data, same_rows):
@@ -382,6 +404,9 @@ def test_pipeline(spark, data):
     groups = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_groups(kept).collect()}
     single = stages["near_duplicates"](spark, kept.unionByName(kept.limit(3)), data)
     assert sorted(r["doc_id"] for r in single.collect()) == sorted(set(groups.values()))
+    for name, stage in stages.items():
+        empty = stage(spark, docs.limit(0), data)
+        assert empty.count() == 0 and (name == "pack" or empty.columns == docs.columns)
     mixed = stages["mix"](spark, single, data)
     assert mixed.columns == docs.columns and {r["doc_id"] for r in mixed.collect()} == set(groups.values())
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, data).collect()} == set(groups.values())

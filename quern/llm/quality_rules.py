@@ -26,7 +26,7 @@ WINDOW = 8
 @dataclass(frozen=True)
 class Bands:
     """bands: (bytes from, lowest and highest ratio raw/compressed of the whole text), by length.
-    chunk: bytes of a fixed chunk; a text is also rejected where more than chunk_share of its full chunks have a
+    chunk: bytes of a fixed chunk, the last one ending with the text; a text is also rejected where more than chunk_share of its chunks have a
     ratio over chunk_high (repetitive) or under chunk_low (incompressible)."""
 
     bands: tuple[tuple[int, float, float], ...] = ((0, 0.0, 4.5), (256, 1.08, 6.0), (2048, 1.2, 8.0), (16384, 1.3, 11.0))
@@ -76,6 +76,8 @@ def bands_fail(raw: bytes, p: Bands, packer: zstandard.ZstdCompressor) -> tuple[
     ratio = len(raw) / len(packer.compress(raw))
     low, high = next((lo, hi) for size, lo, hi in reversed(p.bands) if len(raw) >= size)
     chunks = [raw[i : i + p.chunk] for i in range(0, len(raw) - p.chunk + 1, p.chunk)]
+    if chunks and len(raw) % p.chunk:
+        chunks.append(raw[-p.chunk :])  # the end, in a chunk as large as the others
     bad = sum(not p.chunk_low <= len(c) / len(packer.compress(c)) <= p.chunk_high for c in chunks)
     share = bad / len(chunks) if chunks else 0.0
     return ratio, share, not low <= ratio <= high or share > p.chunk_share

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm.best_fit import best_fit
 from quern.llm.common import table, written
-from quern.llm.jaccard_join import jaccard_groups
+from quern.llm.jaccard_join import one_of_each
 from quern.llm.quality_rules import quality_rules
 from quern.llm.source_mix import source_mix
 
@@ -22,30 +22,36 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the word rules and the compression bands keep."""
+    """Documents that the word rules and the compression bands keep.
+
+    Null, empty and short texts have too few words and go; a very long text is judged whole. Repeated rows are judged
+    alike and each by itself; there are no ties. An empty table gives an empty one; columns beside those of documents go."""
     judged = quality_rules(_documents(docs), prefix="__q_")
     return judged.filter("__q_kept").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id; repeated rows count as copies.
+    """One document of each group of near duplicates, the one with the smallest id, null ids last.
 
-    Documents without an id can't be told apart by it and stay."""
-    docs = _documents(docs)
-    groups = jaccard_groups(docs.filter("doc_id IS NOT NULL").select("doc_id", "text"))
-    first = written(groups.filter("doc_id = component_id").select("doc_id").distinct())
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*COLUMNS).unionByName(docs.filter("doc_id IS NULL"))
+    Documents of one id and other texts are documents of their own. Ties and repeated rows: see one_of_each. Null and
+    empty texts are near to nothing and stay; a very long text is compared whole. An empty table gives an empty one."""
+    return one_of_each(_documents(docs)).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the mix; those of sources that weigh more than they hold come again."""
+    """All documents in the order of the mix; those of sources that weigh more than they hold come again.
+
+    A null source is a source; texts, null, empty or very long, are passed on as they are. Repeated rows each get a
+    place; ties in the order of a source are rows alike in all columns. An empty table gives an empty one."""
     mixed = source_mix(_documents(docs))
     return mixed.orderBy("slot", "place").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes: (pack_group, bin) is a window."""
+    """Where each piece of each document goes: (pack_group, bin) is a window.
+
+    Null and empty texts are their end token alone; very long texts are cut into pieces, all of which are packed.
+    Repeated rows never share a window; ties in length go by the rows' keys. An empty table gives an empty one."""
     return best_fit(_documents(docs).select("doc_id", "source", "text"))
 
 

@@ -43,12 +43,14 @@ _SKETCH = 1024  # bits
 @dataclass(frozen=True)
 class Join:
     """Links: 100 * intersection >= percent * union of the sets of `words`-word shingles. cell_bits: size of the table of
-    counts that puts shingles in order; it changes the speed alone. leaf: documents of a region joined directly. block:
+    counts that puts shingles in order; shared_bits: of the table of first shingles that two sets or more have (at least 11).
+    Both change the speed alone. leaf: documents of a region joined directly. block:
     documents of a block of a larger one. broadcast_rows: a table of so many ids is small enough to be sent to every executor."""
 
     words: int = 5
     percent: int = 75
     cell_bits: int = 22
+    shared_bits: int = 28
     leaf: int = 64
     block: int = 2048
     broadcast_rows: int = 500_000
@@ -143,10 +145,10 @@ def _cells(read: DataFrame, p: Join) -> np.ndarray:
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros((1 << p.cell_bits) // _CHUNKS, dtype=np.uint64)
         for blob in pdf["cells"]:
-            total += np.frombuffer(blob, dtype=np.uint16 if len(blob) == 2 * len(total) else np.uint64)
-        return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "cells": [total.tobytes()]})
+            total += np.frombuffer(blob, dtype=np.uint16 if len(blob) == 2 * len(total) else np.uint32)
+        return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "cells": [np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()]})
 
-    parts = read.filter("chunk is not null").select("chunk", "cells", F.pmod(F.hash("cells"), F.lit(32)).alias("part"))
+    parts = read.filter("chunk is not null").select("chunk", "cells", F.pmod(F.hash("cells"), F.lit(8)).alias("part"))
     some = parts.groupBy("chunk", "part").applyInPandas(add, "chunk int, cells binary")  # first by parts, so that no task gets all
     out = np.zeros((_CHUNKS, (1 << p.cell_bits) // _CHUNKS), dtype=np.uint8)
     for row in some.groupBy("chunk").applyInPandas(lambda x: _logs(add(x)), "chunk int, cells binary").toLocalIterator():
@@ -155,7 +157,7 @@ def _cells(read: DataFrame, p: Join) -> np.ndarray:
 
 
 def _logs(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pdf.assign(cells=[np.ceil(np.log2(np.frombuffer(b, dtype=np.uint64).astype(float) + 1)).astype(np.uint8).tobytes() for b in pdf["cells"]])
+    return pdf.assign(cells=[np.ceil(np.log2(np.frombuffer(b, dtype=np.uint32).astype(float) + 1)).astype(np.uint8).tobytes() for b in pdf["cells"]])
 
 
 def _per_set(texts: DataFrame, p: Join, name: str, part) -> DataFrame:
@@ -193,6 +195,66 @@ def _heads(docs: DataFrame, cells: np.ndarray, p: Join) -> DataFrame:
     return _per_set(docs, p, "head", head)
 
 
+def _shared(heads: DataFrame, p: Join) -> np.ndarray:
+    """A bit for each value of the upper shared_bits of a shingle, set wherever two sets or more may have one in their heads;
+    packed, of fixed size. Tasks send 40 bits of each shingle, twice at most."""
+    total = heads.agg(F.coalesce(F.sum(F.size("head")), F.lit(0))).first()[0]
+    bits = min(max(8, (total >> 20).bit_length()), p.shared_bits - 3)  # of the chunks that are looked at together
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def told() -> pa.RecordBatch:
+            value, times = np.unique(np.concatenate(held), return_counts=True)
+            value = np.repeat(value, np.minimum(times, 2))
+            chunk = value >> np.uint64(40 - bits)
+            at = np.flatnonzero(np.diff(chunk, prepend=np.uint64(1 << 40)))
+            parts = np.split(value.astype(np.uint32), at[1:])
+            return pa.RecordBatch.from_arrays([pa.array(chunk[at].astype(np.int64)), pa.array([x.tobytes() for x in parts], pa.binary())], names=["chunk", "found"])
+
+        for batch in batches:
+            held.append(batch.column("head").flatten().to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(24))
+            n += len(held[-1])
+            if n > 1 << 21:
+                yield told()
+                held, n = [], 0
+        if n:
+            yield told()
+
+    def twice(pdf: pd.DataFrame) -> pd.DataFrame:
+        value = np.sort(np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in pdf["found"]]))
+        value = value[1:][value[1:] == value[:-1]].astype(np.int64) & ((1 << (40 - bits)) - 1)
+        out = np.zeros(1 << (p.shared_bits - bits), dtype=bool)
+        out[value >> (40 - p.shared_bits)] = True
+        return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "found": [np.packbits(out).tobytes()]})
+
+    out = np.zeros((1 << bits, 1 << (p.shared_bits - bits - 3)), dtype=np.uint8)
+    found = heads.select("head").mapInArrow(tell, "chunk long, found binary").groupBy("chunk").applyInPandas(twice, "chunk long, found binary")
+    for row in found.toLocalIterator():
+        out[row["chunk"]] = np.frombuffer(row["found"], dtype=np.uint8)
+    return out.reshape(-1)
+
+
+def _places(heads: DataFrame, shared: np.ndarray, p: Join) -> DataFrame:
+    """region (a shingle of a head that is shared), k, n, comp, left: how many of the set's shingles come from there on."""
+    table = heads.sparkSession.sparkContext.broadcast(shared)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            head = batch.column("head")
+            lens = head.value_lengths().to_numpy(zero_copy_only=False)
+            region = head.flatten().to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(len(lens)), lens)
+            place = np.arange(len(region)) - (np.cumsum(lens) - lens)[owner]
+            at = region.view(np.uint64) >> np.uint64(64 - p.shared_bits)
+            ok = (table.value[at >> np.uint64(3)] << (at & np.uint64(7)).astype(np.uint8) & 0x80) > 0
+            owner, place, region = owner[ok], place[ok], region[ok]
+            k, n, comp = (batch.column(c).to_numpy()[owner] for c in ("k", "n", "comp"))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (region, k, n, comp, n - place)], names=["region", "k", "n", "comp", "left"])
+
+    return heads.mapInArrow(look, "region long, k long, n long, comp long, left long")
+
+
 def _sized(df: DataFrame, p: Join) -> DataFrame:
     """df, a written table of ids, marked to be sent to every executor if it is small."""
     return F.broadcast(df) if df.count() <= p.broadcast_rows else df
@@ -370,10 +432,10 @@ def _link(docs: DataFrame, read: DataFrame, classes: DataFrame, p: Join) -> Data
 
     # Regions of single shingles: those whose sets are not all of one component.
     heads = written(_heads(docs, _cells(read, p), p).join(_named(classes.select("node", "k", "n"), labels, p), "node").select("k", "n", "comp", "head"))
-    each = heads.select("k", "n", "comp", F.posexplode("head").alias("place", "region"))
+    each = written(_places(heads, _shared(heads, p), p))
     live = written(each.groupBy("region").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("size")).filter("a < b").select("region", "size"))
-    rows = written(each.join(_sized(live, p), "region").withColumn("left", F.col("n") - F.col("place")).drop("place"))
-    dropped(heads, live)
+    rows = written(each.join(_sized(live, p), "region"))
+    dropped(heads, live, each)
     small, large = rows.filter(F.col("size") <= p.leaf), rows.filter(F.col("size") > p.leaf)
     left, right = (small.select("region", *(F.col(x).alias(x + c) for x in ("k", "n", "comp", "left"))) for c in "xy")
     need = p.percent * (F.col("nx") + F.col("ny")) / (100 + p.percent) - 1e-6  # shingles that a link has in common

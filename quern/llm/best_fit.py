@@ -67,14 +67,15 @@ def pack(lengths: list[int], clusters: list, sources: list, capacity: int, per_s
     return out
 
 
-def best_fit(df: DataFrame, text: str = "text", source: str = "source", order: str = "doc_id", cluster: Column | None = None, tokens: Column | None = None, params: Packing | None = None) -> DataFrame:
+def best_fit(df: DataFrame, text: str = "text", source: str = "source", cluster: Column | None = None, tokens: Column | None = None, params: Packing | None = None) -> DataFrame:
     """A row a piece: the columns of df except the text, and piece (from 0), start, length (tokens of the document),
     pack_group, bin, place (in the window), all long; (pack_group, bin) tells windows apart.
 
     tokens: of a document; by default its words and one end. cluster: documents with equal values never share a
     window; by default those with equal texts. Null texts are empty: one token. Null sources are a source. A document
     longer than a window fills whole windows and packs the rest. Pieces of one document may not share a window either.
-    Repeated rows are copies of each other; an empty table gives an empty one. Columns of df with these names are replaced.
+    Repeated rows are copies of each other; an empty table gives an empty one. Columns of df with these names are replaced;
+    none may be a map. Ties in length go by a hash of the row. The result does not depend on the order of the rows.
     """
     p = params or Packing()
     made = ("piece", "start", "length", "pack_group", "bin", "place")
@@ -84,14 +85,17 @@ def best_fit(df: DataFrame, text: str = "text", source: str = "source", order: s
     groups = max(1, -(-df.count() // p.group))
     told = df.select(
         F.struct(*[F.col(f"`{c}`") for c in own]).alias("own"), F.col(f"`{source}`").cast("string").alias("source"), size.alias("size"), F.coalesce((F.xxhash64(t) if cluster is None else F.xxhash64(cluster)), F.lit(0)).alias("cluster"),
-        F.xxhash64(F.col(f"`{order}`"), F.monotonically_increasing_id()).alias("deal"),
     )
+    # Rows alike are counted and numbered, so where a row goes depends on the rows alone and not on how files are split.
+    told = told.groupBy("own", "source", "size", "cluster").agg(F.count("*").alias("times"))
+    told = told.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1))).drop("times")
+    told = told.withColumn("deal", F.xxhash64("own", "cluster", "copy"))
     cut = told.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / p.capacity))))
     cut = cut.withColumn("start", F.col("piece") * p.capacity).withColumn("length", F.least(F.col("size") - F.col("start"), F.lit(p.capacity)))
-    cut = cut.withColumn("pack_group", F.pmod(F.xxhash64("deal", "piece"), F.lit(groups))).drop("size")
+    cut = cut.withColumn("pack_group", F.pmod(F.xxhash64("deal", "piece"), F.lit(groups)))
 
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["deal", "piece"], kind="stable", ignore_index=True)
+        pdf = pdf.sort_values(["deal", "size", "piece"], kind="stable", ignore_index=True)
         where = pack(pdf["length"].tolist(), pdf["cluster"].tolist(), pdf["source"].tolist(), p.capacity, p.per_source)
         return pdf.assign(bin=[b for b, _ in where], place=[k for _, k in where])[["own", "piece", "start", "length", "pack_group", "bin", "place"]]
 

@@ -240,6 +240,10 @@ def test_best_fit(spark, data):
     for i, n in out.dropna(subset=["doc_id"]).groupby("doc_id").length.sum().items():
         assert n == tokens[int(i)] * copies[int(i)]
     assert best_fit.best_fit(df.limit(0)).count() == 0
+    p = best_fit.Packing(capacity=300, per_source=2, group=64)
+    clash = df.withColumn("bin", F.lit("x")).withColumn("piece", F.lit(None).cast("string"))
+    one, other = (sorted(map(repr, best_fit.best_fit(x, params=p).collect())) for x in (clash, clash.repartition(3, "source").orderBy(F.desc("doc_id"))))
+    assert one == other and len(one) == len(out)
 
 
 # 10

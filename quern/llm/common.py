@@ -94,11 +94,12 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class WordHasher:
-    """64-bit hashes of the words of texts, many texts at once; lower: A-Z count as a-z."""
+    """64-bit hashes of the words of texts, many texts at once; lower: A-Z count as a-z; sizes: with the words' bytes."""
 
     SLICE = 1 << 18  # bytes of text hashed at once: small enough for a core's cache
 
-    def __init__(self, lower: bool = True) -> None:
+    def __init__(self, lower: bool = True, sizes: bool = False) -> None:
+        self.sizes = sizes
         self._code = np.arange(1, 257, dtype=np.uint64)
         if lower:
             self._code[65:91] += np.uint64(32)
@@ -130,11 +131,13 @@ class WordHasher:
         firsts = np.concatenate([[0], np.cumsum(lens + 1)]) + 1
         bounds = np.searchsorted(starts, firsts)
         if not len(starts):
-            return np.zeros(0, dtype=np.uint64), bounds
+            none = np.zeros(0, dtype=np.uint64)
+            return (none, none.astype(np.int64)) if self.sizes else none, bounds
         value = self._code[raw] * self._up[: len(raw)]
         value[sep] = 0
         h = np.add.reduceat(value, starts) * self._down[starts]
-        return mix64(h ^ mix64((ends - starts).astype(np.uint64))), bounds
+        h = mix64(h ^ mix64((ends - starts).astype(np.uint64)))
+        return (h, ends - starts) if self.sizes else h, bounds
 
 
 def as_bytes(column) -> list[bytes]:

@@ -350,51 +350,121 @@ def test_blocks_are_pruned():
 
 # 2
 
+SMALL = context_mixing.Model(coded=60, known=200, slot_bits=10, task_words=3000, learn_words=2000, common=8)
+
+
+def lower_words(t):
+    return (t or "").encode().lower().split() + [b""]
+
+
+def plain_bits(model, words, train):
+    """What each word's code costs, a bit at a time, with Python numbers; words: hashes."""
+    c, mask = model.coder, 0xFFFFFFFF
+    place = {int(k): i for i, k in enumerate(c.keys)}
+    symbol = [int(c.symbols[place.get(w, len(c.keys))]) for w in words]
+    short = [((w ^ w >> 32) & mask) | 1 for w in words]
+    out = []
+    for i, s in enumerate(symbol):
+        one, two = (short[i - k] if i >= k else 0 for k in (1, 2))
+        often = [j for j in range(i) if symbol[j] < min(c.m.common, c.escape)][-2:]
+        near, far = (short[often[-k]] if len(often) >= k else 0 for k in (1, 2))
+        contexts = [one * 0x9E3779B1 + 1, (one * 0x85EBCA6B & mask ^ two * 0xC2B2AE35 & mask) + 2, two * 0x27D4EB2F + 3, (near * 0x165667B1 & mask ^ far * 0xD3A2646D & mask) + 4, (one * 0xFD7046C5 & mask ^ near * 0xB55A4F09 & mask) + 5]
+        contexts = [(x & mask) ^ (x & mask) >> 16 for x in contexts]
+        bits = 0.0
+        for at in range(c.firsts[s], c.firsts[s] + c.lengths[s]):
+            node, bit = int(c.nodes[at]), int(c.bits[at])
+            turned = (node + 1) * 0xCC9E2D51 & mask
+            turned ^= turned >> 15
+            x, seen = [], []
+            for table, h in zip(model.tables, contexts, strict=True):
+                pair = int(table[((h ^ turned) * 2654435761 & mask) >> 32 - model.slot_bits])
+                counts = [pair & 255, pair >> 8]
+                if train and max(counts) < 255 and counts[bit]:
+                    counts[bit] -= 1
+                x.append(math.log((counts[1] + 0.4) / (counts[0] + 0.4)))
+                seen.append(sum(sum(counts) >= k for k in (1, 3, 24)))
+            gate = 4 * seen[1] + seen[0]
+            mixed = sum(w[gate] * v for w, v in zip(model.weights, [*x, float(c.often[at]), 1.0], strict=True))
+            cell = min(node, 255) * 129 + int(max(-8.0, min(8.0, mixed)) * 8 + 64.5)
+            bits += model.costs[2 * cell + bit]
+        out.append(bits)
+    return symbol, out
+
+
 def test_lm_scores(spark, data):
     df = sample(spark, data)
-    p = context_mixing.Model(slot_bits=14, frequent=300, lanes=512, flush=500)
-    out = context_mixing.lm_scores(df, params=p).collect()
+    out = context_mixing.lm_scores(df, params=SMALL).collect()
     assert len(out) == df.count()
-    tokens = lambda t: (t or "").encode().lower().split() + [b""]
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
     c = collections.Counter()
     rows = [(r["doc_id"], r["text"]) for r in df.collect()]
     for i, t in rows:
         if not held(i):
-            c.update(tokens(t))
+            c.update(lower_words(t))
     n, v = sum(c.values()), len(c)
-    base = lambda t: sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens(t))
-    want = sorted((repr(i), held(i), len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), n, round(base(t), 6)) for i, t in rows)
+    base = lambda t: sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in lower_words(t))
+    want = sorted((repr(i), held(i), len(lower_words(t)), sum(c[w] > 0 for w in lower_words(t)), n, round(base(t), 6)) for i, t in rows)
     assert want == sorted((repr(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in out)
     assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in out)
-    assert context_mixing.lm_scores(df.limit(0), params=p).count() == 0
-
-
-def test_counters_do_not_depend_on_the_partitioning(spark):
-    rows = [(0, b"aa", 20_000_000), (0, b"ab", 100_000)] + [(0, f"w{i}".encode(), 40_000 + i) for i in range(40)]
-    m = context_mixing.Model(slot_bits=12, lanes=8)
-    words = spark.createDataFrame(rows, "g int, word binary, c long")
-    one, many = (context_mixing._counters(words.repartition(n), m) for n in (1, 8))
-    assert (one == many).all()
-
-
-def test_pairs_are_learnt_by_their_whole_count(spark):
-    m = context_mixing.Model(slot_bits=12)
-    words = spark.createDataFrame([(0, b"\x7f", 1_000_000), (0, b"@", 64)], "g int, word binary, c long").coalesce(1)
-    empty = types.SimpleNamespace(value=np.zeros((context_mixing.CONTEXTS << 12, 2), dtype=np.uint16))
-    _, refined = context_mixing._mixer(words, empty, m)
-    assert refined[64] == pytest.approx(0.25 + 0.5 * 7 / 8, abs=1e-3)  # seven of the eight bits of the frequent byte are ones, one of the other's
-
-
-def test_a_piece_s_costs_are_a_probability():
-    """The costs of all first bits and so of all words sum to one: 2 ** -cost over both values of the last bit of a byte."""
+    assert context_mixing.lm_scores(df.limit(0), params=SMALL).count() == 0
+    held_back = [r for r in out if r["held_out"]]
+    assert sum(r["score"] for r in held_back) > sum(r["base_score"] for r in held_back)
+
+
+def test_lm_scores_are_those_of_a_plain_mixer(spark, data):
+    docs = sample(spark, data).select(F.col("doc_id").alias("id"), "text")
+    held = F.pmod(F.crc32(F.coalesce(F.col("id").cast("string"), F.lit(""))), F.lit(10)) == 0
+    learnt = docs.withColumn("held_out", held).filter("not held_out")
+    words = context_mixing.written(context_mixing.count_words(learnt))
+    total = words.agg(F.sum("c")).first()[0]
+    model = context_mixing.train(learnt, words, total, SMALL)
+    counts = collections.Counter(w for r in learnt.collect() for w in lower_words(r["text"]))
+    hasher = context_mixing.WordHasher()
+    name = lambda w: int(hasher([w]).__next__()[1][0]) if w else int(context_mixing.END)
+    hashes = {w: name(w) for w in counts}
+    assert dict(zip(model.coder.keys.tolist(), model.coder.counts.tolist(), strict=True)).items() <= {hashes[w]: n for w, n in counts.items()}.items()
+    rest = sum(counts.values()) - sum(sorted(counts.values())[::-1][: SMALL.coded])
+    below = rest + 0.1 * (len(counts) - SMALL.coded + 1)
+    got = {(repr(r["doc_id"]), r["n_tokens"]): r["score"] for r in context_mixing.lm_scores(docs.withColumnRenamed("id", "doc_id"), params=SMALL).collect()}
+    for r in docs.withColumn("held_out", held).collect():
+        told = lower_words(r["text"])
+        if len(told) < 400:
+            symbols, bits = plain_bits(model, [hashes.get(w) or name(w) for w in told], not r["held_out"])
+            escaped = sum(math.log10((counts[w] + 0.1) / below) for w, s in zip(told, symbols, strict=True) if s == model.coder.escape)
+            assert got[repr(r["id"]), len(told)] == pytest.approx(escaped - sum(bits) * math.log10(2), rel=2e-3)
+
+
+def test_contexts_are_counted_whole_however_texts_are_split(spark):
+    m = context_mixing.Model(coded=4)
+    rows = [(i, "a b a b " * (300 if i == 0 else 2) + f"w{i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    words = context_mixing.count_words(docs).toPandas().sort_values("h", key=lambda h: h.to_numpy().view(np.uint64))
+    coder = context_mixing.Coder(words.h.to_numpy().view(np.uint64), words.c.to_numpy(), int(words.c.sum()), m)
+    shared = types.SimpleNamespace(value=coder)
+    one, many = (context_mixing.context_tables(docs.repartition(n), shared, 10, tasks) for n, tasks in ((1, 1), (8, 100)))
+    assert (one == many).all() and one.max() > 255
+    big = np.array([0, 254, 255, 1 << 40], dtype=np.int64)
+    assert (context_mixing._unpacked(context_mixing._packed(big), 4) == big).all()
+
+
+def test_a_word_s_costs_are_a_probability(spark):
+    """Over all codes the probabilities of one context sum to one."""
     rng = np.random.default_rng(0)
+    counts = rng.integers(1, 1000, 40)
+    coder = context_mixing.Coder(np.sort(rng.integers(0, 1 << 63, 40).astype(np.uint64)), counts, int(counts.sum()) + 17, context_mixing.Model(coded=30))
     refined = rng.uniform(0.05, 0.95, 256 * 129)
-    model = context_mixing.Trained(rng.normal(size=context_mixing.CONTEXTS << 10).astype(np.float32), np.zeros(context_mixing.CONTEXTS << 10, dtype=np.int8), rng.normal(size=(context_mixing.CONTEXTS + 1, 20)), -np.log2(np.stack([1 - refined, refined], axis=1)).ravel(), 10)
-    model.levels = model.levels.astype(np.int64)
-    every = model.bits([bytes([b]) for b in range(256)], np.zeros(256, dtype=np.int64))
-    assert 2.0 ** -every @ np.ones(256) == pytest.approx(1.0)
-    assert context_mixing._pieces(b"x" * 64) == [b"x" * 32, b"x" * 32, b" "] and context_mixing._pieces(b"") == [b" "]
+    model = context_mixing.Trained(coder, rng.integers(0, 65536, (5, 1024)).astype(np.uint16), rng.normal(size=(7, 16)).astype(np.float32), -np.log2(np.stack([1 - refined, refined], axis=1)).ravel(), 10)
+    n = coder.escape + 1
+    bits = model.word_bits(np.arange(n), np.repeat(rng.integers(0, 1 << 32, (5, 1)).astype(np.uint32), n, axis=1), np.zeros(n, dtype=np.int32))
+    assert n == 31 and (2.0**-bits).sum() == pytest.approx(1.0)
+
+
+def test_lm_scores_know_the_order_of_words(spark):
+    rng = random.Random(6)
+    line = "north wind moved slowly over the old stone bridge while two quiet boats went home".split()
+    rows = [(i, " ".join(line * 3 + [rng.choice(line)])) for i in range(300)] + [(10_000 + i, " ".join(rng.sample(line * 3, len(line) * 3))) for i in range(20)]
+    out = {r["doc_id"]: r["score"] / r["n_tokens"] for r in context_mixing.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), params=context_mixing.Model(slot_bits=14)).collect()}
+    assert min(out[i] for i in range(300)) > max(out[10_000 + i] for i in range(20))
 
 
 # pipeline

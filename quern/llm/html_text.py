@@ -1,10 +1,13 @@
 """Main text of web pages by a site style tree.
 
 The pages of a host are merged into one tree: an element is known by the chain of tags and classes above it. Two
-entropies over the distinct pages that have an element say how much it matters: presentation (do its children look
-different from page to page) and content (is its text different from page to page). A branch of a page whose text has a
-low mean importance goes. Tags and names that say what they are (nav, footer, ads, forms, comments ...) have
-importance 0 at once, as a tree of few pages can't tell. The tree may not take most of an article.
+entropies over the distinct pages that have an element say how much it matters: content (is its text different from
+page to page) and, for elements with children, presentation (do they look different from page to page). That importance is
+mixed with what the page says itself, the more the more pages speak: text of article or main is expected to stay, text
+beside it to go, and where a page has no such part all text is expected to stay. Branches whose elements all have a low
+importance go. What tags, roles or names call a menu, header, footer, sidebar, notice, advert, form or comments has
+importance 0, as new texts in it from page to page make it no article; inside article and main only names of whole containers
+count.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from quern.llm.url_filter import host_of
 
 # Fixed values of HTML and of common naming.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe xmp svg math object".split())
+RAW = frozenset("script style title textarea noscript template iframe xmp svg object".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -33,12 +36,14 @@ DROPPED = frozenset("nav footer aside form button select datalist dialog menu he
 MAIN = frozenset(("article", "main"))
 ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPE = frozenset("ul ol dl select table div article section main body td th".split())
+CONTAINERS = frozenset("div section ul ol dl table fieldset details".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs "
     "header masthead topbar footer sidebar aside cookie cookies consent gdpr notice notices popup modal overlay comment comments disqus respond replies share sharing social "
     "related recommended newsletter subscribe subscription signup login widget pagination pager toolbar search skip".split()
 )
+HEADING = re.compile(r"h[1-6]$")
 _NAME_PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*|\d+")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
@@ -46,21 +51,27 @@ _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 
 @dataclass(frozen=True)
 class Tree:
-    """lowest: branches under this mean importance go; share: of presentation in an element's importance;
-    pages: distinct pages that an element needs before the tree says anything of it."""
+    """lowest: elements under this importance go. share: of presentation in an element's importance. pages: distinct
+    pages that an element needs before the tree says anything of it; at so many it is believed half, the rest being an importance
+    of 1. most, most_inside: how far the tree is believed at most, on pages without article and main and inside these, so
+    that importances under 0.625 and 0.25 do it there. names: whether class names and ids count. low: the tree keeps elements under it."""
 
-    lowest: float = 0.25
+    lowest: float = 0.7
     share: float = 0.2
     pages: int = 8
+    most: float = 0.8
+    most_inside: float = 0.4
+    names: bool = True
+    low: float = 0.7
 
 
 class Page:
     """A page as nodes (parent, path id, in the main part) and blocks (node, text). Dropped parts leave nothing."""
 
-    __slots__ = ("parents", "paths", "mains", "styles", "blocks")
+    __slots__ = ("parents", "paths", "mains", "styles", "blocks", "names")
 
-    def __init__(self, text: str, path_of) -> None:
-        self.parents, self.paths, self.mains, self.styles, self.blocks = [-1], [0], [False], [[]], []
+    def __init__(self, text: str, path_of, names: bool = True) -> None:
+        self.parents, self.paths, self.mains, self.styles, self.blocks, self.names = [-1], [0], [False], [[]], [], names
         self._read(text, path_of)
 
     def _read(self, text: str, path_of) -> None:
@@ -185,19 +196,18 @@ class Page:
             else:
                 at = close + 1
 
-    @staticmethod
-    def _look(tag: str, attributes: str, in_main: bool) -> tuple[str, bool]:
+    def _look(self, tag: str, attributes: str, in_main: bool) -> tuple[str, bool]:
         """(the element's name in the tree, whether it says itself that it is no main text)."""
         names, dropped = [], tag in DROPPED and not (tag == "header" and in_main)
-        if attributes and tag not in ("html", "body", "main"):
+        if attributes and tag not in ("html", "body", "main", "article"):
             for key, *values in _ATTRIBUTE.findall(attributes):
                 key, value = key.lower(), "".join(values)
                 if key == "class" or key == "id":
-                    parts = {x.lower() for x in _NAME_PARTS.findall(value)}
-                    allowed = {"header"} if in_main else set()
-                    dropped = dropped or bool((parts & NAMES) - allowed)
                     if key == "class":
                         names = sorted(value.split())
+                    if self.names and (tag in CONTAINERS or not in_main and not HEADING.match(tag)):
+                        parts = set(value.lower().split()) if in_main else {x.lower() for x in _NAME_PARTS.findall(value)}
+                        dropped = dropped or bool(parts & NAMES - ({"header"} if in_main else set()))
                 elif key == "role":
                     dropped = dropped or value.lower() in ROLES
                 elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
@@ -228,92 +238,98 @@ def _id(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
 
 
-def features(text: str, path_of: Paths) -> tuple[int, list[dict]]:
-    """(key of the main text, distinct (content or not, path, feature) of the page)."""
-    page = Page(text, path_of)
+def features(text: str, path_of: Paths, names: bool = True) -> tuple[int, int, list[dict]]:
+    """(two keys of the main text, distinct (content or not, path, feature) of the page). Near copies of an article mostly have
+    a key in common, the least of two hashes of its longer blocks. An element without children has presentation 0."""
+    page = Page(text, path_of, names)
     out = {(True, page.paths[n], _id(t)) for n, t in page.blocks}
     looks: dict[int, set] = {}
     for k, path in enumerate(page.paths):
         looks.setdefault(path, set()).add(tuple(dict.fromkeys(page.styles[k])))
-    out |= {(False, path, _id(repr(sorted(s)))) for path, s in looks.items()}
-    return _id("\n".join(t for _, t in page.main_blocks())), [{"content": c, "path": p, "feature": f} for c, p, f in out]
+    out |= {(False, path, _id(repr(sorted(s))) if any(s) else 0) for path, s in looks.items()}
+    main = [t for _, t in page.main_blocks()]
+    longer = [_id(t) for t in main if len(t) >= 80] or [_id("\n".join(main))]
+    return min(longer), min(longer, key=lambda x: x * 0x9E3779B97F4A7C15 & (1 << 64) - 1), [{"content": c, "path": p, "feature": f} for c, p, f in out]
 
 
-def main_text(text: str, importance: dict[int, float], lowest: float, path_of: Paths) -> str:
-    """The blocks of the main part without branches of low mean importance."""
-    page = Page(text, path_of)
+def main_text(text: str, tree: dict[int, tuple[float, int]], p: Tree, path_of: Paths) -> str:
+    """The blocks of the main part without those of elements of low importance, and so without branches that have no other;
+    tree: (importance, pages) by path. Where no block would be left all stay."""
+    page = Page(text, path_of, p.names)
     blocks = page.main_blocks()
-    if importance and blocks:
-        weight, worth = [0.0] * len(page.parents), [0.0] * len(page.parents)
-        for n, t in blocks:
-            weight[n] += len(t)
-            worth[n] += len(t) * importance.get(page.paths[n], 1.0)
-        for n in range(len(page.parents) - 1, 0, -1):  # children come after their parents
-            weight[page.parents[n]] += weight[n]
-            worth[page.parents[n]] += worth[n]
-        low = [False] * len(page.parents)
-        for n in range(1, len(page.parents)):
-            low[n] = low[page.parents[n]] or weight[n] > 0 and worth[n] < lowest * weight[n]
-        kept = [b for b in blocks if not low[b[0]]]
-        if 2 * sum(len(t) for _, t in kept) >= sum(len(t) for _, t in blocks):
-            blocks = kept
+    if tree and blocks:
+        low: dict[int, bool] = {}
+        for n in {n for n, _ in blocks}:
+            importance, pages = tree.get(page.paths[n], (1.0, 0))
+            trust = min(pages / (pages + p.pages), p.most_inside if page.mains[n] else p.most)
+            low[n] = trust * importance + (1 - trust) < p.lowest
+        blocks = [b for b in blocks if not low[b[0]]] or blocks
     return "\n".join(t for _, t in blocks)
 
 
-#: A table of so many rows of (host, path, importance) is small enough to be sent to every executor.
+#: A tree of so many elements is small enough to be sent to every executor.
 BROADCAST_ROWS = 100_000
 
 
 def style_tree(pages: DataFrame, params: Tree, html: str = "html", host: str = "host") -> DataFrame:
-    """host, low: array of (path, importance) of the host's elements of importance under 0.5.
+    """host, path, importance, pages of the elements of importance under params.low that enough distinct pages have.
 
-    Pages of a host with the same main text count once, so copies don't make an article look like boilerplate. All
-    counts are summed before rows of a host meet, whatever its share of the pages."""
+    Pages of a host with a key in common count once, so copies don't make an article look like boilerplate; of those the
+    one with the least hash is taken. All counts are summed before rows of a host meet, whatever its share of the pages."""
 
-    @F.pandas_udf("key long, found array<struct<content boolean, path long, feature long>>")
+    @F.pandas_udf("key long, key2 long, found array<struct<content boolean, path long, feature long>>")
     def seen(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         path_of = Paths()
         for batch in batches:
-            rows = [features(t if isinstance(t, str) else "", path_of) for t in batch.tolist()]
-            yield pd.DataFrame({"key": [r[0] for r in rows], "found": [r[1] for r in rows]})
+            rows = [features(t if isinstance(t, str) else "", path_of, params.names) for t in batch.tolist()]
+            yield pd.DataFrame({"key": [r[0] for r in rows], "key2": [r[1] for r in rows], "found": [r[2] for r in rows]})
 
-    read = pages.select(F.col(host).alias("host"), seen(F.col(html)).alias("x")).select("host", "x.key", "x.found")
-    each = read.groupBy("host", "key").agg(F.first("found").alias("found")).select("host", F.explode("found").alias("x")).select("host", "x.*")
+    read = pages.select(F.col(host).alias("host"), F.xxhash64(html).alias("page"), seen(F.col(html)).alias("x")).select("host", "page", "x.*")
+    first = F.min_by(F.struct("page", "key2", "found"), "page").alias("x")
+    each = read.groupBy("host", "key").agg(first).select("host", "x.*").groupBy("host", "key2").agg(F.min_by("found", "page").alias("found")).select("host", F.explode("found").alias("x")).select("host", "x.*")
     counted = each.groupBy("host", "path", "content", "feature").agg(F.count("*").alias("c"))
-    c, content = F.col("c"), F.col("content")
+    c, content, shape = F.col("c"), F.col("content"), ~F.col("content") & (F.col("feature") != 0)
     node = counted.groupBy("host", "path").agg(
-        F.sum(F.when(content, c)).alias("w"), F.sum(F.when(content, c * F.log(c))).alias("wl"), F.sum(F.when(~content, c)).alias("m"), F.sum(F.when(~content, c * F.log(c))).alias("ml"),
+        F.sum(F.when(content, c)).alias("w"), F.sum(F.when(content, c * F.log(c))).alias("wl"), F.sum(F.when(~content, c)).alias("m"), F.sum(F.when(shape, c)).alias("s"), F.sum(F.when(shape, c * F.log(c))).alias("sl"),
     )
-    scale = F.log("m")
-    worth = (1 - params.share) * (1 - F.col("wl") / (F.col("w") * scale)) + params.share * (1 - F.col("ml") / (F.col("m") * scale))
-    low = node.filter((F.col("m") >= params.pages) & F.col("w").isNotNull()).select("host", F.struct("path", worth.alias("importance")).alias("x")).filter("x.importance < 0.5")
-    return low.groupBy("host").agg(F.collect_list("x").alias("low"))
+    text = 1 - F.col("wl") / (F.col("w") * F.log("m"))
+    look = 1 - F.col("sl") / (F.col("s") * F.log("m"))
+    importance = F.when(F.col("s").isNull(), text).otherwise((1 - params.share) * text + params.share * look)
+    return node.filter((F.col("m") >= params.pages) & F.col("w").isNotNull()).select("host", "path", importance.alias("importance"), F.col("m").alias("pages")).filter(F.col("importance") < params.low)
 
 
 def html_text(pages: DataFrame, html: str = "html", url: str = "url", params: Tree | None = None) -> DataFrame:
     """pages with text (blocks joined by a line feed, white space in a block made one space) and n_chars (code points).
 
     Null and empty html give an empty text. A null url or one without a host is a host of its own, the empty one.
-    Repeated rows give the same text each, and count once in the tree; an empty table gives an empty one. Columns of
-    pages with these names are replaced.
+    A very long page is parsed whole in one task, in time that grows with its length. Repeated rows give the same text each,
+    and count once in the tree; an empty table gives an empty one. Columns of pages with these names are replaced.
     """
     params = params or Tree()
     made = ("text", "n_chars")
     own = [F.col(f"`{c}`") for c in pages.columns if c not in made]
     told = pages.select(*own, F.col(html).alias("__html"), host_of(F.col(url)).alias("__host"))
-    tree = written(style_tree(told, params, "__html", "__host")).withColumnRenamed("host", "__host")
-    small = tree.agg(F.coalesce(F.sum(F.size("low")), F.lit(0))).first()[0] <= BROADCAST_ROWS
-    joined = told.join(F.broadcast(tree) if small else tree, "__host", "left")
-    lowest = params.lowest
+    tree = written(style_tree(told, params, "__html", "__host"))
+    element = F.struct("path", "importance", "pages")
+    shared = None
+    if tree.count() <= BROADCAST_ROWS:  # known to every executor, once a worker
+        by_host: dict[str, dict[int, tuple[float, int]]] = {}
+        for r in tree.collect():
+            by_host.setdefault(r["host"], {})[r["path"]] = (r["importance"], r["pages"])
+        shared = pages.sparkSession.sparkContext.broadcast(by_host)
+        joined = told.withColumn("__tree", F.lit(None).cast("array<struct<path: long, importance: double, pages: long>>"))
+    else:
+        joined = told.join(tree.groupBy(F.col("host").alias("__host")).agg(F.collect_list(element).alias("__tree")), "__host", "left")
 
     @F.pandas_udf("string")
-    def extracted(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def extracted(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         path_of = Paths()
-        for texts, lows in batches:
-            out = []
-            for t, low in zip(texts.tolist(), lows.tolist(), strict=True):
-                known = {x["path"]: x["importance"] for x in low} if low is not None else {}
-                out.append(main_text(t, known, lowest, path_of) if isinstance(t, str) else "")
+        for texts, hosts, trees in batches:
+            out, known = [], {}
+            for t, host, elements in zip(texts.tolist(), hosts.tolist(), trees.tolist(), strict=True):
+                if host not in known:
+                    known[host] = shared.value.get(host, {}) if shared else {x["path"]: (x["importance"], x["pages"]) for x in elements} if elements is not None else {}
+                out.append(main_text(t, known[host], params, path_of) if isinstance(t, str) else "")
             yield pd.Series(out, dtype="object")
 
-    return joined.withColumn("__text", extracted("__html", "low")).select(*own, F.col("__text").alias("text"), F.length("__text").cast("long").alias("n_chars"))
+    return joined.withColumn("__text", extracted("__html", "__host", "__tree")).select(*own, F.col("__text").alias("text"), F.length("__text").cast("long").alias("n_chars"))

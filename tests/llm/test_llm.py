@@ -169,12 +169,41 @@ def test_html_odd(spark):
         assert r["text"] == cases.get(r["html"], "") and r["n_chars"] == len(r["text"])
 
 
+def test_html_keeps_what_an_article_says():
+    page = '<article><h2 id="search">Search</h2><section class="related-work"><p>Related work text</p></section><p>x <math><mi>y</mi></math> z</p><p class="menu">Menu of the day</p><h2 class="share-price">Price</h2><p id="ad">A.D. 5</p><div class="comments-intro">Intro</div><div class="share">tweet</div></article><p>beside</p>'
+    assert html_text.main_text(page, {}, html_text.Tree(), html_text.Paths()) == "Search\nRelated work text\nx y z\nMenu of the day\nPrice\nA.D. 5\nIntro"
+
+
 def test_style_tree_finds_boilerplate(spark):
     page = lambda i: f"<body><div class=x1>Same words on all pages</div><div class=x2><p>Own text number {i} {'w' * i}</p><p>more of {i * i}</p></div></body>"
     df = spark.createDataFrame([(i, f"http://h.org/{i}", page(i)) for i in range(1, 21)], "page_id long, url string, html string")
     assert {r["text"] for r in html_text.html_text(df).collect()} == {f"Own text number {i} {'w' * i}\nmore of {i * i}" for i in range(1, 21)}
 
 
+def test_style_tree_and_names_each_do_their_part(spark, monkeypatch):
+    """Pages without article: a plain menu and a plain note that few variants share, which the tree finds, and comments, new on each page,
+    which only their name tells. Short articles, so most of a page is boilerplate; copies of an article, which have to stay."""
+    rng = random.Random(8)
+    some = lambda n: " ".join(rng.choice("abcdefgh") + str(rng.randrange(1000)) for _ in range(n))
+    menus, notes, copy = [some(12) for _ in range(5)], [some(60) for _ in range(3)], [some(25) for _ in range(3)]
+    rows, want = [], {}
+    for i in range(300):
+        body = [some(20), *copy[1:]] if i % 3 == 0 else [some(rng.randint(3, 25)) for _ in range(rng.randint(1, 4))]
+        menu = "".join(f"<li><a href=/{x}>{x}</a>" for x in rng.choice(menus).split())
+        html = f"<html><body><div class=a><ul>{menu}</ul></div><div class=b>{''.join(f'<p>{x}</p>' for x in body)}</div><div class=c>{rng.choice(notes)}</div><div class=user-comments><p>{some(9)}</p></div></body></html>"
+        rows.append((i, f"http://site.org/{i}", html))
+        want[i] = "\n".join(body)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    right = lambda p: sum(r["text"] == want[r["page_id"]] for r in html_text.html_text(df, params=p).collect())
+    assert right(html_text.Tree()) == 300
+    assert right(html_text.Tree(names=False)) == 0 and right(html_text.Tree(pages=10_000)) == 0
+    monkeypatch.setattr(html_text, "BROADCAST_ROWS", 0)
+    assert right(html_text.Tree()) == 300
+    assert html_text.html_text(df.limit(0)).count() == 0
+    long = "<article>" + "".join(f"<p>{k} " + "word " * 200 + "</p>" for k in range(3000)) + "</article>"
+    assert html_text.html_text(spark.createDataFrame([(1, None, long)], df.schema)).first()["n_chars"] == sum(len(f"{k} ") + 999 for k in range(3000)) + 2999
+
+
 # 1
 
 def test_source_mix_keeps_to_its_weights(spark):

@@ -363,6 +363,27 @@ def test_exact_topk_odd(spark):
     assert exact_topk.exact_topk(df.limit(0)).count() == 0
 
 
+def test_exact_topk_of_large_numbers(spark):
+    """Scores that doubles can't tell apart: 2 ** 53 and one more, found at home and in another part."""
+    rows = [(50, [1, 0, 1 << 20])] + [(i, [(1 << 53) + (i == 7), 0, -i]) for i in range(1, 5)] + [(7, [(1 << 53) + 1, 0, 0]), (8, [1 << 53, 0, 0])] + [(100 + i, [0, 100 + i, 0]) for i in range(1, 40)]
+    blocks = [exact_topk.Block(np.array([i for i, _ in rows]), np.array([i for i, _ in rows]), (v := np.array([v for _, v in rows], dtype=np.int64)), v.max(axis=0), v.min(axis=0))]
+    hits = exact_topk.search(blocks, np.array([-1]), np.array([[1, 0, 0]], dtype=np.int64), 2)
+    assert hits.score[0].tolist() == [(1 << 53) + 1, 1 << 53] and hits.id[0].tolist() == [7, 1]
+    df = spark.createDataFrame([(i, [x / 256 for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    good = [(i, [math.floor(256 * x / 256) for x in v]) for i, v in rows]
+    want = [(-sum(a * b for a, b in zip(good[0][1], [math.floor(256 * (x / 256)) for x in v], strict=True)), i) for i, v in rows[1:]]
+    out = exact_topk.exact_topk(df, params=exact_topk.Search(block=4, part=8)).orderBy("rank").collect()
+    assert [(-r["score"], r["vec_id"]) for r in out if r["query_id"] == 50] == sorted(want)[:5]
+
+
+def test_queries_go_where_a_bound_reaches_them_alone(spark):
+    p = exact_topk.Search(block=4, part=8, told=2)
+    values = lambda part: np.eye(8, dtype=np.int64)[[part] * 4] * 100
+    blocks = spark.createDataFrame([(k, np.arange(4).tobytes(), np.arange(4).tobytes(), values(k).tobytes(), 8) for k in range(5)], "part int, rows binary, ids binary, values_ binary, width int")
+    asked = spark.createDataFrame([(1, 1, [0, 0, 1] + [0] * 5, 0, "50"), (2, 2, [1, 0, 1] + [0] * 5, 0, "100"), (3, 3, [1], 4, None)], "row long, id long, v array<long>, part int, least string")
+    assert sorted((r["row"], r["part"]) for r in exact_topk.surviving(asked, blocks, p).collect()) == [(1, 2), (2, 2), (3, 0), (3, 1), (3, 2), (3, 3)]
+
+
 def test_blocks_are_pruned():
     rng = np.random.default_rng(1)
     block = lambda c: exact_topk.Block(np.arange(64) + 1000 * c, np.arange(64) + 1000 * c, (v := rng.integers(0, 5, (64, 8)) + (np.arange(8) == c) * 100), v.max(axis=0), v.min(axis=0))

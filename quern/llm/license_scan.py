@@ -1,11 +1,14 @@
 """License scans by ordered signature rules, with DataFrame functions alone.
 
-Each family of licenses has hand-written patterns for its name and its address; five forms (identifier tag, grant,
-address, title, mention) make the ordered rules, so a form written once holds for all families. A rule runs on a text
-only if the text holds the rule's keyword, and none on a text that no rule can match, which the gate tells from the rules
-themselves. Rules see a text with its white space, line ends with the comment marks around them included, as one space
-each. Detections are intervals of characters. One that lies inside another of the same or a higher priority is suppressed; of equal intervals the one
-with the higher priority, then the earlier rule, stays.
+Hand-written rules for the texts and notices of licenses stand beside rules for what names one: each family of licenses has
+hand-written patterns for its name and its address, and five forms (identifier tag, grant, address, title, mention) make
+rules of them, so a form written once holds for all families. A rule runs on a text only if the text holds the rule's keyword,
+and none on a text that no rule can match, which the gate tells from the rules themselves. Rules see a text with its white
+space, line ends with the comment marks around them included, as one space each. Detections are intervals of characters. A
+name that a negation stands before ("not under the ...") is no detection. One that lies inside another of the same or a higher
+priority is suppressed; of equal intervals the one with the higher priority, then the earlier rule, stays.
+
+A row is read once and judged in place: no row is sent anywhere.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: label, identifier of the tag, name, address (None: it has none), keywords of which every match of the name holds one.
@@ -94,8 +97,91 @@ OTHERS: tuple[tuple[str, int, str, str], ...] = (
     ("non-commercial", 1, "commercial", r"(?:non-?commercial|not for commercial) use(?: only)?"),
 )
 
+#: label, keyword, pattern of sentences that stand in a license itself or in the notice that it asks for.
+BODIES: tuple[tuple[str, str, str], ...] = (
+    ("mit", "free of charge, to any person obtaining", r"permission is hereby granted, free of charge, to any person obtaining a copy of (?:this|the) (?:software|work|program|font|data)"),
+    ("mit", "this permission notice shall be", r"the above copyright notice and this permission notice (?:\([^)]{0,80}\) )?shall be included in all copies"),
+    ("x11", "shall not be used in advertising", r"except as contained in this notice, the names?\(?s?\)? of [^.]{1,120}? shall not be used in advertising"),
+    ("isc", "with or without fee is hereby granted, provided", r"permission to use, copy, modify,? and(?:/or)? distribute this software for any purpose with or without fee is hereby granted, provided"),
+    ("0bsd", "with or without fee is hereby granted.", r"permission to use, copy, modify,? and(?:/or)? distribute this software for any purpose with or without fee is hereby granted\."),
+    ("bsd", "in source and binary forms", r"redistribution and use (?:of this software )?in source and binary forms,? (?:with or without modification,? )?(?:are|is) permitted"),
+    ("bsd", "redistributions of source code", r"redistributions of source code must retain the above copyright notice"),
+    ("bsd", "redistributions in binary form", r"redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd-3-clause", "to endorse or promote products", r"neither the name of [^.]{1,160}? nor the names of (?:its|their|any) contributors may be used to endorse or promote products"),
+    ("bsd-4-clause", "all advertising materials mentioning", r"all advertising materials mentioning features or use of this software must display"),
+    ("ncsa", "with the software without restriction", r"neither the names of [^.]{1,160}? nor the names of its contributors may be used to endorse or promote products derived from this software without specific"),
+    ("apache-2.0", "except in compliance with the license", r"you may not use (?:this file|these files|this work|this software) except in compliance with the license"),
+    ("apache-2.0", "agreed to in writing, software distributed", r"unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an .?as is.? basis"),
+    ("apache-2.0", "shall mean the terms and conditions for use", r".?license.? shall mean the terms and conditions for use, reproduction, and distribution"),
+    ("apache-2.0", "grant of patent license", r"grant of patent license\. subject to the terms and conditions of this license, each contributor hereby grants"),
+    ("apache-1.1", "developed by the apache", r"this product includes software developed by the apache (?:software foundation|group)"),
+    ("gpl-2.0", "either version 2 of the license", r"(?:program|file|software) is free software[;:,] you can redistribute it and/or modify it under the terms of the gnu general public license[^.]{0,80}? either version 2 of the license"),
+    ("gpl-3.0", "either version 3 of the license", r"(?:program|file|software) is free software[;:,] you can redistribute it and/or modify it under the terms of the gnu general public license[^.]{0,80}? either version 3 of the license"),
+    ("gpl", "is free software", r"is free software[;:,] you can redistribute it and/or modify it under the terms of the gnu general public license"),
+    ("gpl", "a copy of the gnu general public license", r"you should have received a copy of the gnu general public license"),
+    ("gpl", "in the hope that it will be useful", r"this program is distributed in the hope that it will be useful, but without any warranty"),
+    ("gpl", "verbatim copies of this license document", r"everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed"),
+    ("gpl-2.0", "designed to take away your freedom", r"the licenses for most software are designed to take away your freedom to share and change it"),
+    ("gpl-3.0", "free, copyleft license for software", r"the gnu general public license is a free, copyleft license for software and other kinds of works"),
+    ("lgpl", "library is free software", r"this library is free software[;:,] you can redistribute it and/or modify it under the terms of the gnu (?:lesser|library) general public license"),
+    ("lgpl", "a copy of the gnu lesser general public license", r"you should have received a copy of the gnu lesser general public license"),
+    ("lgpl", "library is distributed in the hope", r"this library is distributed in the hope that it will be useful, but without any warranty"),
+    ("lgpl-2.1", "first released version of the lesser", r"this is the first released version of the lesser gpl"),
+    ("lgpl-3.0", "incorporates the terms and conditions of version 3", r"this version of the gnu lesser general public license incorporates the terms and conditions of version 3"),
+    ("agpl-3.0", "specifically designed to ensure cooperation", r"the gnu affero general public license is a free, copyleft license[^.]{0,80}? specifically designed to ensure cooperation"),
+    ("agpl", "a copy of the gnu affero general public license", r"you should have received a copy of the gnu affero general public license"),
+    ("gfdl", "gnu free documentation license", r"permission is granted to copy, distribute and/or modify this document under the terms of the gnu free documentation license"),
+    ("mpl-2.0", "source code form is subject to the terms", r"this source code form is subject to the terms of the mozilla public license"),
+    ("mpl-2.0", "if a copy of the mpl was not distributed", r"if a copy of the mpl was not distributed with this file"),
+    ("mpl-1.1", "are subject to the mozilla public license", r"the contents of this file are subject to the mozilla public license,? version 1\.1"),
+    ("epl-1.0", "eclipse public license v1.0", r"accompanying materials are made available under the terms of the eclipse public license v1\.0"),
+    ("epl-2.0", "eclipse public license v", r"accompanying materials are made available under the terms of the eclipse public license v(?:\. )?2\.0"),
+    ("epl-1.0", "constitutes recipient's acceptance", r"any use, reproduction or distribution of the program constitutes recipient's acceptance of this agreement"),
+    ("cddl-1.0", "common development and distribution license", r"the contents of this file are subject to the terms of the common development and distribution license"),
+    ("bsl-1.0", "to any person or organization obtaining", r"permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("zlib", "without any express or implied warranty", r"this software is provided .?as-is.?, without any express or implied warranty\. in no event will the authors"),
+    ("zlib", "origin of this software must not be misrepresented", r"the origin of this software must not be misrepresented; you must not claim that you wrote the original"),
+    ("zlib", "altered source versions must be", r"altered source versions must be plainly marked as such"),
+    ("unlicense", "free and unencumbered software", r"this is free and unencumbered software released into the public domain"),
+    ("unlicense", "anyone is free to copy, modify, publish", r"anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"),
+    ("wtfpl", "you just do what the f", r"you just do what the f\w+ you want to"),
+    ("cc0-1.0", "to the extent possible under law", r"to the extent possible under law, [^.]{1,160}? (?:has|have) waived all copyright"),
+    ("cc0-1.0", "associated a work with this deed", r"the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("cc-by", "give appropriate credit", r"you must give appropriate credit, provide a link to the license, and indicate if changes were made"),
+    ("cc-by-sa", "under the same license as the original", r"if you remix, transform, or build upon the material, you must distribute your contributions under the same license as the original"),
+    ("cc-by-nc", "use the material for commercial purposes", r"you may not use the material for commercial purposes"),
+    ("cc-by-nd", "distribute the modified material", r"if you remix, transform, or build upon the material, you may not distribute the modified material"),
+    ("ofl-1.1", "font software is licensed", r"this font software is licensed under the sil open font license"),
+    ("ofl-1.1", "studied, modified and redistributed freely", r"the ofl allows the licensed fonts to be used, studied, modified and redistributed freely"),
+    ("artistic-2.0", "a given free software package", r"this license establishes the terms under which a given free software package may be copied, modified, distributed, and/or redistributed"),
+    ("artistic-1.0", "the conditions under which a package", r"the intent of this document is to state the conditions under which a package may be copied"),
+    ("python-2.0", "psf is making python available", r"psf is making python available to licensee on an .?as is.? basis"),
+    ("python-2.0", "between the python software foundation", r"this license agreement is between the python software foundation"),
+    ("php-3.01", "this product includes php software", r"this product includes php software, freely available from"),
+    ("openssl", "developed by the openssl project", r"this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("openssl", "cryptographic software written by eric young", r"this product includes cryptographic software written by eric young"),
+    ("postgresql", "without a written agreement is hereby granted", r"permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted"),
+    ("ms-pl", "if you use the software, you accept this license", r"if you use the software, you accept this license\. if you do not accept the license, do not use the software"),
+    ("busl-1.1", "make non-production use of the licensed work", r"right to copy, modify, create derivative works, redistribute, and make non-production use of the licensed work"),
+    ("sspl-1.0", "available to third parties as a service", r"if you make the functionality of the program or a modified version available to third parties as a service"),
+    ("elastic-2.0", "as a hosted or managed service", r"you may not provide the software to third parties as a hosted or managed service"),
+    ("odbl-1.0", "under the open database license", r"(?:is|are) made available under the open database license"),
+    ("eupl-1.2", "licensed under the eupl", r"licensed under the eupl,? (?:version )?1\.2"),
+    ("ecl-2.0", "under the educational community license", r"licensed under the educational community license, version 2\.0"),
+    ("osl-3.0", "licensed under the open software license", r"licensed under the open software license version 3\.0"),
+    ("afl-3.0", "licensed under the academic free license", r"licensed under the academic free license version 3\.0"),
+    ("public-domain", "is in the public domain", r"(?:this (?:work|software|file|text|document|code)|it) is in the public domain"),
+    ("public-domain", "no known copyright restrictions", r"no known copyright restrictions"),
+    ("proprietary", "is strictly prohibited", r"unauthori[sz]ed (?:copying|reproduction|distribution|use|duplication)[^.]{0,80}? is strictly prohibited"),
+    ("proprietary", "confidential and proprietary", r"contains? (?:trade secrets|confidential and proprietary information)"),
+    ("proprietary", "may be reproduced", r"no part of this (?:publication|document|book|work|website|site) may be reproduced"),
+    ("proprietary", "internal use only", r"for internal use only"),
+)
+
 GRANT = r"(?:licen[sc]ed|released|distributed|available|published|provided|covered|governed|redistribute it(?: and/or modify it)?) (?:\w+ ){0,3}?(?:under|by) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?"
 LICENSE = r"(?: public)? licen[sc]e(?:,? version \d(?:\.\d)?)?"
+#: What stands right before a name that a text says it is not under.
+NEGATION = r"(?:(?<!\w)(?:not|never|no longer|neither|nor|instead of|rather than|other than|unlike)|n['\u2019]t)(?! only)(?: \w+){0,4}?(?: (?:under|by|with|to|in|as|from))?(?: (?:the|a|an|any|its))?(?: terms(?: and conditions)? of(?: the)?)? ?$"
 CONFIDENCE = {4: 0.99, 3: 0.95, 2: 0.8, 1: 0.5}
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 #: Line ends with the comment marks of the next line and borders of boxes, and other white space that is not one space.
@@ -125,6 +211,7 @@ def rules() -> list[Rule]:
             out.append(Rule(label, 3, "|".join(hosts(url)), rf"(?:https?://)?(?:www\.)?{url}"))
         out.append(Rule(label, 2, word, rf"(?<!\w)(?:the )?(?:{name}){LICENSE}(?!\w)"))
         out.append(Rule(label, 1, word, rf"licen[sc]e[:=] ?\"?(?:{name})(?!\w)"))
+    out += [Rule(label, 3, word, rf"(?<!\w)(?:{pattern})") for label, word, pattern in BODIES]
     return out + [Rule(label, p, word, rf"(?<!\w)(?:{pattern})(?!\w)") for label, p, word, pattern in OTHERS]
 
 
@@ -137,6 +224,21 @@ def _spaces(x: Column) -> Column:
     return F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
 
 
+def _word_count(x: Column) -> Column:
+    """Words of a text: separators become spaces and runs of them one space, which is cheaper than a regular expression; that counts only where runs are very long."""
+    marks = "".join(c for c in map(chr, range(128)) if not c.isalnum())
+    flat = F.translate(x, marks, " " * len(marks))
+    for run in ("    ", "   ", "  ", "  "):
+        flat = F.replace(flat, F.lit(run), F.lit(" "))
+    plain = _let(F.trim(flat), lambda y: F.when(F.contains(y, F.lit("  ")), None).when(y == "", 0).otherwise(_spaces(y) + 1))
+    return F.coalesce(plain, F.regexp_count(x, F.lit(_CASED_WORD))).cast("long")
+
+
+def _let(x: Column, f) -> Column:
+    """f(x), with x worked out once."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def _own(names: list[str]) -> list[Column]:
     return [F.col(f"`{c}`") for c in names]
 
@@ -149,7 +251,7 @@ def _can_match(text: Column) -> Column:
     """Whether a rule can match: tags, titles and mentions hold a form of license, addresses their host, grants the form with a name."""
     names = "|".join(name for _, _, name, _, _ in FAMILIES)
     sites = {h for _, _, _, url, _ in FAMILIES if url for h in hosts(url)}
-    named = {w for _, _, word, _ in OTHERS for w in word.split("|")} | {"license", "licence"}
+    named = {w for _, _, word, _ in OTHERS for w in word.split("|")} | {word for _, word, _ in BODIES} | {"license", "licence"}
     addressed = _any(text, {"." + h.rsplit(".", 1)[1] for h in sites}) & _any(text, sites)
     return _any(text, named) | addressed | text.rlike(rf"(?<!\w){GRANT}(?:{names})")
 
@@ -157,48 +259,81 @@ def _can_match(text: Column) -> Column:
 def _may_match(low: Column) -> Column:
     """Whether a rule may match once gaps are one space: one word, which no gap parts, of each way that _can_match knows."""
     sites = {h for _, _, _, url, _ in FAMILIES if url for h in hosts(url)}
-    named = {max(w.split(), key=len) for _, _, word, _ in OTHERS for w in word.split("|")} | {"license", "licence"}
+    whole = [w for _, _, word, _ in OTHERS for w in word.split("|")] + [word for _, word, _ in BODIES]
+    named = {"license", "licence"} | {max(w.split(), key=len) for w in whole if "license" not in w}
     verbs = {"licensed", "licenced", "released", "distributed", "available", "published", "provided", "covered", "governed", "redistribute"}
     return _any(low, named | verbs) | (_any(low, {"." + h.rsplit(".", 1)[1] for h in sites}) & _any(low, sites))
 
 
-def _candidates(df: DataFrame, text: str, phrases: dict[str, str]) -> tuple[DataFrame, Column]:
-    """df with __low and __flat (that with one space for each gap), and the gate: whether a text can hold a phrase or a detection."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    longest = {max(p.split(), key=len) for p in phrases}
-    told = df.withColumn("__low", F.translate(t, _UPPER, _LOWER)).withColumn("__flat", F.regexp_replace("__low", _GAPS, " "))
-    flat = F.exists(F.array(F.regexp_replace("__low", _GAPS, " ")), _can_match)  # a lambda, so that it is flattened once and not in each condition
-    gate = F.exists(F.array("__low"), _may_match) & flat
-    return told.withColumn("__n", F.regexp_count(t, F.lit(_CASED_WORD)).cast("long")), F.exists(F.array("__low"), lambda x: _any(x, longest)) | gate if longest else gate
+_BLOCK = 128
 
 
-def _detections(text: Column) -> Column:
-    """Array of (rule, label, priority, k, m, p): the k-th match of a rule has m characters and stands p characters after the one before."""
+def _running(sizes: Column) -> Column:
+    """Running sums of an array of numbers, by blocks, so that the work does not grow with the square of its length."""
+    add = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, b: a + b)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / _BLOCK).cast("int")), lambda b: F.slice(sizes, b * _BLOCK + 1, _BLOCK))
+
+    def of(blocks: Column) -> Column:
+        return _let(F.transform(blocks, add), lambda sums: F.flatten(F.transform(blocks, lambda x, b: _let(add(F.slice(sums, F.lit(1), b)), lambda before: F.transform(x, lambda _, i: before + add(F.slice(x, F.lit(1), i + 1)))))))
+
+    return F.when(F.size(sizes) > 0, _let(blocks, of)).otherwise(F.array().cast("array<bigint>"))
+
+
+def detections(text: Column) -> Column:
+    """All matches of the rules in a flattened, lower-cased text: an array of (start, less, rank, rule, label, priority, end, negated), sorted so that an
+    interval stands after all that it may lie in; less and rank are -end and -priority."""
     told = [F.struct(F.lit(k).alias("rule"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.array(*map(F.lit, r.keyword.split("|"))).alias("words"), F.lit(r.pattern).alias("pattern")) for k, r in enumerate(rules())]
 
     def of(r: Column) -> Column:
-        found = F.regexp_extract_all(text, r["pattern"], F.lit(0))
-        gaps = F.slice(F.split(text, r["pattern"], -1), F.lit(1), F.size(found))
-        sizes = F.arrays_zip(F.transform(found, F.length).alias("m"), F.transform(gaps, F.length).alias("p"))
-        return F.transform(sizes, lambda x, k: F.struct(r["rule"].alias("rule"), r["label"].alias("label"), r["priority"].alias("priority"), k.alias("k"), x["m"].alias("m"), x["p"].alias("p")))
-
-    return F.flatten(F.transform(F.filter(F.array(*told), lambda r: F.exists(r["words"], lambda w: F.contains(text, w))), of))
-
-
-def license_spans(df: DataFrame, text: str, row: str, carried: list[Column]) -> DataFrame:
-    """Detections: row, rule (its number), label, priority, start, end (characters of the lower-cased text, end
-    exclusive), suppressed. Texts have to be lower-cased; row tells rows apart. Each row of df also gives one line
-    whose rule is null and which alone has the struct `carried`, so that no wide column is repeated."""
-    none = F.struct(*[F.lit(None).cast(t).alias(n) for n, t in (("rule", "int"), ("label", "string"), ("priority", "int"), ("k", "int"), ("m", "int"), ("p", "int"))])
-    each = df.select(row, F.struct(*carried).alias("carried"), F.posexplode(F.concat(F.array(none), _detections(F.col(text)))).alias("at", "x"))
-    each = each.select(row, F.when(F.col("at") == 0, F.col("carried")).alias("carried"), "x.*").repartition(F.col(row))
-    each = each.withColumn("end", F.sum(F.col("m") + F.col("p")).over(Window.partitionBy(row, "rule").orderBy("k")))
-    each = each.select(row, "carried", "rule", "label", "priority", (F.col("end") - F.col("m")).alias("start"), "end")
-    before = Window.partitionBy(row).orderBy("start", F.desc("end"), F.desc("priority"), "rule").rowsBetween(Window.unboundedPreceding, -1)
-    inside = F.lit(False)
-    for p in sorted(CONFIDENCE):
-        inside = inside | ((F.col("priority") == p) & (F.max(F.when(F.col("priority") >= p, F.col("end"))).over(before) >= F.col("end")))
-    return each.withColumn("suppressed", F.coalesce(inside, F.lit(False)))
+        def spans(found: Column) -> Column:
+            gaps = F.slice(F.split(text, r["pattern"], -1), F.lit(1), F.size(found))
+            each = F.arrays_zip(found.alias("m"), gaps.alias("g"))
+            ends = _running(F.transform(each, lambda x: (F.length(x["m"]) + F.length(x["g"])).cast("long")))
+
+            def one(x: Column) -> Column:
+                start, end = x["e"] - F.length(x["m"]), x["e"]
+                return F.struct(start.alias("start"), (-end).alias("less"), (-r["priority"]).alias("rank"), r["rule"].alias("rule"), r["label"].alias("label"), r["priority"].alias("priority"), end.alias("end"), F.right(x["g"], F.lit(96)).rlike(NEGATION).alias("negated"))
+
+            return F.transform(F.arrays_zip(found.alias("m"), gaps.alias("g"), ends.alias("e")), one)
+
+        return _let(F.regexp_extract_all(text, r["pattern"], F.lit(0)), spans)
+
+    return F.sort_array(F.flatten(F.transform(F.filter(F.array(*told), lambda r: F.exists(r["words"], lambda w: F.contains(text, w))), of)))
+
+
+def surviving(found: Column) -> Column:
+    """Distinct (label, priority) of the sorted detections that are neither negated nor inside another of their priority or a higher one that isn't."""
+    levels = sorted(CONFIDENCE)
+    start = F.struct(*[F.lit(-1).cast("long").alias(f"e{p}") for p in levels], F.array().cast("array<struct<label: string, priority: int>>").alias("live"))
+
+    def step(a: Column, x: Column) -> Column:
+        out = F.lit(False)
+        for p in levels:
+            out = out | ((x["priority"] == p) & (a[f"e{p}"] >= x["end"]))
+        seen = [F.when(~x["negated"] & (x["priority"] >= p), F.greatest(a[f"e{p}"], x["end"])).otherwise(a[f"e{p}"]).alias(f"e{p}") for p in levels]
+        live = F.array_union(a["live"], F.array(F.struct(x["label"].alias("label"), x["priority"].alias("priority"))))
+        return F.struct(*seen, F.when(out | x["negated"], a["live"]).otherwise(live).alias("live"))
+
+    return F.aggregate(found, start, step, lambda a: a["live"])
+
+
+def _judged(df: DataFrame, text: str, phrases: dict[str, str]) -> DataFrame:
+    """df with __low, __flat (with one space for each gap, null where no rule can match), __hit (whether a phrase may be there) and __found (detections)."""
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    longest = {max(p.split(), key=len) for p in phrases}
+    told = df.withColumn("__low", F.translate(t, _UPPER, _LOWER)).withColumn("__hit", F.exists(F.array("__low"), lambda x: _any(x, longest)) if longest else F.lit(False))
+    told = told.withColumn("__flat", F.when(F.exists(F.array("__low"), _may_match), F.regexp_replace("__low", _GAPS, " ")))
+    told = told.withColumn("__flat", _let(F.col("__flat"), lambda x: F.when(_can_match(x), x)))
+    none = F.array().cast("array<struct<start: bigint, less: bigint, rank: int, rule: int, label: string, priority: int, end: bigint, negated: boolean>>")
+    return told.withColumn("__found", F.when(F.col("__flat").isNotNull(), detections(F.col("__flat"))).otherwise(none))
+
+
+def license_spans(df: DataFrame, text: str = "text") -> DataFrame:
+    """A row a detection: the columns of df, and rule (its number), label, priority, start, end (characters of the lower-cased text with one
+    space for each gap, end exclusive), negated. Texts without one give none."""
+    own = _own([c for c in df.columns if c not in ("rule", "label", "priority", "start", "end", "negated")])
+    found = _judged(df, text, {}).select(*own, F.explode("__found").alias("__x"))
+    return found.select(*own, *[F.col(f"__x.{c}").alias(c) for c in ("rule", "label", "priority", "start", "end", "negated")])
 
 
 def license_scan(df: DataFrame, text: str = "text", phrases: dict[str, str] | None = None) -> DataFrame:
@@ -206,38 +341,36 @@ def license_scan(df: DataFrame, text: str = "text", phrases: dict[str, str] | No
 
     Words: runs of letters, digits and all beyond ASCII, A-Z lower-cased. A phrase counts wherever its words stand in
     a row. labels: those of phrases and of surviving detections. score: the highest confidence of a surviving
-    detection, 0.9 for a phrase, 0 for nothing. Null and empty texts: no words, no labels, score 0. Repeated rows
+    detection; 0.9 at least for a phrase of which no name is negated, 0.3 for one of which all detected names are; 0 for nothing.
+    Null and empty texts: no words, no labels, score 0. A very long text is scanned whole, in one task. Repeated rows
     are each scanned; an empty table gives an empty one. Columns of df with these names are replaced.
     """
     phrases = PHRASES if phrases is None else phrases
     made = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
-    own = [c for c in df.columns if c not in made]
-    told, gate = _candidates(df, text, phrases)
-    rest = told.filter(~gate).select(
-        *_own(own), F.col("__n").alias("n_words"), F.lit(0).cast("long").alias("n_base"), F.lit(None).cast("long").alias("first_word"), F.lit(None).cast("long").alias("last_word"),
-        F.lit("").alias("base_labels"), F.lit("").alias("labels"), F.lit(0.0).alias("score"),
-    )
-    some = told.filter(gate).withColumn("__row", F.monotonically_increasing_id())
-    some = some.withColumn("__norm", F.concat(F.lit(" "), F.trim(F.regexp_replace("__low", _SEPARATORS, " ")), F.lit(" ")))
-    counts, firsts, lasts, named = [], [], [], []
-    for phrase, label in phrases.items():
-        pieces = F.split("__norm", f" (?={re.escape(phrase)} )", -1)
-        n = F.size(pieces) - 1
-        counts.append(n)
-        firsts.append(F.when(n > 0, _spaces(pieces[0])))
-        lasts.append(F.when(n > 0, F.col("__n") - _spaces(F.element_at(pieces, -1))))
-        named.append(F.when(n > 0, F.lit(label)))
-    some = some.select(
-        *_own(own), "__row", "__flat", "__n", sum(counts, F.lit(0)).cast("long").alias("__count"), F.array_min(F.array_compact(F.array(*firsts))).cast("long").alias("__first"),
-        F.array_max(F.array_compact(F.array(*lasts))).cast("long").alias("__last"), F.array_sort(F.array_distinct(F.array_compact(F.array(*named)))).alias("__base"),
-    )
-    spans = license_spans(some, "__flat", "__row", [*_own(own), *map(F.col, ("__n", "__count", "__first", "__last", "__base"))])
-    live = ~F.col("suppressed")
-    trust = F.element_at(F.create_map(*[F.lit(x) for kv in CONFIDENCE.items() for x in kv]), F.col("priority"))
-    found = spans.groupBy("__row").agg(F.first("carried", ignorenulls=True).alias("c"), F.collect_set(F.when(live, F.col("label"))).alias("found"), F.max(F.when(live, trust)).alias("trust"))
-    scored = found.select(
-        *[F.col(f"c.`{c}`").alias(c) for c in own], F.col("c.__n").alias("n_words"), F.col("c.__count").alias("n_base"), F.col("c.__first").alias("first_word"), F.col("c.__last").alias("last_word"),
-        F.array_join("c.__base", ",").alias("base_labels"), F.array_join(F.array_sort(F.array_union("c.__base", "found")), ",").alias("labels"),
-        F.greatest(F.coalesce("trust", F.lit(0.0)), F.when(F.size("c.__base") > 0, 0.9).otherwise(0.0)).alias("score"),
+    own = _own([c for c in df.columns if c not in made])
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    told = _judged(df, text, phrases).withColumn("__n", _word_count(t))
+    told = told.withColumn("__norm", F.when(F.col("__hit"), F.concat(F.lit(" "), F.trim(F.regexp_replace("__low", _SEPARATORS, " ")), F.lit(" "))))
+
+    def places_of(phrase: str, label: str) -> Column:
+        def at(pieces: Column) -> Column:
+            n = F.size(pieces) - 1
+            last = F.col("__n") - _spaces(F.element_at(pieces, -1))
+            return F.when(n > 0, F.struct(n.cast("long").alias("n"), _spaces(pieces[0]).cast("long").alias("first"), last.cast("long").alias("last"), F.lit(label).alias("label")))
+
+        return _let(F.split("__norm", f" (?={re.escape(phrase)} )", -1), at)
+
+    places = [places_of(phrase, label) for phrase, label in phrases.items()]
+    none = F.array().cast("array<struct<n: bigint, first: bigint, last: bigint, label: string>>")
+    told = told.withColumn("__base", F.when(F.col("__hit"), F.array_compact(F.array(*places))).otherwise(none) if places else none)
+    told = told.withColumn("__live", surviving(F.col("__found")))
+    names = F.array_distinct(F.transform("__base", lambda x: x["label"]))
+    trust = F.element_at(F.create_map(*[F.lit(x) for kv in CONFIDENCE.items() for x in kv]), F.array_max(F.transform("__live", lambda x: x["priority"])))
+    said_no = F.transform(F.filter("__found", lambda x: x["negated"]), lambda x: F.substring_index(x["label"], "-", 1))
+    sure = F.exists(names, lambda x: ~F.array_contains(said_no, x) | F.exists("__live", lambda y: F.substring_index(y["label"], "-", 1) == x))
+    base = F.when(F.size(names) == 0, 0.0).when(sure, 0.9).otherwise(0.3)
+    return told.select(
+        *own, F.col("__n").alias("n_words"), F.aggregate("__base", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("n_base"), F.array_min(F.transform("__base", lambda x: x["first"])).alias("first_word"),
+        F.array_max(F.transform("__base", lambda x: x["last"])).alias("last_word"), F.array_join(F.array_sort(names), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union(names, F.transform("__live", lambda x: x["label"]))), ",").alias("labels"), F.greatest(F.coalesce(trust, F.lit(0.0)), base).alias("score"),
     )
-    return rest.unionByName(scored)

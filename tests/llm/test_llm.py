@@ -85,7 +85,7 @@ def test_token_counts_are_the_library_s(spark, data):
 # 8
 
 def test_license_words(spark, data):
-    more = ["MIT License mit license, the Apache-License! General public LICENSE", "SPDX-License-Identifier: MIT\nlicensed under the terms of the GNU General Public License version 3", "Licensed under the BSD 3-Clause License."]
+    more = [" .,\x00a" + "-" * 5 + "b" + " " * 90 + "c\x7f\u00a0 d\u2003é9", "!" * 50, "MIT License mit license, the Apache-License! General public LICENSE", "SPDX-License-Identifier: MIT\nlicensed under the terms of the GNU General Public License version 3", "Licensed under the BSD 3-Clause License."]
     out = license_scan.license_scan(texts(spark, more)).collect()
     assert len(out) == len(ODD) + len(more) + 4
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -97,8 +97,8 @@ def test_license_words(spark, data):
         assert (r["first_word"], r["last_word"]) == ((min(hits)[0], max(hits)[0]) if hits else (None, None))
         assert set(base) <= set(filter(None, r["labels"].split(","))) and 0 <= r["score"] <= 1
     said = {r["text"]: r["labels"].split(",") for r in out}
-    assert "gpl-3.0" in said[more[1]] and "mit" in said[more[1]]
-    assert said[more[2]] == ["bsd-3-clause"]  # the plain BSD rule is inside and suppressed
+    assert "gpl-3.0" in said[more[3]] and "mit" in said[more[3]]
+    assert said[more[4]] == ["bsd-3-clause"]  # the plain BSD rule is inside and suppressed
     assert len(license_scan.rules()) > 200
     for rule in license_scan.rules():
         re.compile(rule.pattern)
@@ -124,6 +124,47 @@ def test_license_gate_and_gaps(spark):
             assert not re.search(rule.pattern, text) or any(w in text for w in rule.keyword.split("|"))
 
 
+def plain_license(flat):
+    """(labels, highest confidence) by all rules on a lower-cased text of single spaces."""
+    found = []
+    for k, r in enumerate(license_scan.rules()):
+        if any(w in flat for w in r.keyword.split("|")):
+            before = 0
+            for m in re.finditer(r.pattern, flat):
+                said_no = re.search(license_scan.NEGATION, flat[max(before, m.start() - 96) : m.start()])
+                found.append((m.start(), -m.end(), -r.priority, k, r.label, bool(said_no)))
+                before = m.end()
+    found.sort()
+    live = [x for i, x in enumerate(found) if not x[5] and not any(not y[5] and y[1] <= x[1] and y[2] <= x[2] for y in found[:i])]
+    return {x[4] for x in live}, max((license_scan.CONFIDENCE[-x[2]] for x in live), default=0.0)
+
+
+def test_license_rules_against_a_plain_detector(spark):
+    rng = random.Random(9)
+    said = [
+        "permission is hereby granted, free of charge, to any person obtaining a copy of this software", "redistribution and use in source and binary forms, with or without modification, are permitted", "this is not under the mit license.",
+        "it isn't licensed under the gnu general public license, version 2", "not only the mit license", "spdx-license-identifier: mit or apache-2.0", "licensed under the apache license, version 2.0", "instead of the bsd license we took mit no attribution license",
+        "this program is free software: you can redistribute it and/or modify it under the terms of the gnu general public license as published, either version 3 of the license", "https://opensource.org/licenses/mit", "all rights reserved", "no part of this book may be reproduced",
+        "everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed", "license: isc", "the mozilla public license 2.0", "released into the public domain", "mit mit license mit license", "words of prose about a permit",
+    ]
+    rows = [(i, t) for i, t in enumerate(said)] + [(100 + i, " ".join(rng.choices(said, k=rng.randint(2, 6)))) for i in range(60)] + [(200, "mit license " * 700)]
+    out = {r["text"]: (set(filter(None, r["labels"].split(","))), r["score"]) for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string"), phrases={}).collect()}
+    for _, t in rows:
+        assert out[t] == plain_license(t), t
+    assert out[said[0]] == ({"mit"}, 0.95) and out[said[1]] == ({"bsd"}, 0.95) and out[said[2]] == (set(), 0.0) and out[said[4]][0] == {"mit"}
+    base = {r["text"]: (r["base_labels"], r["score"]) for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert base[said[2]] == ("mit", 0.3) and base[said[16]] == ("mit", 0.9)
+    spans = license_scan.license_spans(spark.createDataFrame([(1, "x MIT  license y", "clash")], "doc_id long, text string, label string")).collect()
+    assert [(r["label"], r["start"], r["end"]) for r in spans if r["priority"] == 2] == [("mit", 2, 13)]
+    assert license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string").limit(0)).count() == 0
+
+
+def test_running_sums(spark):
+    df = spark.createDataFrame([([],), ([5],), ([i % 7 for i in range(128)],), ([i % 11 for i in range(1000)],)], "a array<bigint>")
+    for r in df.select("a", license_scan._running(F.col("a")).alias("s")).collect():
+        assert r["s"] == list(itertools.accumulate(r["a"]))
+
+
 # 9
 
 def test_url_filter_sql(spark, data, same_rows):

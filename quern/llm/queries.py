@@ -107,7 +107,7 @@ ruled AS (SELECT *, CASE
   WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/en/%' THEN 'com/en/'
   WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/de/%' THEN 'net/de/'
   WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/es/%' THEN 'org/es/' END AS rule FROM told)
-SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/7') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN bad_low > 0.5 THEN 'block' ELSE 'allow' END AS verdict,
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/7') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN bad_low > (SELECT 2 * m / (1 - m + 2 * m) FROM (SELECT (sum(k) + 1) / (sum(n) + 2) AS m FROM hosts)) THEN 'block' ELSE 'allow' END AS verdict,
   round(bad_rate, 6) AS bad_rate, round(bad_low, 6) AS bad_low FROM ruled LEFT JOIN rated USING (host)"""
 
 

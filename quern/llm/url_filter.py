@@ -3,7 +3,8 @@
 Reputation: the labelled pages of a host are bad or good. The rate of bad pages is shrunk by beta-binomial priors, the
 suffix towards the whole table, the registered domain towards its suffix, the host towards its domain. The strength of
 each level's prior is fitted by moments to how much the groups of that level differ from their parents. A page is
-blocked where the posterior's lower bound is over a threshold, so a few bad pages of a little known host do not do.
+blocked where the odds of the posterior's lower bound are over a multiple of the whole table's odds, so a few bad pages of a
+little known host do not do, and what is usual in the table is not blocked.
 """
 
 from __future__ import annotations
@@ -24,9 +25,10 @@ TWO_LABEL_SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.
 
 @dataclass(frozen=True)
 class Reputation:
-    """Blocked over `threshold` for the bound z deviations under the posterior mean; strengths stay within limits."""
+    """Blocked where the bound z deviations under the posterior mean has over `lift` times the odds of all labelled pages; strengths
+    stay within limits."""
 
-    threshold: float = 0.5
+    lift: float = 2.0
     z: float = 1.645
     weakest: float = 1.0
     strongest: float = 10_000.0
@@ -62,7 +64,8 @@ def _parents(host: Column) -> tuple[Column, Column]:
 
 
 def host_reputation(pages: DataFrame, labels: DataFrame, params: Reputation) -> DataFrame:
-    """host, bad_rate, bad_low of every host of pages (page, host); labels: page, bad (0 or 1, one row a page).
+    """host, bad_rate, bad_low, bad_limit (the bound from which it is blocked) of every host of pages (page, host); labels: page, bad (0
+    or 1, one row a page). Each level is written, so it is worked out once.
 
     The counts are summed before anything is grouped by host, so a host with a third of all pages is one row here.
     """
@@ -87,11 +90,13 @@ def host_reputation(pages: DataFrame, labels: DataFrame, params: Reputation) ->
         return g.select(*[c for c in groups.columns if c not in ("n", "k")], ((F.col("s") * F.col("prior") + F.col("k")) / (F.col("s") + F.col("n"))).alias("rate"), (F.col("s") + F.col("n")).alias("size"))
 
     sums = F.sum("n").alias("n"), F.sum("k").alias("k")
-    suffixes = level(hosts.groupBy("suffix").agg(*sums), total, None, [])
-    domains = level(hosts.groupBy("domain", "suffix").agg(*sums), None, suffixes, ["suffix"])
+    all_domains = written(hosts.groupBy("domain", "suffix").agg(*sums))
+    suffixes = written(level(written(all_domains.groupBy("suffix").agg(*sums)), total, None, []))
+    domains = written(level(all_domains, None, suffixes, ["suffix"]))
     posterior = level(hosts, None, domains, ["domain", "suffix"])
     low = F.col("rate") - params.z * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("size") + 1))
-    return posterior.select("host", F.col("rate").alias("bad_rate"), F.greatest(low, F.lit(0.0)).alias("bad_low"))
+    limit = (params.lift * total / (1 - total + params.lift * total)).alias("bad_limit")
+    return written(posterior.select("host", F.col("rate").alias("bad_rate"), F.greatest(low, F.lit(0.0)).alias("bad_low"), limit))
 
 
 def url_filter(pages: DataFrame, labels: DataFrame, url: str = "url", page: str = "page_id", rules: tuple[tuple[str, str], ...] = RULES, params: Reputation | None = None) -> DataFrame:
@@ -112,5 +117,5 @@ def url_filter(pages: DataFrame, labels: DataFrame, url: str = "url", page: str
     rated = host_reputation(told.select(F.col(f"`{page}`").alias("page"), "host").distinct(), outcomes, params)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     judged = told.withColumn("rule", rule).withColumn("__said", verdict).join(rated, "host", "left")
-    by_rate = F.when(F.col("bad_low") > params.threshold, "block").otherwise("allow")
+    by_rate = F.when(F.col("bad_low") > F.col("bad_limit"), "block").otherwise("allow")
     return judged.select(*own, "host", "path", "rule", F.coalesce("__said", by_rate).alias("verdict"), F.round("bad_rate", 6).alias("bad_rate"), F.round("bad_low", 6).alias("bad_low"))

@@ -180,10 +180,27 @@ def test_url_filter_odd(spark):
         (1, "a.example.com", "/en/7", "example.com/en/7", "allow"), (2, "com", "/en/1", "com/en/", "block"), (4, "", "", None, "allow"), (5, "a.net", "/de/8", "net/de/", "block"),
         (6, "example.net", "/de/80", "example.net/de/8", "block"), (7, "h.org", "", None, "allow"), (7, "h.org", "", None, "allow"),
     ]
-    bad = spark.createDataFrame([(i, f"x://bad.org/{i}") for i in range(60)], "page_id long, url string")
+    assert url_filter.url_filter(pages.limit(0), labels.limit(0)).count() == 0 and url_filter.url_filter(pages, labels.limit(0)).count() == len(rows)
+    long = spark.createDataFrame([(1, "x://h.org/" + "a/" * 200_000)], "page_id long, url string")
+    assert len(url_filter.url_filter(long, labels).first()["path"]) == 400_001
+
+
+def test_each_level_of_a_reputation_changes_a_verdict(spark):
+    """Bad pages out of 20 by host. new hosts have no labels and take what their domain or suffix gives."""
+    bad = {f"h{i}.fine{j}.net": 1 for i in range(4) for j in range(30)}
+    bad |= {f"h{i}.poor.net": 19 for i in range(6)} | {"good.poor.net": 0, "bad.fine1.net": 20}
+    bad |= {f"h{i}.d{j}.evil": 18 for i in range(3) for j in range(6)}
+    rows = [(f"x://{h}/{i}", i < n) for h, n in bad.items() for i in range(20)]
+    new = ["new.poor.net", "new.fine1.net", "new.unheard.evil", "new.unheard.net", "new.unheard.zz"]
+    pages = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(rows)] + [(100_000 + k, f"x://{h}/") for k, h in enumerate(new)], "page_id long, url string")
+    labels = spark.createDataFrame([(k, int(not b), 0) for k, (_, b) in enumerate(rows)], "doc_id long, quality int, toxic int")
+    said = {r["host"]: r["verdict"] for r in url_filter.url_filter(pages, labels).collect()}
+    assert said["bad.fine1.net"] == "block" and said["h1.fine1.net"] == "allow" and said["good.poor.net"] == "allow" and said["h1.poor.net"] == "block"  # the host
+    assert said["new.poor.net"] == "block" and said["new.fine1.net"] == "allow"  # its domain
+    assert said["new.unheard.evil"] == "block" and said["new.unheard.net"] == "allow" and said["new.unheard.zz"] == "allow"  # its suffix
+    usual = spark.createDataFrame([(i, f"x://bad.org/{i}") for i in range(60)], "page_id long, url string")
     marks = spark.createDataFrame([(i, 0, 0) for i in range(60)], "doc_id long, quality int, toxic int")
-    assert {r["verdict"] for r in url_filter.url_filter(bad, marks).collect()} == {"block"}
-    assert url_filter.url_filter(bad.limit(0), marks.limit(0)).count() == 0
+    assert {r["verdict"] for r in url_filter.url_filter(usual, marks).collect()} == {"allow"}  # nothing is worse than all
 
 
 # 6

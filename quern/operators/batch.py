@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators.ranks import number_order, with_place
+
 
 def merged(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Columns of both for the same rows. Columns that both have have to be equal: a row in which they are not raises an error."""
@@ -25,8 +27,11 @@ def repeated(df: DataFrame, n: int, name: str = "copy") -> DataFrame:
 
 
 def chunks(df: DataFrame, order: str, n: int, name: str = "chunk") -> DataFrame:
-    """n chunks of consecutive rows, as even as can be, numbered from 0."""
-    return df.withColumn(name, F.ntile(n).over(Window.orderBy(order)) - 1)
+    """n chunks of consecutive rows in the order of a unique number, as even as can be, numbered from 0; the first ones take what is over."""
+    size, over = divmod(df.count(), n)
+    place = F.col("__place")
+    chunk = F.when(place < over * (size + 1), F.floor(place / (size + 1))).otherwise(over + F.floor((place - over * (size + 1)) / max(size, 1)))
+    return with_place(df, [], number_order(df, order)).withColumn(name, chunk.cast("int")).drop("__place")
 
 
 def folded(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
@@ -68,3 +73,32 @@ def flops(df: DataFrame, length: str, layers: int, hidden: int, parameters: int)
     """Floating-point operations of a training step: 6 per parameter and token, and attention's share in the squared lengths."""
     s = F.col(length).cast("double")
     return df.agg((6 * F.lit(float(parameters)) * F.sum(s) + 12 * layers * hidden * F.sum(s * s)).alias("flops"))
+
+
+def masked_concat(prompt: Column, prompt_masked: Column, response: Column, info: Column | None, pad: int, left: bool = True) -> Column:
+    """(ids, ids with the information masked) of prompt, response and information behind each other: information is pads in the
+    second, so that a loss leaves it out. Both are put in the order that brings the pads of the first to the left (or right) and keeps
+    the others as they stand."""
+    more = info if info is not None else F.array().cast("array<int>")
+    ids = F.concat(prompt, response, more)
+    masked = F.concat(prompt_masked, response, F.transform(more, lambda _: F.lit(pad)))
+    both = F.arrays_zip(ids.alias("a"), masked.alias("b"))
+    pads, others = F.filter(both, lambda x: x["a"] == pad), F.filter(both, lambda x: x["a"] != pad)
+    out = F.concat(pads, others) if left else F.concat(others, pads)
+    return F.struct(F.transform(out, lambda x: x["a"]).alias("ids"), F.transform(out, lambda x: x["b"]).alias("masked"))
+
+
+def cut_to_effective(df: DataFrame, ids: str, mask: str, left: bool = True) -> DataFrame:
+    """Arrays cut to the longest row's number of ones in mask: the last so many (or, unless left, the first)."""
+    most = df.select(F.aggregate(mask, F.lit(0).cast("long"), lambda s, x: s + x).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    cut = (lambda c: F.slice(c, F.greatest(F.size(c) - most, F.lit(0)) + 1, F.lit(most))) if left else (lambda c: F.slice(c, 1, most))
+    return df.withColumns({ids: cut(F.col(ids)), mask: cut(F.col(mask))})
+
+
+def timing_per_token(lengths: DataFrame, prompt: str, response: str, seconds: dict[str, float]) -> DataFrame:
+    """section, timing_s and ms a token: generation over response tokens, all other sections over all tokens."""
+    sums = lengths.agg(F.sum(prompt).alias("p"), F.sum(response).alias("r"))
+    told = F.array(*[F.struct(F.lit(k).alias("section"), F.lit(float(v)).alias("timing_s")) for k, v in seconds.items()])
+    each = sums.select("p", "r", F.inline(told))
+    tokens = F.when(F.col("section") == "gen", F.col("r")).otherwise(F.col("p") + F.col("r"))
+    return each.select("section", "timing_s", F.try_divide(F.col("timing_s") * 1000, tokens).alias("ms_per_token"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators.ranks import md5_order, number_order, with_place
+
 
 def bucket(key: Column, seed: int = 42, of: int = 100) -> Column:
     """A bucket in [0, of) from md5 of key and seed: the same on every engine."""
@@ -23,42 +25,39 @@ def hash_split(df: DataFrame, entity: str, shares: dict[str, int]) -> DataFrame:
     return df.withColumn("split", out)
 
 
-def _order(key: str) -> list[Column]:
-    return [F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit("42"))), F.col(key)]
-
-
 def stratified_split(df: DataFrame, label: str, key: str, shares: list[tuple[str, float]]) -> DataFrame:
     """Each label's rows in hash order, cut at the shares of its count."""
-    w = Window.partitionBy(label)
-    place, n = F.row_number().over(w.orderBy(*_order(key))), F.count("*").over(w)
+    sizes = df.groupBy(F.col(label).alias("__l")).agg(F.count("*").alias("__n"))  # a row a label
+    told = with_place(df, [label], md5_order(key))
+    told = told.join(sizes, F.col(f"`{label}`").eqNullSafe(F.col("__l")))
     out = F.lit(shares[-1][0])
     for i in range(len(shares) - 2, -1, -1):
-        out = F.when(place <= F.floor(n * sum(s for _, s in shares[: i + 1]) + 1e-9), shares[i][0]).otherwise(out)
-    return df.withColumn("split", out)
+        out = F.when(F.col("__place") < F.floor(F.col("__n") * sum(s for _, s in shares[: i + 1]) + 1e-9), shares[i][0]).otherwise(out)
+    return told.withColumn("split", out).drop("__place", "__l", "__n")
 
 
 def undersample(df: DataFrame, label: str, key: str) -> DataFrame:
     """Every label cut to the size of the smallest."""
-    least = df.groupBy(label).count().agg(F.min("count")).scalar()
-    return df.withColumn("__p", F.row_number().over(Window.partitionBy(label).orderBy(*_order(key)))).filter(F.col("__p") <= least).drop("__p")
+    return cap_per_source(df, label, key, df.groupBy(label).count().agg(F.coalesce(F.min("count"), F.lit(0))).first()[0])
 
 
 def cap_per_source(df: DataFrame, source: str, key: str, cap: int) -> DataFrame:
-    return df.withColumn("__p", F.row_number().over(Window.partitionBy(source).orderBy(*_order(key)))).filter(F.col("__p") <= cap).drop("__p")
+    """The first `cap` rows of each source in hash order."""
+    return with_place(df, [source], md5_order(key)).filter(F.col("__place") < cap).drop("__place")
 
 
 def uniform_sample(df: DataFrame, key: str, n: int) -> DataFrame:
-    return df.orderBy(*_order(key)).limit(n)
+    """The first n rows in hash order."""
+    bucket, order = md5_order(key)
+    return df.orderBy(*order).limit(n) if n <= 10_000 else with_place(df, [], (bucket, order)).filter(F.col("__place") < n).drop("__place")
 
 
 def positional_split(df: DataFrame, key: str, cuts: tuple[float, float] = (0.8, 0.9)) -> DataFrame:
-    """train, validation and test by position in the order of a unique key: the two rows at the cuts are found first, as
-    exact quantiles, and the others compared with them, so no task has to number all rows."""
+    """train, validation and test by position in the order of a unique number."""
     n = df.count()
     at = [int(n * c) for c in cuts]
-    low = [df.orderBy(key).offset(max(k - 1, 0)).limit(1).select(key).scalar() for k in at]
-    split = F.when(F.lit(at[0] > 0) & (F.col(key) <= low[0]), "train").when(F.lit(at[1] > 0) & (F.col(key) <= low[1]), "validation")
-    return df.withColumn("split", split.otherwise("test"))
+    told = with_place(df, [], number_order(df, key))
+    return told.withColumn("split", F.when(F.col("__place") < at[0], "train").when(F.col("__place") < at[1], "validation").otherwise("test")).drop("__place")
 
 
 def drop_half(df: DataFrame, key: str, right: Column) -> DataFrame:
@@ -115,13 +114,24 @@ def balanced_partition(df: DataFrame, batch: str, key: str, length: str, k: int,
     return df.select(batch, key, length).groupBy(batch).applyInPandas(split, f"{batch} {kinds[batch]}, {key} {kinds[key]}, part long")
 
 
-def micro_batches(df: DataFrame, batch: str, length: str, most: int) -> DataFrame:
-    """How many micro-batches of at most `most` tokens a batch needs."""
-    return df.groupBy(batch).agg(F.ceil(F.sum(length) / most).alias("micro_batches"))
+def micro_batches(df: DataFrame, batch: str, key: str, length: str, most: int) -> DataFrame:
+    """batch, key, part, parts: each batch cut into as few micro-batches as hold `most` tokens on average, balanced by largest
+    differencing. A batch is what one step trains on, so it fits a task."""
+
+    def split(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key, ignore_index=True)
+        n = min(max(1, -(-int(pdf[length].sum()) // most)), len(pdf))
+        part = pd.Series(0, index=pdf.index)
+        for p, at in enumerate(karmarkar_karp(pdf[length].tolist(), n)):
+            part[at] = p
+        return pdf[[batch, key]].assign(part=part, parts=n)
+
+    kinds = dict(df.dtypes)
+    return df.select(batch, key, length).groupBy(batch).applyInPandas(split, f"{batch} {kinds[batch]}, {key} {kinds[key]}, part long, parts long")
 
 
 def model_batches(df: DataFrame, key: str, size: int) -> DataFrame:
     """Full batches of `size` rows in hash order; what is left over goes."""
-    place = F.row_number().over(Window.orderBy(*_order(key))) - 1
-    told = df.withColumn("batch", F.floor(place / size)).withColumn("__n", F.count("*").over(Window.partitionBy("batch")))
-    return told.filter(F.col("__n") == size).drop("__n")
+    full = df.count() // size
+    told = with_place(df, [], md5_order(key)).withColumn("batch", F.floor(F.col("__place") / size))
+    return told.filter(F.col("batch") < full).drop("__place")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.ranks import before, number_order
+
 
 def confusion(df: DataFrame, truth: str, guess: str) -> DataFrame:
     """tp, fp, fn, tn, accuracy, precision, recall, f1; 0 where a ratio has no denominator."""
@@ -22,17 +24,17 @@ def _by_threshold(df: DataFrame, truth: str, score: str) -> DataFrame:
 
 def auroc(df: DataFrame, truth: str, score: str) -> DataFrame:
     """Area under the receiver curve by mid-ranks; 0 where a class is missing."""
-    below = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    won = F.col("p") * (F.coalesce(F.sum("n").over(below), F.lit(0)) + F.col("n") / 2)
-    steps = _by_threshold(df, truth, score).withColumn("won", won)
+    steps = _by_threshold(df, truth, score)
+    steps = before(steps, [], number_order(steps, "s"), below=F.col("n")).withColumn("won", F.col("p") * (F.col("below") + F.col("n") / 2))
     return steps.agg(F.coalesce(F.try_divide(F.sum("won"), F.sum("p") * F.sum("n").cast("double")), F.lit(0.0)).alias("auroc"))
 
 
 def average_precision(df: DataFrame, truth: str, score: str) -> DataFrame:
     """Sum over distinct thresholds of the step in recall times precision; 0 where a class is missing."""
-    down = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    p, n = F.sum("p").over(down), F.sum("n").over(down)
-    steps = _by_threshold(df, truth, score).withColumn("ap", F.col("p") * p / (p + n))
+    steps = _by_threshold(df, truth, score)
+    steps = before(steps, [], number_order(steps, "s", ascending=False), ps=F.col("p"), ns=F.col("n"))
+    p, n = F.col("ps") + F.col("p"), F.col("ns") + F.col("n")
+    steps = steps.withColumn("ap", F.col("p") * p / (p + n))
     return steps.agg(F.when(F.sum("n") > 0, F.coalesce(F.try_divide(F.sum("ap"), F.sum("p")), F.lit(0.0))).otherwise(0.0).alias("auprc"))
 
 

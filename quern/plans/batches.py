@@ -135,9 +135,9 @@ def karmarkar_karp(spark, d):
     return sm.balanced_partition(t(spark, d, "documents"), "source", "doc_id", "n_chars", 4)
 
 
-@query("SELECT source, ceil(sum(n_chars) / 8192)::BIGINT AS micro_batches FROM documents GROUP BY 1")
+@query("SELECT source, greatest(ceil(sum(n_chars) / 8192), 1)::BIGINT AS parts, count(*) AS rows FROM documents GROUP BY 1")
 def micro_batches(spark, d):
-    return sm.micro_batches(t(spark, d, "documents"), "source", "n_chars", 8192)
+    return sm.micro_batches(t(spark, d, "documents"), "source", "doc_id", "n_chars", 8192).groupBy("source").agg(F.max("parts").alias("parts"), F.count("*").alias("rows"))
 
 
 @query("SELECT doc_id, b::BIGINT AS batch FROM (SELECT doc_id, (r - 1) // 64 AS b, n FROM (SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id::VARCHAR || '|42'), doc_id) AS r, count(*) OVER () AS n FROM documents)) WHERE (b + 1) * 64 <= n")

@@ -16,11 +16,16 @@ _OPS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, as
 
 
 def boxed(text: str | None) -> str | None:
-    """What stands in the last \\boxed{...}, braces balanced."""
-    at = (text or "").rfind("\\boxed{")
+    """What stands in the last \\boxed{...}, or \\fbox{...} where there is none, braces balanced. '\\boxed x', with a space, holds what
+    stands up to the next dollar sign and goes before the others."""
+    text = text or ""
+    if "\\boxed " in text:
+        return text.rsplit("\\boxed ", 1)[1].split("$")[0]
+    at = max(text.rfind("\\boxed{"), -1)
+    at = at if at >= 0 else text.rfind("\\fbox{")
     if at < 0:
         return None
-    depth, start = 0, at + len("\\boxed{")
+    depth, start = 0, text.index("{", at) + 1
     for i in range(start - 1, len(text)):
         depth += (text[i] == "{") - (text[i] == "}")
         if depth == 0:
@@ -35,6 +40,7 @@ def canonical(answer: str | None) -> str | None:
     s = re.sub(r"\\(?:left|right|!|,|;|%|\$)|\s|\$|%", "", answer)
     s = re.sub(r"\\text\{.*?\}", "", s).replace("\\dfrac", "\\frac").replace("\\tfrac", "\\frac").replace("^\\circ", "")
     s = re.sub(r"\\frac(\w)(\w)", r"\\frac{\1}{\2}", s)
+    s = re.sub(r"\\sqrt(\w)", r"\\sqrt{\1}", s)
     s = re.sub(r"^(-?\d+)/(\d+)$", r"\\frac{\1}{\2}", s)
     s = re.sub(r"^\w+=", "", s)
     return "0" + s if s.startswith(".") else s.rstrip(".")

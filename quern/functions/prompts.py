@@ -64,3 +64,8 @@ def titled(text: Column) -> Column:
 def kl_reward(score: Column, kl: Column, coefficient: float, last: Column) -> Column:
     """Token reward: the score on the last valid token, less the penalty on each."""
     return F.when(last, score).otherwise(0.0) - coefficient * kl
+
+
+def fits(prompt: Column, most: int) -> Column:
+    """Whether a chat prompt (array of (role, content)) has `most` words at most."""
+    return F.aggregate(prompt, F.lit(0), lambda n, m: n + F.size(F.filter(F.split(m["content"], r"\s+"), lambda w: w != ""))) <= most

@@ -51,9 +51,14 @@ def action(text: Column) -> Column:
 
 
 def query_of(text: Column) -> Column:
-    """Body of the first query tag: its JSON field `query` where it has one, else the body itself."""
+    """Body of the first query tag: the text of its JSON field `query`, or of the first in a list there, else the body itself.
+    Empty once the search is said to be complete."""
     body = F.trim(F.regexp_extract(text, r"(?s)<query>(.*?)</query>", 1))
-    return F.coalesce(F.when(body.startswith("{"), F.get_json_object(body, "$.query")), body)
+    field = F.try_variant_get(F.try_parse_json(body), "$.query", "variant")
+    first = F.try_variant_get(F.try_parse_json(body), "$.query[0]", "string")
+    kind = F.schema_of_variant(field)
+    asked = F.coalesce(F.when(kind == "STRING", F.try_variant_get(field, "$", "string")).when(F.startswith(kind, F.lit("ARRAY")), first), body)
+    return F.when(action(text) == "done", "").otherwise(asked)
 
 
 def important_ids(text: Column, most: int = 8) -> Column:
@@ -86,30 +91,46 @@ def question(text: Column) -> Column:
     return F.when(t.endswith("?"), t).otherwise(F.concat(t, F.lit("?")))
 
 
-# Phrases by which a free text states an outcome.
-NEGATED = ("unlikely to die", "unlikely to survive")
-DEATH = ("will die", "likely to die", "high mortality risk", "not survive")
-SURVIVAL = ("will survive", "likely to survive", "low mortality risk", "not die")
+# Patterns by which a text states an outcome.
+POSITIVE = (r"\byes\b", r"\b1\b", "will die", "likely to die", "high mortality risk", "high risk of mortality", "poor prognosis", "unlikely to survive", "fatal outcome", "expected to die")
+NEGATIVE = (r"\bno\b", r"\b0\b", "will not die", "unlikely to die", "low mortality risk", "low risk of mortality", "good prognosis", "likely to survive", "expected to survive", "will survive")
+SURVIVAL_FIRST = ("unlikely to die", "not expected to die")
+LOOP_START = "Now, start the loop with the following question"
+
+
+def closing(text: Column, lines: int = 10) -> Column:
+    """What a text ends with: what follows the first search_complete tag, else its last lines; of a prompt's text only what follows the start of its loop."""
+    body = F.when(F.contains(text, F.lit(LOOP_START)), F.split_part(text, F.lit(LOOP_START), F.lit(2))).otherwise(text)
+    tagged = r"(?s)<search_complete>.*?</search_complete>(.*)"
+    return F.when(F.regexp_like(body, F.lit(tagged)), F.regexp_extract(body, tagged, 1)).otherwise(F.substring_index(body, "\n", -lines))
 
 
 def outcome(text: Column, legacy: bool = False) -> Column:
-    """1 (death), 0 (survival) or -1 (unclear). Negated phrases are tested first, so 'unlikely to die' is survival;
-    legacy tests deaths first, in which it is death."""
-    t = F.lower(text)
-    has = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(t, w))
-    plain = F.when(has(DEATH), 1).when(has(SURVIVAL), 0).otherwise(-1)
-    return plain if legacy else F.when(F.contains(t, F.lit(NEGATED[0])), 0).when(F.contains(t, F.lit(NEGATED[1])), 1).otherwise(plain)
+    """1 (death), 0 (survival) or -1 (unclear) of a text's closing words. Statements of death are tested before those of survival,
+    after negations of death; legacy leaves out these, so that 'unlikely to die' is death."""
+    t = F.lower(closing(text))
+    says = lambda patterns: F.regexp_like(t, F.lit("|".join(patterns)))
+    plain = F.when(says(POSITIVE), 1).when(says(NEGATIVE), 0).otherwise(-1)
+    return plain if legacy else F.when(says(SURVIVAL_FIRST), 0).otherwise(plain)
 
 
 def binary_reward(guess: Column, truth: Column, right: float = 1.0, wrong: float = -0.5) -> Column:
     return F.when(guess == truth, right).otherwise(wrong)
 
 
+# Words that state a death.
+DEATH_WORDS = ("WILL DIE", "LIKELY TO DIE", "MORTALITY LIKELY", "POOR PROGNOSIS", "FATAL")
+
+
 def risk(text: Column) -> Column:
-    """(label, confidence) of a HIGH/LOW statement; 0.5 where neither is said."""
+    """(label, confidence) of a statement of HIGH or LOW risk: 0.9 or 0.1; without one the label is 1 if a death is stated, at 0.5; an
+    empty text is 0 at 0."""
     u = F.upper(text)
-    high, low = F.contains(u, F.lit("HIGH")), F.contains(u, F.lit("LOW"))
-    return F.struct(F.when(high & ~low, 1).when(low & ~high, 0).otherwise(-1).alias("label"), F.when(high & ~low, 0.9).when(low & ~high, 0.1).otherwise(0.5).alias("confidence"))
+    said = lambda word: F.contains(u, F.lit(f"{word} RISK")) | F.contains(u, F.lit(f"{word}-RISK")) | (F.trim(u) == word) | u.startswith(word)
+    death = F.exists(F.array(*map(F.lit, DEATH_WORDS)), lambda w: F.contains(u, w))
+    none = text.isNull() | (text == "")
+    label = F.when(none, 0).when(said("HIGH"), 1).when(said("LOW"), 0).when(death, 1).otherwise(0)
+    return F.struct(label.alias("label"), F.when(none, 0.0).when(said("HIGH"), 0.9).when(said("LOW"), 0.1).otherwise(0.5).alias("confidence"))
 
 
 def stated_confidence(text: Column, positive: Column) -> Column:
@@ -119,14 +140,36 @@ def stated_confidence(text: Column, positive: Column) -> Column:
     return F.coalesce(F.when(positive, c).otherwise(1 - c), F.lit(0.5))
 
 
-def logprob_confidence(content: Column) -> Column:
-    """Of an array of (token, logprob, top: array of (token, logprob)): the first HIGH or LOW token's share of HIGH among its
-    alternatives; without one, a step of the perplexity."""
+# Parts of words that stand for either risk among a first token's alternatives, and in a whole response.
+HIGH_PARTS, LOW_PARTS = ("HIGH", "DIED", "DEATH"), ("LOW", "SURVIV", "STABLE")
+HIGH_SIGNS, LOW_SIGNS = ("HIGH", "RISK", "DIED", "DEATH", "CRITICAL"), ("LOW", "STABLE", "SURVIV", "GOOD")
+
+
+def logprob_confidence(content: Column, response: Column) -> Column:
+    """Of an array of (token, logprob, top: array of (token, logprob)): the share of HIGH at the first HIGH or LOW token. If the response
+    has a 'Final Answer:', tokens count from two before it on. Without one, the share of parts of words for high risk among
+    the alternatives of the first token; without these, a step of the perplexity, turned round if the response speaks of low risk."""
     word = lambda x: F.upper(F.trim(x["token"]))
-    first = F.get(F.filter(content, lambda x: word(x).isin("HIGH", "LOW")), F.lit(0))
-    mass = lambda w: F.aggregate(F.filter(first["top"], lambda a: word(a) == w), F.lit(0.0), lambda s, a: s + F.exp(a["logprob"]))
+    add = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + F.exp(x["logprob"]))
+    any_of = lambda text, parts: F.regexp_like(text, F.lit("|".join(parts)))
+    told = F.lower(F.array_join(F.transform(content, lambda x: x["token"]), ""))
+    end = F.locate("final answer", told) + len("final answer") - 1
+    seen = F.aggregate(content, F.struct(F.lit(0).alias("n"), F.lit(0).alias("i")), lambda s, x: F.struct((s["n"] + F.length(x["token"])).alias("n"), (s["i"] + (s["n"] + F.length(x["token"]) < end).cast("int")).alias("i")), lambda s: s["i"])
+    start = F.when(F.contains(response, F.lit("Final Answer:")) & (F.locate("final answer", told) > 0), F.greatest(seen - 2, F.lit(0))).otherwise(0)
+    first = F.get(F.filter(F.slice(content, start + 1, F.greatest(F.size(content), F.lit(1))), lambda x: word(x).isin("HIGH", "LOW")), F.lit(0))
+
+    def mass(w: str) -> Column:
+        other = F.filter(first["top"], lambda a: word(a) == w)
+        own = F.when(word(first) == w, F.exp(first["logprob"])).otherwise(0.0)
+        return F.when(F.size(other) > 0, F.exp(F.element_at(other, -1)["logprob"])).otherwise(own)
+
+    top = F.get(content, F.lit(0))["top"]
+    high = add(F.filter(top, lambda a: any_of(word(a), HIGH_PARTS)))
+    low = add(F.filter(top, lambda a: any_of(word(a), LOW_PARTS) & ~any_of(word(a), HIGH_PARTS)))
     ppl = F.exp(-F.aggregate(content, F.lit(0.0), lambda s, x: s + x["logprob"]) / F.size(content))
-    return F.when(first.isNotNull(), F.try_divide(mass("HIGH"), mass("HIGH") + mass("LOW"))).otherwise(perplexity_step(ppl))
+    sure, u = perplexity_step(ppl), F.upper(response)
+    step = F.when(any_of(u, HIGH_SIGNS), sure).when(any_of(u, LOW_SIGNS), 1 - sure).otherwise(0.5)
+    return F.when(F.size(content) == 0, 0.5).when(first.isNotNull(), F.try_divide(mass("HIGH"), mass("HIGH") + mass("LOW"))).when(high + low > 0, high / (high + low)).otherwise(step)
 
 
 def perplexity_step(ppl: Column) -> Column:
@@ -184,3 +227,27 @@ def feature_phrases(text: Column, rules: list[tuple[str, str, float, str]]) -> C
         return F.exists(found, lambda v: (v > bound) if op == ">" else (v < bound))
 
     return F.array_compact(F.array(*[F.when(of(p, op, b), F.lit(name)) for p, op, b, name in rules]))
+
+
+def plain_titles(text: Column) -> Column:
+    """All titles 'Doc n(Title: t)' of <information> blocks, in order."""
+    return F.flatten(F.transform(tag_bodies(text, "information"), lambda s: F.regexp_extract_all(s, F.lit(r"Doc\s+\d+\(Title:\s*(.*?)\)"), F.lit(1))))
+
+
+def plain_texts(text: Column) -> Column:
+    """What follows each 'Doc n(Title: t)' of <information> blocks on its line, in order."""
+    return F.flatten(F.transform(tag_bodies(text, "information"), lambda s: F.regexp_extract_all(s, F.lit(r"Doc\s+\d+\(Title:\s*.*?\)\s*(.*)"), F.lit(1))))
+
+
+def utility_reward(context: Column, zero_shot: Column, generation: bool = True) -> Column:
+    """What reading adds: the score with context less the score without, and with `generation` the score itself once more."""
+    gain = context - F.coalesce(zero_shot, F.lit(0))
+    return gain + context if generation else gain
+
+
+def score_by_source(source: Column, scores: dict[str, Column], default: Column) -> Column:
+    """The score that belongs to a row's source."""
+    out = default
+    for name, score in scores.items():
+        out = F.when(source == name, score).otherwise(out)
+    return out

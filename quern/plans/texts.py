@@ -17,11 +17,11 @@ def norm(x: str) -> str:
 
 
 def pairs(spark, d):
-    b = t(spark, d, "conversations").select("conv_id", "turn", "role", F.left("text", F.lit(200)).alias("text"))
+    b = t(spark, d, "conversations").select("conv_id", "turn", "role", "text")
     return b.withColumn("gold", tx.first_words(F.col("text"), 3))
 
 
-C = "WITH c AS (SELECT conv_id, turn, role, left(text, 200) AS text, array_to_string(string_split(left(text, 200), ' ')[1:3], ' ') AS gold FROM conversations) "
+C = "WITH c AS (SELECT conv_id, turn, role, text, array_to_string(string_split(text, ' ')[1:3], ' ') AS gold FROM conversations) "
 
 
 @query(C + f"SELECT conv_id, turn, {norm('text')} AS n FROM c")
@@ -42,11 +42,15 @@ def answer_extract(spark, d):
     return pairs(spark, d).select("conv_id", "turn", tx.answer(text).alias("last"), tx.answer(text, 2).alias("second"))
 
 
-@query(C + "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'search' WHEN 1 THEN 'done' ELSE 'none' END AS action, CASE turn % 3 WHEN 2 THEN '' ELSE 'q' || conv_id END AS query FROM c")
+@query("""SELECT conv_id, turn, list_extract(['search', 'done', 'none', 'search', 'search'], (turn % 5 + 1)::INTEGER) AS action,
+CASE turn % 5 WHEN 0 THEN 'q' || conv_id WHEN 3 THEN 'a' || conv_id WHEN 4 THEN '{"query": 5}' ELSE '' END AS query FROM conversations""")
 def action_parse(spark, d):
-    q = F.concat(F.lit('<query>{"query": "q'), "conv_id", F.lit('"}</query>'))
-    raw = F.concat(F.lit("<query> q"), "conv_id", F.lit(" </query><search_complete> Yes </search_complete>"))
-    text = F.when(F.col("turn") % 3 == 0, q).when(F.col("turn") % 3 == 1, raw).otherwise(F.lit("nothing"))
+    n = F.col("conv_id").cast("string")
+    said = F.array(
+        F.concat(F.lit('<query>{"query": "q'), n, F.lit('"}</query><query>second</query>')), F.concat(F.lit("<query> q"), n, F.lit(" </query><search_complete> Yes </search_complete>")), F.lit("<query>open"),
+        F.concat(F.lit('<query>{"query": ["a'), n, F.lit('", "b"]}</query>')), F.lit('<query>{"query": 5}</query><search_complete>no</search_complete>'),
+    )
+    text = F.element_at(said, (F.col("turn") % 5 + 1).cast("int"))
     return pairs(spark, d).select("conv_id", "turn", tx.action(text).alias("action"), tx.query_of(text).alias("query"))
 
 
@@ -75,33 +79,50 @@ def question_canon(spark, d):
     return pairs(spark, d).select("conv_id", "turn", tx.question(F.concat(F.lit("  "), "gold")).alias("question"))
 
 
-_OUT = "list_extract(['The patient will die', 'LIKELY to survive', 'unlikely to die', 'unlikely to survive', 'unclear'], (doc_id % 5 + 1)::INTEGER)"
+#: A text, the outcome read from it with deaths first, and with negations of death before these.
+OUTCOMES = (
+    ("The patient will die", 1, 1), ("LIKELY to survive", 0, 0), ("unlikely to die", 1, 0), ("unlikely to survive", 1, 1), ("unclear", -1, -1), ("Yes.", 1, 1), ("the answer is 0", 0, 0), ("will die <search_complete>yes</search_complete> No", 0, 0),
+    ("he will not die", 0, 0), ("a poor prognosis", 1, 1), ("yes" + "\n." * 10 + "good prognosis", 0, 0), (f"will die. {tx.LOOP_START}: no", 0, 0), ("yesterday, 10 of 11", -1, -1), ("not expected to die", 1, 0),
+)
 
 
-@query(f"""WITH o AS (SELECT doc_id, quality, {_OUT} AS s FROM labels), p AS (SELECT *, CASE WHEN contains(lower(s), 'will die') OR contains(lower(s), 'likely to die') THEN 1 WHEN contains(lower(s), 'likely to survive') THEN 0 ELSE -1 END AS legacy,
-CASE WHEN contains(s, 'unlikely to die') THEN 0 WHEN contains(s, 'unlikely to survive') THEN 1 WHEN contains(s, 'will die') THEN 1 WHEN contains(lower(s), 'likely to survive') THEN 0 ELSE -1 END AS fixed FROM o)
+@query(f"""WITH p AS (SELECT doc_id, quality, list_extract({[x for _, x, _ in OUTCOMES]}, (doc_id % 14 + 1)::INTEGER)::INTEGER AS legacy, list_extract({[x for _, _, x in OUTCOMES]}, (doc_id % 14 + 1)::INTEGER)::INTEGER AS fixed FROM labels)
 SELECT doc_id, legacy, fixed, CASE WHEN fixed = quality THEN 1.0 ELSE -0.5 END::DOUBLE AS reward FROM p""")
 def outcome_parse(spark, d):
-    said = F.array(*map(F.lit, ("The patient will die", "LIKELY to survive", "unlikely to die", "unlikely to survive", "unclear")))
-    s = F.element_at(said, (F.col("doc_id") % 5 + 1).cast("int"))
+    s = F.element_at(F.array(*[F.lit(x) for x, _, _ in OUTCOMES]), (F.col("doc_id") % len(OUTCOMES) + 1).cast("int"))
     return t(spark, d, "labels").select("doc_id", tx.outcome(s, legacy=True).alias("legacy"), tx.outcome(s).alias("fixed"), tx.binary_reward(tx.outcome(s), F.col("quality")).alias("reward"))
 
 
-@query("""SELECT doc_id, list_extract([1, 0, -1], (doc_id % 3 + 1)::INTEGER)::INTEGER AS label, list_extract([0.9, 0.1, 0.5], (doc_id % 3 + 1)::INTEGER)::DOUBLE AS confidence,
-round(list_extract([0.6, 0.4, 0.5], (doc_id % 3 + 1)::INTEGER)::DOUBLE, 6) AS stated FROM labels""")
+#: A text, its label, its confidence, and the stated confidence of its label.
+RISKS = (
+    ("High risk. CONFIDENCE: Medium", 1, 0.9, 0.6), ("it is low. confidence: medium", 0, 0.5, 0.4), ("no idea", 0, 0.5, 0.5), (" low ", 0, 0.1, 0.5), ("it is likely to die; CONFIDENCE: high", 1, 0.5, 0.9), ("", 0, 0.0, 0.5),
+    ("highly unlikely, low risk", 1, 0.9, 0.5), ("a low-risk case. Confidence: low", 0, 0.1, 0.7), ("good prognosis", 0, 0.5, 0.5), ("PREDICTION: HIGH-RISK", 1, 0.9, 0.5),
+)
+
+
+@query("SELECT doc_id, " + ", ".join(f"list_extract({[r[k] for r in RISKS]}, (doc_id % 10 + 1)::INTEGER)::{kind} AS {name}" for k, kind, name in ((1, "INTEGER", "label"), (2, "DOUBLE", "confidence"), (3, "DOUBLE", "stated"))) + " FROM labels")
 def risk_parse(spark, d):
-    s = F.element_at(F.array(*map(F.lit, ("High risk. CONFIDENCE: Medium", "it is low. confidence: medium", "no idea"))), (F.col("doc_id") % 3 + 1).cast("int"))
+    s = F.element_at(F.array(*[F.lit(r[0]) for r in RISKS]), (F.col("doc_id") % len(RISKS) + 1).cast("int"))
     r = tx.risk(s)
     return r6(t(spark, d, "labels").select("doc_id", r["label"].alias("label"), r["confidence"].alias("confidence"), tx.stated_confidence(s, r["label"] == 1).alias("stated")), "stated")
 
 
-@query("""SELECT doc_id, round(CASE WHEN doc_id % 2 = 0 THEN exp(-(doc_id % 7)::DOUBLE / 10) / (exp(-(doc_id % 7)::DOUBLE / 10) + exp(-1.0)) ELSE CASE WHEN exp((doc_id % 7)::DOUBLE / 2) < 2 THEN 0.9 WHEN exp((doc_id % 7)::DOUBLE / 2) < 5 THEN 0.7 WHEN exp((doc_id % 7)::DOUBLE / 2) < 10 THEN 0.5 ELSE 0.3 END END, 6) AS confidence FROM labels""")
+@query("""WITH x AS (SELECT doc_id, exp(-(doc_id % 7)::DOUBLE / 10) AS h, exp((doc_id % 7)::DOUBLE / 2) AS ppl FROM labels)
+SELECT doc_id, round(CASE doc_id % 5 WHEN 0 THEN h / (h + exp(-1.0)) WHEN 1 THEN h / (h + exp(-1.0)) WHEN 2 THEN 0.0 WHEN 3 THEN h / (h + exp(-2.0)) ELSE 1 - CASE WHEN ppl < 2 THEN 0.9 WHEN ppl < 5 THEN 0.7 WHEN ppl < 10 THEN 0.5 ELSE 0.3 END END, 6) AS confidence FROM x""")
 def logprob_confidence(spark, d):
     m = (F.col("doc_id") % 7).cast("double")
-    top = F.array(F.struct(F.lit(" HIGH").alias("token"), (-m / 10).alias("logprob")), F.struct(F.lit("low").alias("token"), F.lit(-1.0).alias("logprob")))
-    even = F.array(F.struct(F.lit("High").alias("token"), (-m / 10).alias("logprob"), top.alias("top")))
-    odd = F.array(F.struct(F.lit("word").alias("token"), (-m / 2).alias("logprob"), top.alias("top")))
-    return r6(t(spark, d, "labels").select("doc_id", tx.logprob_confidence(F.when(F.col("doc_id") % 2 == 0, even).otherwise(odd)).alias("confidence")), "confidence")
+    other = lambda token, lp: F.struct(F.lit(token).alias("token"), (F.lit(lp) if isinstance(lp, float) else lp).alias("logprob"))
+    none = F.array().cast("array<struct<token:string,logprob:double>>")
+    said = lambda token, lp, *top: F.struct(F.lit(token).alias("token"), (F.lit(lp) if isinstance(lp, float) else lp).alias("logprob"), (F.array(*top) if top else none).alias("top"))
+    both = (other(" HIGH", -m / 10), other("low", -1.0))
+    cases = F.array(
+        F.array(said("High", -m / 10, *both), said("x", -9.0)), F.array(said("word", -m / 2, *both)),
+        F.array(said("HIGH", -3.0), said(" a", -1.0), said(" b", -1.0), said(" Final", -1.0), said(" Answer:", -1.0), said(" LOW", -m / 10)),
+        F.array(said("It", -1.0, other("Died", -m / 10), other("Surviv", -2.0), other("x", -0.1))), F.array(said("stable", -m / 2)),
+    )
+    content = F.element_at(cases, (F.col("doc_id") % 5 + 1).cast("int"))
+    response = F.array_join(F.transform(content, lambda x: x["token"]), "")
+    return r6(t(spark, d, "labels").select("doc_id", tx.logprob_confidence(content, response).alias("confidence")), "confidence")
 
 
 @query("SELECT doc_id, CASE WHEN s >= 0.9 THEN 3 WHEN s >= 0.7 THEN 2 WHEN s >= 0.5 THEN 1 ELSE 0 END AS score FROM (SELECT doc_id, (doc_id % 11) / 10.0::DOUBLE AS s FROM labels)")
@@ -148,6 +169,34 @@ def feature_phrases(spark, d):
 
 @query("SELECT doc_id, doc_id % 2 = 0 AS equal, doc_id % 3 = 0 AS right_sum FROM documents")
 def math_checks(spark, d):
-    a = F.when(F.col("doc_id") % 2 == 0, r"so \boxed{\dfrac{1}{2}}").otherwise(r"\boxed{3}")
+    a = F.when(F.col("doc_id") % 4 == 0, r"so \boxed{\dfrac{1}{2}}").when(F.col("doc_id") % 4 == 2, r"$\boxed 1/2$ it is").otherwise(r"\fbox{3}")
     e = F.when(F.col("doc_id") % 3 == 0, "(1+2)*4").otherwise("1+2+4")
     return t(spark, d, "documents").select("doc_id", ma.math_equal(a, F.lit("1/2")).alias("equal"), ma.countdown_equal(e, F.array(F.lit(1), F.lit(2), F.lit(4)), F.lit(12.0)).alias("right_sum"))
+
+
+@query(C + "SELECT conv_id, turn, role || ',' || 'B' AS titles, gold || '|' || 'two' AS texts FROM c WHERE NOT contains(gold, chr(10)) AND NOT regexp_matches(gold, '^[\\t-\\r ]') AND NOT regexp_matches(gold, '[\\r\\x85\\x{2028}\\x{2029}]')")
+def plain_extract(spark, d):
+    block = F.concat(F.lit("<information>Doc 1(Title: "), "role", F.lit(") "), "gold", F.lit("</information> between Doc 9(Title: no) no <information>Doc 2(Title: B)\ntwo</information>"))
+    told = pairs(spark, d).filter(~F.contains("gold", F.lit("\n")) & ~F.regexp_like("gold", F.lit(r"^[\t-\r ]")) & ~F.regexp_like("gold", F.lit(r"[\r\x85\u2028\u2029]")))
+    return told.select("conv_id", "turn", F.array_join(tx.plain_titles(block), ",").alias("titles"), F.array_join(tx.plain_texts(block), "|").alias("texts"))
+
+
+@query("SELECT d.doc_id, (CASE WHEN d.source IS NULL THEN 0 ELSE q.quality - coalesce(z.s, 0) + q.quality END)::INTEGER AS reward FROM labels q JOIN documents d USING (doc_id) LEFT JOIN (SELECT doc_id, min(toxic) AS s FROM labels WHERE doc_id % 3 = 0 GROUP BY 1) z ON z.doc_id = d.doc_id")
+def utility_reward(spark, d):
+    cache = t(spark, d, "labels").filter("doc_id % 3 = 0").groupBy("doc_id").agg(F.min("toxic").alias("zero_shot"))
+    told = t(spark, d, "labels").join(t(spark, d, "documents").select("doc_id", "source"), "doc_id").join(cache, "doc_id", "left")
+    reward = tx.utility_reward(F.col("quality"), F.col("zero_shot"))
+    return told.select("doc_id", F.when(F.col("source").isNull(), 0).otherwise(reward).cast("int").alias("reward"))
+
+
+@query("SELECT doc_id, (CASE WHEN lang = 'en' THEN n_chars WHEN lang = 'de' THEN -1 ELSE 0 END)::BIGINT AS score FROM documents")
+def score_by_source(spark, d):
+    score = tx.score_by_source(F.col("lang"), {"en": F.col("n_chars"), "de": F.lit(-1)}, F.lit(0))
+    return t(spark, d, "documents").select("doc_id", score.cast("long").alias("score"))
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) <= 40")
+def prompt_length_filter(spark, d):
+    from quern.functions import prompts as pr
+
+    return t(spark, d, "conversations").filter(pr.fits(pr.chat(F.col("text")), 40)).select("conv_id", "turn")

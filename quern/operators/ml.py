@@ -4,17 +4,23 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 STATS = ("mean", "std", "min", "max", "median", "availability")
 
 
-def feature_table(stats: DataFrame, entity: str, item: str, items: list[str]) -> DataFrame:
-    """A row an entity, a column for each item and statistic, 0 where an item has no series."""
+def feature_table(stats: DataFrame, entity: str, item: str, items: list[str], people: DataFrame | None = None, codes: DataFrame | None = None) -> DataFrame:
+    """A row an entity, a column for each item and statistic, null where an item has no series. people: more numbers by entity (age,
+    gender ...); codes: entity and code, of which distinct ones are counted as n_codes."""
     wide = stats.groupBy(entity).pivot(item, items).agg(*[F.first(s).alias(s) for s in STATS])
-    return wide.fillna(0.0)
+    if people is not None:
+        wide = wide.join(people, entity, "left")
+    if codes is not None:
+        wide = wide.join(codes.groupBy(entity).agg(F.count_distinct("code").cast("double").alias("n_codes")), entity, "left").fillna(0.0, ["n_codes"])
+    return wide
 
 
 def balanced(df: DataFrame, label: str) -> DataFrame:
@@ -25,8 +31,11 @@ def balanced(df: DataFrame, label: str) -> DataFrame:
 
 def fit(train: DataFrame, features: list[str], label: str, model: str = "forest", seed: int = 42) -> PipelineModel:
     """A random forest (100 trees, depth 10) or a logistic regression, both balanced."""
-    filled = [f"{f}__f" for f in features]
-    steps = [Imputer(inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True)]
+    filled, n = [f"{f}__f" for f in features], train.count()
+    population = Vectors.dense([(n / max(n - 1, 1)) ** 0.5] * len(features))  # the scaler divides by the sample's deviation
+    steps = [
+        Imputer(inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="raw", handleInvalid="keep"), StandardScaler(inputCol="raw", outputCol="scaled", withMean=True), ElementwiseProduct(scalingVec=population, inputCol="scaled", outputCol="features")
+    ]
     if model == "forest":
         steps.append(RandomForestClassifier(labelCol=label, weightCol="weight", numTrees=100, maxDepth=10, seed=seed))
     else:

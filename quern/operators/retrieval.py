@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import important_ids, tag_bodies
 
-#: Queries up to this many rows are sent to every executor; more go in blocks through a join on a block number.
-BROADCAST_QUERIES = 20_000
+#: Rows of a block of queries or of documents; a pair of blocks is one task's matrix product.
+BLOCK = 8192
 
 
 def unit(v: Column) -> Column:
@@ -31,15 +31,34 @@ def best(df: DataFrame, query: str, score: str, tie: str, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def dense_topk(corpus: DataFrame, queries: DataFrame, k: int, blocks: int = 64) -> DataFrame:
-    """query_id, rank, doc_id, score by inner product. corpus: doc_id, v; queries: query_id, v."""
-    q = queries.select("query_id", F.col("v").alias("q"))
-    if queries.count() <= BROADCAST_QUERIES:
-        paired = corpus.join(F.broadcast(q), F.lit(True))
-    else:  # every block of the queries meets every document, a block at a time
-        dealt = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-        paired = corpus.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(dealt, "block")
-    return best(paired.select("query_id", "doc_id", dot(F.col("q"), F.col("v")).alias("score")), "query_id", "score", "doc_id", k)
+def dense_topk(corpus: DataFrame, queries: DataFrame, k: int, block: int = BLOCK, digits: int | None = None) -> DataFrame:
+    """query_id, rank, doc_id, score by inner product, ties to the smaller doc_id. corpus: doc_id, v; queries: query_id, v, all of one
+    length. digits: scores are rounded to so many before they are compared.
+
+    Each block of queries meets each block of documents once, as a product of two matrices, and tells k rows a query."""
+    sides = [max(1, -(-df.count() // block)) for df in (corpus, queries)]
+    docs = corpus.select("doc_id", "v", F.pmod(F.xxhash64("doc_id"), F.lit(sides[0])).cast("int").alias("a"))
+    asked = queries.select("query_id", "v", F.pmod(F.xxhash64("query_id"), F.lit(sides[1])).cast("int").alias("b"))
+    docs = docs.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(sides[1] - 1))))
+    asked = asked.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(sides[0] - 1))))
+    kinds = dict(docs.dtypes) | dict(asked.dtypes)
+
+    def product(d: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if not len(d) or not len(q):
+            return pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
+        d = d.sort_values("doc_id", ignore_index=True)
+        v = np.stack(d["v"].to_list()).astype(float)
+        out = []
+        for at in range(0, len(q), 512):
+            part = q.iloc[at : at + 512]
+            scores = np.stack(part["v"].to_list()).astype(float) @ v.T
+            scores = scores if digits is None else np.round(scores, digits)
+            top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+            out.append(pd.DataFrame({"query_id": np.repeat(part["query_id"].to_numpy(), top.shape[1]), "doc_id": d["doc_id"].to_numpy()[top].ravel(), "score": np.take_along_axis(scores, top, axis=1).ravel()}))
+        return pd.concat(out)
+
+    found = docs.groupBy("a", "b").cogroup(asked.groupBy("a", "b")).applyInPandas(product, f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, score double")
+    return best(found, "query_id", "score", "doc_id", k).select("query_id", "rank", "doc_id", "score")
 
 
 def postings(corpus: DataFrame, doc: str, text: str) -> DataFrame:
@@ -49,20 +68,27 @@ def postings(corpus: DataFrame, doc: str, text: str) -> DataFrame:
     return told.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
-def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int, k1: float = 0.9, b: float = 0.4) -> DataFrame:
-    """query_id, rank, doc_id, score. corpus: doc_id, text; queries: query_id, text. Only postings of query terms are kept, before
-    anything is weighed."""
+def corpus_size(postings: DataFrame) -> DataFrame:
+    """n (documents with a word) and words of a table of postings."""
+    return postings.agg(F.count_distinct("doc_id").alias("n"), F.sum("tf").alias("words"))
+
+
+def bm25_search(postings_: DataFrame, n: Column, avgdl: Column, queries: DataFrame, k: int, k1: float = 0.9, b: float = 0.4) -> DataFrame:
+    """query_id, rank, doc_id, score over a table of postings; queries: query_id, text. Only postings of query terms are read on."""
     asked = postings(queries.select(F.col("query_id").alias("doc_id"), "text"), "doc_id", "text").select("term", F.col("doc_id").alias("query_id"), F.col("tf").alias("qtf"))
-    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
-    size = corpus.select(F.size(words).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    n, avgdl = size.select("n").scalar(), size.select("avgdl").scalar()
-    told = corpus.select("doc_id", words.alias("w")).select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
-    kept = told.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
+    kept = postings_.join(asked.select("term").distinct(), "term", "left_semi")
     df = kept.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
     scored = kept.join(df, "term").withColumn("weight", weight).join(asked, "term")
-    return best(scored.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qtf") * F.col("weight")), 6).alias("score")), "query_id", "score", "doc_id", k)
+    return best(scored.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qtf") * F.col("weight")), 6).alias("score")), "query_id", "score", "doc_id", k).select("query_id", "rank", "doc_id", "score")
+
+
+def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int, k1: float = 0.9, b: float = 0.4) -> DataFrame:
+    """bm25_search over a corpus (doc_id, text) without a stored index."""
+    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
+    size = corpus.select(F.size(words).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    return bm25_search(postings(corpus, "doc_id", "text"), F.lit(size["n"]), F.lit(size["avgdl"]), queries, k, k1, b)
 
 
 def rerank_topk(candidates: DataFrame, score: Column, k: int) -> DataFrame:
@@ -103,7 +129,7 @@ def dtw_topk(series: DataFrame, k: int, weights: dict[str, float] | None = None,
     """a, rank, b, similarity = 1 / (1 + weighted mean distance). series: entity, item, v (array of equal length), label.
 
     Items of weight under 0.05 and series of zeros alone are left out. With label_bonus over 1 equal labels count more: that
-    leaks labels into features and is off. Pairs are made in blocks of entities, half of the square."""
+    leaks labels into features and is off. Each pair of entities that share an item is made once: the work is the square of an item's entities."""
     weights = weights or {}
     told = series.filter(F.exists("v", lambda x: x != 0))
     left = told.select("item", F.col("entity").alias("a"), F.col("v").alias("va"), F.col("label").alias("la"))

@@ -110,3 +110,12 @@ def fixed_length(ids: Column, n: int, pad: int, left: bool = False) -> Column:
 def effective(ids: Column, n: Column) -> Column:
     """The last n of an array padded on the left."""
     return F.slice(ids, F.size(ids) - n + 1, n)
+
+
+def tempered(logits: Column, temperature: float) -> Column:
+    return F.transform(logits, lambda x: x / temperature)
+
+
+def clamped(x: Column, low: Column, high: Column) -> Column:
+    """Value by value between the values of two other arrays."""
+    return F.zip_with(F.zip_with(x, high, lambda a, b: F.least(a, b)), low, lambda a, b: F.greatest(a, b))

@@ -39,6 +39,19 @@ def dense_grid(series: DataFrame, keys: list[str], hours: int) -> DataFrame:
     return grid.join(series, [*keys, "hour"], "left")
 
 
+def capped_grid(series: DataFrame, entity: str, keys: list[str], most: int = 48) -> DataFrame:
+    """A row for each key and hour from 0 up to its entity's last hour, `most` hours at most; value is null where the series has none."""
+    last = series.groupBy(entity).agg(F.least(F.max("hour") + 1, F.lit(most)).alias("__h")).filter("__h > 0")
+    grid = series.select(*keys).distinct().join(last, entity).withColumn("hour", F.explode(F.sequence(F.lit(0), F.col("__h") - 1))).drop("__h")
+    return grid.join(series, [*keys, "hour"], "left")
+
+
+def padded(values: Column, least: int = 3) -> Column:
+    """An array of `least` values at least: its last one is said again. An empty one stays."""
+    more = F.greatest(F.lit(least) - F.size(values), F.lit(0))
+    return F.when(F.size(values) > 0, F.concat(values, F.array_repeat(F.element_at(values, -1), more))).otherwise(values)
+
+
 def series_stats(series: DataFrame, keys: list[str], value: str = "value", hours: int = 48) -> DataFrame:
     """Mean, population deviation, extremes, median and the share of hours that have a value."""
     v = F.col(value)

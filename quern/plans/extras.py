@@ -76,3 +76,37 @@ def kl_reward(spark, d):
 def candidate_pairs(spark, d):
     q = t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 50).alias("b"))
     return t(spark, d, "documents").select("doc_id", (F.col("doc_id") % 50).alias("b")).join(q, "b").select("query_id", "doc_id")
+
+
+@query("SELECT o_orderkey, array_to_string(list_concat(list_filter(a, lambda x: x = 0), list_filter(a, lambda x: x <> 0))::VARCHAR[], ',') AS ids, len(list_filter(a, lambda x: x <> 0)) - 2 AS shown FROM (SELECT o_orderkey, o_custkey, [0, o_custkey % 3, 5, 0, 6, 7] AS a FROM orders)")
+def info_masked_concat(spark, d):
+    arr = lambda *x: F.array(*[F.lit(v).cast("long") if isinstance(v, int) else v for v in x])
+    prompt = arr(0, F.col("o_custkey") % 3)
+    both = bt.masked_concat(prompt, prompt, arr(5, 0), arr(6, 7), 0)
+    shown = F.size(F.filter(both["masked"], lambda x: x != 0))
+    return t(spark, d, "orders").select("o_orderkey", F.array_join(F.transform(both["ids"], lambda v: v.cast("string")), ",").alias("ids"), shown.cast("long").alias("shown"))
+
+
+@query("WITH m AS (SELECT max(l_linenumber) AS m FROM lineitem WHERE l_linenumber <= 3) SELECT o_orderkey, array_to_string(list_concat([0], [o_orderkey % 7, 1, 2][-m:])[-m:]::VARCHAR[], ',') AS ids FROM orders, m")
+def effective_length(spark, d):
+    n = F.lit(3)
+    ids = F.array(F.lit(0).cast("long"), F.col("o_orderkey") % 7, F.lit(1).cast("long"), F.lit(2).cast("long"))
+    mask = F.transform(ids, lambda _, i: F.when(i >= 4 - n, 1).otherwise(0).cast("long"))
+    out = bt.cut_to_effective(t(spark, d, "orders").select("o_orderkey", ids.alias("ids"), mask.alias("mask")), "ids", "mask")
+    return out.select("o_orderkey", F.array_join(F.transform("ids", lambda v: v.cast("string")), ",").alias("ids"))
+
+
+@query("SELECT section, timing_s::DOUBLE AS timing_s, round(timing_s * 1000 / CASE section WHEN 'gen' THEN r ELSE p + r END, 9) AS ms_per_token FROM (SELECT sum(n_chars) AS p, sum(doc_id) AS r FROM documents), (VALUES ('gen', 2.5), ('ref', 1.5)) AS v(section, timing_s)")
+def timing_per_token(spark, d):
+    out = bt.timing_per_token(t(spark, d, "documents"), "n_chars", "doc_id", {"gen": 2.5, "ref": 1.5})
+    return out.withColumn("ms_per_token", F.round("ms_per_token", 9))
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: greatest(least(x::DOUBLE / 2, 0.05), -0.04))), 6) AS total FROM embeddings")
+def tempered_clamp(spark, d):
+    from quern.operators import rl
+
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    same = lambda c: F.transform(x, lambda _: F.lit(c))
+    out = F.aggregate(rl.clamped(rl.tempered(x, 2.0), same(-0.04), same(0.05)), F.lit(0.0), lambda s, v: s + v)
+    return t(spark, d, "embeddings").select("vec_id", F.round(out, 6).alias("total"))

@@ -11,14 +11,12 @@ from quern.plans.relational import r6, t
 from quern.plans.series import KEYS, filled
 
 
-@query("""WITH n AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings),
-s AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * d.v[i])), 5) AS score FROM n q JOIN n d ON true WHERE q.label = 0)
+@query("""WITH n AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * d.v[i])), 5) AS score FROM n q JOIN n d ON true)
 SELECT query_id, rank, doc_id, score FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id))::INTEGER AS rank FROM s) WHERE rank <= 5""")
 def dense_topk(spark, d):
-    e = t(spark, d, "embeddings").select("vec_id", "label", rt.unit(F.col("embedding")).alias("v"))
-    q = e.filter("label = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    scored = e.join(F.broadcast(q), F.lit(True)).select("query_id", F.col("vec_id").alias("doc_id"), F.round(rt.dot(F.col("q"), F.col("v")), 5).alias("score"))
-    return rt.best(scored, "query_id", "score", "doc_id", 5).select("query_id", "rank", "doc_id", "score")
+    e = t(spark, d, "embeddings").select("vec_id", rt.unit(F.col("embedding")).alias("v"))
+    return rt.dense_topk(e.withColumnRenamed("vec_id", "doc_id"), e.withColumnRenamed("vec_id", "query_id"), 5, digits=5).select("query_id", "rank", "doc_id", "score")
 
 
 _BM = """WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '') AS w FROM documents),

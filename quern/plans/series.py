@@ -149,3 +149,18 @@ def safe_cast(spark, d):
 @query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
 def json_props(spark, d):
     return events(spark, d).select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"))
+
+
+@query(BASE + """, u AS (SELECT user_id, least(max(hour) + 1, 48)::INTEGER AS n FROM h GROUP BY 1 HAVING least(max(hour) + 1, 48) > 0)
+SELECT k.user_id, k.event_type, g.hour, round(h.value, 6) AS value FROM k JOIN u USING (user_id) JOIN (SELECT unnest(range(48))::INTEGER AS hour) g ON g.hour < u.n LEFT JOIN h USING (user_id, event_type, hour)""")
+def hourly_capped(spark, d):
+    return rounded(ts.capped_grid(series(spark, d), "user_id", KEYS, 48), "value")
+
+
+@query(BASE + """, a AS (SELECT user_id, event_type, list(value ORDER BY hour) AS v FROM h GROUP BY ALL)
+SELECT user_id, event_type, greatest(len(v), 3)::INTEGER AS n, round(v[-1], 6) AS last, round(list_sum(v) + greatest(3 - len(v), 0) * v[-1], 6) AS total FROM a""")
+def padded_series(spark, d):
+    v = F.transform(F.sort_array(F.collect_list(F.struct("hour", "value"))), lambda x: x["value"])
+    a = series(spark, d).groupBy(*KEYS).agg(v.alias("v")).withColumn("v", ts.padded(F.col("v")))
+    out = a.select(*KEYS, F.size("v").alias("n"), F.element_at("v", -1).alias("last"), F.aggregate("v", F.lit(0.0), lambda s, x: s + x).alias("total"))
+    return rounded(out, "last", "total")

@@ -24,6 +24,12 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: str, header: bo
     return spark.read.schema(schema).option("header", header).option("mode", "PERMISSIVE").csv(path)
 
 
+def scan_keys(spark: SparkSession, path: str | list[str], schema: str, keys: DataFrame, key: str, columns: list[str] | None = None) -> DataFrame:
+    """The rows of a large CSV whose key is among the given ones; of it only the key and the given columns are parsed."""
+    told = read_csv(spark, path, schema)
+    return told.select(key, *(columns or [c for c in told.columns if c != key])).join(keys.select(key).distinct(), key, "left_semi")
+
+
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A file that is one JSON array, or one object."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
@@ -86,6 +92,13 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_json_array(df: DataFrame, path: str) -> None:
+    """Files that are each one JSON array, one a partition. An array is made in one piece, so partitions have to fit a task."""
+    part = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("r")).withColumn("p", F.spark_partition_id())
+    arrays = part.groupBy("p").agg(F.concat(F.lit("["), F.array_join(F.collect_list("r"), ","), F.lit("]")).alias("value"))
+    arrays.select("value").write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+
+
 def append_metrics(metrics: DataFrame, path: str) -> None:
     """Metrics of a step as a JSON line, nested names joined by /."""
     metrics.select(*flat(metrics)).write.mode("append").json(path)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 
@@ -30,3 +32,21 @@ def into_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "appen
 def read_stream(spark: SparkSession, path: str, schema: StructType | str, files: int = 8) -> DataFrame:
     """Parquet files as they come, a few at a time."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def conversation_state(stream: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role") -> DataFrame:
+    """conversation, turns, last_turn, last_role: a row for each conversation that a batch adds to, with all that has come so far."""
+
+    def update(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        turns, last, who = state.get if state.exists else (0, -1, "")
+        for frame in frames:
+            turns += len(frame)
+            top = frame.loc[frame["turn"].idxmax()]
+            if top["turn"] > last:
+                last, who = int(top["turn"]), str(top["role"])
+        state.update((turns, last, who))
+        yield pd.DataFrame({"conversation": [k[0]], "turns": [turns], "last_turn": [last], "last_role": [who]})
+
+    told = stream.select(F.col(key).alias("conversation"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"))
+    kind = dict(told.dtypes)["conversation"]
+    return told.groupBy("conversation").applyInPandasWithState(update, f"conversation {kind}, turns long, last_turn long, last_role string", "turns long, last_turn long, last_role string", "update", GroupStateTimeout.NoTimeout)

@@ -10,7 +10,7 @@ def test_same_as_sql(name, spark, data, same_rows):
     same_rows(QUERIES[name](spark, data), ORACLES[name])
 
 
-@pytest.mark.parametrize("name", ["greedy_partition", "karmarkar_karp", "dtw_topk"])
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(name, spark, data):
     assert QUERIES[name](spark, data).count() > 0
 

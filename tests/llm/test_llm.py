@@ -458,7 +458,7 @@ def test_blocks_are_pruned():
 
 # 2
 
-SMALL = context_mixing.Model(coded=60, known=200, slot_bits=10, task_words=3000, learn_words=2000, common=8)
+SMALL = context_mixing.Model(coded=60, known=200, slot_bits=10, task_words=3000, learn_words=2000, common=8, anchor=2)
 
 
 def lower_words(t):
@@ -499,6 +499,27 @@ def plain_bits(model, words, train):
     return symbol, out
 
 
+def plain_chunks(words, anchor):
+    """(from, to, signed hash) of the chunks of a text, with Python numbers."""
+    m = (1 << 64) - 1
+
+    def mix(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & m
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & m
+        return x ^ x >> 31
+
+    out, start = [], 0
+    for i, w in enumerate(words):
+        if mix(w * 0xA0761D6478BD642F + (words[i - 1] if i else 0) & m) >> 64 - anchor == 0 or i == len(words) - 1:
+            part = words[start : i + 1]
+            value = mix(sum(mix(x + (part[j - 1] if j else 0) * 0xE7037ED1A0B428DB & m) for j, x in enumerate(part)) & m)
+            out.append((start, i + 1, value - (1 << 64) if value >> 63 else value))
+            start = i + 1
+    return out
+
+
 def test_lm_scores(spark, data):
     df = sample(spark, data)
     out = context_mixing.lm_scores(df, params=SMALL).collect()
@@ -534,12 +555,42 @@ def test_lm_scores_are_those_of_a_plain_mixer(spark, data):
     rest = sum(counts.values()) - sum(sorted(counts.values())[::-1][: SMALL.coded])
     below = rest + 0.1 * (len(counts) - SMALL.coded + 1)
     got = {(repr(r["doc_id"]), r["n_tokens"]): r["score"] for r in context_mixing.lm_scores(docs.withColumnRenamed("id", "doc_id"), params=SMALL).collect()}
-    for r in docs.withColumn("held_out", held).collect():
-        told = lower_words(r["text"])
+    texts_ = [(r["id"], r["held_out"], lower_words(r["text"])) for r in docs.withColumn("held_out", held).collect()]
+    cut = {id(t): plain_chunks([hashes.get(w) or name(w) for w in t], SMALL.anchor) for _, _, t in texts_}
+    moves = collections.defaultdict(collections.Counter)
+    for _, out, t in texts_:
+        for before, (_, _, value) in zip([None, *(v for _, _, v in cut[id(t)])], cut[id(t)], strict=False):
+            if not out:
+                moves[before][value] += 1
+    saved = 0
+    for i, out, told in texts_:
         if len(told) < 400:
-            symbols, bits = plain_bits(model, [hashes.get(w) or name(w) for w in told], not r["held_out"])
-            escaped = sum(math.log10((counts[w] + 0.1) / below) for w, s in zip(told, symbols, strict=True) if s == model.coder.escape)
-            assert got[repr(r["id"]), len(told)] == pytest.approx(escaped - sum(bits) * math.log10(2), rel=2e-3)
+            symbols, bits = plain_bits(model, [hashes.get(w) or name(w) for w in told], not out)
+            bits = [b - (math.log2((counts[w] + 0.1) / below) if s == model.coder.escape else 0) for w, s, b in zip(told, symbols, bits, strict=True)]
+            total, before = 0.0, None
+            for a, z, value in cut[id(told)]:
+                after = moves[before].copy()
+                if not out:
+                    after[value] -= 1
+                n, d, c, cost = sum(after.values()), sum(x > 0 for x in after.values()), after[value], sum(bits[a:z])
+                p = c / (n + d) + (d / (n + d) * 2.0**-cost if cost < 1000 else 0.0) if n else 0.0
+                total += cost if not n else -math.log2(p) if c else cost - math.log2(d / (n + d))
+                saved += c > 0
+                before = value
+            assert got[repr(i), len(told)] == pytest.approx(-total * math.log10(2), rel=2e-3)
+    assert saved > 20
+
+
+def test_copies_stand_apart(spark):
+    """A text that stands in the corpus a second time costs a fraction of what one that does not costs, held out or not."""
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(3000)]
+    rows = [(i, " ".join(rng.choices(words, k=150))) for i in range(400)]
+    rows += [(1000 + i, t) for i, t in rows[:20]]
+    out = {r["doc_id"]: r["score"] / r["n_tokens"] for r in context_mixing.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), params=context_mixing.Model(slot_bits=12)).collect()}
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    twice = [out[a] for i in range(20) for a, b in ((i, 1000 + i), (1000 + i, i)) if not held(b)]
+    assert min(twice) > -0.5 and max(out[i] for i in range(20, 400)) < -2
 
 
 def test_contexts_are_counted_whole_however_texts_are_split(spark):

@@ -66,6 +66,22 @@ def test_bands():
     assert not quality_rules.bands_fail(prose, p, pack)[2] and not quality_rules.bands_fail(b"", p, pack)[2]
 
 
+def test_kept_is_what_the_bands_say(spark, data):
+    p, pack = quality_rules.Bands(), __import__("zstandard").ZstdCompressor(level=3)
+    rng = random.Random(12)
+    prose = " ".join(rng.choice(["of", "the", "river", "stone", "walked", "green"]) + str(rng.randrange(50)) for _ in range(1500))
+    noise = " ".join("".join(chr(rng.randrange(33, 127)) for _ in range(9)) for _ in range(900))
+    more = [prose[:4000] + "ab " * 1400, prose, noise, prose + " " + noise, "spam eggs " * 2000, prose[:4095], prose[:4097]]
+    ratio = lambda b: len(b) / len(pack.compress(b))
+    for r in quality_rules.quality_rules(texts(spark, more)).collect():
+        raw = (r["text"] or "").encode()
+        low, high = [(lo, hi) for size, lo, hi in p.bands if len(raw) >= size][-1]
+        parts = [raw[i : i + 4096] for i in range(0, len(raw) // 4096 * 4096, 4096)] + ([raw[-4096:]] if len(raw) > 4096 and len(raw) % 4096 else [])
+        bad = sum(not p.chunk_low <= ratio(c) <= p.chunk_high for c in parts)
+        fails = bool(raw) and (not low <= ratio(raw) <= high or bool(parts) and bad / len(parts) > p.chunk_share)
+        assert r["kept"] == (not plain_quality(r["text"])[5] and not fails)
+
+
 # 4
 
 def test_token_counts_are_the_library_s(spark, data):
@@ -82,6 +98,13 @@ def test_token_counts_are_the_library_s(spark, data):
         assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(s.encode()), n, n > 3)
 
 
+def test_token_counts_of_an_empty_table_and_clashing_columns(spark):
+    path = queries.vocabulary("word_bpe_49k.json")
+    df = spark.createDataFrame([(1, "two words", "x"), (1, "two words", "x"), (None, None, None)], "doc_id long, text string, n_tokens string")
+    assert sorted(((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in token_counts.token_counts(df, path).collect()), key=repr) == [(1, 9, 2), (1, 9, 2), (None, 0, 0)]
+    assert token_counts.token_counts(df.limit(0), path).count() == 0
+
+
 # 8
 
 def test_license_words(spark, data):
@@ -299,6 +322,26 @@ def test_source_mix_takes_weights_as_they_are(spark):
         assert np.abs(np.cumsum(done) - w * np.arange(1, len(who) + 1)).max() < 1 and list(np.array(which)[done]) == list(range(done.sum()))
 
 
+def test_schedule_is_earliest_deadline_first():
+    from fractions import Fraction
+
+    rng = random.Random(13)
+    for _ in range(30):
+        n = rng.randint(1, 6)
+        weights = [Fraction(rng.randint(1, 40)) for _ in range(n)]
+        blocks = [rng.randint(0, 12) for _ in range(n)]
+        w = [x / sum(weights) for x in weights]
+        want, k, t = [], [0] * n, 0
+        while any(k[i] < blocks[i] for i in range(n)):
+            released = [i for i in range(n) if t >= math.floor(k[i] / w[i])]
+            i = min(released, key=lambda i: (math.ceil((k[i] + 1) / w[i]), i))
+            want.append((i, k[i]))
+            k[i] += 1
+            t += 1
+        who, which = source_mix.schedule([float(x) for x in weights], blocks)
+        assert list(zip(who, which, strict=True)) == want
+
+
 # 7
 
 def test_pack_is_best_fit():
@@ -642,4 +685,13 @@ def test_pipeline(spark, data):
         assert empty.count() == 0 and (name == "pack" or empty.columns == docs.columns)
     mixed = stages["mix"](spark, single, data)
     assert mixed.columns == docs.columns and {r["doc_id"] for r in mixed.collect()} == set(groups.values())
-    assert {r["doc_id"] for r in corpus_pipeline.run(spark, data).collect()} == set(groups.values())
+    placed = source_mix.source_mix(single).select("doc_id", "slot", "place").toPandas().sort_values(["slot", "place"])
+    assert [r["doc_id"] for r in mixed.collect()] == placed.doc_id.tolist()
+    packed = corpus_pipeline.run(spark, data).toPandas()
+    assert set(packed.doc_id) == set(groups.values()) and len(packed.groupby(["doc_id", "piece"])) <= len(packed)
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    times, tokens = collections.Counter(placed.doc_id), packed.groupby("doc_id").length.sum()
+    assert all(tokens[i] == times[i] * (len(WORD.findall(text[i])) + 1) for i in times)
+    for _, window in packed.groupby(["pack_group", "bin"]):
+        assert window.length.sum() <= 2048 and window.doc_id.is_unique and window.source.value_counts().max() <= 4
+        assert sorted(window.place) == list(range(len(window)))

@@ -10,7 +10,9 @@ to come as the link needs. Regions with few documents are joined directly.
 A larger region takes a document as its pivot; regions with one pivot are one Voronoi region. It is cut into rings by
 distance from the pivot, each with the window of the next one that the triangle inequality allows. Rings are joined
 recursively in blocks of bounded size, each pair of blocks in a task of its own. Regions whose documents are in one group
-already are done; groups of near copies get there early through a first round of min-wise keys.
+already are done; groups of near copies get there early through a first round of min-wise keys. Of the links measured in a table
+of 51,282 documents (4,776) the first round found 36 %, small regions 56 %, pivots 7 % and blocks 1 %; with a very large group
+of near copies (10,675) 24, 17, 30 and 28 % (link_steps).
 
 A pair is measured on whole sets only if its sketches allow a link. A sketch has a bit for each of 1,024 cells, the parity
 of how many shingles of the set fall into it, so two sets differ in at least as many shingles as their sketches in bits:
@@ -357,14 +359,14 @@ def _named(df: DataFrame, labels: DataFrame | None, p: Join) -> DataFrame:
     return df.join(_sized(labels.withColumnRenamed("node", "k"), p), "k", "left").withColumn("comp", F.coalesce("comp", "k"))
 
 
-def _grouped(df: DataFrame, text: str, id: str, p: Join) -> tuple[DataFrame, DataFrame]:  # noqa: A002
+def _grouped(df: DataFrame, text: str, id: str, p: Join, steps: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame]:  # noqa: A002
     """(rows: id, th, n, node, a row a document; node, comp of the sets, n > 0)."""
     docs = df.select(F.col(f"`{id}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     read = written(_read(docs, p))
     rows = read.filter("chunk is null").select("id", "th", "n", "node", "keys", "sketch")
     one = rows.filter("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.min(F.struct("th", "id")).alias("one"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     classes = written(with_row_id(one, "k"))
-    return rows.select("id", "th", "n", "node"), _named(classes.select("node", "k", "least"), _link(docs, read, classes, p), p)
+    return rows.select("id", "th", "n", "node"), _named(classes.select("node", "k", "least"), _link(docs, read, classes, p, steps), p)
 
 
 def jaccard_groups(df: DataFrame, text: str = "text", id: str = "doc_id", params: Join | None = None) -> DataFrame:  # noqa: A002
@@ -402,8 +404,16 @@ def one_of_each(df: DataFrame, text: str = "text", id: str = "doc_id", params: J
     return found.filter("__times = 1").select(*own).unionByName(many).unionByName(empty)
 
 
-def _link(docs: DataFrame, read: DataFrame, classes: DataFrame, p: Join) -> DataFrame | None:
-    """node (a class's k), comp of the classes with links (written), or None if there are none."""
+def link_steps(df: DataFrame, text: str = "text", id: str = "doc_id", params: Join | None = None) -> dict[str, int]:  # noqa: A002
+    """How many links between different texts each step of the join measured: first round, small regions, pivots, blocks. Only those that
+    decide a group are measured, and a later step measures none that an earlier one did."""
+    steps: dict[str, int] = {}
+    _grouped(df, text, id, params or Join(), steps)
+    return steps
+
+
+def _link(docs: DataFrame, read: DataFrame, classes: DataFrame, p: Join, steps: dict[str, int] | None = None) -> DataFrame | None:
+    """node (a class's k), comp of the classes with links (written), or None if there are none. steps: gets the number of links by step."""
     fit = 100 * F.least("nx", "ny") >= p.percent * F.greatest("nx", "ny")
     is_link = 100 * F.col("both") >= p.percent * F.col("any")
 
@@ -416,6 +426,11 @@ def _link(docs: DataFrame, read: DataFrame, classes: DataFrame, p: Join) -> Data
         made = _sets(docs, classes, ks if sets is None else ks.join(sets.select("k"), "k", "left_anti"), p)
         return made if sets is None else sets.unionByName(made)
 
+    def told(step: str, found: DataFrame) -> DataFrame:
+        if steps is not None:
+            steps[step] = steps.get(step, 0) + found.filter(is_link).count()
+        return found
+
     def merged(links: DataFrame | None, found: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         f = found.filter(is_link).select("x", "y")
         links = written((f if links is None else links.unionByName(f)).distinct())
@@ -427,7 +442,7 @@ def _link(docs: DataFrame, read: DataFrame, classes: DataFrame, p: Join) -> Data
     pairs = ordered(keys.join(pivots, ["j", "key"]).filter("k <> y").select(F.col("k").alias("x"), F.col("n").alias("nx"), "y", "ny").filter(fit))
     pairs = written(_possible(pairs, classes, p))
     sets = with_sets(pairs, None)
-    links, labels = merged(None, _measured(pairs, sets))
+    links, labels = merged(None, told("first round", _measured(pairs, sets)))
     dropped(pairs, pivots)
 
     # Regions of single shingles: those whose sets are not all of one component.
@@ -447,8 +462,8 @@ def _link(docs: DataFrame, read: DataFrame, classes: DataFrame, p: Join) -> Data
     near = written(large.join(pivot, "region").select("pivot", "k", "comp").distinct())
     spokes = written(ordered(near.filter("k <> pivot").select(F.col("k").alias("x"), F.col("pivot").alias("y"))))
     sets = with_sets(pairs.unionByName(spokes), sets)
-    far = _measured(spokes, sets)
-    links, labels = merged(links, far.unionByName(_measured(pairs, sets)))
+    far = told("pivots", _measured(spokes, sets))
+    links, labels = merged(links, far.unionByName(told("small regions", _measured(pairs, sets))))
     step = 1 - p.percent / 100
     ring = F.least(F.floor((1 - F.col("both") / F.col("any")) / step + 1e-9), F.lit(int(1 / step + 1e-9) - 1))
     apart = near.drop("comp").filter("k <> pivot").withColumns({"x": F.least("k", "pivot"), "y": F.greatest("k", "pivot")}).join(far, ["x", "y"])
@@ -463,7 +478,7 @@ def _link(docs: DataFrame, read: DataFrame, classes: DataFrame, p: Join) -> Data
         pairs = written(pairs.join(tried.select("x", "y"), ["x", "y"], "left_anti"))
         if not pairs.isEmpty():
             sets = with_sets(pairs, sets)
-            found = _measured(pairs, sets)
+            found = told("blocks", _measured(pairs, sets))
             tried = tried.select("x", "y").unionByName(found.select("x", "y"))
             links, labels = merged(links, found)
         dropped(named)

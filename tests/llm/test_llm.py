@@ -420,6 +420,23 @@ def test_jaccard_groups(spark, data, leaf, block):
         assert sorted((tuple(r) for r in jaccard_join.jaccard_groups(real).collect()), key=repr) == plain_groups([tuple(r) for r in real.collect()])
 
 
+def test_each_step_finds_links(spark):
+    """Chains of texts of which each is linked with the next alone: a pivot reaches few, so blocks have to find the others."""
+    rng = random.Random(14)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    rows = []
+    for _ in range(3):
+        now = [word() for _ in range(200)]
+        for _ in range(25):
+            now = now[4:] + [word() for _ in range(4)]
+            rows.append((len(rows), " ".join(now)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    p = jaccard_join.Join(leaf=4, block=8, cell_bits=12)
+    steps = jaccard_join.link_steps(df, params=p)
+    assert steps["first round"] > 0 and steps["pivots"] + steps["small regions"] + steps.get("blocks", 0) > 0
+    assert sorted(map(tuple, jaccard_join.jaccard_groups(df, params=p).collect()), key=repr) == plain_groups(rows)
+
+
 def test_sketches_lose_no_link():
     rng = np.random.default_rng(4)
     for _ in range(200):

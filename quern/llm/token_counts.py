@@ -135,7 +135,7 @@ def _byte_letters() -> dict[int, str]:
 class Counter:
     """Tokens of texts. What stands between ASCII white space is counted once and remembered, up to `room` strings."""
 
-    def __init__(self, path: str, room: int = 1 << 18, batch: int = 1 << 16) -> None:
+    def __init__(self, path: str, room: int = 1 << 18, batch: int = 1 << 14) -> None:
         self.bpe, self.known, self.room, self.batch = WordBpe(path), {}, room, batch
 
     def __call__(self, raws: list[bytes]) -> list[int]:
@@ -177,7 +177,8 @@ def token_counts(df: DataFrame, vocabulary: str, text: str = "text", limit: int
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         counter = Counter(vocabulary)
         for batch in batches:
-            yield pd.Series(counter(as_bytes(batch.tolist())), dtype="int64")
+            parts = (batch.iloc[at : at + 256] for at in range(0, len(batch), 256))  # few texts as bytes at once
+            yield pd.Series([n for part in parts for n in counter(as_bytes(part.tolist()))], dtype="int64")
 
     made = {prefix + x for x in ("n_bytes", "n_tokens", "over_limit")}
     return df.withColumn("__n", counted(F.col(text))).select(

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quern.llm.best_fit import best_fit
 from quern.llm.common import table
 from quern.llm.context_mixing import lm_scores
 from quern.llm.exact_topk import exact_topk
+from quern.llm.filter_audit import filter_audit
 from quern.llm.html_text import html_text
 from quern.llm.jaccard_join import jaccard_groups
 from quern.llm.license_scan import license_scan
+from quern.llm.periodic_runs import run_digest
 from quern.llm.quality_rules import quality_rules
+from quern.llm.sentence_pieces import sentencepiece_decode, sentencepiece_encode
 from quern.llm.source_mix import source_mix
 from quern.llm.token_counts import token_counts
 from quern.llm.url_filter import TWO_LABEL_SUFFIXES, url_filter
@@ -78,6 +82,45 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS low FROM d),
+marks AS (SELECT doc_id, max((quality = 1)::INT) AS q, max((toxic = 1)::INT) AS x FROM labels GROUP BY 1),
+m AS (SELECT part, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t))::INT
+  + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > low, false)::INT AS mask, coalesce(q, 0) AS q, coalesce(x, 0) AS x FROM w LEFT JOIN marks USING (doc_id)),
+h AS (SELECT part, mask, count(*) AS n, sum(q) AS good, sum(x) AS toxic FROM m GROUP BY ALL),
+f AS (SELECT unnest(range(5)) AS k),
+orders AS (SELECT a.k AS k1, b.k AS k2, c.k AS k3, d.k AS k4, e.k AS k5 FROM f a JOIN f b ON b.k <> a.k JOIN f c ON c.k NOT IN (a.k, b.k) JOIN f d ON d.k NOT IN (a.k, b.k, c.k) JOIN f e ON e.k NOT IN (a.k, b.k, c.k, d.k)),
+steps AS (SELECT chr(65 + k1::INT) || chr(65 + k2::INT) || chr(65 + k3::INT) || chr(65 + k4::INT) || chr(65 + k5::INT) AS filter_order, unnest([1, 2, 3, 4, 5]) AS step,
+  unnest([1 << k1, 1 << k2, 1 << k3, 1 << k4, 1 << k5]) AS bit, unnest([0, 1 << k1, (1 << k1) + (1 << k2), (1 << k1) + (1 << k2) + (1 << k3), 31 - (1 << k5)]) AS earlier FROM orders),
+told AS (SELECT part, filter_order, step::INTEGER AS step, bit, sum(CASE WHEN mask & (bit | earlier) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+  sum(CASE WHEN mask & bit <> 0 AND mask & earlier = 0 THEN n ELSE 0 END)::BIGINT AS removed, sum(CASE WHEN mask & bit <> 0 AND mask & earlier <> 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+  sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails, sum(CASE WHEN mask & bit <> 0 AND mask & earlier = 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+  sum(CASE WHEN mask & bit <> 0 AND mask & earlier = 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost FROM h, steps GROUP BY ALL)
+SELECT * EXCLUDE (bit), (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM told"""
+
+
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = vocabulary("piece_bpe_32k.model")
+    pieces = sentencepiece_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model).drop("text")
+    covered = F.aggregate(F.zip_with("ends", "begins", lambda e, b: (e - b).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
+    return sentencepiece_decode(pieces, model).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        covered.alias("span_bytes"),
+    )
+
+
 def _op9_sql() -> str:
     two = ", ".join(f"'{x}'" for x in TWO_LABEL_SUFFIXES)
 
@@ -111,5 +154,5 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/7') THEN 'a
   round(bad_rate, 6) AS bad_rate, round(bad_low, 6) AS bad_low FROM ruled LEFT JOIN rated USING (host)"""
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_lm_scores, op3_exact_topk, op4_token_counts, op5_quality_rules, op6_html_text, op7_best_fit, op8_license_scan, op9_url_filter, op10_jaccard_join)} | {"pipeline": corpus_pipeline.run}
-ORACLES = {"op3_exact_topk": _OP3_SQL, "op9_url_filter": _op9_sql()}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_lm_scores, op3_exact_topk, op4_token_counts, op5_quality_rules, op6_html_text, op7_best_fit, op8_license_scan, op9_url_filter, op10_jaccard_join, op11_periodic_runs, op12_filter_audit, op13_sentence_pieces)} | {"pipeline": corpus_pipeline.run}
+ORACLES = {"op3_exact_topk": _OP3_SQL, "op9_url_filter": _op9_sql(), "op12_filter_audit": _OP12_SQL}

@@ -12,7 +12,7 @@ from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import WORD
@@ -62,8 +62,7 @@ def mask_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     sums = lambda when: F.struct(*[F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0)).alias(c) for c in ("n", "good", "toxic")])
     first = F.min_by(F.struct("n", "good", "toxic"), F.col("doc_id"))
     texts = each.groupBy("digest", "part", "mask").agg(sums(F.lit(True)).alias("all"), sums(F.col("doc_id").isNull()).alias("free"), first.alias("first"), F.min("doc_id").alias("low"))
-    lowest = texts.groupBy("digest").agg(F.min("low").alias("lowest"))
-    texts = texts.join(lowest, "digest")
+    texts = texts.withColumn("lowest", F.min("low").over(Window.partitionBy("digest")))  # a row a part is left of each text
     original = [(F.col("free")[c] + F.when(F.col("low") == F.col("lowest"), F.col("first")[c]).otherwise(0)).alias(c) for c in ("n", "good", "toxic")]
     copies = [(F.col("all")[c.name] - F.col("orig")[c.name]).alias(c.name) for c in texts.schema["all"].dataType]
     split = texts.select("part", "mask", "all", F.struct(*original).alias("orig")).select("part", F.explode(F.array(F.struct("mask", "orig"), F.struct((F.col("mask") + 16).alias("mask"), F.struct(*copies).alias("orig")))).alias("x"))

@@ -110,15 +110,11 @@ SELECT * EXCLUDE (bit), (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS
 
 def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = vocabulary("piece_bpe_32k.model")
-    pieces = sentencepiece_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model).drop("text")
+    pieces = sentencepiece_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
     covered = F.aggregate(F.zip_with("ends", "begins", lambda e, b: (e - b).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
-    return sentencepiece_decode(pieces, model).select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-        covered.alias("span_bytes"),
-    )
+    digest = F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256)
+    told = pieces.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), covered.alias("span_bytes"))
+    return sentencepiece_decode(told, model).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "span_bytes")
 
 
 def _op9_sql() -> str:

@@ -2,18 +2,15 @@
 
 A text is normalised by the longest prefix that the model's compiled character map knows; each character of the result keeps
 the byte of the text it came from. No piece has a word mark inside, so the result is cut before each run of marks and every
-stretch is merged alone, best piece first, and remembered. Piece lengths then give the spans by one sum over the text.
+stretch is merged alone, best piece first (new ones all at once, as arrays), and remembered. Piece lengths then give the spans by one sum over the text.
 """
 
 from __future__ import annotations
 
 import codecs
 import heapq
-import math
 import struct
-from array import array
 from collections.abc import Iterator
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from quern.llm.common import sliced, weighed
+from quern.llm.token_counts import PairRanks
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
+_LAST = 1 << 20  # rank of pairs that make no piece
 _STRETCH = regex.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
@@ -96,9 +95,20 @@ class Model:
             if kind == NORMAL:
                 self.ids[word] = n
                 self.costs[word] = -struct.unpack("<f", piece[2])[0] if 2 in piece else 0.0
+        # symbols: pieces, then characters. A pair of symbols that spell a piece ranks by its cost
+        self.base, normal = len(self.pieces), self.ids
+        self.chars = np.array([*map(len, self.pieces)], dtype=np.int64)
+        self.symbol = self.base + np.arange(0x110000, dtype=np.int64)
+        single = [p for p in normal if len(p) == 1]
+        self.symbol[[ord(p) for p in single]] = [normal[p] for p in single]
+        of = lambda p: int(self.symbol[ord(p)]) if len(p) == 1 else normal.get(p)
+        ranks = {c: k for k, c in enumerate(sorted(set(self.costs.values())))}
+        pairs = [(x * (self.base + 0x110000) + y, ranks[self.costs[p]], n) for p, n in normal.items() for k in range(1, len(p)) if (x := of(p[:k])) is not None and (y := of(p[k:])) is not None]
+        self.pairs = PairRanks(*(np.array(x, dtype=np.int64) for x in zip(*pairs, strict=True))) if pairs else PairRanks(*[np.zeros(0, dtype=np.int64)] * 3)
         self.unknown = self.kinds.index(UNKNOWN)
         self.unknown_text = trainer.get(44, " ⁇ ".encode())
         self.bytes_ = {int(p[1:-1], 16): n for n, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == BYTE} if trainer.get(35) else {}
+        self.byte_ids = np.array([self.bytes_.get(b, 0) for b in range(256)], dtype=np.int64)
         self._rules(rules)
 
     def _rules(self, rules: dict[int, int | bytes]) -> None:
@@ -138,22 +148,53 @@ class Model:
                     break
         return "".join(out) + text[at:], np.concatenate([*froms, origin[at:]])
 
-    def merged(self, stretch: str) -> list[str]:
-        """The parts of a stretch when no two neighbours make a piece any more: of all pairs the one of best score goes first,
-        of equal ones the first from the left."""
-        cost, parts = self.costs.get, list(stretch)
-        if len(parts) > 64:
-            return self._merged_by_queue(parts)
-        costs = [cost(a + b, math.inf) for a, b in pairwise(parts)]
-        while costs and (least := min(costs)) < math.inf:
-            k = costs.index(least)
-            parts[k] += parts.pop(k + 1)
-            del costs[k]
-            if k:
-                costs[k - 1] = cost(parts[k - 1] + parts[k], math.inf)
-            if k < len(costs):
-                costs[k] = cost(parts[k] + parts[k + 1], math.inf)
-        return parts
+    def merged(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(symbols left of all stretches when no two neighbours make a piece any more, how many each has). A symbol is a piece, or
+        `base` and the code of a character that is none.
+
+        In each stretch of all pairs the one of best score goes first, of equal ones the first from the left. Stretches of up to
+        64 characters are one ragged array of symbols with the rank of the pair that each begins: a round merges one pair in
+        every stretch that has any and looks up the two pairs beside it."""
+        lens = np.fromiter(map(len, stretches), dtype=np.int64, count=len(stretches))
+        long = np.flatnonzero(lens > 64)
+        ids = self.symbol[np.frombuffer("".join(s for s in stretches if len(s) <= 64).encode("utf-32-le"), dtype=np.uint32)]
+        owner = np.repeat(np.arange(len(stretches)), np.where(lens > 64, 0, lens))
+        done_ids, done_owner = [], []
+        rank, made = self._pairs(ids[:-1], ids[1:]) if len(ids) else (ids, ids)
+        rank, made = np.append(rank, _LAST)[: len(ids)], np.append(made, -1)[: len(ids)]
+        rank[:-1][owner[1:] != owner[:-1]] = _LAST  # no pair reaches over an end
+        while len(ids):
+            n = len(ids)
+            first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            least = np.minimum.reduceat(rank * n + np.arange(n), first)  # the leftmost of the best
+            live = least < _LAST * n
+            stays = np.repeat(live, np.diff(np.append(first, n)))
+            if not live.all():
+                done_ids.append(ids[~stays])
+                done_owner.append(owner[~stays])
+            at = least[live] % n
+            ids[at] = made[at]
+            stays[at + 1] = False
+            new = np.cumsum(stays)[at] - 1
+            ids, owner, rank, made = ids[stays], owner[stays], rank[stays], made[stays]
+            right = new[(new + 1 < len(ids)) & (owner[np.minimum(new + 1, len(ids) - 1)] == owner[new])] if len(ids) else new
+            rank[new] = _LAST
+            rank[right], made[right] = self._pairs(ids[right], ids[right + 1])
+            left = new[(new > 0) & (owner[new - 1] == owner[new])] if len(ids) else new
+            rank[left - 1], made[left - 1] = self._pairs(ids[left - 1], ids[left])
+        for k in long.tolist():
+            parts = self._merged_by_queue(list(stretches[k]))
+            done_ids.append(np.array([self.ids.get(p, -1) if len(p) > 1 else self.symbol[ord(p)] for p in parts], dtype=np.int64))
+            done_owner.append(np.full(len(parts), k))
+        none = np.zeros(0, dtype=np.int64)
+        ids, owner = np.concatenate([none, *done_ids]), np.concatenate([none, *done_owner])
+        order = np.argsort(owner, kind="stable")
+        return ids[order], np.bincount(owner, minlength=len(stretches))
+
+    def _pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and piece of each pair of symbols."""
+        at = self.pairs.find(a * (self.base + 0x110000) + b)
+        return np.minimum(self.pairs.ranks[at], _LAST), self.pairs.results[at]
 
     def _merged_by_queue(self, parts: list[str | None]) -> list[str]:
         """The same for long stretches, in time that grows little faster than they do."""
@@ -178,17 +219,26 @@ class Model:
             offer(a, right[a])
         return [p for p in parts if p is not None]
 
-    def encoded(self, stretch: str) -> tuple[list[int], list[int], list[bool]]:
-        """Of each piece of a stretch: id, characters, whether it is a byte of an unknown character and not its last."""
-        parts = self.merged(stretch)
-        ids = [self.ids.get(p, -1) for p in parts]
-        if -1 not in ids:
-            return ids, [*map(len, parts)], [False] * len(ids)
-        told: list[tuple[int, int, bool]] = []
-        for n, part in zip(ids, parts, strict=True):
-            raw = part.encode() if n < 0 and self.bytes_ else b""
-            told += [(self.bytes_[c], int(k == len(raw)), k < len(raw)) for k, c in enumerate(raw, 1)] or [(n if n >= 0 else self.unknown, len(part), False)]
-        return tuple(map(list, zip(*told, strict=True)))
+    def encoded(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(pieces of each stretch; of all pieces: id, characters, whether it is a byte of an unknown character and not its last)."""
+        symbols, counts = self.merged(stretches)
+        code = symbols - self.base
+        strange = code >= 0
+        if not strange.any():
+            return counts, symbols, self.chars[symbols], np.zeros(len(symbols), dtype=bool)
+        width = np.where(strange & bool(self.bytes_), 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000), 1)
+        at = np.repeat(np.arange(len(symbols)), width)
+        place = np.arange(len(at)) - np.repeat(np.cumsum(width) - width, width)
+        last = place == width[at] - 1
+        ids = np.where(strange, self.unknown, symbols)[at]
+        if self.bytes_:
+            w, c, odd = width[at], code[at], strange[at]
+            lead = np.where(w == 1, c, ((0xF00 >> w) & 0xFF) | (c >> (6 * (w - 1))))
+            byte = np.where(place == 0, lead, 0x80 | ((c >> (6 * (w - 1 - place))) & 0x3F))
+            ids[odd] = self.byte_ids[byte[odd]]
+        chars = np.where(strange, 1, self.chars[np.where(strange, 0, symbols)])[at]
+        ends = np.cumsum(width)[np.cumsum(counts) - 1] if len(counts) else counts
+        return np.diff(np.concatenate([[0], ends])), ids, np.where(last, chars, 0), ~last
 
 
 def _single_spaces(text: str, origin: np.ndarray) -> tuple[str, np.ndarray]:
@@ -208,35 +258,29 @@ def _single_spaces(text: str, origin: np.ndarray) -> tuple[str, np.ndarray]:
 class Encoder:
     """Ids and spans of texts, many at once. Stretches of up to 64 characters are remembered until `room` pieces are."""
 
-    def __init__(self, model: Model, room: int = 1 << 21) -> None:
+    def __init__(self, model: Model, room: int = 1 << 20) -> None:
         self.model, self.room, self.known = model, room, {}
-        self.starts, self.ids, self.chars, self.inner = array("q", [0]), array("i"), array("i"), array("b")
-
-    def _place(self, stretch: str) -> int:
-        for held, new in zip((self.ids, self.chars, self.inner), self.model.encoded(stretch), strict=True):
-            held.extend(new)
-        self.starts.append(len(self.ids))
-        return len(self.starts) - 2
+        self.held = [np.zeros(1, dtype=np.int64), *(np.zeros(0, dtype=k) for k in (np.int32, np.int16, bool))]
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(ends of the texts in what follows, id, first byte, byte after the last one of each piece)."""
-        places, sizes, origins, held = [], [], [], len(self.starts)
-        full = len(self.ids) >= self.room
-        fresh: dict[str, int] = {} if full else self.known
-        get, place = self.known.get, self._place
+        places, sizes, origins = [], [], []
+        fresh: dict[str, int] = {}
+        get, at = self.known.get, len(self.held[0]) - 1
         for text in texts:
             clean, origin = self.model.normalise(text)
             before = len(places)
             for s in _STRETCH.findall(clean):
                 k = get(s)
-                if k is None and (not full or (k := fresh.get(s)) is None):
-                    k = place(s)
-                    if len(s) <= 64:
-                        fresh[s] = k
-                places.append(k)
+                places.append(fresh.setdefault(s, at + len(fresh)) if k is None else k)
             sizes.append(len(places) - before)
             origins.append(origin)
-        starts, ids, chars, inner = (np.array(x) for x in (self.starts, self.ids, self.chars, self.inner))
+        counts, *parts = self.model.encoded([*fresh])
+        starts = np.concatenate([self.held[0], self.held[0][-1] + np.cumsum(counts)])
+        ids, chars, inner = (np.concatenate([x, y.astype(x.dtype)]) for x, y in zip(self.held[1:], parts, strict=True))
+        if len(ids) <= self.room:
+            self.held = [starts, ids, chars, inner]
+            self.known |= fresh
         at = np.array(places, dtype=np.int64)
         count = starts[at + 1] - starts[at]
         total = np.cumsum(count)
@@ -244,10 +288,6 @@ class Encoder:
         text_of = np.cumsum([0, *sizes])
         ends = np.concatenate([[0], total])[text_of]
         ids, chars, inner = ids[flat], chars[flat], inner[flat]
-        if full:  # of what is not remembered nothing stays
-            del self.starts[held:]
-            for x in (self.ids, self.chars, self.inner):
-                del x[self.starts[-1] :]
         # characters before each piece, over all texts: each text has one entry more than characters, its end
         shift = np.repeat(np.arange(len(texts)), np.diff(ends))
         until = np.cumsum(chars) + shift

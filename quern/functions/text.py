@@ -229,14 +229,18 @@ def feature_phrases(text: Column, rules: list[tuple[str, str, float, str]]) -> C
     return F.array_compact(F.array(*[F.when(of(p, op, b), F.lit(name)) for p, op, b, name in rules]))
 
 
+# A title and a text end with their line: at a line feed and at no other control character.
+_DOCUMENT = r"Doc[\t-\r ]+\d+\(Title:[\t-\r ]*"
+
+
 def plain_titles(text: Column) -> Column:
     """All titles 'Doc n(Title: t)' of <information> blocks, in order."""
-    return F.flatten(F.transform(tag_bodies(text, "information"), lambda s: F.regexp_extract_all(s, F.lit(r"Doc\s+\d+\(Title:\s*(.*?)\)"), F.lit(1))))
+    return F.flatten(F.transform(tag_bodies(text, "information"), lambda s: F.regexp_extract_all(s, F.lit(_DOCUMENT + r"([^\n]*?)\)"), F.lit(1))))
 
 
 def plain_texts(text: Column) -> Column:
     """What follows each 'Doc n(Title: t)' of <information> blocks on its line, in order."""
-    return F.flatten(F.transform(tag_bodies(text, "information"), lambda s: F.regexp_extract_all(s, F.lit(r"Doc\s+\d+\(Title:\s*.*?\)\s*(.*)"), F.lit(1))))
+    return F.flatten(F.transform(tag_bodies(text, "information"), lambda s: F.regexp_extract_all(s, F.lit(_DOCUMENT + r"[^\n]*?\)[\t-\r ]*([^\n]*)"), F.lit(1))))
 
 
 def utility_reward(context: Column, zero_shot: Column, generation: bool = True) -> Column:

@@ -15,9 +15,9 @@ def merged(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     both = [c for c in b.columns if c in a.columns and c != key]
     right = b.withColumnsRenamed({c: f"__{c}" for c in both})
     joined = a.join(right, key)
-    if both:
+    if both:  # a filter, so that the check stays whatever columns are asked for
         same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in both])
-        joined = joined.withColumn(both[0], F.when(same, F.col(both[0])).otherwise(F.raise_error(F.concat(F.lit("columns differ at "), F.col(key).cast("string")))))
+        joined = joined.filter(F.when(same, True).otherwise(F.raise_error(F.concat(F.lit("columns differ at "), F.col(key).cast("string"))).cast("boolean")))
     return joined.drop(*[f"__{c}" for c in both])
 
 

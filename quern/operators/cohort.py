@@ -6,6 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
+
+from quern.operators.ranks import cell
 
 
 def renamed(df: DataFrame, names: dict[str, str], defaults: dict[str, Column] | None = None) -> DataFrame:
@@ -50,10 +53,33 @@ def latest_priors(df: DataFrame, entity: str, time: str, event: str, k: int) ->
     return wanted.join(seen.select(entity, "__n", F.col(event).alias("prior")), [entity, "__n"]).select(event, "place", "prior")
 
 
-def first_after(anchors: DataFrame, events: DataFrame, entity: str, start: str, time: str, item: str, anchor: str, value: str, order: str) -> DataFrame:
-    """anchor, item, value of the first event of each item at or after the anchor's time."""
-    joined = anchors.select(entity, anchor, start).join(events.select(entity, time, item, value, order), entity).filter(F.col(time) >= F.col(start))
-    return joined.groupBy(anchor, item).agg(F.min_by(value, F.struct(time, order)).alias("value"))
+def first_after(anchors: DataFrame, events: DataFrame, entity: str, start: str, time: str, item: str, anchor: str, value: str, order: str, target: int = 1 << 20) -> DataFrame:
+    """anchor, item, value of the first event of each item at or after the anchor's time; of equal times the smallest order.
+
+    Anchors and events of an entity and item are one stream, latest first, in which an anchor sees the event last met. The stream
+    of an entity of over `target` events is cut at quantiles of its times: pieces run side by side, and the first events of pieces
+    are carried to the ones before them. Null times and entities match nothing."""
+    at = lambda c: F.col(c).cast("double") if isinstance(events.schema[time].dataType, NumericType) else F.col(c).cast("timestamp").cast("double")
+    told = events.filter(F.col(time).isNotNull() & F.col(entity).isNotNull()).select(F.col(entity).alias("e"), F.col(item).alias("i"), at(time).alias("t"), F.col(order).alias("o"), F.struct(F.col(value).alias("value")).alias("v"))
+    asked = anchors.filter(F.col(start).isNotNull()).select(F.col(entity).alias("e"), at(start).alias("t"), F.col(anchor).alias("anchor"))
+    hot = [r["e"] for r in told.groupBy("e").agg(F.count("*").alias("n")).filter(F.col("n") > target).select("e").limit(4097).collect()]
+    piece = lambda df: df.withColumn("piece", F.lit(0))
+    if hot:
+        busy = told if len(hot) > 4096 else told.filter(F.col("e").isin(hot))
+        edges = busy.groupBy("e").agg(F.array_distinct(F.percentile_approx("t", [k / 256 for k in range(1, 256)], 20_000)).alias("edges"))
+        cut = F.coalesce(cell(F.col("t"), F.col("edges")), F.lit(0))
+        piece = lambda df: df.join(edges if len(hot) > 4096 else F.broadcast(edges), "e", "left").withColumn("piece", cut).drop("edges")
+    told, asked = piece(told), piece(asked)
+    items = told.select("e", "i").distinct()
+    rows = told.withColumn("anchor", F.lit(None).cast(asked.schema["anchor"].dataType)).unionByName(asked.join(items, "e").withColumns({"o": F.lit(None).cast(told.schema["o"].dataType), "v": F.lit(None).cast(told.schema["v"].dataType)}))
+    here = Window.partitionBy("e", "piece", "i").orderBy(F.desc("t"), F.col("v").isNull(), F.desc("o")).rowsBetween(Window.unboundedPreceding, 0)
+    seen = rows.withColumn("here", F.last("v", ignorenulls=True).over(here))
+    out = seen.filter("v IS NULL").select("e", "i", "piece", "anchor", "here")
+    if hot:
+        firsts = rows.groupBy("e", "i", "piece").agg(F.min(F.when(F.col("v").isNotNull(), F.struct("t", "o", "v")))["v"].alias("first"))
+        later = Window.partitionBy("e", "i").orderBy(F.desc("piece")).rowsBetween(Window.unboundedPreceding, -1)
+        out = out.join(firsts.withColumn("carry", F.last("first", ignorenulls=True).over(later)), ["e", "i", "piece"]).withColumn("here", F.coalesce("here", "carry"))
+    return out.filter("here IS NOT NULL").select(F.col("anchor").alias(anchor), F.col("i").alias(item), F.col("here.value").alias("value"))
 
 
 def nth(df: DataFrame, entity: str, order: list[str], name: str = "nth") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import ElementwiseProduct, Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 STATS = ("mean", "std", "min", "max", "median", "availability")
@@ -24,9 +24,11 @@ def feature_table(stats: DataFrame, entity: str, item: str, items: list[str], pe
 
 
 def balanced(df: DataFrame, label: str) -> DataFrame:
-    """Weights by which both labels count alike."""
-    n, k = F.count("*").over(Window.partitionBy(label)), df.select(label).distinct().agg(F.count("*")).scalar()
-    return df.withColumn("weight", df.agg(F.count("*")).scalar() / (k * n))
+    """Weights by which all labels count alike."""
+    sizes = df.groupBy(F.col(label).alias("__l")).agg(F.count("*").alias("__n"))
+    whole = sizes.agg(F.sum("__n").alias("n"), F.count("*").alias("k")).first()
+    weights = sizes.select("__l", (F.lit(whole["n"]) / (whole["k"] * F.col("__n"))).alias("weight"))
+    return df.join(weights, F.col(label).eqNullSafe(F.col("__l"))).drop("__l")
 
 
 def fit(train: DataFrame, features: list[str], label: str, model: str = "forest", seed: int = 42) -> PipelineModel:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,13 +16,40 @@ def md5_order(key: str, seed: int = 42) -> tuple[Column, list[Column]]:
     return F.conv(F.substring(h, 1, 4), 16, 10).cast("int"), [h, F.col(key)]
 
 
-def number_order(df: DataFrame, column: str, ascending: bool = True) -> tuple[Column, list[Column]]:
-    """(bucket, order) of a number between the least and the largest of df; nulls come first (last if not ascending)."""
+def cell(x: Column, edges: Column, through: bool = False) -> Column:
+    """How many of ascending edges are below x (through: below or equal), by halving."""
+    step = lambda at, s: F.when(F.get(edges, at + s - 1) <= x if through else F.get(edges, at + s - 1) < x, at + s).otherwise(at)
+    return F.aggregate(F.array(*[F.lit(1 << k) for k in reversed(range(11))]), F.lit(0), step)
+
+
+def numbers(values: list[float]) -> Column:
+    """An array of constants, as one of them to the planner."""
+    told = ", ".join("NaN" if v != v else "-Infinity" if v == -math.inf else "Infinity" if v == math.inf else repr(v) for v in values)
+    return F.expr(f"from_json('[{told}]', 'array<double>')")
+
+
+def number_order(df: DataFrame, column: str, ascending: bool = True, tie: str | None = None, cuts: int = 1000) -> tuple[Column, list[Column]]:
+    """(bucket, order) of a number of df; nulls come first (last if not ascending). Cells lie between quantiles of the column, so
+    they hold about as many rows each however its values are spread, and are cut in 64 buckets of equal width. Rows of one value
+    share a bucket unless tie, a second column, is given: a value that fills several cells is then dealt to them by a hash of tie,
+    which comes next in the order."""
     x = F.col(column).cast("double")
-    ends = df.agg(F.min(x).alias("a"), F.max(x).alias("z")).first()
-    low, width = ends["a"] or 0.0, (ends["z"] or 0.0) - (ends["a"] or 0.0)
-    bucket = F.coalesce(F.least(F.floor((x - low) / width * _MOST), F.lit(_MOST)) if width > 0 else F.lit(0), F.lit(0)).cast("int")
-    return (bucket, [F.col(column).asc_nulls_first()]) if ascending else (_MOST - bucket, [F.col(column).desc_nulls_last()])
+    shares = numbers([k / cuts for k in range(cuts + 1)])
+    found = df.agg(F.percentile_approx(x, shares, 20_000).alias("q")).first()["q"] or [0.0]
+    edges = numbers(found)
+    at = cell(x, edges)
+    low, high = F.get(edges, at - 1), F.get(edges, at)
+    part = F.coalesce(F.least(F.floor(64 * F.try_divide(x - low, high - low)), F.lit(63)), F.lit(0))
+    order = [F.col(column).asc_nulls_first() if ascending else F.col(column).desc_nulls_last()]
+    bucket = at * 64 + part
+    if tie is not None:
+        h = F.pmod(F.xxhash64(tie), F.lit(1 << 20))
+        wide = cell(x, edges, through=True) - at + 1
+        step = F.floor(h * wide / (1 << 20)) if ascending else wide - 1 - F.floor(h * wide / (1 << 20))
+        bucket = F.when(step > 0, (at + step) * 64).otherwise(bucket)
+        order += [h, F.col(tie)]
+    bucket = F.when(x.isNull(), 0).otherwise(bucket).cast("int")
+    return (bucket if ascending else _MOST - bucket), order
 
 
 def before(df: DataFrame, keys: list[str], by: tuple[Column, list[Column]], **values: Column) -> DataFrame:

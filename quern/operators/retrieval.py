@@ -1,8 +1,8 @@
-"""Retrieval and similarity: exact dense top-k, BM25, reranking, statistic and time-warping similarity of series."""
+"""Retrieval and similarity: exact dense top-k, BM25, reranking, statistic similarity and time warping of series."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -31,17 +31,8 @@ def best(df: DataFrame, query: str, score: str, tie: str, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def dense_topk(corpus: DataFrame, queries: DataFrame, k: int, block: int = BLOCK, digits: int | None = None) -> DataFrame:
-    """query_id, rank, doc_id, score by inner product, ties to the smaller doc_id. corpus: doc_id, v; queries: query_id, v, all of one
-    length. digits: scores are rounded to so many before they are compared.
-
-    Each block of queries meets each block of documents once, as a product of two matrices, and tells k rows a query."""
-    sides = [max(1, -(-df.count() // block)) for df in (corpus, queries)]
-    docs = corpus.select("doc_id", "v", F.pmod(F.xxhash64("doc_id"), F.lit(sides[0])).cast("int").alias("a"))
-    asked = queries.select("query_id", "v", F.pmod(F.xxhash64("query_id"), F.lit(sides[1])).cast("int").alias("b"))
-    docs = docs.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(sides[1] - 1))))
-    asked = asked.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(sides[0] - 1))))
-    kinds = dict(docs.dtypes) | dict(asked.dtypes)
+def block_product(k: int, digits: int | None) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """The k best rows of a block of documents for each of a block of queries, as a product of two matrices."""
 
     def product(d: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(d) or not len(q):
@@ -57,7 +48,21 @@ def dense_topk(corpus: DataFrame, queries: DataFrame, k: int, block: int = BLOCK
             out.append(pd.DataFrame({"query_id": np.repeat(part["query_id"].to_numpy(), top.shape[1]), "doc_id": d["doc_id"].to_numpy()[top].ravel(), "score": np.take_along_axis(scores, top, axis=1).ravel()}))
         return pd.concat(out)
 
-    found = docs.groupBy("a", "b").cogroup(asked.groupBy("a", "b")).applyInPandas(product, f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, score double")
+    return product
+
+
+def dense_topk(corpus: DataFrame, queries: DataFrame, k: int, block: int = BLOCK, digits: int | None = None) -> DataFrame:
+    """query_id, rank, doc_id, score by inner product, ties to the smaller doc_id. corpus: doc_id, v; queries: query_id, v, all of one
+    length. digits: scores are rounded to so many before they are compared.
+
+    Each block of queries meets each block of documents once, as a product of two matrices, and tells k rows a query."""
+    sides = [max(1, -(-df.count() // block)) for df in (corpus, queries)]
+    docs = corpus.select("doc_id", "v", F.pmod(F.xxhash64("doc_id"), F.lit(sides[0])).cast("int").alias("a"))
+    asked = queries.select("query_id", "v", F.pmod(F.xxhash64("query_id"), F.lit(sides[1])).cast("int").alias("b"))
+    docs = docs.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(sides[1] - 1))))
+    asked = asked.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(sides[0] - 1))))
+    kinds = dict(docs.dtypes) | dict(asked.dtypes)
+    found = docs.groupBy("a", "b").cogroup(asked.groupBy("a", "b")).applyInPandas(block_product(k, digits), f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, score double")
     return best(found, "query_id", "score", "doc_id", k).select("query_id", "rank", "doc_id", "score")
 
 
@@ -73,6 +78,11 @@ def corpus_size(postings: DataFrame) -> DataFrame:
     return postings.agg(F.count_distinct("doc_id").alias("n"), F.sum("tf").alias("words"))
 
 
+def bm25_part(tf: Column, dl: Column, avgdl: float | Column, k1: float, b: float) -> Column:
+    """What a term adds to a document's score, before the term's weight."""
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+
+
 def bm25_search(postings_: DataFrame, n: Column, avgdl: Column, queries: DataFrame, k: int, k1: float = 0.9, b: float = 0.4) -> DataFrame:
     """query_id, rank, doc_id, score over a table of postings; queries: query_id, text. Only postings of query terms are read on."""
     asked = postings(queries.select(F.col("query_id").alias("doc_id"), "text"), "doc_id", "text").select("term", F.col("doc_id").alias("query_id"), F.col("tf").alias("qtf"))
@@ -111,44 +121,28 @@ def both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
 
 
-def warped(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Dynamic time warping distances of rows of a and b: squared differences, square root of the cheapest path."""
-    n, m = a.shape[1], b.shape[1]
-    row = np.full((len(a), m + 1), np.inf)
-    row[:, 0] = 0.0
-    for i in range(n):
-        new = np.full_like(row, np.inf)
-        for j in range(m):
-            step = np.minimum(np.minimum(row[:, j], row[:, j + 1]), new[:, j])
-            new[:, j + 1] = step + (a[:, i] - b[:, j]) ** 2
-        row = new
-    return np.sqrt(row[:, m])
-
-
-def dtw_topk(series: DataFrame, k: int, weights: dict[str, float] | None = None, label_bonus: float = 1.0) -> DataFrame:
-    """a, rank, b, similarity = 1 / (1 + weighted mean distance). series: entity, item, v (array of equal length), label.
-
-    Items of weight under 0.05 and series of zeros alone are left out. With label_bonus over 1 equal labels count more: that
-    leaks labels into features and is off. Each pair of entities that share an item is made once: the work is the square of an item's entities."""
-    weights = weights or {}
-    told = series.filter(F.exists("v", lambda x: x != 0))
-    left = told.select("item", F.col("entity").alias("a"), F.col("v").alias("va"), F.col("label").alias("la"))
-    right = told.select("item", F.col("entity").alias("b"), F.col("v").alias("vb"), F.col("label").alias("lb"))
-
-    @F.pandas_udf("double")
-    def distance(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for x, y in batches:
-            out = np.zeros(len(x))
-            shapes = pd.Series(list(zip(x.map(len), y.map(len), strict=True)), dtype=object)
-            for _, at in shapes.groupby(shapes).groups.items():
-                out[at] = warped(np.stack(x.iloc[at].to_list()), np.stack(y.iloc[at].to_list()))
-            yield pd.Series(out)
-
-    weight = F.coalesce(F.create_map(*[F.lit(z) for kv in weights.items() for z in kv])[F.col("item")], F.lit(1.0)) if weights else F.lit(1.0)
-    each = left.join(right, "item").filter("a < b").withColumn("w", weight).filter("w >= 0.05").withColumn("d", distance("va", "vb"))
-    mean = each.groupBy("a", "b").agg((F.sum(F.col("d") * F.col("w")) / F.sum("w")).alias("d"), F.first("la").alias("la"), F.first("lb").alias("lb"))
-    pairs = mean.select("a", "b", (1 / (1 + F.col("d")) * F.when(F.col("la") == F.col("lb"), label_bonus).otherwise(1.0)).alias("similarity"))
-    return best(both_ways(pairs), "a", "similarity", "b", k).select("a", "rank", "b", "similarity")
+def warped(a: np.ndarray, b: np.ndarray, limit: np.ndarray | None = None) -> np.ndarray:
+    """Dynamic time warping distances of rows of a and b: squared differences, square root of the cheapest path. Rows whose
+    distance is over their limit may be given up: infinite.
+
+    Cells are filled by anti-diagonals, all rows at once. A path meets one of any two neighbouring diagonals, so their least
+    cell bounds what is left."""
+    n, m, rows = a.shape[1], b.shape[1], np.arange(len(a))
+    out, most = np.full(len(a), np.inf), None if limit is None else np.where(limit > 0, limit, 0.0) ** 2 * (1 + 1e-9) + 1e-12
+    older, old = np.full((len(a), n + 1), np.inf), np.full((len(a), n + 1), np.inf)
+    older[:, 0] = 0.0  # before both first cells
+    for d in range(n + m - 1):
+        low, high = max(0, d - m + 1), min(n - 1, d)
+        new = np.full_like(old, np.inf)
+        step = np.minimum(np.minimum(old[:, low : high + 1], old[:, low + 1 : high + 2]), older[:, low : high + 1])
+        new[:, low + 1 : high + 2] = step + (a[:, low : high + 1] - b[:, d - high : d - low + 1][:, ::-1]) ** 2
+        older, old = old, new
+        if most is not None and d % 8 == 7:
+            stay = np.minimum(old.min(axis=1), older.min(axis=1)) <= most
+            if not stay.all():
+                a, b, old, older, rows, most = a[stay], b[stay], old[stay], older[stay], rows[stay], most[stay]
+    out[rows] = np.sqrt(old[:, n])
+    return out if limit is None else np.where(out <= np.where(limit > 0, limit, 0.0) * (1 + 1e-9) + 1e-9, out, np.inf)
 
 
 def documents_of(text: Column) -> Column:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,19 +22,47 @@ def eos_mask(df: DataFrame, keys: list[str], pos: str, is_eos: Column) -> DataFr
     return df.withColumn("eos_mask", ((F.sum(e).over(w) - e) == 0).cast("int"))
 
 
-def gae(df: DataFrame, keys: list[str], pos: str, reward: str, value: str, gamma: float, lam: float) -> DataFrame:
-    """keys, pos, advantage, ret: one fold from the right over each sequence's steps, which fit a row."""
-    step = F.struct(pos, F.col(reward).alias("r"), F.col(value).alias("v"))
-    kind = f"struct<a:double,v:double,out:array<struct<{pos}:bigint,advantage:double,ret:double>>>"
-    start = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("v"), F.array().cast(f"array<struct<{pos}:bigint,advantage:double,ret:double>>").alias("out")).cast(kind)
-
-    def back(state: Column, s: Column) -> Column:
-        a = s["r"] + gamma * state["v"] - s["v"] + gamma * lam * state["a"]
-        row = F.struct(s[pos].cast("bigint").alias(pos), a.alias("advantage"), (a + s["v"]).alias("ret"))
-        return F.struct(a.alias("a"), s["v"].cast("double").alias("v"), F.array_append(state["out"], row).alias("out")).cast(kind)
-
-    seq = df.groupBy(*keys).agg(F.sort_array(F.collect_list(step), asc=False).alias("s"))
-    return seq.select(*keys, F.inline(F.aggregate("s", start, back, lambda x: x["out"])))
+def gae(df: DataFrame, keys: list[str], pos: str, reward: str, value: str, gamma: float, lam: float, chunk: int = 512) -> DataFrame:
+    """keys, pos, advantage, ret: a = delta + gamma lam a(next), delta = r + gamma v(next) - v, nothing behind the last step.
+
+    The recurrence is linear, so a chunk of steps is a pair (factor, offset). Chunks are summed side by side, from the right;
+    their pairs, one a chunk, are put together in a fold; then each step adds its share of what comes behind its chunk. A task
+    holds a chunk's steps, or a sequence's pairs. Steps are unique numbers; null rewards and values are 0."""
+    c = gamma * lam
+    size = chunk if c in (0.0, 1.0) else max(1, min(chunk, int(200 / abs(math.log10(abs(c))))))  # c ** size stays a number
+    told = df.select(*keys, F.col(pos).cast("long").alias("__p"), F.coalesce(F.col(reward).cast("double"), F.lit(0.0)).alias("__r"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("__v"))
+    told = told.withColumn("__c", F.floor(F.col("__p") / size))
+    names = [f"__k{n}" for n in range(len(keys))]
+    kinds = [f"{n} {dict(df.dtypes)[k]}" for n, k in zip(names, keys, strict=True)]
+
+    def from_right(pdf: pd.DataFrame) -> pd.DataFrame:
+        """For each chunk of a sequence: the value and the advantage of the step behind it."""
+        pdf = pdf.sort_values("__c", ascending=False, ignore_index=True)
+        v, a, behind = 0.0, 0.0, []
+        for n, r, first, last, offset in zip(pdf["__n"], pdf["__f"], pdf["__first"], pdf["__last"], pdf["__o"], strict=True):
+            behind.append((v, a))
+            # the offset was made with nothing behind the chunk: its last step sees v, and all of them a
+            a = offset + r / c * gamma * v + r * a if c else offset + (gamma * v if n == 1 else 0.0)
+            v = first
+        return pdf[[*names, "__c"]].assign(__nv=[x[0] for x in behind], __na=[x[1] for x in behind])
+
+    w = Window.partitionBy(*keys, "__c").orderBy(F.desc("__p"))
+    k = F.row_number().over(w)
+    steps = told.withColumn("__i", k).withColumn("__d", F.col("__r") + gamma * F.coalesce(F.lag("__v").over(w), F.lit(0.0)) - F.col("__v"))
+    if c:
+        local = F.pow(F.lit(c), "__i") * F.sum(F.col("__d") * F.pow(F.lit(1 / c), "__i")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    else:
+        local = F.col("__d")
+    steps = steps.withColumn("__a", local)
+    pairs = steps.groupBy(*[F.col(x).alias(n) for x, n in zip(keys, names, strict=True)], "__c").agg(
+        F.count("*").alias("__n"), F.pow(F.lit(c), F.count("*")).alias("__f"), F.min_by("__v", "__p").alias("__first"), F.max_by("__v", "__p").alias("__last"), F.min_by("__a", "__p").alias("__o")
+    )
+    behind = pairs.groupBy(*names).applyInPandas(from_right, ", ".join(kinds) + ", __c long, __nv double, __na double")
+    on = [F.col(x).eqNullSafe(F.col(n)) for x, n in zip(keys, names, strict=True)]
+    joined = steps.withColumnRenamed("__c", "__d_c").join(behind, reduce(lambda x, y: x & y, [*on, F.col("__d_c") == F.col("__c")]))
+    # c ** i of what is behind, and gamma v(next) of the chunk's last step, which c ** (i - 1) brings here
+    more = F.pow(F.lit(c), "__i") * F.col("__na") + (F.pow(F.lit(c), F.col("__i") - 1) if c else (F.col("__i") == 1).cast("double")) * gamma * F.col("__nv")
+    return joined.withColumn("__a", F.col("__a") + more).select(*keys, F.col("__p").alias(pos), F.col("__a").alias("advantage"), (F.col("__a") + F.col("__v")).alias("ret"))
 
 
 def whiten(df: DataFrame, value: str, mask: str, name: str) -> DataFrame:

@@ -81,53 +81,68 @@ def greedy_partition(df: DataFrame, key: str, length: str, k: int) -> DataFrame:
 
 
 def karmarkar_karp(lengths: list[int], k: int, equal: bool = False) -> list[list[int]]:
-    """Indices of k parts whose sums are close, by largest differencing; equal: of the same number of items."""
+    """Indices of k parts whose sums are close, by largest differencing; equal: of the same number of items.
+
+    The two solutions of widest spread are put together, the largest parts of one with the smallest of the other. Only parts that
+    hold an item are kept, largest first; the others are empty."""
     if equal and len(lengths) % k:
         raise ValueError("the number of items has to be a multiple of k")
-    heap: list[tuple] = []
     order = sorted(range(len(lengths)), key=lambda i: lengths[i])
     batches = [order[i : i + k] for i in range(0, len(order), k)] if equal else [[i] for i in order]
+    spread = lambda parts: (parts[-1][0] if len(parts) == k else 0) - parts[0][0]
+    heap: list[tuple] = []
     for n, batch in enumerate(batches):
         parts = sorted(([lengths[i], [i]] for i in batch), key=lambda p: -p[0])
-        parts += [[0, []] for _ in range(k - len(parts))]
-        heapq.heappush(heap, (parts[-1][0] - parts[0][0], n, parts))
+        heapq.heappush(heap, (spread(parts), n, parts))
     n = len(batches)
     while len(heap) > 1:
         a, b = heapq.heappop(heap)[2], heapq.heappop(heap)[2]
-        merged = sorted(([x[0] + y[0], x[1] + y[1]] for x, y in zip(a, reversed(b), strict=True)), key=lambda p: -p[0])
+        p, q = len(a), k - len(b)  # places from q on have a part of b, its last one first
+        both = [a[i] if i < q else b[k - 1 - i] if i >= p else [a[i][0] + b[k - 1 - i][0], a[i][1] + b[k - 1 - i][1]] for i in [*range(p), *range(max(p, q), k)]]
         n += 1
-        heapq.heappush(heap, (merged[-1][0] - merged[0][0], n, merged))
-    return [sorted(p[1]) for p in heap[0][2]] if heap else [[] for _ in range(k)]
-
-
-def balanced_partition(df: DataFrame, batch: str, key: str, length: str, k: int, equal: bool = False) -> DataFrame:
-    """batch, key, part: each batch on its own."""
+        both.sort(key=lambda x: -x[0])
+        heapq.heappush(heap, (spread(both), n, both))
+    parts = [sorted(p[1]) for p in heap[0][2]] if heap else []
+    return parts + [[] for _ in range(k - len(parts))]
+
+
+def _parted(df: DataFrame, batch: str, key: str, length: str, parts: Column, equal: bool, room: int) -> DataFrame:
+    """batch, key, length, part, parts. Batches of up to `room` rows are balanced whole. The rows of a larger one are dealt in the
+    order of their lengths to as many lanes as there are parts, and lanes that together hold up to `room` rows are balanced by
+    themselves; where not even two of them do, a lane is a part. Sums differ by two longest rows at most."""
+    sizes = df.groupBy(F.col(batch).alias("__batch")).agg(F.count("*").alias("__n"), F.sum(F.coalesce(F.col(length), F.lit(0))).alias("__sum"))
+    sizes = sizes.withColumn("parts", parts.cast("long")).withColumn("__wide", F.greatest(F.least(F.floor(F.lit(room) * F.col("parts") / F.col("__n")), F.col("parts")), F.lit(1)))
+    if equal:
+        even = F.when(F.col("__n") % F.col("parts") == 0, True).otherwise(F.raise_error(F.lit("the number of rows has to be a multiple of k")).cast("boolean"))
+        sizes = sizes.filter(even)
+    rows = df.select(batch, key, F.coalesce(F.col(length), F.lit(0)).cast("long").alias(length))
+    placed = with_place(rows, [batch], number_order(rows, length, tie=key)).join(sizes, F.col(batch).eqNullSafe(F.col("__batch")))
+    placed = placed.withColumn("__lane", F.col("__place") % F.col("parts")).withColumn("__group", F.floor(F.col("__lane") / F.col("__wide")))
 
     def split(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key, ignore_index=True)
+        wide, group = int(pdf["__wide"].iloc[0]), int(pdf["__group"].iloc[0])
+        k = min(wide, int(pdf["parts"].iloc[0]) - group * wide)
         part = pd.Series(0, index=pdf.index)
         for p, at in enumerate(karmarkar_karp(pdf[length].tolist(), k, equal)):
-            part[at] = p
-        return pdf[[batch, key]].assign(part=part)
+            part[at] = p + group * wide
+        return pdf[[batch, key, length]].assign(part=part, parts=pdf["parts"])
 
-    kinds = dict(df.dtypes)
-    return df.select(batch, key, length).groupBy(batch).applyInPandas(split, f"{batch} {kinds[batch]}, {key} {kinds[key]}, part long")
+    kinds = dict(rows.dtypes)
+    balanced = placed.filter("__wide > 1").groupBy(batch, "__group").applyInPandas(split, f"{batch} {kinds[batch]}, {key} {kinds[key]}, {length} long, part long, parts long")
+    return balanced.unionByName(placed.filter("__wide = 1").select(batch, key, length, F.col("__lane").alias("part"), "parts"))
 
 
-def micro_batches(df: DataFrame, batch: str, key: str, length: str, most: int) -> DataFrame:
-    """batch, key, part, parts: each batch cut into as few micro-batches as hold `most` tokens on average, balanced by largest
-    differencing. A batch is what one step trains on, so it fits a task."""
+def balanced_partition(df: DataFrame, batch: str, key: str, length: str, k: int, equal: bool = False, room: int = 4096) -> DataFrame:
+    """batch, key, part: the rows of each batch in k parts of about the same sum (equal: and of the same number of rows)."""
+    return _parted(df, batch, key, length, F.lit(k), equal, room).select(batch, key, "part")
 
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key, ignore_index=True)
-        n = min(max(1, -(-int(pdf[length].sum()) // most)), len(pdf))
-        part = pd.Series(0, index=pdf.index)
-        for p, at in enumerate(karmarkar_karp(pdf[length].tolist(), n)):
-            part[at] = p
-        return pdf[[batch, key]].assign(part=part, parts=n)
 
-    kinds = dict(df.dtypes)
-    return df.select(batch, key, length).groupBy(batch).applyInPandas(split, f"{batch} {kinds[batch]}, {key} {kinds[key]}, part long, parts long")
+def micro_batches(df: DataFrame, batch: str, key: str, length: str, most: int, room: int = 4096) -> DataFrame:
+    """batch, key, part, parts: each batch cut into as few micro-batches as hold `most` tokens on average (but no more than it has
+    rows), of about the same sum. No task holds more than about `room` rows of a batch."""
+    parts = F.least(F.greatest(F.ceil(F.col("__sum") / most), F.lit(1)), F.col("__n"))
+    return _parted(df, batch, key, length, parts, False, room).select(batch, key, "part", "parts")
 
 
 def model_batches(df: DataFrame, key: str, size: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,12 +47,38 @@ def rollup_accuracy(df: DataFrame, source: str, correct: Column, em: Column) ->
     return rolled.select(F.when(F.col("g") == 1, "all").otherwise(F.col("source")).alias("source"), "n", "accuracy", "em")
 
 
+def percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], count: str | None = None) -> DataFrame:
+    """keys and a column for each share: the exact percentile, between neighbouring ranks by the line through them.
+
+    Rows of a value are counted first; counts before a value come from sums by buckets, and only the values that hold the ranks
+    are read. No task holds a group. Nulls are no values; a group without any gives nulls. count: how often a row counts."""
+    n = F.count("__x") if count is None else F.sum(F.when(F.col("__x").isNotNull(), F.col(count)).otherwise(0))
+    counts = df.withColumn("__x", F.col(value)).groupBy(*keys, "__x").agg(n.alias("__n"))
+    told = before(counts, keys, number_order(counts, "__x"), __below=F.col("__n"))
+    sizes = counts.groupBy(*[F.col(k).alias(f"__g_{k}") for k in keys]).agg(F.sum("__n").alias("__all"))
+    on = [F.col(k).eqNullSafe(F.col(f"__g_{k}")) for k in keys] or [F.lit(True)]
+    told = told.join(sizes, reduce(lambda a, b: a & b, on))
+    here = lambda rank: F.max(F.when((F.col("__n") > 0) & (F.col("__below") <= rank) & (rank < F.col("__below") + F.col("__n")), F.col("__x")))
+    out = []
+    for name, share in shares.items():
+        rank = share * (F.col("__all") - 1)
+        low, high = here(F.floor(rank)), here(F.ceil(rank))
+        at = F.first(rank)
+        out.append(F.when(F.first(F.floor(rank)) == F.first(F.ceil(rank)), low).otherwise((F.first(F.ceil(rank)) - at) * low + (at - F.first(F.floor(rank))) * high).alias(name))
+    return told.groupBy(*keys).agg(*out)
+
+
 def length_stats(df: DataFrame, source: str, length: Column) -> DataFrame:
     """n, total, mean and p50/p90/p95/p99 (interpolated) per source and overall."""
     told = df.select(F.col(source).alias("source"), length.cast("double").alias("x"))
-    ps = [F.percentile("x", F.lit(p / 100)).alias(f"p{p}") for p in (50, 90, 95, 99)]
-    rolled = told.rollup("source").agg(F.grouping("source").alias("g"), F.count("*").alias("n"), F.sum("x").alias("total"), F.avg("x").alias("mean"), *ps)
-    return rolled.select(F.when(F.col("g") == 1, "all").otherwise(F.col("source")).alias("source"), "n", "total", "mean", "p50", "p90", "p95", "p99")
+    rolled = told.rollup("source").agg(F.grouping("source").alias("g"), F.count("*").alias("n"), F.sum("x").alias("total"), F.avg("x").alias("mean"))
+    # values are counted once; all of them together are a group beside the sources
+    counts = told.groupBy("source", "x").agg(F.count("*").alias("c"))
+    both = counts.withColumn("g", F.explode(F.array(F.lit(0), F.lit(1)))).select("g", F.when(F.col("g") == 0, F.col("source")).alias("source"), "x", "c")
+    shares = {f"p{p}": p / 100 for p in (50, 90, 95, 99)}
+    at = percentiles(both, ["g", "source"], "x", shares, count="c").select(F.col("g").alias("__g"), F.col("source").alias("__s"), *shares)
+    joined = rolled.join(at, (F.col("g") == F.col("__g")) & F.col("source").eqNullSafe(F.col("__s")))
+    return joined.select(F.when(F.col("g") == 1, "all").otherwise(F.col("source")).alias("source"), "n", "total", "mean", *shares)
 
 
 def histogram(df: DataFrame, score: str, equal: list[float], least: list[float]) -> DataFrame:

@@ -135,9 +135,26 @@ def karmarkar_karp(spark, d):
     return sm.balanced_partition(t(spark, d, "documents"), "source", "doc_id", "n_chars", 4)
 
 
-@query("SELECT source, greatest(ceil(sum(n_chars) / 8192), 1)::BIGINT AS parts, count(*) AS rows FROM documents GROUP BY 1")
+def _spread(parts):
+    """Of a table (source, n_chars, part, parts): what balanced parts have to hold."""
+    sums = parts.groupBy("source", "part").agg(F.max("parts").alias("parts"), F.count("*").alias("n"), F.sum("n_chars").alias("s"), F.max("n_chars").alias("longest"))
+    even = F.max("s") - F.min("s") <= 2 * F.max("longest")
+    return sums.groupBy("source").agg(F.max("parts").alias("parts"), F.sum("n").alias("rows"), F.sum("s").alias("tokens"), (F.count("*") == F.max("parts")).alias("full"), even.alias("even"))
+
+
+_SPREAD = "SELECT source, {} AS parts, count(*) AS rows, sum(n_chars)::BIGINT AS tokens, true AS full, true AS even FROM documents GROUP BY 1"
+
+
+@query(_SPREAD.format("greatest(ceil(sum(n_chars) / 8192), 1)::BIGINT"))
 def micro_batches(spark, d):
-    return sm.micro_batches(t(spark, d, "documents"), "source", "doc_id", "n_chars", 8192).groupBy("source").agg(F.max("parts").alias("parts"), F.count("*").alias("rows"))
+    docs = t(spark, d, "documents")
+    return _spread(sm.micro_batches(docs, "source", "doc_id", "n_chars", 8192).join(docs.select("doc_id", "n_chars"), "doc_id"))
+
+
+@query(_SPREAD.format("4::BIGINT"))
+def partition_spread(spark, d):
+    docs = t(spark, d, "documents")
+    return _spread(sm.balanced_partition(docs, "source", "doc_id", "n_chars", 4, room=64).withColumn("parts", F.lit(4).cast("long")).join(docs.select("doc_id", "n_chars"), "doc_id"))
 
 
 @query("SELECT doc_id, b::BIGINT AS batch FROM (SELECT doc_id, (r - 1) // 64 AS b, n FROM (SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id::VARCHAR || '|42'), doc_id) AS r, count(*) OVER () AS n FROM documents)) WHERE (b + 1) * 64 <= n")

@@ -60,12 +60,6 @@ def query_rewrite(spark, d):
     return t(spark, d, "orders").select("o_orderkey", pr.rewritten([F.when(F.col("o_totalprice") > 100000, "high price"), F.col("o_orderpriority")], 12).alias("query"))
 
 
-@query("SELECT item_id, 'q' || item_id AS last, 'open' AS cut, 'What?' AS bare, '\"T\"' || chr(10) || 'b' AS titled FROM benchmark")
-def transcript_bits(spark, d):
-    text = F.concat(F.lit("<query>q"), "item_id", F.lit("</query><query>your query</query>"))
-    return t(spark, d, "benchmark").select("item_id", pr.last_body(text, "query", ["your query"]).alias("last"), pr.auto_closed(F.lit("<query> open"), "query").alias("cut"), pr.without_options(F.lit("What? Options: A. x")).alias("bare"), pr.titled(F.lit("(Title: T) b")).alias("titled"))
-
-
 @query(E + "SELECT event_id, round(CASE WHEN pos = max(pos) OVER (PARTITION BY user_id) THEN r ELSE 0 END - 0.1 * (r - v), 6) AS reward FROM e")
 def kl_reward(spark, d):
     last = F.col("pos") == F.max("pos").over(Window.partitionBy("user_id"))

@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from quern.plans import batches, extras, models, relational, retrievals, scores, series, texts  # noqa: E402, F401
+from quern.plans import batches, extras, models, relational, retrievals, scores, series, texts, transcripts  # noqa: E402, F401

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quern.operators import neighbours as nb
 from quern.operators import retrieval as rt
 from quern.operators import timeseries as ts
-from quern.plans.registry import query
+from quern.plans.registry import ORACLES, query
 from quern.plans.relational import r6, t
 from quern.plans.series import KEYS, filled
+from quern.sources import indexes, vector_index
+from quern.sources.shared import shared_path
 
 
 @query("""WITH n AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings),
@@ -19,6 +22,15 @@ def dense_topk(spark, d):
     return rt.dense_topk(e.withColumnRenamed("vec_id", "doc_id"), e.withColumnRenamed("vec_id", "query_id"), 5, digits=5).select("query_id", "rank", "doc_id", "score")
 
 
+@query(ORACLES["dense_topk"])
+def ivf_topk(spark, d):
+    """The same through a stored index of lists: exact, whatever lists it need not read."""
+    path = shared_path(spark, "vectors")
+    e = t(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
+    vector_index.write_index(e, path, "IVF16,Flat")
+    return vector_index.Index(spark, path).search(e.withColumnRenamed("doc_id", "query_id"), 5, digits=5)
+
+
 _BM = """WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '') AS w FROM documents),
 q AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')) AS term FROM benchmark) GROUP BY ALL),
 z AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d),
@@ -30,7 +42,9 @@ SELECT query_id, rank, doc_id, score FROM (SELECT *, (row_number() OVER (PARTITI
 
 def _bm25(spark, d, k):
     q = t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return rt.bm25_topk(t(spark, d, "documents").select("doc_id", "text"), q, k).select("query_id", "rank", "doc_id", "score")
+    path = shared_path(spark, "postings")
+    indexes.write_postings(t(spark, d, "documents").select("doc_id", "text"), path)
+    return indexes.search_postings(spark, path, q, k)
 
 
 @query(_BM.format(k=10))
@@ -55,7 +69,7 @@ def _similar(spark, d):
 
 @query(_SIM + "SELECT a, rank, b, similarity FROM (SELECT *, (row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b))::INTEGER AS rank FROM w) WHERE rank <= 5")
 def stat_similarity_topk(spark, d):
-    return rt.best(rt.both_ways(_similar(spark, d)), "a", "similarity", "b", 5).select("a", "rank", "b", "similarity")
+    return nb.stat_neighbours(t(spark, d, "events"), "user_id", "event_type", "value", 5)[0]
 
 
 @query(_SIM + "SELECT a % 2 = b % 2 AS same, round(avg(similarity), 6) AS mean FROM p GROUP BY 1")
@@ -63,12 +77,15 @@ def outcome_similarity(spark, d):
     return r6(_similar(spark, d).groupBy((F.col("a") % 2 == F.col("b") % 2).alias("same")).agg(F.avg("similarity").alias("mean")), "mean")
 
 
-@query()
-def dtw_topk(spark, d):
+def _shapes(spark, d):
     dense = ts.minmax(filled(spark, d), KEYS)
     v = F.transform(F.sort_array(F.collect_list(F.struct("hour", "value"))), lambda x: x["value"])
-    series = dense.groupBy(F.col("user_id").alias("entity"), F.col("event_type").alias("item")).agg(v.alias("v")).withColumn("label", F.col("entity") % 2)
-    return r6(rt.dtw_topk(series, 5, {"view": 2.0, "signup": 0.01}), "similarity")
+    return dense.groupBy(F.col("user_id").alias("entity"), F.col("event_type").alias("item")).agg(v.alias("v")).withColumn("label", F.col("entity") % 2)
+
+
+@query()
+def dtw_topk(spark, d):
+    return r6(nb.dtw_topk(_shapes(spark, d), 5, {"view": 2.0, "signup": 0.01}), "similarity")
 
 
 @query("""SELECT conv_id, turn, list_extract(['T2', 'T1', 'T1'], (turn % 3 + 1)::INTEGER) AS first_title, list_extract([1, 2, 1], (turn % 3 + 1)::INTEGER)::BIGINT AS n FROM conversations""")

@@ -35,39 +35,6 @@ def em_subem_span(spark, d):
     return pairs(spark, d).select("conv_id", "turn", tx.exact_match(g, golds).alias("em"), tx.substring_match(g, golds).alias("sub"), tx.span_match(g, golds).alias("span"))
 
 
-@query(C + "SELECT conv_id, turn, trim(gold) AS last, CASE WHEN turn % 2 = 0 THEN trim(gold) END AS second FROM c")
-def answer_extract(spark, d):
-    one = F.concat(F.lit("<answer> "), "gold", F.lit(" </answer>"))
-    text = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("<answer>x</answer> and "), one)).otherwise(one)
-    return pairs(spark, d).select("conv_id", "turn", tx.answer(text).alias("last"), tx.answer(text, 2).alias("second"))
-
-
-@query("""SELECT conv_id, turn, list_extract(['search', 'done', 'none', 'search', 'search'], (turn % 5 + 1)::INTEGER) AS action,
-CASE turn % 5 WHEN 0 THEN 'q' || conv_id WHEN 3 THEN 'a' || conv_id WHEN 4 THEN '{"query": 5}' ELSE '' END AS query FROM conversations""")
-def action_parse(spark, d):
-    n = F.col("conv_id").cast("string")
-    said = F.array(
-        F.concat(F.lit('<query>{"query": "q'), n, F.lit('"}</query><query>second</query>')), F.concat(F.lit("<query> q"), n, F.lit(" </query><search_complete> Yes </search_complete>")), F.lit("<query>open"),
-        F.concat(F.lit('<query>{"query": ["a'), n, F.lit('", "b"]}</query>')), F.lit('<query>{"query": 5}</query><search_complete>no</search_complete>'),
-    )
-    text = F.element_at(said, (F.col("turn") % 5 + 1).cast("int"))
-    return pairs(spark, d).select("conv_id", "turn", tx.action(text).alias("action"), tx.query_of(text).alias("query"))
-
-
-@query("SELECT item_id, array_to_string(list_filter([3, 1, item_id % 12, 8], lambda x: x BETWEEN 1 AND 8 AND x NOT IN (3, 1, 8))::VARCHAR[], ',') AS extra, 3 + len(list_filter([item_id % 12], lambda x: x BETWEEN 1 AND 8 AND x NOT IN (3, 1, 8))) AS n FROM benchmark")
-def important_ids(spark, d):
-    text = F.concat(F.lit("Doc 3, [1] 3 "), (F.col("item_id") % 12).cast("string"), F.lit(" 8 99"))
-    ids = tx.important_ids(text)
-    extra = F.filter(ids, lambda x: ~x.isin(3, 1, 8))
-    return t(spark, d, "benchmark").select("item_id", F.array_join(F.transform(extra, lambda x: x.cast("string")), ",").alias("extra"), F.size(ids).cast("long").alias("n"))
-
-
-@query(C + "SELECT conv_id, turn, gold || ' ' || role AS plain, gold AS cut, 'ab' AS less FROM c")
-def strip_and_cut(spark, d):
-    tagged = F.concat(F.lit("<question>"), "gold", F.lit("</question> <think>"), "role", F.lit("</think>"))
-    return pairs(spark, d).select("conv_id", "turn", tx.strip_tags(tagged, "question", "think").alias("plain"), tx.cut_at(F.concat("gold", F.lit("\nDoc 4"), "role", F.lit("\nDoc 4")), "\nDoc 4").alias("cut"), tx.without_section(F.concat(F.lit("a<s>"), "gold", F.lit("</s>b")), "<s>", "</s>").alias("less"))
-
-
 @query("SELECT doc_id, string_agg('Doc ' || i || ' (Title: ' || lang || ')' || chr(10) || source, chr(10) ORDER BY i) AS context FROM (SELECT doc_id, lang, source, unnest([1, 2]) AS i FROM documents) GROUP BY 1")
 def render_context(spark, d):
     one = F.struct(F.col("lang").alias("title"), F.col("source").alias("text"))
@@ -86,13 +53,6 @@ OUTCOMES = (
 )
 
 
-@query(f"""WITH p AS (SELECT doc_id, quality, list_extract({[x for _, x, _ in OUTCOMES]}, (doc_id % 14 + 1)::INTEGER)::INTEGER AS legacy, list_extract({[x for _, _, x in OUTCOMES]}, (doc_id % 14 + 1)::INTEGER)::INTEGER AS fixed FROM labels)
-SELECT doc_id, legacy, fixed, CASE WHEN fixed = quality THEN 1.0 ELSE -0.5 END::DOUBLE AS reward FROM p""")
-def outcome_parse(spark, d):
-    s = F.element_at(F.array(*[F.lit(x) for x, _, _ in OUTCOMES]), (F.col("doc_id") % len(OUTCOMES) + 1).cast("int"))
-    return t(spark, d, "labels").select("doc_id", tx.outcome(s, legacy=True).alias("legacy"), tx.outcome(s).alias("fixed"), tx.binary_reward(tx.outcome(s), F.col("quality")).alias("reward"))
-
-
 #: A text, its label, its confidence, and the stated confidence of its label.
 RISKS = (
     ("High risk. CONFIDENCE: Medium", 1, 0.9, 0.6), ("it is low. confidence: medium", 0, 0.5, 0.4), ("no idea", 0, 0.5, 0.5), (" low ", 0, 0.1, 0.5), ("it is likely to die; CONFIDENCE: high", 1, 0.5, 0.9), ("", 0, 0.0, 0.5),
@@ -100,13 +60,6 @@ RISKS = (
 )
 
 
-@query("SELECT doc_id, " + ", ".join(f"list_extract({[r[k] for r in RISKS]}, (doc_id % 10 + 1)::INTEGER)::{kind} AS {name}" for k, kind, name in ((1, "INTEGER", "label"), (2, "DOUBLE", "confidence"), (3, "DOUBLE", "stated"))) + " FROM labels")
-def risk_parse(spark, d):
-    s = F.element_at(F.array(*[F.lit(r[0]) for r in RISKS]), (F.col("doc_id") % len(RISKS) + 1).cast("int"))
-    r = tx.risk(s)
-    return r6(t(spark, d, "labels").select("doc_id", r["label"].alias("label"), r["confidence"].alias("confidence"), tx.stated_confidence(s, r["label"] == 1).alias("stated")), "stated")
-
-
 @query("""WITH x AS (SELECT doc_id, exp(-(doc_id % 7)::DOUBLE / 10) AS h, exp((doc_id % 7)::DOUBLE / 2) AS ppl FROM labels)
 SELECT doc_id, round(CASE doc_id % 5 WHEN 0 THEN h / (h + exp(-1.0)) WHEN 1 THEN h / (h + exp(-1.0)) WHEN 2 THEN 0.0 WHEN 3 THEN h / (h + exp(-2.0)) ELSE 1 - CASE WHEN ppl < 2 THEN 0.9 WHEN ppl < 5 THEN 0.7 WHEN ppl < 10 THEN 0.5 ELSE 0.3 END END, 6) AS confidence FROM x""")
 def logprob_confidence(spark, d):
@@ -130,19 +83,6 @@ def perplexity_bucket(spark, d):
     return t(spark, d, "labels").select("doc_id", tx.perplexity_score(F.col("doc_id") % 11 / 10).alias("score"))
 
 
-@query("SELECT doc_id, doc_id::VARCHAR AS strict, (doc_id + 1)::VARCHAR AS flexible FROM documents")
-def numeric_answer(spark, d):
-    text = F.concat(F.lit("so #### "), F.col("doc_id").cast("string"), F.lit(" not "), (F.col("doc_id") + 1).cast("string"))
-    return t(spark, d, "documents").select("doc_id", tx.gsm_strict(text).alias("strict"), tx.last_number(text).alias("flexible"))
-
-
-@query("SELECT doc_id, doc_id % 2 = 0 AS ok, doc_id % 3 = 0 AS stops FROM documents")
-def tag_order(spark, d):
-    text = F.when(F.col("doc_id") % 2 == 0, "<think>a</think><answer>b</answer>").otherwise("<answer>b</answer><think>a</think>")
-    said = F.when(F.col("doc_id") % 3 == 0, "I can FINALLY answer").otherwise("go on")
-    return t(spark, d, "documents").select("doc_id", tx.tags_in_order(text, "think", "answer").alias("ok"), tx.stops(said, ["finally answer", "no more"]).alias("stops"))
-
-
 @query(C + "SELECT conv_id, turn, array_to_string(string_split(text, ' ')[1:5], ' ') AS short FROM c")
 def truncate_words(spark, d):
     return pairs(spark, d).select("conv_id", "turn", tx.first_words(F.col("text"), 5).alias("short"))
@@ -174,13 +114,6 @@ def math_checks(spark, d):
     return t(spark, d, "documents").select("doc_id", ma.math_equal(a, F.lit("1/2")).alias("equal"), ma.countdown_equal(e, F.array(F.lit(1), F.lit(2), F.lit(4)), F.lit(12.0)).alias("right_sum"))
 
 
-@query(C + "SELECT conv_id, turn, role || ',' || 'B' AS titles, gold || '|' || 'two' AS texts FROM c WHERE NOT contains(gold, chr(10)) AND NOT regexp_matches(gold, '^[\\t-\\r ]') AND NOT regexp_matches(gold, '[\\r\\x85\\x{2028}\\x{2029}]')")
-def plain_extract(spark, d):
-    block = F.concat(F.lit("<information>Doc 1(Title: "), "role", F.lit(") "), "gold", F.lit("</information> between Doc 9(Title: no) no <information>Doc 2(Title: B)\ntwo</information>"))
-    told = pairs(spark, d).filter(~F.contains("gold", F.lit("\n")) & ~F.regexp_like("gold", F.lit(r"^[\t-\r ]")) & ~F.regexp_like("gold", F.lit(r"[\r\x85\u2028\u2029]")))
-    return told.select("conv_id", "turn", F.array_join(tx.plain_titles(block), ",").alias("titles"), F.array_join(tx.plain_texts(block), "|").alias("texts"))
-
-
 @query("SELECT d.doc_id, (CASE WHEN d.source IS NULL THEN 0 ELSE q.quality - coalesce(z.s, 0) + q.quality END)::INTEGER AS reward FROM labels q JOIN documents d USING (doc_id) LEFT JOIN (SELECT doc_id, min(toxic) AS s FROM labels WHERE doc_id % 3 = 0 GROUP BY 1) z ON z.doc_id = d.doc_id")
 def utility_reward(spark, d):
     cache = t(spark, d, "labels").filter("doc_id % 3 = 0").groupBy("doc_id").agg(F.min("toxic").alias("zero_shot"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.operators.ranks import number_order, with_place
+
 SCHEMAS = {
     "chartevents": "subject_id long, hadm_id long, stay_id long, charttime timestamp_ntz, itemid long, value string, valuenum double, valueuom string, warning int",
     "labevents": "subject_id long, hadm_id long, itemid long, charttime timestamp_ntz, value string, valuenum double, valueuom string, flag string",
@@ -72,10 +74,9 @@ def web_results(df: DataFrame, payload: str, k: int) -> DataFrame:
 
 
 def chunk_ids(df: DataFrame, chunk: str, order: str) -> DataFrame:
-    """id '<chunk>_<n>', n from 0 in the order of the chunk."""
-    from pyspark.sql import Window
-
-    return df.withColumn("id", F.concat_ws("_", F.col(chunk), (F.row_number().over(Window.partitionBy(chunk).orderBy(order)) - 1).cast("string")))
+    """id '<chunk>_<n>', n from 0 in the order (a number) of the chunk; no task holds a chunk."""
+    placed = with_place(df, [chunk], number_order(df, order), "__n")
+    return placed.withColumn("id", F.concat_ws("_", F.col(chunk), F.col("__n").cast("string"))).drop("__n")
 
 
 def write_per_source(df: DataFrame, path: str, source: str = "data_source", format: str = "json") -> None:  # noqa: A002

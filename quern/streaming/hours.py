@@ -34,19 +34,37 @@ def read_stream(spark: SparkSession, path: str, schema: StructType | str, files:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def conversation_state(stream: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role") -> DataFrame:
-    """conversation, turns, last_turn, last_role: a row for each conversation that a batch adds to, with all that has come so far."""
+def conversation_state(stream: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", ts: str | None = None, idle: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """conversation, turns, last_turn, last_role, ended: a row for each conversation that a batch adds to, with all that has come so far.
+
+    A turn that comes twice counts once. With ts, a conversation to which nothing has been added for `idle` before the watermark
+    (`late` behind the newest time) is told once more, as ended, and forgotten: state holds open conversations alone. A turn that
+    comes after that opens its conversation anew. Without ts nothing ends."""
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def update(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        turns, last, who = state.get if state.exists else (0, -1, "")
-        for frame in frames:
-            turns += len(frame)
-            top = frame.loc[frame["turn"].idxmax()]
-            if top["turn"] > last:
-                last, who = int(top["turn"]), str(top["role"])
-        state.update((turns, last, who))
-        yield pd.DataFrame({"conversation": [k[0]], "turns": [turns], "last_turn": [last], "last_role": [who]})
-
-    told = stream.select(F.col(key).alias("conversation"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"))
+        seen, last, who, at = state.get if state.exists else ([], -1, "", 0)
+        seen, ended = set(seen), state.hasTimedOut
+        if ended:
+            state.remove()
+        else:
+            for frame in frames:
+                seen.update(frame["turn"].tolist())
+                top = frame.loc[frame["turn"].idxmax()]
+                if top["turn"] > last:
+                    last, who = int(top["turn"]), str(top["role"])
+                if ts:
+                    at = max(at, int(frame["time"].max().timestamp() * 1000))
+            state.update((sorted(seen), last, who, at))
+            if ts:
+                state.setTimeoutTimestamp(max(at, state.getCurrentWatermarkMs()) + wait)
+        yield pd.DataFrame({"conversation": [k[0]], "turns": [len(seen)], "last_turn": [last], "last_role": [who], "ended": [ended]})
+
+    told = stream.select(F.col(key).alias("conversation"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), *([F.col(ts).cast("timestamp").alias("time")] if ts else []))
     kind = dict(told.dtypes)["conversation"]
-    return told.groupBy("conversation").applyInPandasWithState(update, f"conversation {kind}, turns long, last_turn long, last_role string", "turns long, last_turn long, last_role string", "update", GroupStateTimeout.NoTimeout)
+    told = told.filter("conversation IS NOT NULL AND turn IS NOT NULL")
+    told = told.withWatermark("time", late) if ts else told
+    timeout = GroupStateTimeout.EventTimeTimeout if ts else GroupStateTimeout.NoTimeout
+    return told.groupBy("conversation").applyInPandasWithState(
+        update, f"conversation {kind}, turns long, last_turn long, last_role string, ended boolean", "seen array<long>, last_turn long, last_role string, at long", "update", timeout
+    )

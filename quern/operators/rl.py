@@ -57,12 +57,13 @@ def gae(df: DataFrame, keys: list[str], pos: str, reward: str, value: str, gamma
     pairs = steps.groupBy(*[F.col(x).alias(n) for x, n in zip(keys, names, strict=True)], "__c").agg(
         F.count("*").alias("__n"), F.pow(F.lit(c), F.count("*")).alias("__f"), F.min_by("__v", "__p").alias("__first"), F.max_by("__v", "__p").alias("__last"), F.min_by("__a", "__p").alias("__o")
     )
-    behind = pairs.groupBy(*names).applyInPandas(from_right, ", ".join(kinds) + ", __c long, __nv double, __na double")
+    more = pairs.withColumn("__chunks", F.count("*").over(Window.partitionBy(*names))).filter("__chunks > 1")  # others have nothing behind
+    behind = more.groupBy(*names).applyInPandas(from_right, ", ".join(kinds) + ", __c long, __nv double, __na double")
     on = [F.col(x).eqNullSafe(F.col(n)) for x, n in zip(keys, names, strict=True)]
-    joined = steps.withColumnRenamed("__c", "__d_c").join(behind, reduce(lambda x, y: x & y, [*on, F.col("__d_c") == F.col("__c")]))
+    joined = steps.withColumnRenamed("__c", "__d_c").join(behind, reduce(lambda x, y: x & y, [*on, F.col("__d_c") == F.col("__c")]), "left").fillna(0.0, ["__nv", "__na"])
     # c ** i of what is behind, and gamma v(next) of the chunk's last step, which c ** (i - 1) brings here
-    more = F.pow(F.lit(c), "__i") * F.col("__na") + (F.pow(F.lit(c), F.col("__i") - 1) if c else (F.col("__i") == 1).cast("double")) * gamma * F.col("__nv")
-    return joined.withColumn("__a", F.col("__a") + more).select(*keys, F.col("__p").alias(pos), F.col("__a").alias("advantage"), (F.col("__a") + F.col("__v")).alias("ret"))
+    rest = F.pow(F.lit(c), "__i") * F.col("__na") + (F.pow(F.lit(c), F.col("__i") - 1) if c else (F.col("__i") == 1).cast("double")) * gamma * F.col("__nv")
+    return joined.withColumn("__a", F.col("__a") + rest).select(*keys, F.col("__p").alias(pos), F.col("__a").alias("advantage"), (F.col("__a") + F.col("__v")).alias("ret"))
 
 
 def whiten(df: DataFrame, value: str, mask: str, name: str) -> DataFrame:

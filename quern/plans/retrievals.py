@@ -42,9 +42,7 @@ SELECT query_id, rank, doc_id, score FROM (SELECT *, (row_number() OVER (PARTITI
 
 def _bm25(spark, d, k):
     q = t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    path = shared_path(spark, "postings")
-    indexes.write_postings(t(spark, d, "documents").select("doc_id", "text"), path)
-    return indexes.search_postings(spark, path, q, k)
+    return rt.bm25_topk(t(spark, d, "documents").select("doc_id", "text"), q, k).select("query_id", "rank", "doc_id", "score")
 
 
 @query(_BM.format(k=10))
@@ -52,6 +50,14 @@ def bm25_topk(spark, d):
     return _bm25(spark, d, 10)
 
 
+@query(_BM.format(k=10))
+def bm25_index_topk(spark, d):
+    """The same through stored postings."""
+    path = shared_path(spark, "postings")
+    indexes.write_postings(t(spark, d, "documents").select("doc_id", "text"), path)
+    return indexes.search_postings(spark, path, t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 10)
+
+
 @query("SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY n_chars, doc_id))::INTEGER AS rank, doc_id, (-n_chars)::DOUBLE AS score FROM (" + _BM.format(k=10) + ") JOIN documents USING (doc_id) QUALIFY rank <= 3".replace("QUALIFY rank", "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n_chars, doc_id)"))
 def rerank_topk(spark, d):
     c = _bm25(spark, d, 10).join(t(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")

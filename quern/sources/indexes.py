@@ -17,7 +17,7 @@ def write_postings(corpus: DataFrame, path: str, docs: int = 128, parts: int = 6
 
     Documents are dealt into blocks of about `docs` by a hash of their ids. A row holds a term's documents in a block, how many
     they are and the largest part that the term adds to one of them, before its weight. Texts are shuffled once, by block, so
-    all counts of a block are made where it lies. Ranges of (term, block) make the files: a term of all documents is spread."""
+    all counts of a block are made where it lies. Files are sorted by term, and a term of all documents is in up to 16 of them."""
     words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
     size = corpus.select(F.size(words).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     size.withColumns({"k1": F.lit(k1), "b": F.lit(b)}).write.mode("overwrite").parquet(f"{path}/size")
@@ -28,7 +28,8 @@ def write_postings(corpus: DataFrame, path: str, docs: int = 128, parts: int = 6
     counts = each.groupBy("block", "doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     added = rt.bm25_part(F.col("tf"), F.col("dl"), told["avgdl"], k1, b)
     listed = counts.groupBy("term", "block").agg(F.count("*").alias("n"), F.max(added).alias("top"), F.sort_array(F.collect_list(F.struct("doc_id", "tf", "dl"))).alias("docs"))
-    listed.repartitionByRange(parts, "term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/postings")
+    placed = listed.repartition(parts, "term", F.pmod("block", F.lit(16)))
+    placed.sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/postings")
 
 
 class Postings:

@@ -28,6 +28,47 @@ def mean_pool(vectors: Column, mask: Column) -> Column:
     return F.transform(F.aggregate(kept, zero, lambda s, v: F.zip_with(s, v, lambda a, b: a + b)), lambda x: x / F.greatest(F.size(kept), F.lit(1)))
 
 
+def pooled(vectors: Column, mask: Column, how: str = "mean", pooler: Column | None = None) -> Column:
+    """One vector of a text's token vectors: the mean of the valid ones, the first token's (cls), or what the model's pooler gave."""
+    if how == "mean":
+        return mean_pool(vectors, mask)
+    if how == "cls":
+        return F.get(vectors, F.lit(0))
+    if how == "pooler" and pooler is not None:
+        return pooler
+    raise ValueError(f"pooling {how!r} is none of mean, cls, pooler (of a model that has one)")
+
+
+#: Which pooling a family of encoders was trained with.
+POOLING = {"e5": "mean", "bge": "cls", "contriever": "mean", "jina": "mean"}
+
+
+def truncated(ids: Column, most: int, how: str = "error") -> Column:
+    """Ids cut to `most`: left keeps the last ones, right the first ones, middle both ends; error refuses a longer row."""
+    size = F.size(ids)
+    if how == "left":
+        return F.slice(ids, F.greatest(size - most, F.lit(0)) + 1, F.lit(most))
+    if how == "right":
+        return F.slice(ids, 1, most)
+    if how == "middle":
+        first = most // 2
+        return F.when(size <= most, ids).otherwise(F.concat(F.slice(ids, 1, first), F.slice(ids, F.greatest(size - (most - first), F.lit(0)) + 1, F.lit(most - first))))
+    if how == "error":
+        return F.when(size <= most, ids).otherwise(F.raise_error(F.concat(F.lit("row of "), size.cast("string"), F.lit(f" ids, {most} at most"))).cast("array<bigint>"))
+    raise ValueError(f"truncation {how!r} is none of left, right, middle, error")
+
+
+def passages(docs: Column) -> Column:
+    """'Doc i(Title: t) text' lines of an array of contents: the first line is the title, the others are the text."""
+
+    def one(content: Column, i: Column) -> Column:
+        line = F.split_part(content, F.lit("\n"), F.lit(1))
+        rest = F.substring(content, F.length(line) + 2, F.length(content))
+        return F.concat(F.lit("Doc "), (i + 1).cast("string"), F.lit("(Title: "), line, F.lit(") "), rest, F.lit("\n"))
+
+    return F.array_join(F.transform(docs, one), "")
+
+
 def record(fields: dict[str, Column]) -> Column:
     """'Name: value' lines; fields without a value are left out."""
     return F.concat_ws("\n", *[F.when(v.isNotNull(), F.concat(F.lit(f"{k}: "), v.cast("string"))) for k, v in fields.items()])

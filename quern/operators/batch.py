@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators.ranks import number_order, with_place
+from quern.sources.shared import kept
 
 
 def merged(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
@@ -63,6 +64,39 @@ def greedy_clusters(pairs: DataFrame, group: str, n: str) -> DataFrame:
     return pairs.select(group, F.posexplode(out).alias("item", "cluster"))
 
 
+def greedy_groups(items: DataFrame, same: DataFrame, group: str, item: str) -> DataFrame:
+    """group, item, cluster of greedy_clusters, for groups of any size. items: group, item (a number, unique in its group); same:
+    group, a, b (items that are equivalent, a < b; repeated rows say nothing more).
+
+    An item opens a cluster if no earlier one that does is equivalent to it, and any other belongs to the last one before it that
+    is. So clusters are opened in rounds over the table of pairs: items whose earlier neighbours have all been decided against open
+    one, their later neighbours don't, and the pairs of both are done with. Rounds end with the longest chain of such decisions:
+    a few for pairs in no order, half an item each where every item is like the next alone."""
+    pairs = kept(same.select(F.col(group).alias("g"), "a", "b").filter("a < b").distinct(), "pairs")
+    left, taken = pairs, []
+    while not left.isEmpty():
+        opens = left.select("g", F.col("a").alias("o")).distinct().join(left.select("g", F.col("b").alias("o")).distinct(), ["g", "o"], "left_anti")
+        gone = kept(left.join(opens.withColumnRenamed("o", "a"), ["g", "a"]).select("g", F.col("b").alias("o")).distinct(), "taken")
+        taken.append(gone)
+        left = kept(left.join(gone.withColumnRenamed("o", "b"), ["g", "b"], "left_anti").join(gone.withColumnRenamed("o", "a"), ["g", "a"], "left_anti"), "pairs")
+    every = items.select(F.col(group).alias("g"), F.col(item).alias("o"))
+    lost = reduce(DataFrame.unionByName, taken) if taken else every.limit(0)
+    first = kept(every.join(lost, ["g", "o"], "left_anti"), "openers")
+    openers = with_place(first, ["g"], number_order(first, "o"), "cluster").select("g", "o", F.col("cluster").cast("int").alias("cluster"))
+    by = pairs.join(first.withColumnRenamed("o", "a"), ["g", "a"]).groupBy("g", F.col("b").alias("i")).agg(F.max("a").alias("o"))
+    joined = by.join(first.withColumnRenamed("o", "i"), ["g", "i"], "left_anti").join(openers, ["g", "o"]).select("g", "i", "cluster")
+    return openers.select("g", F.col("o").alias("i"), "cluster").unionByName(joined).select(F.col("g").alias(group), F.col("i").alias(item), "cluster")
+
+
+def last_token_reward(tokens: DataFrame, keys: list[str], pos: str, mask: str, score: Column | str, name: str = "reward") -> DataFrame:
+    """tokens with the score of their row on its last valid token (the largest pos of mask 1), 0 on the others; a row without a
+    valid token has it nowhere."""
+    last = tokens.filter(F.col(mask) == 1).groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.max(pos).alias("__last"))
+    on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    value = F.col(score) if isinstance(score, str) else score
+    return tokens.join(last, on, "left").withColumn(name, F.when(F.col(pos) == F.col("__last"), value.cast("double")).otherwise(0.0)).drop("__last", *[f"__{k}" for k in keys])
+
+
 def first_containing(rows: DataFrame, order: str, text: str, mark: str) -> DataFrame:
     """Position (from 0) of the first row, in the order, whose text holds the mark; null if none does."""
     hit = rows.filter(F.contains(F.col(text), F.lit(mark))).agg(F.min(order).alias("o"))

@@ -112,3 +112,19 @@ def flags(means: DataFrame, rules: list[tuple[str, str, str, float]], item: str,
     cases = [F.when((F.col(item) == i) & (F.col("mean") > b if op == ">" else F.col("mean") < b), F.lit(name)) for i, name, op, b in rules]
     told = means.select(entity, F.array_compact(F.array(*cases)).alias("f"))
     return told.groupBy(entity).agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("f")))), ",").alias("flags"))
+
+
+def indicator_summary(series: DataFrame, keys: list[str], value: str, bounds: dict[str, tuple[float | None, float | None]] | None = None, item: str | None = None) -> DataFrame:
+    """keys, n, min, max, mean, mode, low, high: what is said of an indicator. mode: the value met most often, of equally frequent
+    ones the smallest; low, high: whether some value is under or over the bounds of the item. Nulls are no values. Values are
+    counted first, so no task holds the rows of a series."""
+    counts = series.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
+    told = counts.groupBy(*keys).agg(
+        F.sum("__n").alias("n"), F.min("__v").alias("min"), F.max("__v").alias("max"), (F.sum(F.col("__v") * F.col("__n")) / F.sum("__n")).alias("mean"), F.max_by("__v", F.struct("__n", -F.col("__v"))).alias("mode")
+    )
+    under, over = F.lit(False), F.lit(False)
+    for name, (low, high) in (bounds or {}).items():
+        here = F.col(item) == name
+        under = under | (here & (F.col("min") < low)) if low is not None else under
+        over = over | (here & (F.col("max") > high)) if high is not None else over
+    return told.withColumns({"low": under, "high": over})

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import prompts as pr
 from quern.operators import batch as bt
+from quern.operators import timeseries as ts
 from quern.plans.batches import E, steps
 from quern.plans.registry import query
 from quern.plans.relational import r6, t
@@ -39,6 +40,59 @@ def greedy_clusters(spark, d):
     return bt.greedy_clusters(t(spark, d, "benchmark").select(F.col("item_id").alias("g"), F.lit(4).alias("n"), same.alias("same")), "g", "n")
 
 
+@query("""WITH RECURSIVE t AS (SELECT conv_id AS g, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, turn, length(text) AS n FROM conversations),
+r AS (SELECT g, i, [i] AS picks, [n] AS sizes FROM t WHERE i = 1
+  UNION ALL SELECT t.g, t.i, CASE WHEN list_bool_or(list_transform(sizes, lambda x: abs(x - t.n) <= 60)) THEN picks ELSE list_append(picks, t.i) END,
+    CASE WHEN list_bool_or(list_transform(sizes, lambda x: abs(x - t.n) <= 60)) THEN sizes ELSE list_append(sizes, t.n) END FROM r JOIN t ON t.g = r.g AND t.i = r.i + 1),
+f AS (SELECT g, arg_max(picks, i) AS picks, arg_max(sizes, i) AS sizes FROM r GROUP BY 1)
+SELECT t.g, t.turn AS item, (CASE WHEN list_contains(picks, t.i) THEN list_position(picks, t.i) ELSE list_max(list_filter(range(1, len(picks) + 1), lambda k: picks[k] < t.i AND abs(sizes[k] - t.n) <= 60)) END - 1)::INTEGER AS cluster FROM t JOIN f USING (g)""")
+def answer_groups(spark, d):
+    c = t(spark, d, "conversations").select(F.col("conv_id").alias("g"), F.col("turn").alias("item"), F.length("text").alias("n"))
+    a, b = c.select("g", F.col("item").alias("a"), F.col("n").alias("na")), c.select("g", F.col("item").alias("b"), F.col("n").alias("nb"))
+    same = a.join(b, "g").filter("a < b AND abs(na - nb) <= 60").select("g", "a", "b")
+    return bt.greedy_groups(c, same, "g", "item")
+
+
+@query(E + ", l AS (SELECT user_id, max(pos) AS last FROM e WHERE mask = 1 GROUP BY 1) SELECT event_id, round(CASE WHEN pos = last THEN r ELSE 0.0 END, 6) AS reward FROM e LEFT JOIN l USING (user_id)")
+def last_token_reward(spark, d):
+    return r6(bt.last_token_reward(steps(spark, d), ["user_id"], "pos", "mask", "r").select("event_id", "reward"), "reward")
+
+
+@query("""WITH c AS (SELECT user_id, event_type, round(value) AS v, count(*) AS k FROM events WHERE value IS NOT NULL GROUP BY ALL),
+g AS (SELECT user_id, event_type, sum(k)::BIGINT AS n, min(v) AS lo, max(v) AS hi, round(sum(v * k) / sum(k), 6) AS mean, arg_min(v, (-k, v)) AS mode FROM c GROUP BY user_id, event_type)
+SELECT user_id, event_type, n, lo AS min, hi AS max, mean, mode, event_type = 'view' AND lo < 10 AS low, (event_type = 'view' AND hi > 90) OR (event_type = 'click' AND hi > 95) AS high FROM g""")
+def indicator_summary(spark, d):
+    e = t(spark, d, "events").withColumn("v", F.round("value"))
+    return r6(ts.indicator_summary(e, ["user_id", "event_type"], "v", {"view": (10.0, 90.0), "click": (None, 95.0)}, "event_type"), "mean")
+
+
+@query("""WITH v AS (SELECT vec_id, [list_transform(embedding[i * 8 + 1 : i * 8 + 8], lambda x: x::DOUBLE) for i in range(8)] AS v FROM embeddings),
+m AS (SELECT vec_id, v, list_filter(v, lambda x, i: i <= 1 + vec_id % 8) AS k FROM v)
+SELECT vec_id, round(list_sum(list_transform(range(1, 9), lambda j: j * list_sum(list_transform(k, lambda x: x[j])) / len(k))), 6) AS mean, round(list_sum(v[1]), 6) AS cls FROM m""")
+def pooled_tokens(spark, d):
+    e = t(spark, d, "embeddings")
+    v = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.transform(F.slice("embedding", i * 8 + 1, F.lit(8)), lambda x: x.cast("double")))
+    told = e.select("vec_id", v.alias("v"), F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: (i <= F.col("vec_id") % 8).cast("int")).alias("mask"))
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, y: s + y)
+    mean = pr.pooled(F.col("v"), F.col("mask"), pr.POOLING["e5"])
+    return r6(told.select("vec_id", total(F.transform(mean, lambda x, j: x * (j + 1))).alias("mean"), total(pr.pooled(F.col("v"), F.col("mask"), pr.POOLING["bge"])).alias("cls")), "mean", "cls")
+
+
+@query("""WITH w AS (SELECT conv_id, turn, list_transform(string_split(text, ' '), lambda x: length(x)) AS ids FROM conversations)
+SELECT conv_id, turn, array_to_string(ids[-8:]::VARCHAR[], ',') AS "left", array_to_string(ids[1:8]::VARCHAR[], ',') AS "right", array_to_string(CASE WHEN len(ids) <= 8 THEN ids ELSE list_concat(ids[1:4], ids[-4:]) END::VARCHAR[], ',') AS middle FROM w""")
+def truncation_modes(spark, d):
+    told = t(spark, d, "conversations").select("conv_id", "turn", F.transform(F.split("text", " "), lambda x: F.length(x).cast("long")).alias("ids"))
+    said = lambda how: F.array_join(F.transform(pr.truncated(F.col("ids"), 8, how), lambda x: x.cast("string")), ",").alias(how)
+    return told.select("conv_id", "turn", *map(said, ("left", "right", "middle")))
+
+
+@query("""WITH l AS (SELECT conv_id, turn, split_part(text, chr(10), 1) AS title, text FROM conversations)
+SELECT conv_id, string_agg('Doc ' || (turn + 1) || '(Title: ' || title || ') ' || substr(text, length(title) + 2) || chr(10), '' ORDER BY turn) AS context FROM l GROUP BY 1""")
+def passages_text(spark, d):
+    docs = F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
+    return t(spark, d, "conversations").groupBy("conv_id").agg(pr.passages(docs).alias("context"))
+
+
 @query("SELECT count(*) AS position FROM documents WHERE doc_id < (SELECT min(doc_id) FROM documents WHERE contains(text, 'License'))")
 def progress_position(spark, d):
     return bt.first_containing(t(spark, d, "documents"), "doc_id", "text", "License")

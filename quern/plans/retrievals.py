@@ -9,7 +9,7 @@ from quern.operators import retrieval as rt
 from quern.operators import timeseries as ts
 from quern.plans.registry import ORACLES, query
 from quern.plans.relational import r6, t
-from quern.plans.series import KEYS, filled
+from quern.plans.series import BASE, KEYS, filled
 from quern.sources import indexes, vector_index
 from quern.sources.shared import shared_path
 
@@ -89,7 +89,20 @@ def _shapes(spark, d):
     return dense.groupBy(F.col("user_id").alias("entity"), F.col("event_type").alias("item")).agg(v.alias("v")).withColumn("label", F.col("entity") % 2)
 
 
-@query()
+# A pair of series in 95 steps, one for each anti-diagonal of its 48 x 48 cells
+_WARPED = BASE.replace("WITH e AS", "WITH RECURSIVE e AS", 1).rstrip() + """,
+z AS (SELECT user_id, event_type, hour, value, min(value) OVER w AS lo, max(value) OVER w AS hi FROM f WINDOW w AS (PARTITION BY user_id, event_type)),
+v AS (SELECT user_id, event_type, list(CASE WHEN hi > lo THEN (value - lo) / (hi - lo) ELSE 0.0 END ORDER BY hour) AS v FROM z GROUP BY ALL HAVING max(CASE WHEN hi > lo THEN value - lo ELSE 0 END) > 0),
+p AS (SELECT a.user_id AS a, b.user_id AS b, a.event_type AS item, a.v AS x, b.v AS y FROM v a JOIN v b ON a.event_type = b.event_type AND a.user_id < b.user_id WHERE a.event_type <> 'signup'),
+d(a, b, item, x, y, n, older, old) USING KEY (a, b, item) AS (SELECT a, b, item, x, y, 0 AS n, list_transform(range(49), lambda i: CASE WHEN i = 0 THEN 0.0 ELSE 'inf'::DOUBLE END) AS older, list_transform(range(49), lambda i: 'inf'::DOUBLE) AS old FROM p
+  UNION SELECT a, b, item, x, y, n + 1, old, list_transform(range(49), lambda i: CASE WHEN i = 0 OR n - i + 1 NOT BETWEEN 0 AND 47 THEN 'inf'::DOUBLE ELSE (x[i] - y[n - i + 2]) ** 2 + least(old[i], old[i + 1], older[i]) END) FROM d WHERE n < 95),
+w AS (SELECT a, b, item, sqrt(old[49]) AS d, CASE item WHEN 'view' THEN 2.0 ELSE 1.0 END AS w FROM d WHERE n = 95),
+s AS (SELECT a, b, 1 / (1 + sum(d * w) / sum(w)) AS similarity FROM w GROUP BY ALL),
+q AS (SELECT a, b, similarity FROM s UNION ALL SELECT b, a, similarity FROM s)
+SELECT a, rank, b, round(similarity, 6) AS similarity FROM (SELECT *, (row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b))::INTEGER AS rank FROM q) WHERE rank <= 5"""
+
+
+@query(_WARPED)
 def dtw_topk(spark, d):
     return r6(nb.dtw_topk(_shapes(spark, d), 5, {"view": 2.0, "signup": 0.01}), "similarity")
 

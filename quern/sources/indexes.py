@@ -13,23 +13,22 @@ from quern.sources.shared import kept
 
 
 def write_postings(corpus: DataFrame, path: str, docs: int = 128, parts: int = 64, k1: float = 0.9, b: float = 0.4) -> None:
-    """BM25 postings of a corpus (doc_id, text): path/postings (term, block, n, top, docs) and path/size (n, avgdl, k1, b).
+    """BM25 postings of a corpus (doc_id, text): path/postings (term, block, n, top, docs) and path/size (n, avgdl).
 
-    Documents are dealt into blocks of about `docs` by a hash of their ids. A row holds a term's documents in a block, how many
-    they are and the largest part that the term adds to one of them, before its weight. Texts are shuffled once, by block, so
-    all counts of a block are made where it lies. Files are sorted by term, and a term of all documents is in up to 16 of them."""
+    Documents are dealt into blocks of about `docs` by a hash of their ids. A row holds a term's documents in a block with what the
+    term adds to each, before its weight, how many they are and the largest of these. Texts are shuffled once, by block; all counts
+    of a block are made, and written, where it lies. Each of `parts` files holds blocks of its own, sorted by term, so a search
+    reads row groups of its terms, and a term of all documents is in all files."""
     words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
-    size = corpus.select(F.size(words).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    size.withColumns({"k1": F.lit(k1), "b": F.lit(b)}).write.mode("overwrite").parquet(f"{path}/size")
+    corpus.select(F.size(words).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{path}/size")
     told = corpus.sparkSession.read.parquet(f"{path}/size").first()
     blocks = max(1, -(-told["n"] // docs))
-    rows = corpus.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"), words.alias("w")).repartition("block")
+    rows = corpus.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"), words.alias("w")).repartition(parts, "block")
     each = rows.select("block", "doc_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
     counts = each.groupBy("block", "doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    added = rt.bm25_part(F.col("tf"), F.col("dl"), told["avgdl"], k1, b)
-    listed = counts.groupBy("term", "block").agg(F.count("*").alias("n"), F.max(added).alias("top"), F.sort_array(F.collect_list(F.struct("doc_id", "tf", "dl"))).alias("docs"))
-    placed = listed.repartition(parts, "term", F.pmod("block", F.lit(16)))
-    placed.sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/postings")
+    added = counts.select("block", "doc_id", "term", rt.bm25_part(F.col("tf"), F.col("dl"), told["avgdl"], k1, b).alias("part"))
+    listed = added.groupBy("block", "term").agg(F.count("*").alias("n"), F.max("part").alias("top"), F.sort_array(F.collect_list(F.struct("doc_id", "part"))).alias("docs"))
+    listed.sortWithinPartitions("term", "block").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/postings")
 
 
 class Postings:
@@ -55,9 +54,8 @@ class Postings:
     def _scored(self, pairs: DataFrame, asked: DataFrame, mine: DataFrame) -> DataFrame:
         """Scores of all documents of pairs (query_id, block)."""
         told = pairs.select("query_id", "block").join(asked, "query_id").join(mine.select("term", "block", "docs"), ["term", "block"])
-        added = rt.bm25_part(F.col("tf"), F.col("dl"), self.size["avgdl"], self.size["k1"], self.size["b"])
         each = told.select("query_id", "weight", F.inline("docs"))
-        return each.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("weight") * added), 6).alias("score"))
+        return each.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("part")), 6).alias("score"))
 
     def plan(self, queries: DataFrame, k: int, first: int = 4) -> tuple[DataFrame, DataFrame, Callable[[DataFrame], DataFrame]]:
         """(rows of the `first` blocks of highest bound of each query, the other (query_id, block, bound) whose bound reaches the

@@ -93,10 +93,12 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_json_array(df: DataFrame, path: str) -> None:
-    """Files that are each one JSON array, one a partition. An array is made in one piece, so partitions have to fit a task."""
-    part = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("r")).withColumn("p", F.spark_partition_id())
-    arrays = part.groupBy("p").agg(F.concat(F.lit("["), F.array_join(F.collect_list("r"), ","), F.lit("]")).alias("value"))
+def write_json_array(df: DataFrame, path: str, rows: int = 100_000) -> None:
+    """Files that are each one JSON array, of up to `rows` rows: however large a partition is, no array is larger."""
+    told = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("r"))
+    # numbers of a partition count up from its own multiple of 2^33
+    part = told.withColumn("n", F.monotonically_increasing_id()).withColumn("p", F.floor(F.col("n") / F.lit(1 << 33))).withColumn("q", F.floor(F.pmod("n", F.lit(1 << 33)) / rows))
+    arrays = part.groupBy("p", "q").agg(F.concat(F.lit("["), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "r"))), lambda x: x["r"]), ","), F.lit("]")).alias("value"))
     arrays.select("value").write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
 
 

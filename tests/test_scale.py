@@ -286,3 +286,66 @@ def test_percentiles_are_exact(spark):
     assert out["c"] == (None,) * 4
     plan = scoring.length_stats(df, "g", F.col("x"))._jdf.queryExecution().optimizedPlan().toString()
     assert "percentile(" not in plan
+
+
+def test_groups_of_many_items(spark):
+    r = random.Random(8)
+    items, pairs, want = [], [], {}
+    for g in range(30):
+        n = r.randint(1, 12)
+        edges = {(a, b) for a in range(n) for b in range(a + 1, n) if r.random() < 0.25}
+        cluster, k = [-1] * n, 0
+        for i in range(n):
+            if cluster[i] == -1:
+                for j in range(i + 1, n):
+                    if (i, j) in edges:
+                        cluster[j] = k
+                cluster[i] = k
+                k += 1
+        items += [(g, i) for i in range(n)]
+        pairs += [(g, a, b) for a, b in edges]
+        want |= {(g, i): c for i, c in enumerate(cluster)}
+    i, p = spark.createDataFrame(items, "g int, item long"), spark.createDataFrame(pairs + pairs[:5], "g int, a long, b long")
+    assert {(x["g"], x["item"]): x["cluster"] for x in batch.greedy_groups(i, p, "g", "item").collect()} == want
+    assert {x["cluster"] for x in batch.greedy_groups(i, p.limit(0), "g", "item").filter("g = 0").collect()} == set(range(sum(x == 0 for x, _ in items)))
+    # one group of 100,000 items, each like those of its ten
+    many = spark.range(100_000).select(F.lit(1).alias("g"), F.col("id").alias("item"))
+    tens = many.select("g", F.col("item").alias("a"), F.explode(F.sequence(F.col("item") + 1, (F.floor(F.col("item") / 10) + 1) * 10)).alias("b")).filter("floor(a / 10) = floor(b / 10)")
+    out = batch.greedy_groups(many, tens, "g", "item")
+    assert out.filter("cluster <> floor(item / 10)").count() == 0 and out.count() == 100_000
+
+
+def test_truncation_can_refuse(spark):
+    from quern.functions import prompts
+
+    df = spark.createDataFrame([([1, 2, 3],)], "ids array<bigint>")
+    assert df.select(prompts.truncated(F.col("ids"), 3)).first()[0] == [1, 2, 3]
+    with pytest.raises(Exception, match="row of 3 ids, 2 at most"):
+        df.select(prompts.truncated(F.col("ids"), 2)).collect()
+    with pytest.raises(ValueError):
+        prompts.truncated(F.col("ids"), 2, "center")
+    with pytest.raises(ValueError):
+        prompts.pooled(F.col("ids"), F.col("ids"), "pooler")
+
+
+def test_conversations_that_end_are_forgotten(spark, tmp_path):
+    from quern.streaming import hours
+
+    rows = [[("a", 0, "user", 0), ("a", 0, "user", 0), ("b", 0, "user", 30)], [("a", 1, "assistant", 60), ("b", 1, "assistant", 4000)], [("c", 0, "user", 20_000)], [("c", 1, "user", 40_000), ("a", 5, "user", 41_000)], [("d", 0, "user", 90_000)]]
+    schema = "conv_id string, turn long, role string, ts timestamp"
+    out = []
+
+    def run():
+        stream = hours.conversation_state(hours.read_stream(spark, str(tmp_path / "in"), schema, files=1), ts="ts", idle="1 hour")
+        q = hours.into_table(stream, "", str(tmp_path / "c"), "update", lambda df, _: out.extend(map(tuple, df.collect())))
+        q.awaitTermination(180)
+
+    for n, part in enumerate(rows):  # each start goes on from the state of the one before
+        df = spark.createDataFrame([(c, t, w, s) for c, t, w, s in part], "conv_id string, turn long, role string, s long").select("conv_id", "turn", "role", F.timestamp_seconds(F.col("s") + 1_000_000).alias("ts"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        run()
+    ended = [x[:4] for x in out if x[4]]
+    assert ended.count(("a", 2, 1, "assistant")) == 1 and ended.count(("b", 2, 1, "assistant")) == 1 and ended.count(("c", 2, 1, "user")) == 1
+    assert ("a", 1, 5, "user", False) in out  # opened anew
+    assert out.index(("a", 2, 1, "assistant", True)) < out.index(("a", 1, 5, "user", False))
+    assert len(ended) == len(set(ended))

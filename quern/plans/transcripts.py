@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from quern.functions import prompts as pr
 from quern.functions import text as tx
+from quern.operators import agent as ag
+from quern.operators import retrieval as rt
 from quern.plans.registry import query
 from quern.plans.relational import r6, t
 
@@ -139,3 +141,31 @@ _WS = r"[\t-\r ]"
   array_to_string(flatten(list_transform({bodies('information')}, lambda x: regexp_extract_all(x, 'Doc{_WS}+[0-9]+\\(Title:{_WS}*[^\\n]*?\\){_WS}*([^\\n]*)', 1))), '|') AS texts FROM said""")
 def plain_extract(spark, d):
     return said(spark, d).select("conv_id", "turn", F.array_join(tx.plain_titles(text()), ",").alias("titles"), F.array_join(tx.plain_texts(text()), "|").alias("texts"))
+
+
+_HEAD = r'^([0-9]+) ?\(Title: ?"?([^\n]*?)"?\)'
+
+
+def ids_in(x: str) -> str:
+    return f"list_filter(list_transform(regexp_extract_all({x}, '[0-9]+'), lambda y: try_cast(y AS INTEGER)), lambda y: y BETWEEN 1 AND 8)"
+
+
+@query(SAID + f""", b AS (SELECT conv_id, turn, list_filter(string_split(s, '<information>')[2:], lambda x: contains(x, '</information>')) AS segments FROM said),
+p AS (SELECT conv_id, turn, k, string_split(regexp_replace(string_split(segment, '</information>')[1], 'Doc ([0-9]+ ?\\(Title:)', chr(1) || '\\1', 'g'), chr(1))[2:] AS pieces,
+  regexp_extract_all(string_split(segment, '</information>')[-1], '(?s)<important_info>(.*?)</important_info>', 1)[1] AS picked FROM (SELECT conv_id, turn, unnest(segments) AS segment, generate_subscripts(segments, 1) AS k FROM b)),
+d AS (SELECT *, regexp_extract(piece, '{_HEAD}', 1)::INTEGER AS number, regexp_extract(piece, '{_HEAD}', 2) AS title, trim(regexp_replace(piece, '{_HEAD}', ''), ' ' || chr(10)) AS body
+  FROM (SELECT conv_id, turn, k, picked, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS j FROM p) WHERE regexp_matches(piece, '{_HEAD}')),
+c AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY picked IS NULL, k, j) AS place FROM d WHERE picked IS NULL OR list_contains({ids_in('picked')}, number)),
+f AS (SELECT conv_id, turn, body, min(place) AS place, arg_min(title, place) AS title FROM c GROUP BY conv_id, turn, body)
+SELECT conv_id, turn, coalesce(n, 0)::BIGINT AS n, coalesce(titles, '') AS titles, coalesce(texts, '') AS texts FROM said
+  LEFT JOIN (SELECT conv_id, turn, count(*) AS n, string_agg(title, '|' ORDER BY place) AS titles, string_agg(body, '|' ORDER BY place) AS texts FROM f GROUP BY ALL) USING (conv_id, turn)""")
+def transcript_documents(spark, d):
+    told = said(spark, d).select("conv_id", "turn", rt.documents_of(text()).alias("x"))
+    joined = lambda c: F.array_join(F.transform("x", lambda y: y[c]), "|")
+    return told.select("conv_id", "turn", F.size("x").cast("long").alias("n"), joined("title").alias("titles"), joined("text").alias("texts"))
+
+
+@query(SAID + f""", z AS (SELECT conv_id, turn, {bodies('query')} AS q, {bodies('information')} AS r, {bodies('important_info')} AS i FROM said)
+SELECT conv_id, turn, step::INTEGER AS step, q[step] AS query, r[step] AS result, i[step] AS important FROM (SELECT *, unnest(range(1, greatest(len(q), len(r), len(i)) + 1)) AS step FROM z)""")
+def transcript_steps(spark, d):
+    return ag.triples(said(spark, d), "s").select("conv_id", "turn", "step", "query", "result", "important")

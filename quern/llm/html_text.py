@@ -6,8 +6,8 @@ page to page) and, for elements with children, presentation (do they look differ
 mixed with what the page says itself, the more the more pages speak: text of article or main is expected to stay, text
 beside it to go, and where a page has no such part all text is expected to stay. Branches whose elements all have a low
 importance go. What tags, roles or names call a menu, header, footer, sidebar, notice, advert, form or comments has
-importance 0, as new texts in it from page to page make it no article; inside article and main only names of whole containers
-count.
+importance 0, as new texts in it from page to page make it no article; inside article and main a name counts if all of its
+words say so.
 """
 
 from __future__ import annotations
@@ -43,6 +43,12 @@ NAMES = frozenset(
     "header masthead topbar footer sidebar aside cookie cookies consent gdpr notice notices popup modal overlay comment comments disqus respond replies share sharing social "
     "related recommended newsletter subscribe subscription signup login widget pagination pager toolbar search skip".split()
 )
+ADVERTS = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo".split())
+COMMENTS = frozenset("comment comments disqus respond replies reply".split())
+# Words that say of a name which part of a page it is for, and nothing of what it holds.
+PLACES = frozenset(
+    "list thread section box container wrapper wrap area block item items bar inner outer user users unit slot link links button buttons group panel row holder site page top bottom left right main form posts articles stories content".split()
+)
 HEADING = re.compile(r"h[1-6]$")
 _NAME_PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*|\d+")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
@@ -199,24 +205,35 @@ class Page:
     def _look(self, tag: str, attributes: str, in_main: bool) -> tuple[str, bool]:
         """(the element's name in the tree, whether it says itself that it is no main text)."""
         names, dropped = [], tag in DROPPED and not (tag == "header" and in_main)
-        if attributes and tag not in ("html", "body", "main", "article"):
+        if attributes and (tag not in ("html", "body", "main", "article") or in_main and tag == "article"):
             for key, *values in _ATTRIBUTE.findall(attributes):
                 key, value = key.lower(), "".join(values)
                 if key == "class" or key == "id":
                     if key == "class":
                         names = sorted(value.split())
-                    if self.names and (tag in CONTAINERS or not in_main and not HEADING.match(tag)):
-                        parts = set(value.lower().split()) if in_main else {x.lower() for x in _NAME_PARTS.findall(value)}
-                        dropped = dropped or bool(parts & NAMES - ({"header"} if in_main else set()))
+                    if self.names and not in_main and not HEADING.match(tag):
+                        dropped = dropped or bool({x.lower() for x in _NAME_PARTS.findall(value)} & NAMES)
+                    elif self.names and in_main:
+                        dropped = dropped or any(self._beside(tag, key, name) for name in value.split())
                 elif key == "role":
                     dropped = dropped or value.lower() in ROLES
                 elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
                     dropped = True
         return ".".join([tag, *names]), dropped
 
+    @staticmethod
+    def _beside(tag: str, key: str, name: str) -> bool:
+        """Whether a class or id inside article or main names a part that is no main text: of a container, if all its words do, or
+        say where it stands; of a paragraph, if its class is that of adverts; of an article in it, if it is one of comments."""
+        words = {x.lower() for x in _NAME_PARTS.findall(name) if not x.isdigit()}
+        if tag == "article":
+            return bool(words & COMMENTS)
+        telling = NAMES - {"header"} if tag in CONTAINERS else ADVERTS if tag == "p" and key == "class" else frozenset()
+        return bool(words & telling) and words <= telling | PLACES
+
     def main_blocks(self) -> list[tuple[int, str]]:
-        """Those of article or main where the page has any, else all."""
-        return [b for b in self.blocks if self.mains[b[0]]] or self.blocks
+        """Those of article or main where the page has one, also an empty one, else all."""
+        return [b for b in self.blocks if self.mains[b[0]]] if any(self.mains) else self.blocks
 
 
 class Paths:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import WORD
+from quern.llm.common import WORD, written
 
 
 @dataclass(frozen=True)
@@ -82,12 +82,14 @@ def best_fit(df: DataFrame, text: str = "text", source: str = "source", cluster:
     own = [c for c in df.columns if c not in (*made, text)]
     t = F.coalesce(F.col(text), F.lit(""))
     size = (F.regexp_count(t, F.lit(WORD)) + 1 if tokens is None else F.greatest(F.coalesce(tokens, F.lit(1)), F.lit(1))).cast("long")
-    groups = max(1, -(-df.count() // p.group))
     told = df.select(
         F.struct(*[F.col(f"`{c}`") for c in own]).alias("own"), F.col(f"`{source}`").cast("string").alias("source"), size.alias("size"), F.coalesce((F.xxhash64(t) if cluster is None else F.xxhash64(cluster)), F.lit(0)).alias("cluster"),
     )
     # Rows alike are counted and numbered, so where a row goes depends on the rows alone and not on how files are split.
     told = told.groupBy("own", "source", "size", "cluster").agg(F.count("*").alias("times"))
+    told = written(told)  # without texts
+    pieces = told.agg(F.coalesce(F.sum(F.col("times") * F.ceil(F.col("size") / p.capacity)), F.lit(0))).first()[0]
+    groups = max(1, -(-pieces // p.group))
     told = told.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1))).drop("times")
     told = told.withColumn("deal", F.xxhash64("own", "cluster", "copy"))
     cut = told.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / p.capacity))))

@@ -255,6 +255,18 @@ def test_html_keeps_what_an_article_says():
     assert html_text.main_text(page, {}, html_text.Tree(), html_text.Paths()) == "Search\nRelated work text\nx y z\nMenu of the day\nPrice\nA.D. 5\nIntro"
 
 
+def test_html_leaves_out_what_stands_in_an_article_but_is_none_of_it():
+    text = lambda page: html_text.main_text(page, {}, html_text.Tree(), html_text.Paths())
+    assert text("<article></article><footer>f</footer><p>Sign in to read</p>") == "" and text("<main> </main><div>x</div>") == ""
+    for part in (
+        '<div class="comment-list"><p>x</p></div>', '<section class="user-comments">x</section>', '<ul class="comment-thread"><li>x</ul>', '<article class="comment"><p>x</p></article>', '<p class="advert">x</p>',
+        '<div class="cookie-banner">x</div>', '<div id="ad-slot-3">x</div>', '<div class="wide shareButtons">x</div>', '<article id="comment-17">x</article>',
+    ):
+        for tag in ("article", "main"):
+            assert text(f"<{tag}><p>before</p>{part}<p>after</p></{tag}><p>beside</p>") == "before\nafter", part
+    assert text('<main><article class="story"><p>one</p></article><article class="story"><p>two</p></article></main>') == "one\ntwo"
+
+
 def test_style_tree_finds_boilerplate(spark):
     page = lambda i: f"<body><div class=x1>Same words on all pages</div><div class=x2><p>Own text number {i} {'w' * i}</p><p>more of {i * i}</p></div></body>"
     df = spark.createDataFrame([(i, f"http://h.org/{i}", page(i)) for i in range(1, 21)], "page_id long, url string, html string")
@@ -378,6 +390,12 @@ def test_best_fit(spark, data):
 
 # 10
 
+def test_long_texts_are_dealt_to_groups_by_their_pieces(spark):
+    df = spark.range(20).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit(60_001).alias("n"))
+    out = best_fit.best_fit(df.withColumn("text", F.col("doc_id").cast("string")), tokens=F.col("n"), params=best_fit.Packing(group=64)).groupBy("pack_group").count().collect()
+    assert sum(r["count"] for r in out) == 600 and len(out) == 10 and max(r["count"] for r in out) < 100
+
+
 def plain_groups(rows):
     sets = []
     for _, t in rows:
@@ -525,6 +543,11 @@ def lower_words(t):
     return (t or "").encode().lower().split() + [b""]
 
 
+def plain_count(byte):
+    """Counts to 64 as they are, then 191 equal steps of their logarithm up to 2^40."""
+    return byte if byte <= 64 else round(2 ** (6 + 34 * (byte - 64) / 191))
+
+
 def plain_bits(model, words, train):
     """What each word's code costs, a bit at a time, with Python numbers; words: hashes."""
     c, mask = model.coder, 0xFFFFFFFF
@@ -546,8 +569,8 @@ def plain_bits(model, words, train):
             x, seen = [], []
             for table, h in zip(model.tables, contexts, strict=True):
                 pair = int(table[((h ^ turned) * 2654435761 & mask) >> 32 - model.slot_bits])
-                counts = [pair & 255, pair >> 8]
-                if train and max(counts) < 255 and counts[bit]:
+                counts = [plain_count(pair & 255), plain_count(pair >> 8)]
+                if train and counts[bit]:
                     counts[bit] -= 1
                 x.append(math.log((counts[1] + 0.4) / (counts[0] + 0.4)))
                 seen.append(sum(sum(counts) >= k for k in (1, 3, 24)))
@@ -666,6 +689,20 @@ def test_contexts_are_counted_whole_however_texts_are_split(spark):
     assert (context_mixing._unpacked(context_mixing._packed(big), 4) == big).all()
 
 
+def test_counts_keep_their_ratio_and_lose_their_own_one():
+    pairs = np.array([[100_000, 1], [1_000_000, 3_000], [300, 1], [255, 1], [20, 1], [0, 0], [64, 65], [1 << 40, 7]])
+    coded = context_mixing._paired(pairs)
+    assert len(set(coded.tolist())) == len(pairs)
+    for (z, o), byte in zip(pairs.tolist(), coded.tolist(), strict=True):
+        assert all(abs(plain_count(b) - c) <= 0.07 * c for b, c in ((byte & 255, z), (byte >> 8, o)))
+        whole, less = context_mixing._STRETCH[byte], context_mixing._STRETCH[byte + 2 * 65536]
+        assert whole == pytest.approx(math.log((plain_count(byte >> 8) + 0.4) / (plain_count(byte & 255) + 0.4)), abs=1e-5)
+        assert less < whole or not o
+    big = np.unique(np.geomspace(1, 2.0**40, 5000).astype(np.int64))
+    back = context_mixing._COUNTED[np.searchsorted(context_mixing._MIDDLES, big)]
+    assert (np.abs(back - big) <= 0.07 * big).all()
+
+
 def test_a_word_s_costs_are_a_probability(spark):
     """Over all codes the probabilities of one context sum to one."""
     rng = np.random.default_rng(0)

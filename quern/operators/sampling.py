@@ -67,17 +67,28 @@ def drop_half(df: DataFrame, key: str, right: Column) -> DataFrame:
     return df.join(gone, key, "left_anti")
 
 
-def greedy_partition(df: DataFrame, key: str, length: str, k: int) -> DataFrame:
-    """part, total: longest first, each to the least loaded of k parts. One fold over the lengths, so for one batch."""
-    seq = df.agg(F.sort_array(F.collect_list(F.struct((-F.col(length)).alias("neg"), F.col(key).alias("key")))).alias("s"))
-    kind = "array<struct<total:bigint,part:int>>"
-    start = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.struct(F.lit(0).cast("long").alias("total"), i.cast("int").alias("part"))).cast(kind)
-
-    def put(loads: Column, x: Column) -> Column:
-        low = F.array_min(loads)
-        return F.transform(loads, lambda p: F.when(p["part"] == low["part"], F.struct((p["total"] - x["neg"]).cast("long").alias("total"), p["part"].alias("part"))).otherwise(p)).cast(kind)
-
-    return seq.select(F.inline(F.aggregate("s", start, put))).select("part", "total")
+def longest_first(lengths: list[tuple[int, int]], k: int) -> list[int]:
+    """Totals of k parts when items go, longest first, each to the least loaded part (of equal ones the first). lengths: (length,
+    how many items have it). Where all loads are nearer than a length, a round gives each part one item, so rounds go at once."""
+    heap = [(0, part) for part in range(k)]
+    for length, n in sorted(lengths, reverse=True):
+        while n:
+            if n >= k and max(heap)[0] - heap[0][0] < length:
+                heap = [(load + n // k * length, part) for load, part in heap]
+                n %= k
+            else:
+                load, part = heap[0]
+                heapq.heapreplace(heap, (load + length, part))
+                n -= 1
+    return [load for load, _ in sorted(heap, key=lambda x: x[1])]
+
+
+def greedy_partition(df: DataFrame, length: str, k: int) -> DataFrame:
+    """part, total of `longest_first`. What is sorted and dealt are the distinct lengths with their counts, which rows are added up to
+    where they lie; null lengths are 0."""
+    counts = df.groupBy(F.coalesce(F.col(length), F.lit(0)).cast("long").alias("length")).agg(F.count("*").alias("n"))
+    told = lambda pdf: pd.DataFrame({"part": range(k), "total": longest_first(list(zip(pdf["length"].tolist(), pdf["n"].tolist(), strict=True)), k)})
+    return counts.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(told, "part int, total long")
 
 
 def karmarkar_karp(lengths: list[int], k: int, equal: bool = False) -> list[list[int]]:

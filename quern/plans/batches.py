@@ -125,9 +125,12 @@ def drop_half_correct(spark, d):
     return sm.drop_half(t(spark, d, "labels"), "doc_id", F.col("quality") == 1).select("doc_id")
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT row_number() OVER (ORDER BY n_chars DESC, doc_id) AS i, n_chars AS n FROM documents), g(key, i, loads) USING KEY (key) AS (
+  SELECT 1 AS key, 0::BIGINT AS i, [0, 0, 0, 0]::BIGINT[] AS loads
+  UNION SELECT key, o.i, list_transform(loads, lambda x, k: CASE WHEN k = list_position(loads, list_min(loads)) THEN x + o.n ELSE x END) FROM g JOIN o ON o.i = g.i + 1)
+SELECT (part - 1)::INTEGER AS part, loads[part] AS total FROM g, (SELECT unnest([1, 2, 3, 4]) AS part)""")
 def greedy_partition(spark, d):
-    return sm.greedy_partition(t(spark, d, "benchmark").withColumn("n", F.length("text").cast("long")), "item_id", "n", 4)
+    return sm.greedy_partition(t(spark, d, "documents"), "n_chars", 4)
 
 
 @query()

@@ -11,6 +11,7 @@ from quern.plans.registry import ORACLES, query
 from quern.plans.relational import r6, t
 from quern.plans.series import BASE, KEYS, filled
 from quern.sources import indexes, vector_index
+from quern.sources.retrievers import retriever
 from quern.sources.shared import shared_path
 
 
@@ -58,6 +59,15 @@ def bm25_index_topk(spark, d):
     return indexes.search_postings(spark, path, t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 10)
 
 
+@query("""SELECT query_id AS id, string_agg('Doc ' || rank || '(Title: ' || split_part(text, chr(10), 1) || ') ' || substr(text, length(split_part(text, chr(10), 1)) + 2) || chr(10), '' ORDER BY rank) AS information
+  FROM (""" + _BM.format(k=3) + ") JOIN documents USING (doc_id) GROUP BY 1")
+def retrieved_context(spark, d):
+    path, docs = shared_path(spark, "postings"), t(spark, d, "documents")
+    indexes.write_postings(docs.select("doc_id", "text"), path)
+    find = retriever("bm25", path=path, corpus=docs.select("doc_id", F.col("text").alias("contents")), topk=3)
+    return find(t(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("query")))
+
+
 @query("SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY n_chars, doc_id))::INTEGER AS rank, doc_id, (-n_chars)::DOUBLE AS score FROM (" + _BM.format(k=10) + ") JOIN documents USING (doc_id) QUALIFY rank <= 3".replace("QUALIFY rank", "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n_chars, doc_id)"))
 def rerank_topk(spark, d):
     c = _bm25(spark, d, 10).join(t(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")

@@ -7,7 +7,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from quern.sources import connectors, service, tables
+from quern.sources import connectors, indexes, retrievers, service, tables, vector_index
 
 
 @pytest.fixture
@@ -51,6 +51,21 @@ def test_retrieval_by_name(spark, tmp_path, endpoint):
     assert spark.read.format("quern_retrieval").options(url=endpoint, path=str(tmp_path / "none")).load().count() == 0
 
 
+def test_retrievers_by_name(spark, tmp_path, endpoint):
+    docs = spark.createDataFrame([(1, "T1\nred apples"), (2, "T2\nred cars and red boats"), (3, "T3\nblue")], "doc_id long, contents string")
+    indexes.write_postings(docs.withColumnRenamed("contents", "text"), str(tmp_path / "p"))
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.8, 0.6]), (3, [0.0, 1.0])], "doc_id long, v array<double>")
+    vector_index.write_index(vectors, str(tmp_path / "v"))
+    asked = spark.createDataFrame([(7, "apples"), (8, "nothing at all")], "id long, query string")
+    found = lambda **o: {r["id"]: r["information"] for r in retrievers.retriever(**o)(asked).collect()}
+    assert found(kind="bm25", path=str(tmp_path / "p"), corpus=docs, topk=2) == {7: "Doc 1(Title: T1) red apples\n"}
+    encode = lambda q: F.when(F.contains(q, F.lit("apples")), F.array(F.lit(0.1), F.lit(2.0)))
+    assert found(kind="dense", path=str(tmp_path / "v"), corpus=docs, topk=2, encode=encode) == {7: "Doc 1(Title: T3) blue\nDoc 2(Title: T2) red cars and red boats\n"}
+    assert found(kind="service", url=endpoint, topk=1, batch=1, pause=0.01) == {7: "Doc 1(Title: apples) \n", 8: "Doc 1(Title: nothing at all) \n"}
+    with pytest.raises(ValueError, match="bm25, dense, service"):
+        retrievers.retriever("web")
+
+
 def test_errors_of_a_service_as_a_column(spark, endpoint):
     queries = spark.createDataFrame([(1, "a"), (2, "bad"), (3, "b")], "query_id int, query string").repartition(3)
     out = service.retrieved(queries, endpoint, 1, batch=1, errors="column", at_once=1, pause=0.01, tries=2)

@@ -1,5 +1,6 @@
 """What SQL does not reach: transcripts, partitions, warping, agents, sources, streams."""
 
+import collections
 import datetime as dt
 import hashlib
 import http.server
@@ -61,7 +62,31 @@ def test_karmarkar_karp_is_a_partition(lengths, k):
 
 def test_greedy_partition(spark):
     df = spark.createDataFrame([(i, n) for i, n in enumerate([9, 7, 6, 5, 5, 1])], "i long, n long")
-    assert sorted(r["total"] for r in sampling.greedy_partition(df, "i", "n", 3).collect()) == [10, 11, 12]
+    assert sorted(r["total"] for r in sampling.greedy_partition(df, "n", 3).collect()) == [10, 11, 12]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 30), max_size=120), st.integers(1, 6))
+def test_longest_first_by_counts_is_item_by_item(lengths, k):
+    loads = [0] * k
+    for n in sorted(lengths, reverse=True):
+        loads[loads.index(min(loads))] += n
+    assert sampling.longest_first(list(collections.Counter(lengths).items()), k) == loads
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 50), min_size=1, max_size=40), st.integers(1, 6))
+def test_partition_is_largest_differencing(lengths, k):
+    """The same with every empty part kept."""
+    order = sorted(range(len(lengths)), key=lambda i: lengths[i])
+    heap = [(-lengths[i] if k > 1 else 0, n, [[lengths[i], [i]], *([0, []] for _ in range(k - 1))]) for n, i in enumerate(order)]
+    n = len(heap)
+    while len(heap) > 1:
+        (_, _, a), (_, _, b) = (heap.pop(heap.index(min(heap, key=lambda x: x[:2]))) for _ in range(2))
+        both = sorted(([x[0] + y[0], x[1] + y[1]] for x, y in zip(a, reversed(b), strict=True)), key=lambda p: -p[0])
+        heap.append((both[-1][0] - both[0][0], n, both))
+        n += 1
+    assert sorted(sampling.karmarkar_karp(lengths, k)) == sorted(sorted(p[1]) for p in heap[0][2])
 
 
 def test_warping_is_the_plain_recurrence():

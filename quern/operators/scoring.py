@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.operators.ranks import before, number_order
+from quern.operators.ranks import below
 from quern.sources.shared import kept
 
 
@@ -28,14 +28,14 @@ def _by_threshold(df: DataFrame, truth: str, score: str) -> DataFrame:
 def auroc(df: DataFrame, truth: str, score: str) -> DataFrame:
     """Area under the receiver curve by mid-ranks; 0 where a class is missing."""
     steps = kept(_by_threshold(df, truth, score), "thresholds")
-    steps = before(steps, [], number_order(steps, "s"), below=F.col("n")).withColumn("won", F.col("p") * (F.col("below") + F.col("n") / 2))
+    steps = below(steps, [], "s", below=F.col("n")).withColumn("won", F.col("p") * (F.col("below") + F.col("n") / 2))
     return steps.agg(F.coalesce(F.try_divide(F.sum("won"), F.sum("p") * F.sum("n").cast("double")), F.lit(0.0)).alias("auroc"))
 
 
 def average_precision(df: DataFrame, truth: str, score: str) -> DataFrame:
     """Sum over distinct thresholds of the step in recall times precision; 0 where a class is missing."""
     steps = kept(_by_threshold(df, truth, score), "thresholds")
-    steps = before(steps, [], number_order(steps, "s", ascending=False), ps=F.col("p"), ns=F.col("n"))
+    steps = below(steps, [], "s", ascending=False, ps=F.col("p"), ns=F.col("n"))
     p, n = F.col("ps") + F.col("p"), F.col("ns") + F.col("n")
     steps = steps.withColumn("ap", F.col("p") * p / (p + n))
     return steps.agg(F.when(F.sum("n") > 0, F.coalesce(F.try_divide(F.sum("ap"), F.sum("p")), F.lit(0.0))).otherwise(0.0).alias("auprc"))
@@ -51,11 +51,11 @@ def rollup_accuracy(df: DataFrame, source: str, correct: Column, em: Column) ->
 def percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], count: str | None = None) -> DataFrame:
     """keys and a column for each share: the exact percentile, between neighbouring ranks by the line through them.
 
-    Rows of a value are counted first; counts before a value come from sums by buckets, and only the values that hold the ranks
-    are read. No task holds a group. Nulls are no values; a group without any gives nulls. count: how often a row counts."""
+    Rows of a value are counted first; counts before a value come from sums by buckets (of few values from a window), and only the
+    values that hold the ranks are read. No task holds the rows of a group. Nulls are no values; a group without any gives nulls. count: how often a row counts."""
     n = F.count("__x") if count is None else F.sum(F.when(F.col("__x").isNotNull(), F.col(count)).otherwise(0))
     counts = kept(df.withColumn("__x", F.col(value)).groupBy(*keys, "__x").agg(n.alias("__n")), "counts")
-    told = before(counts, keys, number_order(counts, "__x"), __below=F.col("__n"))
+    told = below(counts, keys, "__x", __below=F.col("__n"))
     sizes = counts.groupBy(*[F.col(k).alias(f"__g_{k}") for k in keys]).agg(F.sum("__n").alias("__all"))
     on = [F.col(k).eqNullSafe(F.col(f"__g_{k}")) for k in keys] or [F.lit(True)]
     told = told.join(sizes, reduce(lambda a, b: a & b, on))

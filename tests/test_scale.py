@@ -275,7 +275,9 @@ def test_advantages_of_a_long_sequence(spark):
     assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
 
 
-def test_percentiles_are_exact(spark):
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_percentiles_are_exact(spark, monkeypatch, few):
+    monkeypatch.setattr(ranks, "FEW", few)
     r = random.Random(6)
     rows = [("a", float(r.randint(0, 50))) for _ in range(999)] + [("b", r.random()) for _ in range(10)] + [(None, 1.0), ("c", None)] + [("b", None)]
     df = spark.createDataFrame(rows, "g string, x double")
@@ -284,6 +286,9 @@ def test_percentiles_are_exact(spark):
         xs = [x for h, x in rows if h == g and x is not None]
         assert out[g] == pytest.approx(tuple(np.percentile(xs, [50, 99, 0, 100])))
     assert out["c"] == (None,) * 4
+    hits = spark.createDataFrame([(r.randint(0, 1), r.randint(0, 9) / 10) for _ in range(300)], "t int, s double")
+    pos, neg = ([x["s"] for x in hits.filter(F.col("t") == t).collect()] for t in (1, 0))
+    assert scoring.auroc(hits, "t", "s").first()[0] == pytest.approx(sum((p > n) + (p == n) / 2 for p in pos for n in neg) / len(pos) / len(neg))
     plan = scoring.length_stats(df, "g", F.col("x"))._jdf.queryExecution().optimizedPlan().toString()
     assert "percentile(" not in plan
 

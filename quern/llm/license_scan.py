@@ -1,8 +1,8 @@
 """License scans by ordered signature rules, with DataFrame functions alone.
 
 Hand-written rules for the texts and notices of licenses stand beside rules for what names one: each family of licenses has
-hand-written patterns for its name and its address, and five forms (identifier tag, grant, address, title, mention) make
-rules of them, so a form written once holds for all families. A rule runs on a text only if the text holds the rule's keyword,
+hand-written patterns for its name and its address, and forms (identifier tag, grant, address, title, member of a list, short
+form with a version, mention) make rules of them, so a form written once holds for all families. A rule runs on a text only if the text holds the rule's keyword,
 and none on a text that no rule can match, which the gate tells from the rules themselves. Rules see a text with its white
 space, line ends with the comment marks around them included, as one space each. Detections are intervals of characters. A
 name that a negation stands before ("not under the ...") is no detection. One that lies inside another of the same or a higher
@@ -194,6 +194,7 @@ class Rule:
     priority: int
     keyword: str
     pattern: str
+    also: str = ""
 
 
 def hosts(url: str) -> list[str]:
@@ -201,16 +202,32 @@ def hosts(url: str) -> list[str]:
     return re.sub(r"^\(\?:(.*?)\)", r"\1", url.split("/")[0]).replace("\\b", "").replace("\\.", ".").split("|")
 
 
+#: Families whose tags, and names with a version, tell a license wherever they stand; words that each of these forms holds.
+SHORT = ("gpl", "lgpl", "agpl", "apache", "mpl", "epl", "bsd", "cc")
+SHORT_WORDS = ("gpl", "bsd-", "bsd ", "apache", "mpl", "mozilla", "epl-", "eclipse", "general public", "affero", "cc-by", "cc by", "cc0", "creative commons")
+#: Names that are words of other things too, so no member of a list is known by them.
+COMMON = ("ruby", "openssl", "postgresql", "x11", "libpng", "zlib")
+
+
 def rules() -> list[Rule]:
-    """All rules, in their order."""
+    """All rules, in their order. also: what a text has to hold besides a keyword."""
     out = []
     for label, tag, name, url, word in FAMILIES:
-        out.append(Rule(label, 4, "spdx", rf"spdx-licen[sc]e-identifier: ?(?:\(?[\w.+-]+ (?:or|and|with) )*{tag}(?![\w.+-])"))
+        out.append(Rule(label, 4, "spdx", rf"spdx-licen[sc]e-identifier: ?\(*{tag}(?![\w.+-])"))
+        out.append(Rule(label, 4, "spdx", rf"(?<![\w.+-])(?:or|and|with) \(*{tag}(?![\w.+-])", "-identifier:"))
         out.append(Rule(label, 3, word, rf"(?<!\w){GRANT}(?:{name})(?:{LICENSE})?(?!\w)"))
         if url:
             out.append(Rule(label, 3, "|".join(hosts(url)), rf"(?:https?://)?(?:www\.)?{url}"))
         out.append(Rule(label, 2, word, rf"(?<!\w)(?:the )?(?:{name}){LICENSE}(?!\w)"))
-        out.append(Rule(label, 1, word, rf"licen[sc]e[:=] ?\"?(?:{name})(?!\w)"))
+        if label not in COMMON:
+            out.append(Rule(label, 2, word, rf"(?:, (?:or |and )?|(?<!\w)(?:or|and) )(?:the )?(?:{name}|{tag})(?:{LICENSE})?(?!\w)", "ed under "))
+        if label.split("-")[0] in SHORT:
+            if "-" in tag:
+                out.append(Rule(label, 2, word, rf"(?<![\w.-])(?:{tag})(?![\w+-]|\.\w)"))
+            later = r"(?:(?<=[1-4]\.[05])| [1-4]\.[05])" if label.startswith("cc-by") else r"(?:\+| or (?:any )?later| only)"
+            out.append(Rule(label, 2, word, rf"(?<!\w)(?:{name}){later}(?!\w)"))
+        out.append(Rule(label, 1, word, rf"(?:licen[sc]e|lizenz|licencia|licenza) ?[:=] ?[\"'(]{{0,2}}(?:{name}|{tag})(?!\w)"))
+        out.append(Rule(label, 1, word, rf"licen[sc]e-(?:{tag})(?![\w-])"))
     out += [Rule(label, 3, word, rf"(?<!\w)(?:{pattern})") for label, word, pattern in BODIES]
     return out + [Rule(label, p, word, rf"(?<!\w)(?:{pattern})(?!\w)") for label, p, word, pattern in OTHERS]
 
@@ -253,6 +270,7 @@ def _can_match(text: Column) -> Column:
     sites = {h for _, _, _, url, _ in FAMILIES if url for h in hosts(url)}
     named = {w for _, _, word, _ in OTHERS for w in word.split("|")} | {word for _, word, _ in BODIES} | {"license", "licence"}
     addressed = _any(text, {"." + h.rsplit(".", 1)[1] for h in sites}) & _any(text, sites)
+    named |= {*SHORT_WORDS, *TONGUES}
     return _any(text, named) | addressed | text.rlike(rf"(?<!\w){GRANT}(?:{names})")
 
 
@@ -262,9 +280,12 @@ def _may_match(low: Column) -> Column:
     whole = [w for _, _, word, _ in OTHERS for w in word.split("|")] + [word for _, word, _ in BODIES]
     named = {"license", "licence"} | {max(w.split(), key=len) for w in whole if "license" not in w}
     verbs = {"licensed", "licenced", "released", "distributed", "available", "published", "provided", "covered", "governed", "redistribute"}
-    return _any(low, named | verbs) | (_any(low, {"." + h.rsplit(".", 1)[1] for h in sites}) & _any(low, sites))
+    short = {max(w.split(" "), key=len) if " " in w.strip() and not w.startswith("cc") else w for w in SHORT_WORDS}
+    return _any(low, named | verbs | short | {*TONGUES}) | (_any(low, {"." + h.rsplit(".", 1)[1] for h in sites}) & _any(low, sites))
 
 
+#: The word license where it is another one.
+TONGUES = ("lizenz", "licencia", "licenza")
 _BLOCK = 128
 
 
@@ -282,7 +303,7 @@ def _running(sizes: Column) -> Column:
 def detections(text: Column) -> Column:
     """All matches of the rules in a flattened, lower-cased text: an array of (start, less, rank, rule, label, priority, end, negated), sorted so that an
     interval stands after all that it may lie in; less and rank are -end and -priority."""
-    told = [F.struct(F.lit(k).alias("rule"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.array(*map(F.lit, r.keyword.split("|"))).alias("words"), F.lit(r.pattern).alias("pattern")) for k, r in enumerate(rules())]
+    told = [F.struct(F.lit(k).alias("rule"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.array(*map(F.lit, r.keyword.split("|"))).alias("words"), F.lit(r.pattern).alias("pattern"), F.lit(r.also).alias("also")) for k, r in enumerate(rules())]
 
     def of(r: Column) -> Column:
         def spans(found: Column) -> Column:
@@ -298,7 +319,7 @@ def detections(text: Column) -> Column:
 
         return _let(F.regexp_extract_all(text, r["pattern"], F.lit(0)), spans)
 
-    return F.sort_array(F.flatten(F.transform(F.filter(F.array(*told), lambda r: F.exists(r["words"], lambda w: F.contains(text, w))), of)))
+    return F.sort_array(F.flatten(F.transform(F.filter(F.array(*told), lambda r: F.contains(text, r["also"]) & F.exists(r["words"], lambda w: F.contains(text, w))), of)))
 
 
 def surviving(found: Column) -> Column:

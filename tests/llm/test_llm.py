@@ -147,11 +147,24 @@ def test_license_gate_and_gaps(spark):
             assert not re.search(rule.pattern, text) or any(w in text for w in rule.keyword.split("|"))
 
 
+def test_license_names_in_lists_tags_and_short_forms(spark):
+    """Labels written by hand, by no rule."""
+    cases = {
+        "SPDX-License-Identifier: (MIT OR Apache-2.0)": "apache-2.0,mit", "SPDX-License-Identifier: GPL-2.0-only WITH x": "gpl-2.0", "// SPDX-License-Identifier: MIT AND (ISC OR Zlib)": "isc,mit,zlib",
+        "Dual licensed under MIT or Apache-2.0": "apache-2.0,mit", "It is licensed under the MIT, BSD-3-Clause and Apache 2.0 licenses.": "apache-2.0,bsd-3-clause,mit", 'license = "MIT"': "mit", "license: 'ISC'": "isc", "Lizenz: MIT": "mit",
+        "GNU GPL v2 or later": "gpl-2.0", "GPLv3+": "gpl-3.0", "AGPLv3 only": "agpl-3.0", "BSD-3-Clause": "bsd-3-clause", "(c) me, BSD-2-Clause.": "bsd-2-clause", "CC BY-NC-SA 4.0": "cc-by-nc-sa", "Creative Commons Attribution 4.0 International": "cc-by",
+        "Creative Commons\nAttribution-ShareAlike 3.0": "cc-by-sa", "See the LICENSE-MIT file": "mit", "LICENSE-APACHE": "apache", "Apache-2.0": "apache-2.0",
+        "We met with Apache tribes or later": "", "mit dem Hund und der Katze": "", "cc by mail": "", "ruby or python, and mit": "", "x-gpl-3.0x or a bsd-3-clausette": "", "the creative commons": "",
+    }
+    out = license_scan.license_scan(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).collect()
+    assert {r["text"]: r["labels"] for r in out} == cases
+
+
 def plain_license(flat):
     """(labels, highest confidence) by all rules on a lower-cased text of single spaces."""
     found = []
     for k, r in enumerate(license_scan.rules()):
-        if any(w in flat for w in r.keyword.split("|")):
+        if r.also in flat and any(w in flat for w in r.keyword.split("|")):
             before = 0
             for m in re.finditer(r.pattern, flat):
                 said_no = re.search(license_scan.NEGATION, flat[max(before, m.start() - 96) : m.start()])

@@ -26,10 +26,10 @@ def text_rules(text: Column) -> list[Column]:
     """Failure of A (under 200 words), B (under half of the words are distinct), C (over 3 % of the code points are A-Z) and
     D (holds one of # $ % & * |), in this order."""
     words = F.regexp_extract_all(text, F.lit(WORD), 0)
-    n = F.size(words)
+    n = F.size(words).cast("long")
     return [
         n < 200,
-        100 * F.size(F.array_distinct(words)) < 50 * n,
+        100 * F.size(F.array_distinct(words)).cast("long") < 50 * n,
         100 * F.regexp_count(text, F.lit("[A-Z]")).cast("long") > 3 * F.length(text).cast("long"),
         text.rlike(r"[#$%&*|]"),
     ]

@@ -19,7 +19,7 @@ from quern.llm.quality_rules import quality_rules
 from quern.llm.sentence_pieces import sentencepiece_decode, sentencepiece_encode
 from quern.llm.source_mix import source_mix
 from quern.llm.token_counts import token_counts
-from quern.llm.url_filter import TWO_LABEL_SUFFIXES, url_filter
+from quern.llm.url_filter import CATEGORIES, COUNTRIES, url_filter
 
 
 def vocabulary(name: str) -> str:
@@ -118,7 +118,8 @@ def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op9_sql() -> str:
-    two = ", ".join(f"'{x}'" for x in TWO_LABEL_SUFFIXES)
+    one_of = lambda x, names: f"{x} IN ({', '.join(map(repr, names))})"
+    two = f"{one_of('parts[-1]', COUNTRIES)} AND len(parts) > 1 AND {one_of('parts[-2]', CATEGORIES)}"
 
     def level(name: str, source: str) -> str:
         """The posterior of a level, from rows with n, k and prior."""
@@ -134,8 +135,8 @@ outcomes AS (SELECT doc_id AS page, max(CASE WHEN quality IS NULL AND toxic IS N
 known AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS k FROM (SELECT DISTINCT page_id AS page, host FROM told) LEFT JOIN outcomes USING (page) GROUP BY 1),
 named AS (SELECT *, string_split(regexp_replace(regexp_replace(host, '^.*@', ''), ':\d*$', ''), '.') AS parts, regexp_replace(regexp_replace(host, '^.*@', ''), ':\d*$', '') AS name FROM known),
 hosts AS (SELECT host, n::DOUBLE AS n, k::DOUBLE AS k,
-  CASE WHEN regexp_matches(name, '^[0-9.]*$') THEN name WHEN array_to_string(parts[-2:], '.') IN ({two}) THEN array_to_string(parts[-3:], '.') ELSE array_to_string(parts[-2:], '.') END AS domain,
-  CASE WHEN regexp_matches(name, '^[0-9.]*$') THEN '' WHEN array_to_string(parts[-2:], '.') IN ({two}) THEN array_to_string(parts[-2:], '.') ELSE parts[-1] END AS suffix FROM named),
+  CASE WHEN regexp_matches(name, '^[0-9.]*$') THEN name WHEN {two} THEN array_to_string(parts[-3:], '.') ELSE array_to_string(parts[-2:], '.') END AS domain,
+  CASE WHEN regexp_matches(name, '^[0-9.]*$') THEN '' WHEN {two} THEN array_to_string(parts[-2:], '.') ELSE parts[-1] END AS suffix FROM named),
 suffix_in AS (SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT (sum(k) + 1) / (sum(n) + 2) FROM hosts) AS prior, (SELECT sum(n) + 2 FROM hosts) AS rests FROM hosts GROUP BY 1), {level("suffixes", "suffix_in")},
 domain_in AS (SELECT h.*, rate AS prior, size AS rests FROM (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY 1, 2) h JOIN suffixes USING (suffix)), {level("domains", "domain_in")},
 host_in AS (SELECT h.host, h.n, h.k, d.rate AS prior, d.size AS rests FROM hosts h JOIN domains d USING (domain, suffix)), {level("posterior", "host_in")},

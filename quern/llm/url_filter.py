@@ -19,8 +19,12 @@ from quern.llm.common import written
 #: (verdict, host and path); a rule fits its host and all subdomains where the path starts with the rule's.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 
-#: Suffixes of two labels under which names are registered.
-TWO_LABEL_SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.uk", "net.au", "or.jp", "org.au", "org.uk")
+#: Countries in which names are registered under a category, and these categories: a suffix of two labels is one of each.
+COUNTRIES = tuple(
+    "ae ar au bd bh bn bo br bw bz cn co cr cu cy do ec eg et fj gh gi gt gu hk hn id il in iq jm jo jp ke kh kr kw lb lk ls ly mm mo mt mw mx my mz na ng ni np nz om "
+    "pa pe pg ph pk pr ps py qa sa sb sg sl sv sy th tj tr tw tz ua ug uk uy uz ve vn ye za zm zw".split()
+)
+CATEGORIES = tuple("ac co com edu go gob gov govt ltd mil ne net nom or org plc sch school".split())
 
 
 @dataclass(frozen=True)
@@ -58,7 +62,7 @@ def _parents(host: Column) -> tuple[Column, Column]:
     name = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), r":\d*$", "")
     parts = F.split(name, r"\.")
     last_two, last_three = F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), 2), "."), F.array_join(F.slice(parts, F.greatest(F.size(parts) - 2, F.lit(1)), 3), ".")
-    two = last_two.isin(*TWO_LABEL_SUFFIXES)
+    two = F.element_at(parts, -1).isin(*COUNTRIES) & F.coalesce(F.get(parts, F.size(parts) - 2).isin(*CATEGORIES), F.lit(False))
     number = name.rlike(r"^[\d.]*$")
     return F.when(number, name).when(two, last_three).otherwise(last_two), F.when(number, F.lit("")).when(two, last_two).otherwise(F.element_at(parts, -1))
 

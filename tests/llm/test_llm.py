@@ -221,6 +221,12 @@ def test_url_filter_odd(spark):
     assert len(url_filter.url_filter(long, labels).first()["path"]) == 400_001
 
 
+def test_domains_and_suffixes(spark):
+    cases = {"a.b.example.com": ("example.com", "com"), "x.shop.com.ng": ("shop.com.ng", "com.ng"), "a.co.uk:80": ("a.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "uk": ("uk", "uk"), "web.de": ("web.de", "de"), "a.com.de": ("com.de", "de"), "me@b.or.jp": ("b.or.jp", "or.jp"), "10.0.0.1": ("10.0.0.1", ""), "": ("", "")}
+    df = spark.createDataFrame([(h,) for h in cases], "h string")
+    assert {r["h"]: (r["d"], r["s"]) for r in df.select("h", *[c.alias(n) for c, n in zip(url_filter._parents(F.col("h")), "ds", strict=True)]).collect()} == cases
+
+
 def test_each_level_of_a_reputation_changes_a_verdict(spark):
     """Bad pages out of 20 by host. new hosts have no labels and take what their domain or suffix gives."""
     bad = {f"h{i}.fine{j}.net": 1 for i in range(4) for j in range(30)}

@@ -67,7 +67,7 @@ def pack(lengths: list[int], clusters: list, sources: list, capacity: int, per_s
     return out
 
 
-def best_fit(df: DataFrame, text: str = "text", source: str = "source", cluster: Column | None = None, tokens: Column | None = None, params: Packing | None = None) -> DataFrame:
+def best_fit(df: DataFrame, text: str = "text", source: str = "source", cluster: Column | None = None, tokens: Column | None = None, along: Column | None = None, params: Packing | None = None) -> DataFrame:
     """A row a piece: the columns of df except the text, and piece (from 0), start, length (tokens of the document),
     pack_group, bin, place (in the window), all long; (pack_group, bin) tells windows apart.
 
@@ -75,7 +75,8 @@ def best_fit(df: DataFrame, text: str = "text", source: str = "source", cluster:
     window; by default those with equal texts. Null texts are empty: one token. Null sources are a source. A document
     longer than a window fills whole windows and packs the rest. Pieces of one document may not share a window either.
     Repeated rows are copies of each other; an empty table gives an empty one. Columns of df with these names are replaced;
-    none may be a map. Ties in length go by a hash of the row. The result does not depend on the order of the rows.
+    none may be a map. along: a document's place in an order, from 0 to under 1; groups are then stretches of that order, of about as
+    many documents each, and pieces of a document stay together (null: at the start); by default a hash deals pieces. Ties in length go by a hash of the row. The result does not depend on the order of the rows.
     """
     p = params or Packing()
     made = ("piece", "start", "length", "pack_group", "bin", "place")
@@ -84,9 +85,10 @@ def best_fit(df: DataFrame, text: str = "text", source: str = "source", cluster:
     size = (F.regexp_count(t, F.lit(WORD)) + 1 if tokens is None else F.greatest(F.coalesce(tokens, F.lit(1)), F.lit(1))).cast("long")
     told = df.select(
         F.struct(*[F.col(f"`{c}`") for c in own]).alias("own"), F.col(f"`{source}`").cast("string").alias("source"), size.alias("size"), F.coalesce((F.xxhash64(t) if cluster is None else F.xxhash64(cluster)), F.lit(0)).alias("cluster"),
+        (F.lit(None).cast("double") if along is None else F.coalesce(along.cast("double"), F.lit(0.0))).alias("along"),
     )
     # Rows alike are counted and numbered, so where a row goes depends on the rows alone and not on how files are split.
-    told = told.groupBy("own", "source", "size", "cluster").agg(F.count("*").alias("times"))
+    told = told.groupBy("own", "source", "size", "cluster", "along").agg(F.count("*").alias("times"))
     told = written(told)  # without texts
     pieces = told.agg(F.coalesce(F.sum(F.col("times") * F.ceil(F.col("size") / p.capacity)), F.lit(0))).first()[0]
     groups = max(1, -(-pieces // p.group))
@@ -94,7 +96,8 @@ def best_fit(df: DataFrame, text: str = "text", source: str = "source", cluster:
     told = told.withColumn("deal", F.xxhash64("own", "cluster", "copy"))
     cut = told.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / p.capacity))))
     cut = cut.withColumn("start", F.col("piece") * p.capacity).withColumn("length", F.least(F.col("size") - F.col("start"), F.lit(p.capacity)))
-    cut = cut.withColumn("pack_group", F.pmod(F.xxhash64("deal", "piece"), F.lit(groups)))
+    dealt = F.pmod(F.xxhash64("deal", "piece"), F.lit(groups)) if along is None else F.least(F.floor(F.col("along") * groups), F.lit(groups - 1))
+    cut = cut.withColumn("pack_group", dealt.cast("long"))
 
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["deal", "size", "piece"], kind="stable", ignore_index=True)

@@ -768,3 +768,34 @@ def test_pipeline(spark, data):
     for _, window in packed.groupby(["pack_group", "bin"]):
         assert window.length.sum() <= 2048 and window.doc_id.is_unique and window.source.value_counts().max() <= 4
         assert sorted(window.place) == list(range(len(window)))
+
+
+def test_windows_of_the_pipeline_follow_the_mix(spark):
+    """Each group packs a stretch of the mix: its documents are of the sources by their weights, within a block."""
+    rows = [(i, f"{'w ' * 400}{i}", "abc"[(i % 10 > 4) + (i % 10 > 7)]) for i in range(6000)]
+    docs = spark.createDataFrame(rows + [(None, None, None), (None, None, None), (1, "x " * 30_000, "a")], "doc_id long, text string, source string")
+    out = corpus_pipeline.pack(spark, docs, "").toPandas()
+    assert out.pack_group.nunique() > 1 and out.groupby("doc_id").ngroups == 6000 and len(out) == 6002 + -(-30_001 // 2048)
+    share = {"a": 0.5, "b": 0.3, "c": 0.2}
+    for _, group in out[out.doc_id != 1].groupby("pack_group"):
+        n = group.source.value_counts()
+        assert all(abs(n.get(s, 0) - share[s] * len(group)) <= 2 * 64 for s in share)
+    ranges = out.groupby("pack_group").slot.agg(["min", "max"]).sort_index()
+    assert (ranges["min"].iloc[1:].to_numpy() > ranges["max"].iloc[:-1].to_numpy()).all()  # stretches follow each other
+    for _, window in out.groupby(["pack_group", "bin"]):
+        assert window.length.sum() <= 2048
+
+
+def test_stages_take_odd_rows(spark):
+    """Null ids and texts, very long texts, repeated rows and columns with clashing names."""
+    rows = [(None, None, None, None, None), (1, None, "en", "s", 0), (1, None, "en", "s", 0), (2, "", "de", None, 0), (3, "word " * 60_000, "en", "s", 1), (4, " ".join(f"w{k}" for k in range(120)), "en", "t", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    more = docs.withColumns({c: F.lit("clash") for c in ("slot", "place", "piece", "kept", "__size", "component_id")})
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["quality"](spark, more, "")
+    assert [r["doc_id"] for r in kept.collect()] == [4] and kept.columns == docs.columns
+    assert sorted(str(r["doc_id"]) for r in stages["near_duplicates"](spark, more, "").collect()) == sorted(["None", "1", "1", "2", "3", "4"])
+    mixed = stages["mix"](spark, more, "")
+    assert mixed.columns == docs.columns and {r["doc_id"] for r in mixed.collect()} == {None, 1, 2, 3, 4}
+    packed = stages["pack"](spark, more, "").collect()
+    assert sum(r["length"] for r in packed) == 4 + 60_001 + 121 and len(packed) == 5 + -(-60_001 // 2048)

@@ -7,12 +7,13 @@ is written as Parquet and read again as the next one's docs.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quern.llm.best_fit import best_fit
-from quern.llm.common import table, written
+from quern.llm.common import WORD, table, written
 from quern.llm.jaccard_join import one_of_each
 from quern.llm.quality_rules import quality_rules
-from quern.llm.source_mix import source_mix
+from quern.llm.source_mix import Mix, source_mix
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -48,11 +49,18 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes: (pack_group, bin) is a window.
-
-    Null and empty texts are their end token alone; very long texts are cut into pieces, all of which are packed.
-    Repeated rows never share a window; ties in length go by the rows' keys. An empty table gives an empty one."""
-    return best_fit(_documents(docs).select("doc_id", "source", "text"))
+    """Where each piece of each document goes: (pack_group, bin) is a window, slot the place in the mix.
+
+    A group packs a stretch of the mix, so its windows hold the sources by their weights: documents are scheduled once more, each
+    once, by the rows that their sources have here, and texts are left behind before that. Null and empty texts are their end
+    token alone; very long texts are cut into pieces, all of which are packed. Repeated rows never share a window; ties in length
+    go by the rows' keys. An empty table gives an empty one."""
+    text = F.coalesce("text", F.lit(""))
+    told = docs.select("doc_id", "source", (F.regexp_count(text, F.lit(WORD)) + 1).alias("__size"), F.xxhash64(text).alias("__cluster"))
+    placed = written(source_mix(told, params=Mix(power=1.0, once=True)))
+    slots = (placed.agg(F.max("slot")).first()[0] or 0) + 1
+    rows = placed.select("doc_id", "source", "slot", "__size", "__cluster", (F.col("slot") / slots).alias("__along"), F.lit(None).cast("string").alias("text"))
+    return best_fit(rows, cluster=F.col("__cluster"), tokens=F.col("__size"), along=F.col("__along")).drop("__size", "__cluster", "__along")
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("mix", mix), ("pack", pack)]

@@ -104,7 +104,8 @@ def stat_neighbours(series: DataFrame, entity: str, item: str, value: str, k: in
 
     The similarity of two entities is 1 - (|mean difference| + |deviation difference|) / (2 range), in [0, 1], averaged over the
     items that both have, to `digits` places. Exact: blocks compare themselves first, and then only those others whose bound
-    reaches the lowest k-th score in the block. A task holds two blocks, however many entities are alike. Rows without a value
+    reaches the lowest k-th score in the block. A task holds two blocks, however many entities are alike. Bounds are made for all
+    pairs of blocks: (entities / block) squared, times the items two blocks share. Rows without a value
     say nothing; entities that share no item are not neighbours."""
     rows = in_blocks(_profiles(series, entity, item, value), ["signature", "z", "entity"], block)
     kind = dict(rows.dtypes)["entity"]

@@ -116,15 +116,15 @@ class Index:
         return self.spark.read.parquet(f"{self.path}/lists").filter(F.col("list").isin(lists))
 
     def _scored(self, asked: DataFrame, k: int, digits: int | None) -> DataFrame:
-        """The k best rows of each query in its lists. A large list is met in blocks, many queries as well."""
+        """The k best rows of each query in its lists. A large list is met in blocks, many queries as well. The table of lists is
+        sent to all tasks: it is smaller than the centres, which they have."""
         each = asked.select("query_id", "v", F.explode("lists").alias("list"))
         wanted = [r[0] for r in each.select("list").distinct().collect()]  # no more than there are lists
-        cuts = {int(n): -(-int(s) // self.block) for n, s in zip(self.lists, self.sizes, strict=True) if s > self.block}
-        cut = F.coalesce(F.create_map(*[F.lit(x) for kv in cuts.items() for x in kv])[F.col("list")], F.lit(1)) if cuts else F.lit(1)
+        cuts = self.spark.createDataFrame([(int(n), -(-int(s) // self.block)) for n, s in zip(self.lists, self.sizes, strict=True)], "list int, cut int")
         parts = max(1, -(-asked.count() // self.block))
-        docs = self.rows(wanted).select("doc_id", "v", "list", F.pmod(F.xxhash64("doc_id"), cut).cast("int").alias("a"))
+        docs = self.rows(wanted).join(F.broadcast(cuts), "list").select("doc_id", "v", "list", F.pmod(F.xxhash64("doc_id"), "cut").cast("int").alias("a"))
         docs = docs.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        each = each.withColumn("a", F.explode(F.sequence(F.lit(0), (cut - 1).cast("int")))).withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
+        each = each.join(F.broadcast(cuts), "list").withColumn("a", F.explode(F.sequence(F.lit(0), F.col("cut") - 1))).drop("cut").withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
         kinds = dict(docs.dtypes) | dict(asked.dtypes)
         found = docs.groupBy("list", "a", "b").cogroup(each.groupBy("list", "a", "b"))
         return found.applyInPandas(rt.block_product(k, digits), f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, score double")

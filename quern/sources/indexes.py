@@ -23,8 +23,8 @@ def write_postings(corpus: DataFrame, path: str, docs: int = 128, parts: int = 6
     corpus.select(F.size(words).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{path}/size")
     told = corpus.sparkSession.read.parquet(f"{path}/size").first()
     blocks = max(1, -(-told["n"] // docs))
-    rows = corpus.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"), words.alias("w")).repartition(parts, "block")
-    each = rows.select("block", "doc_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
+    rows = corpus.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"), "text").repartition(parts, "block")  # texts are smaller than their words
+    each = rows.select("block", "doc_id", words.alias("w")).select("block", "doc_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
     counts = each.groupBy("block", "doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     added = counts.select("block", "doc_id", "term", rt.bm25_part(F.col("tf"), F.col("dl"), told["avgdl"], k1, b).alias("part"))
     listed = added.groupBy("block", "term").agg(F.count("*").alias("n"), F.max("part").alias("top"), F.sort_array(F.collect_list(F.struct("doc_id", "part"))).alias("docs"))

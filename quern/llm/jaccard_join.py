@@ -24,6 +24,7 @@ hashes, sets by 128-bit ones.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -228,12 +229,13 @@ def _shared(heads: DataFrame, p: Join) -> np.ndarray:
         value = value[1:][value[1:] == value[:-1]].astype(np.int64) & ((1 << (40 - bits)) - 1)
         out = np.zeros(1 << (p.shared_bits - bits), dtype=bool)
         out[value >> (40 - p.shared_bits)] = True
-        return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "found": [np.packbits(out).tobytes()]})
+        return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "found": [zlib.compress(np.packbits(out).tobytes(), 1) if out.any() else b""]})
 
     out = np.zeros((1 << bits, 1 << (p.shared_bits - bits - 3)), dtype=np.uint8)
     found = heads.select("head").mapInArrow(tell, "chunk long, found binary").groupBy("chunk").applyInPandas(twice, "chunk long, found binary")
     for row in found.toLocalIterator():
-        out[row["chunk"]] = np.frombuffer(row["found"], dtype=np.uint8)
+        if row["found"]:
+            out[row["chunk"]] = np.frombuffer(zlib.decompress(row["found"]), dtype=np.uint8)
     return out.reshape(-1)
 
 

@@ -123,6 +123,95 @@ def stat_neighbours(series: DataFrame, entity: str, item: str, value: str, k: in
     return best(own.drop("rank").unionByName(away), "a", "similarity", "b", k).select("a", "rank", "b", "similarity"), pairs
 
 
+def _packed_blocks(series: DataFrame, entity: str, item: str, value: str, label: Column, block: int) -> DataFrame:
+    """A row a block of about `block` entities: labels, items with their range over all entities, and has, m, s (entities x items) as bytes."""
+    stats = series.groupBy(F.col(entity).alias("entity"), F.col(item).alias("item")).agg(F.avg(value).alias("m"), F.stddev_pop(value).alias("s"))
+    spread = series.groupBy(F.col(item).alias("item")).agg((F.max(value) - F.min(value)).alias("range"))
+    told = kept(stats.join(spread, "item").filter("entity IS NOT NULL").withColumn("label", label), "told")
+    blocks = max(1, -(-told.select("entity").distinct().count() // block))
+    kinds = dict(told.dtypes)
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        who, first, at = np.unique(pdf["entity"].to_numpy(), return_index=True, return_inverse=True)
+        what, items = pd.factorize(pdf["item"], sort=True)
+        has = np.zeros((len(items), len(who)), dtype=bool)
+        m, s, ranges = np.zeros(has.shape), np.zeros(has.shape), np.zeros(len(items))
+        has[what, at], m[what, at], s[what, at], ranges[what] = True, pdf["m"], pdf["s"], pdf["range"]
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "labels": [pdf["label"].to_numpy()[first].tolist()], "items": [list(items)], "ranges": [ranges.tolist()], "has": [has.tobytes()], "m": [m.tobytes()], "s": [s.tobytes()]})
+
+    schema = f"block long, labels array<{kinds['label']}>, items array<{kinds['item']}>, ranges array<double>, has binary, m binary, s binary"
+    return kept(told.withColumn("block", F.pmod(F.xxhash64("entity"), F.lit(blocks))).groupBy("block").applyInPandas(pack, schema), "packed")
+
+
+def _similarity_sums(digits: int, tile: int = 512) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Of the pairs between the two blocks of a group (within, if it has one): same (label), n, total of similarities rounded to `digits`
+    places, in units of the last one."""
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        sides = [pdf.iloc[0], pdf.iloc[-1]]
+        within = len(pdf) == 1
+        items = sorted(set(sides[0]["items"]) & set(sides[1]["items"]))
+        ranges = dict(zip(sides[0]["items"], sides[0]["ranges"], strict=True))
+        tables = []
+        for x in sides:
+            at = [list(x["items"]).index(i) for i in items]
+            tables.append([np.frombuffer(x[c], dtype=d).reshape(len(x["items"]), -1)[at] for c, d in (("has", bool), ("m", float), ("s", float))])
+        (ha, ma, sa), (hb, mb, sb) = tables
+        labels = [np.array(x["labels"]) for x in sides]
+        n, total = np.zeros(2, dtype=np.int64), [0, 0]
+        for p in range(0, len(labels[0]), tile):
+            for q in range(p if within else 0, len(labels[1]), tile):
+                a, b = slice(p, p + tile), slice(q, q + tile)
+                shape = len(labels[0][a]), len(labels[1][b])
+                x, shared = np.zeros(shape), np.zeros(shape)
+                for k, item in enumerate(items):
+                    one = np.abs(ma[k, a, None] - mb[k, None, b])
+                    one += np.abs(sa[k, a, None] - sb[k, None, b])
+                    if ranges[item] > 0:
+                        one /= -2 * ranges[item]
+                        one += 1.0
+                        np.clip(one, 0.0, 1.0, out=one)
+                        one[np.isnan(one)] = 1.0  # no value on one side
+                    else:
+                        one[:] = 1.0
+                    if ha[k, a].all() and hb[k, b].all():
+                        x += one
+                        shared += 1.0
+                    else:
+                        both = ha[k, a, None] & hb[k, None, b]
+                        x += np.where(both, one, 0.0)
+                        shared += both
+                ok = shared > 0
+                if within and p == q:
+                    ok &= np.triu(np.ones(shape, dtype=bool), 1)
+                np.divide(x, shared, out=x, where=ok)
+                x *= 10.0**digits
+                np.rint(x, out=x)
+                x[~ok] = 0.0  # whole numbers: their sum is exact
+                same = labels[0][a, None] == labels[1][None, b]
+                alike = (x * same).sum()
+                total = [total[0] + int(x.sum() - alike), total[1] + int(alike)]
+                n += [np.count_nonzero(ok & ~same), np.count_nonzero(ok & same)]
+        return pd.DataFrame({"same": [False, True], "n": n, "total": total})
+
+    return sums
+
+
+def mean_similarity(series: DataFrame, entity: str, item: str, value: str, label: Column, block: int = 8192, digits: int = 6) -> DataFrame:
+    """same, mean: of the similarities (as in stat_neighbours, each rounded to `digits` places) of all pairs of entities that share an
+    item, those with one label and the others; label: of the column entity.
+
+    All pairs are compared, but none is a row: a task holds two packed blocks and tells two sums. Work grows with the square of
+    entities, what is shuffled with entities times blocks. Entities without any value for an item that they have are alike in it."""
+    packed = _packed_blocks(series, entity, item, value, label, block)
+    places = packed.agg(F.sort_array(F.collect_list("block")).alias("every")).first()["every"]
+    other = F.explode(F.array(*[F.lit(x) for x in places]) if places else F.array().cast("array<long>")).alias("o")
+    dealt = packed.select("*", other).withColumns({"i": F.least("block", "o"), "j": F.greatest("block", "o")})
+    sums = dealt.groupBy("i", "j").applyInPandas(_similarity_sums(digits), "same boolean, n long, total long")
+    told = sums.groupBy("same").agg(F.sum("n").alias("n"), F.sum(F.col("total").cast("decimal(38,0)")).alias("total")).filter("n > 0")
+    return told.select("same", (F.col("total").cast("double") / F.col("n") / 10.0**digits).alias("mean"))
+
+
 def _again(df: DataFrame) -> DataFrame:
     """df under columns of its own, to meet itself."""
     return df.select(*[F.col(c).alias(c) for c in df.columns])

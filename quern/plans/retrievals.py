@@ -79,10 +79,6 @@ p AS (SELECT a.user_id AS a, b.user_id AS b, round(avg(greatest(least(1 - (abs(a
 w AS (SELECT a, b, similarity FROM p UNION ALL SELECT b, a, similarity FROM p) """
 
 
-def _similar(spark, d):
-    return r6(rt.similarity(t(spark, d, "events"), "user_id", "event_type", "value"), "similarity")
-
-
 @query(_SIM + "SELECT a, rank, b, similarity FROM (SELECT *, (row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b))::INTEGER AS rank FROM w) WHERE rank <= 5")
 def stat_similarity_topk(spark, d):
     return nb.stat_neighbours(t(spark, d, "events"), "user_id", "event_type", "value", 5)[0]
@@ -90,7 +86,7 @@ def stat_similarity_topk(spark, d):
 
 @query(_SIM + "SELECT a % 2 = b % 2 AS same, round(avg(similarity), 6) AS mean FROM p GROUP BY 1")
 def outcome_similarity(spark, d):
-    return r6(_similar(spark, d).groupBy((F.col("a") % 2 == F.col("b") % 2).alias("same")).agg(F.avg("similarity").alias("mean")), "mean")
+    return r6(nb.mean_similarity(t(spark, d, "events"), "user_id", "event_type", "value", F.col("entity") % 2), "mean")
 
 
 def _shapes(spark, d):

@@ -31,6 +31,27 @@ def best(df: DataFrame, query: str, score: str, tie: str, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _best_of_rows(scores: np.ndarray, k: int, digits: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, score) of the k highest scores of each row, rounded before they are compared, ties to the smaller column.
+
+    The k-th largest of the maxima of runs of columns is no higher than the k-th score, so only what reaches it is rounded and sorted."""
+    rows, n = scores.shape
+    width = n // (8 * k)
+    if width > 1 and np.isfinite(scores).all():
+        runs = scores[:, : n // width * width].reshape(rows, -1, width).max(axis=2)
+        low = np.partition(runs, runs.shape[1] - k, axis=1)[:, runs.shape[1] - k]
+        low = low - (1e-9 if digits is None else 2 * 10.0**-digits)
+        at, column = np.nonzero(scores >= low[:, None])
+    else:
+        at, column = np.divmod(np.arange(rows * n), max(n, 1))
+    score = scores[at, column]
+    score = score if digits is None else np.round(score, digits)
+    order = np.lexsort((column, -score, at))
+    at, column, score = at[order], column[order], score[order]
+    place = np.arange(len(at)) - np.searchsorted(at, at)
+    return at[place < k], column[place < k], score[place < k]
+
+
 def block_product(k: int, digits: int | None) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     """The k best rows of a block of documents for each of a block of queries, as a product of two matrices."""
 
@@ -43,9 +64,8 @@ def block_product(k: int, digits: int | None) -> Callable[[pd.DataFrame, pd.Data
         for at in range(0, len(q), 512):
             part = q.iloc[at : at + 512]
             scores = np.stack(part["v"].to_list()).astype(float) @ v.T
-            scores = scores if digits is None else np.round(scores, digits)
-            top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            out.append(pd.DataFrame({"query_id": np.repeat(part["query_id"].to_numpy(), top.shape[1]), "doc_id": d["doc_id"].to_numpy()[top].ravel(), "score": np.take_along_axis(scores, top, axis=1).ravel()}))
+            at_, column, score = _best_of_rows(scores, k, digits)
+            out.append(pd.DataFrame({"query_id": part["query_id"].to_numpy()[at_], "doc_id": d["doc_id"].to_numpy()[column], "score": score}))
         return pd.concat(out)
 
     return product

@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -46,14 +46,16 @@ _SKETCH = 1024  # bits
 @dataclass(frozen=True)
 class Join:
     """Links: 100 * intersection >= percent * union of the sets of `words`-word shingles. cell_bits: size of the table of
-    counts that puts shingles in order; shared_bits: of the table of first shingles that two sets or more have (at least 11).
-    Both change the speed alone. leaf: documents of a region joined directly. block:
+    counts that puts shingles in order, at most (24 or less): it follows the input, since with few cells all counts are alike and
+    frequent shingles come early; shared_bits: of the table of first shingles that two sets or more have (at least 11);
+    mark_bits: of tables that tell which documents are read again (at least 8). They change the speed alone. leaf: documents of a region joined directly. block:
     documents of a block of a larger one. broadcast_rows: a table of so many ids is small enough to be sent to every executor."""
 
     words: int = 5
     percent: int = 75
-    cell_bits: int = 22
+    cell_bits: int = 24
     shared_bits: int = 28
+    mark_bits: int = 27
     leaf: int = 64
     block: int = 2048
     broadcast_rows: int = 500_000
@@ -133,38 +135,91 @@ def _read(docs: DataFrame, p: Join) -> DataFrame:
             made = [pa.array(x, f.type) for x, f in zip((sizes, nodes, keys, sketches, [None] * n, [None] * n), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*own.columns, *made], schema=pa.schema([*schema, *kinds]))
         if schema is not None:
-            parts = np.minimum(cells, 65535).astype(np.uint16).reshape(_CHUNKS, -1)
+            parts = cells.reshape(_CHUNKS, -1)
             told = [k for k in range(_CHUNKS) if parts[k].any()]
             blank = [pa.nulls(len(told), f.type) for f in [*schema, *list(kinds)[:4]]]
-            yield pa.RecordBatch.from_arrays([*blank, pa.array(told, pa.int32()), pa.array([parts[k].tobytes() for k in told], pa.binary())], schema=pa.schema([*schema, *kinds]))
+            yield pa.RecordBatch.from_arrays([*blank, pa.array(told, pa.int32()), pa.array([_sparse(parts[k]) for k in told], pa.binary())], schema=pa.schema([*schema, *kinds]))
 
     kind = docs.schema["id"].dataType.simpleString()
     return docs.select("id", "th", "text").mapInArrow(read, f"id {kind}, th long, n long, node binary, keys array<long>, sketch binary, chunk int, cells binary")
 
 
+def _cell_bits(docs: DataFrame, p: Join) -> int:
+    """Bits of the order's table: a cell for some 40 bytes of text, few shingles each, as far as cell_bits allows."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return min(p.cell_bits, max(18, (size >> 5).bit_length() - 1))
+
+
+def _sparse(counts: np.ndarray) -> bytes:
+    """Places (as steps) and values of the counts that are not 0, up to 65535."""
+    at = np.flatnonzero(counts)
+    return zlib.compress(np.diff(at, prepend=0).astype(np.uint16).tobytes() + np.minimum(counts[at], 65535).astype(np.uint16).tobytes(), 1)
+
+
 def _cells(read: DataFrame, p: Join) -> np.ndarray:
-    """The order's table: a byte a cell, log2 of how many sets have a shingle of the cell. Its size is fixed by cell_bits."""
+    """The order's table: a byte a cell, log2 of how many sets have a shingle of the cell in eighths. Its size is at most that of cell_bits."""
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros((1 << p.cell_bits) // _CHUNKS, dtype=np.uint64)
+        total = np.zeros((1 << p.cell_bits) // _CHUNKS)
         for blob in pdf["cells"]:
-            total += np.frombuffer(blob, dtype=np.uint16 if len(blob) == 2 * len(total) else np.uint32)
-        return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "cells": [np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()]})
+            at, n = np.frombuffer(zlib.decompress(blob), dtype=np.uint16).reshape(2, -1)
+            total[np.cumsum(at, dtype=np.int64)] += n
+        return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "cells": [np.minimum(np.ceil(np.log2(total + 1) * 8), 255).astype(np.uint8).tobytes()]})
 
-    parts = read.filter("chunk is not null").select("chunk", "cells", F.pmod(F.hash("cells"), F.lit(8)).alias("part"))
-    some = parts.groupBy("chunk", "part").applyInPandas(add, "chunk int, cells binary")  # first by parts, so that no task gets all
     out = np.zeros((_CHUNKS, (1 << p.cell_bits) // _CHUNKS), dtype=np.uint8)
-    for row in some.groupBy("chunk").applyInPandas(lambda x: _logs(add(x)), "chunk int, cells binary").toLocalIterator():
+    for row in read.filter("chunk is not null").select("chunk", "cells").groupBy("chunk").applyInPandas(add, "chunk int, cells binary").toLocalIterator():
         out[row["chunk"]] = np.frombuffer(row["cells"], dtype=np.uint8)
     return out.reshape(-1)
 
 
-def _logs(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pdf.assign(cells=[np.ceil(np.log2(np.frombuffer(b, dtype=np.uint32).astype(float) + 1)).astype(np.uint8).tobytes() for b in pdf["cells"]])
+def _marks(rows: DataFrame, th: str, id: str, p: Join) -> np.ndarray:  # noqa: A002
+    """A bit for each value of the upper mark_bits of a document's hash, set for those of rows (th, id); packed, of fixed size."""
+    low = p.mark_bits - 8
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            value = np.unique(batch.column("at").to_numpy().view(np.uint64) >> np.uint64(64 - p.mark_bits)).astype(np.int64)
+            at = np.flatnonzero(np.diff(value >> low, prepend=-1))
+            parts = np.split((value & ((1 << low) - 1)).astype(np.uint32), at[1:])
+            yield pa.RecordBatch.from_arrays([pa.array(value[at] >> low), pa.array([x.tobytes() for x in parts[: len(at)]], pa.binary())], names=["chunk", "found"])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(1 << low, dtype=bool)
+        for x in pdf["found"]:
+            out[np.frombuffer(x, dtype=np.uint32)] = True
+        return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "found": [zlib.compress(np.packbits(out).tobytes(), 1)]})
+
+    out = np.zeros((256, -(-(1 << low) // 8)), dtype=np.uint8)
+    told = rows.select(F.xxhash64(th, id).alias("at")).mapInArrow(tell, "chunk long, found binary").groupBy("chunk").applyInPandas(add, "chunk long, found binary")
+    for row in told.toLocalIterator():
+        out[row["chunk"]] = np.frombuffer(zlib.decompress(row["found"]), dtype=np.uint8)
+    return out
+
+
+def _sifted(docs: DataFrame, th: str, id: str, wanted: np.ndarray, doubtful: np.ndarray | None, p: Join) -> DataFrame:  # noqa: A002
+    """Those of docs that are marked in wanted, and some others whose bit they share; __sure: not marked in doubtful. Where all that
+    are not wanted are doubtful, sure ones are wanted. No row is sent anywhere."""
+    low = p.mark_bits - 8
+    sc = docs.sparkSession.sparkContext
+    tables = [sc.broadcast(x) for x in (wanted, doubtful) if x is not None]
+
+    @F.pandas_udf("int")
+    def state(at: pd.Series) -> pd.Series:
+        value = at.to_numpy().view(np.uint64) >> np.uint64(64 - p.mark_bits)
+        chunk, cell = (value >> np.uint64(low)).astype(np.intp), (value & np.uint64((1 << low) - 1)).astype(np.intp)
+        held = [(x.value[chunk, cell >> 3] << (cell & 7).astype(np.uint8) & 0x80) > 0 for x in tables]
+        return pd.Series(np.where(held[0], np.where(held[-1], 1, 2) if len(held) > 1 else 1, 0).astype(np.int32))
+
+    return docs.withColumn("__state", state(F.xxhash64(th, id))).filter("__state > 0").withColumn("__sure", F.col("__state") == 2).drop("__state")
 
 
 def _per_set(texts: DataFrame, p: Join, name: str, part) -> DataFrame:
-    """node and part(set), named, of each set of a table of texts; copies that follow each other in a task are left out."""
+    """node and part(set), named, of each set of a table of texts (_every_set), once."""
+    return _every_set(texts, p, name, part).groupBy("node").agg(F.first(name).alias(name))
+
+
+def _every_set(texts: DataFrame, p: Join, name: str, part) -> DataFrame:
+    """node and part(set), named, of the sets of a table of texts; copies that follow each other in a task are left out."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, known = Shingler(p.words), set()
@@ -182,11 +237,13 @@ def _per_set(texts: DataFrame, p: Join, name: str, part) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts).view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), lists], names=["node", name])
 
-    return texts.select("text").mapInArrow(made, f"node binary, {name} array<long>").groupBy("node").agg(F.first(name).alias(name))
+    return texts.select("text").mapInArrow(made, f"node binary, {name} array<long>")
+
 
+def _heads(docs: DataFrame, rows: DataFrame, classes: DataFrame, cells: np.ndarray, p: Join) -> DataFrame:
+    """node and head (its first n - ceil(percent n / 100) + 1 shingles in the order) of each set, read from one document of each.
 
-def _heads(docs: DataFrame, cells: np.ndarray, p: Join) -> DataFrame:
-    """node and head (its first n - ceil(percent n / 100) + 1 shingles in the order) of each set."""
+    Heads are about half the input, so they are not shuffled: only those of sets with several documents are made one."""
     table = docs.sparkSession.sparkContext.broadcast(cells)
 
     def head(u: np.ndarray) -> np.ndarray:
@@ -195,7 +252,9 @@ def _heads(docs: DataFrame, cells: np.ndarray, p: Join) -> DataFrame:
         first = np.argpartition(key, m - 1)[:m] if m < len(u) else np.arange(len(u))
         return u[first[np.lexsort((u[first], key[first]))]]
 
-    return _per_set(docs, p, "head", head)
+    copied = classes.filter("times > 1").select("node")
+    read = _sifted(docs, "th", "id", _marks(classes, "one.th", "one.id", p), _marks(rows.join(_sized(copied, p), "node", "left_semi"), "th", "id", p), p)
+    return _every_set(read.filter("__sure"), p, "head", head).unionByName(_per_set(read.filter("NOT __sure"), p, "head", head))
 
 
 def _shared(heads: DataFrame, p: Join) -> np.ndarray:
@@ -240,7 +299,7 @@ def _shared(heads: DataFrame, p: Join) -> np.ndarray:
 
 
 def _places(heads: DataFrame, shared: np.ndarray, p: Join) -> DataFrame:
-    """region (a shingle of a head that is shared), k, n, comp, left: how many of the set's shingles come from there on."""
+    """region (a shingle of a head that is shared), node, place (of it in the head)."""
     table = heads.sparkSession.sparkContext.broadcast(shared)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,10 +312,9 @@ def _places(heads: DataFrame, shared: np.ndarray, p: Join) -> DataFrame:
             at = region.view(np.uint64) >> np.uint64(64 - p.shared_bits)
             ok = (table.value[at >> np.uint64(3)] << (at & np.uint64(7)).astype(np.uint8) & 0x80) > 0
             owner, place, region = owner[ok], place[ok], region[ok]
-            k, n, comp = (batch.column(c).to_numpy()[owner] for c in ("k", "n", "comp"))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (region, k, n, comp, n - place)], names=["region", "k", "n", "comp", "left"])
+            yield pa.RecordBatch.from_arrays([pa.array(region), batch.column("node").take(pa.array(owner)), pa.array(place.astype(np.int64))], names=["region", "node", "place"])
 
-    return heads.mapInArrow(look, "region long, k long, n long, comp long, left long")
+    return heads.mapInArrow(look, "region long, node binary, place long")
 
 
 def _sized(df: DataFrame, p: Join) -> DataFrame:
@@ -267,8 +325,11 @@ def _sized(df: DataFrame, p: Join) -> DataFrame:
 def _sets(docs: DataFrame, classes: DataFrame, ks: DataFrame, p: Join) -> DataFrame:
     """k and set (all its shingles) of the classes with the given k, read from one document of each."""
     wanted = written(classes.join(ks, "k", "left_semi").select(F.col("one.th").alias("t"), F.col("one.id").alias("i"), "node", "k"))
-    sized = _sized(wanted.select("t", "i"), p)
-    texts = docs.join(sized, (docs["th"] == sized["t"]) & docs["id"].eqNullSafe(sized["i"]), "left_semi")
+    if wanted.count() <= p.broadcast_rows:
+        sized = F.broadcast(wanted.select("t", "i"))
+        texts = docs.join(sized, (docs["th"] == sized["t"]) & docs["id"].eqNullSafe(sized["i"]), "left_semi")
+    else:  # a join would shuffle all texts; those that are read in vain are dropped by their nodes
+        texts = _sifted(docs, "th", "id", _marks(wanted, "t", "i", p), None, p)
     return written(_per_set(texts, p, "set", lambda u: u).join(_sized(wanted.select("node", "k"), p), "node").select("k", "set"))
 
 
@@ -364,11 +425,12 @@ def _named(df: DataFrame, labels: DataFrame | None, p: Join) -> DataFrame:
 def _grouped(df: DataFrame, text: str, id: str, p: Join, steps: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame]:  # noqa: A002
     """(rows: id, th, n, node, a row a document; node, comp of the sets, n > 0)."""
     docs = df.select(F.col(f"`{id}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    p = replace(p, cell_bits=_cell_bits(docs, p))
     read = written(_read(docs, p))
     rows = read.filter("chunk is null").select("id", "th", "n", "node", "keys", "sketch")
-    one = rows.filter("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.min(F.struct("th", "id")).alias("one"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    one = rows.filter("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.count("*").alias("times"), F.min(F.struct("th", "id")).alias("one"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     classes = written(with_row_id(one, "k"))
-    return rows.select("id", "th", "n", "node"), _named(classes.select("node", "k", "least"), _link(docs, read, classes, p, steps), p)
+    return rows.select("id", "th", "n", "node"), _named(classes.select("node", "k", "least"), _link(docs, read, rows, classes, p, steps), p)
 
 
 def jaccard_groups(df: DataFrame, text: str = "text", id: str = "doc_id", params: Join | None = None) -> DataFrame:  # noqa: A002
@@ -414,7 +476,7 @@ def link_steps(df: DataFrame, text: str = "text", id: str = "doc_id", params: Jo
     return steps
 
 
-def _link(docs: DataFrame, read: DataFrame, classes: DataFrame, p: Join, steps: dict[str, int] | None = None) -> DataFrame | None:
+def _link(docs: DataFrame, read: DataFrame, rows: DataFrame, classes: DataFrame, p: Join, steps: dict[str, int] | None = None) -> DataFrame | None:
     """node (a class's k), comp of the classes with links (written), or None if there are none. steps: gets the number of links by step."""
     fit = 100 * F.least("nx", "ny") >= p.percent * F.greatest("nx", "ny")
     is_link = 100 * F.col("both") >= p.percent * F.col("any")
@@ -448,8 +510,9 @@ def _link(docs: DataFrame, read: DataFrame, classes: DataFrame, p: Join, steps:
     dropped(pairs, pivots)
 
     # Regions of single shingles: those whose sets are not all of one component.
-    heads = written(_heads(docs, _cells(read, p), p).join(_named(classes.select("node", "k", "n"), labels, p), "node").select("k", "n", "comp", "head"))
-    each = written(_places(heads, _shared(heads, p), p))
+    heads = written(_heads(docs, rows, classes, _cells(read, p), p))
+    each = _places(heads, _shared(heads, p), p).join(_named(classes.select("node", "k", "n"), labels, p), "node")
+    each = written(each.select("region", "k", "n", "comp", (F.col("n") - F.col("place")).alias("left")))
     live = written(each.groupBy("region").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("size")).filter("a < b").select("region", "size"))
     rows = written(each.join(_sized(live, p), "region"))
     dropped(heads, live, each)

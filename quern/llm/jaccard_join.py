@@ -459,13 +459,18 @@ def one_of_each(df: DataFrame, text: str = "text", id: str = "doc_id", params: J
     told = rows.filter("n > 0").groupBy("node", "id", "th").agg(F.count("*").alias("times")).join(named.select("node", "comp"), "node")
     first = told.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th", "times")).alias("x"))
     first = written(first.select(F.col("x.id").alias("__i"), F.col("x.th").alias("__t"), F.col("x.times").alias("__times")))
-    docs = df.withColumn("__th", F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
-    sized = _sized(first, p)
-    found = docs.join(sized, (docs["__th"] == sized["__t"]) & docs[id].eqNullSafe(sized["__i"]))
     own = [F.col(f"`{c}`") for c in df.columns]
+    full = F.coalesce(F.col(f"`{text}`").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    docs = df.filter(full).withColumns({"__th": F.xxhash64(F.col(f"`{text}`")), "__id": F.col(f"`{id}`")})
+    out, small = df.filter(~full), first.count() <= p.broadcast_rows
+    if not small:  # a join would shuffle all texts: it is left to those of which two tables of bits can't tell
+        gone = told.join(first, (told["th"] == first["__t"]) & told["id"].eqNullSafe(first["__i"]), "left").filter("__times IS NULL OR __times > 1")
+        docs = _sifted(docs, "__th", "__id", _marks(first, "__t", "__i", p), _marks(gone, "th", "id", p), p)
+        out, docs = out.unionByName(docs.filter("__sure").select(*own)), docs.filter("NOT __sure")
+    sized = F.broadcast(first) if small else first
+    found = docs.join(sized, (docs["__th"] == sized["__t"]) & docs["__id"].eqNullSafe(sized["__i"]))
     many = found.filter("__times > 1").groupBy("__i", "__t").agg(F.min(F.struct(*own)).alias("x")).select("x.*")
-    empty = df.filter(~F.coalesce(F.col(f"`{text}`").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
-    return found.filter("__times = 1").select(*own).unionByName(many).unionByName(empty)
+    return out.unionByName(found.filter("__times = 1").select(*own)).unionByName(many)
 
 
 def link_steps(df: DataFrame, text: str = "text", id: str = "doc_id", params: Join | None = None) -> dict[str, int]:  # noqa: A002

@@ -45,6 +45,12 @@ def test_large_tables_are_joined_as_small_ones(spark):
     assert large == small * 2
 
 
+def test_one_of_each_of_large_tables(spark):
+    docs = copies(spark).cache()
+    small = sorted(map(str, jj.one_of_each(docs).collect()))
+    assert [sorted(map(str, jj.one_of_each(docs, params=jj.Join(broadcast_rows=0, mark_bits=bits)).collect())) for bits in (12, 27)] == [small] * 2
+
+
 def test_marked_documents(spark):
     docs = spark.range(1000).select("id", F.col("id").alias("th"))
     wanted, other = docs.filter("id % 3 = 0"), docs.filter("id % 3 > 0")

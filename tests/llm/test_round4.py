@@ -59,3 +59,12 @@ def test_marked_documents(spark):
         told = {r["id"]: r["__sure"] for r in jj._sifted(docs, "th", "id", jj._marks(wanted, "th", "id", p), jj._marks(other, "th", "id", p), p).collect()}
         assert {k for k in range(0, 1000, 3)} <= told.keys() and all(k % 3 == 0 for k, sure in told.items() if sure)
     assert told == {k: True for k in range(0, 1000, 3)}
+
+
+def test_tasks_of_the_mixer_run_at_once(spark, monkeypatch):
+    m = context_mixing.Model(coded=60, known=200, slot_bits=10, common=8, anchor=2)
+    docs = spark.range(0, 60, 1, 6).select(F.concat_ws(" ", *[F.concat(F.lit("w"), (F.col("id") * 7 + k * k) % 90) for k in range(20)]).alias("text"))
+    words, tasks, was = context_mixing.count_words(docs).localCheckpoint(), [], context_mixing.written
+    monkeypatch.setattr(context_mixing, "written", lambda df: tasks.append((df.columns, df.rdd.getNumPartitions())) or was(df))
+    context_mixing.train(docs, words, words.agg(F.sum("c")).first()[0], m)
+    assert (["weights", "saw", "hits"], 6) in tasks

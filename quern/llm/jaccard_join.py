@@ -196,33 +196,42 @@ def _marks(rows: DataFrame, th: str, id: str, p: Join) -> np.ndarray:  # noqa: A
     return out
 
 
-def _sifted(docs: DataFrame, th: str, id: str, wanted: np.ndarray, doubtful: np.ndarray | None, p: Join) -> DataFrame:  # noqa: A002
+def _state(at: np.ndarray, tables: list[np.ndarray], p: Join) -> np.ndarray:
+    """Of documents by their hashes, 0: not marked in the first table; else 2 if there is a second one in which they are not marked, or 1."""
+    low = p.mark_bits - 8
+    value = at.view(np.uint64) >> np.uint64(64 - p.mark_bits)
+    chunk, cell = (value >> np.uint64(low)).astype(np.intp), (value & np.uint64((1 << low) - 1)).astype(np.intp)
+    held = [(x[chunk, cell >> 3] << (cell & 7).astype(np.uint8) & 0x80) > 0 for x in tables]
+    return np.where(held[0], np.where(held[-1], 1, 2) if len(held) > 1 else 1, 0).astype(np.int32)
+
+
+def _sifted(docs: DataFrame, th: str, id: str, wanted: np.ndarray, doubtful: np.ndarray, p: Join) -> DataFrame:  # noqa: A002
     """Those of docs that are marked in wanted, and some others whose bit they share; __sure: not marked in doubtful. Where all that
     are not wanted are doubtful, sure ones are wanted. No row is sent anywhere."""
-    low = p.mark_bits - 8
-    sc = docs.sparkSession.sparkContext
-    tables = [sc.broadcast(x) for x in (wanted, doubtful) if x is not None]
+    tables = [docs.sparkSession.sparkContext.broadcast(x) for x in (wanted, doubtful)]
 
     @F.pandas_udf("int")
     def state(at: pd.Series) -> pd.Series:
-        value = at.to_numpy().view(np.uint64) >> np.uint64(64 - p.mark_bits)
-        chunk, cell = (value >> np.uint64(low)).astype(np.intp), (value & np.uint64((1 << low) - 1)).astype(np.intp)
-        held = [(x.value[chunk, cell >> 3] << (cell & 7).astype(np.uint8) & 0x80) > 0 for x in tables]
-        return pd.Series(np.where(held[0], np.where(held[-1], 1, 2) if len(held) > 1 else 1, 0).astype(np.int32))
+        return pd.Series(_state(at.to_numpy(), [x.value for x in tables], p))
 
     return docs.withColumn("__state", state(F.xxhash64(th, id))).filter("__state > 0").withColumn("__sure", F.col("__state") == 2).drop("__state")
 
 
-def _per_set(texts: DataFrame, p: Join, name: str, part) -> DataFrame:
-    """node and part(set), named, of each set of a table of texts (_every_set), once."""
-    return _every_set(texts, p, name, part).groupBy("node").agg(F.first(name).alias(name))
+def _per_set(texts: DataFrame, p: Join, name: str, part, tables: list | None = None) -> DataFrame:
+    """node and part(set), named, of each set of a table of texts (_every_set; of state 1), once."""
+    return _every_set(texts, p, name, part, tables).groupBy("node").agg(F.first(name).alias(name))
 
 
-def _every_set(texts: DataFrame, p: Join, name: str, part) -> DataFrame:
-    """node and part(set), named, of the sets of a table of texts; copies that follow each other in a task are left out."""
+def _every_set(texts: DataFrame, p: Join, name: str, part, tables: list | None = None, state: int = 1) -> DataFrame:
+    """node and part(set), named, of the sets of a table of texts; copies that follow each other in a task are left out. tables: with
+    them (broadcast) only documents (th, id) of that state are read; they are sifted where they are read, since a second Python worker
+    a task stays for a minute."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, known = Shingler(p.words), set()
+        if tables is not None:
+            marks = [x.value for x in tables]
+            batches = (x.filter(pa.array(_state(x.column("at").to_numpy(), marks, p) == state)) for x in batches)
         for batch in sliced(batches):
             nodes, parts = [], [np.zeros(0, dtype=np.uint64)]
             if len(known) > 100_000:
@@ -237,14 +246,16 @@ def _every_set(texts: DataFrame, p: Join, name: str, part) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts).view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), lists], names=["node", name])
 
-    return texts.select("text").mapInArrow(made, f"node binary, {name} array<long>")
+    own = texts.select("text") if tables is None else texts.select("text", F.xxhash64("th", "id").alias("at"))
+    return own.mapInArrow(made, f"node binary, {name} array<long>")
 
 
 def _heads(docs: DataFrame, rows: DataFrame, classes: DataFrame, cells: np.ndarray, p: Join) -> DataFrame:
     """node and head (its first n - ceil(percent n / 100) + 1 shingles in the order) of each set, read from one document of each.
 
     Heads are about half the input, so they are not shuffled: only those of sets with several documents are made one."""
-    table = docs.sparkSession.sparkContext.broadcast(cells)
+    sc = docs.sparkSession.sparkContext
+    table = sc.broadcast(cells)
 
     def head(u: np.ndarray) -> np.ndarray:
         key = (table.value[u >> np.uint64(64 - p.cell_bits)].astype(np.uint64) << np.uint64(56)) | (u >> np.uint64(8))
@@ -253,8 +264,8 @@ def _heads(docs: DataFrame, rows: DataFrame, classes: DataFrame, cells: np.ndarr
         return u[first[np.lexsort((u[first], key[first]))]]
 
     copied = classes.filter("times > 1").select("node")
-    read = _sifted(docs, "th", "id", _marks(classes, "one.th", "one.id", p), _marks(rows.join(_sized(copied, p), "node", "left_semi"), "th", "id", p), p)
-    return _every_set(read.filter("__sure"), p, "head", head).unionByName(_per_set(read.filter("NOT __sure"), p, "head", head))
+    marks = [sc.broadcast(x) for x in (_marks(classes, "one.th", "one.id", p), _marks(rows.join(_sized(copied, p), "node", "left_semi"), "th", "id", p))]
+    return _every_set(docs, p, "head", head, marks, 2).unionByName(_per_set(docs, p, "head", head, marks))
 
 
 def _shared(heads: DataFrame, p: Join) -> np.ndarray:
@@ -328,9 +339,10 @@ def _sets(docs: DataFrame, classes: DataFrame, ks: DataFrame, p: Join) -> DataFr
     if wanted.count() <= p.broadcast_rows:
         sized = F.broadcast(wanted.select("t", "i"))
         texts = docs.join(sized, (docs["th"] == sized["t"]) & docs["id"].eqNullSafe(sized["i"]), "left_semi")
+        made = _per_set(texts, p, "set", lambda u: u)
     else:  # a join would shuffle all texts; those that are read in vain are dropped by their nodes
-        texts = _sifted(docs, "th", "id", _marks(wanted, "t", "i", p), None, p)
-    return written(_per_set(texts, p, "set", lambda u: u).join(_sized(wanted.select("node", "k"), p), "node").select("k", "set"))
+        made = _per_set(docs, p, "set", lambda u: u, [docs.sparkSession.sparkContext.broadcast(_marks(wanted, "t", "i", p))])
+    return written(made.join(_sized(wanted.select("node", "k"), p), "node").select("k", "set"))
 
 
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ entities, whose bound still reaches somebody's k-th best."""
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -235,145 +235,317 @@ def value_bound(x: np.ndarray, y: np.ndarray) -> float:
     return float(np.sqrt(ends + max(nearest_costs(x[1:-1], y).sum(), nearest_costs(y[1:-1], x).sum())))
 
 
+#: So many entities of the smallest ids are looked through for series of the same shape.
+_FIRST = 4096
+_CELLS = 128
+
+
+class _Column:
+    """The series of one item in a block: runs of equal values, padded."""
+
+    def __init__(self, n: int, told: list[tuple[int, list[float], list[int]]]) -> None:
+        width = max(len(v) for _, v, _ in told)
+        self.has, self.values, self.times = np.zeros(n, dtype=bool), np.full((width, n), np.inf), np.zeros((width, n), dtype=np.int64)
+        self.first, self.last = np.zeros(n), np.zeros(n)
+        for at, v, t in told:
+            self.has[at], self.values[: len(v), at], self.times[: len(v), at], self.first[at], self.last[at] = True, v, t, v[0], v[-1]
+        self.sizes = self.times.sum(axis=0)
+        self.inner = self.times.copy()  # without both ends
+        self.inner[0] -= 1
+        self.inner[(self.times > 0).sum(axis=0) - 1, np.arange(n)] -= 1
+        self.inner = np.maximum(self.inner, 0)
+
+    def whole(self, at: np.ndarray) -> np.ndarray:
+        """Series of the same length, a row each."""
+        return np.repeat(self.values.T[at].ravel(), self.times.T[at].ravel()).reshape(len(at), -1)
+
+    def cells(self, low: float, width: float) -> tuple[np.ndarray, np.ndarray]:
+        """(inner values in each cell, squared distance at least of what is in a cell to the nearest value): entities x cells."""
+        n = self.values.shape[1]
+        held, near = np.zeros((n, _CELLS)), np.full((n, _CELLS), np.inf)
+        start = low + width * np.arange(_CELLS)
+        for v, t in zip(self.values, self.inner, strict=True):
+            some = np.flatnonzero(np.isfinite(v))
+            cell = np.clip(((v[some] - low) / width).astype(np.int64), 0, _CELLS - 1)
+            np.add.at(held, (some, cell), t[some])
+            away = np.maximum(start - v[some, None], v[some, None] - start - width) - 1e-6 * width  # a value at an edge may be in the cell beside
+            near[some] = np.minimum(near[some], np.maximum(away, 0.0) ** 2)
+        near[~self.has] = 0.0
+        return held, near
+
+
 class _Block:
-    """Series of a block's entities, by item."""
+    """Entities of a block; columns: their series by item."""
 
     def __init__(self, rows: pd.DataFrame) -> None:
-        self.ids, self.labels, self.floor = rows["entity"].tolist(), rows["label"].tolist(), rows["floor"].tolist()
-        self.series = [{x["item"]: np.array(x["v"], dtype=float) for x in told} for told in rows["told"]]
+        self.ids, self.labels, self.floor = rows["entity"].to_numpy(), rows["label"].tolist(), rows["floor"].to_numpy(dtype=float).copy()
+        self.open = self.floor < np.inf  # the others look for nobody
+        told: dict[str, list] = {}
+        for at, every in enumerate(rows["told"]):
+            for x in every:
+                told.setdefault(x["item"], []).append((at, x["values"], x["times"]))
+        self.columns = {i: _Column(len(rows), x) for i, x in told.items()}
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.heaps: list[list[float]] = [[] for _ in self.ids]
+
+    def tell(self, who: np.ndarray, other: np.ndarray, score: np.ndarray, k: int) -> None:
+        mine = self.open[who] & (score >= self.floor[who])
+        self.found.append((who[mine], other[mine], score[mine]))
+        for n, x in zip(who[mine].tolist(), score[mine].tolist(), strict=True):
+            heap = self.heaps[n]
+            heapq.heappush(heap, x)
+            if len(heap) > k:
+                heapq.heappop(heap)
+            if len(heap) == k and heap[0] > self.floor[n]:
+                self.floor[n] = heap[0]
+
+    def best(self, k: int) -> pd.DataFrame:
+        who, other, score = (np.concatenate(x) for x in zip(*self.found, strict=True)) if self.found else (np.zeros(0, dtype=np.int64), self.ids[:0], np.zeros(0))
+        good = score >= self.floor[who]
+        out = pd.DataFrame({"a": self.ids[who[good]], "b": other[good], "similarity": score[good]})
+        return out.sort_values(["similarity", "b"], ascending=[False, True]).groupby("a").head(k) if len(out) else out
+
+
+def _nearest(x: _Column, p: np.ndarray, y: _Column, q: np.ndarray) -> np.ndarray:
+    """For each pair, what the inner values of a series of x cost at the nearest values of one of y."""
+    out, theirs = np.zeros(len(p)), [v[q] for v in y.values]
+    for v, t in zip(x.values, x.inner, strict=True):
+        times = t[p]
+        some = np.flatnonzero(times)
+        if len(some):
+            mine = v[p[some]]
+            out[some] += times[some] * np.minimum.reduce([np.abs(o[some] - mine) for o in theirs]) ** 2
+    return out
 
-    def column(self, item: str, read: Callable[[np.ndarray], float]) -> np.ndarray:
-        return np.array([read(s[item]) if item in s else np.nan for s in self.series])
 
+def _warp_blocks(weights: dict[str, float], k: int, bonus: float, chunk: int = 1024, tile: int = 1 << 18, dense: int = 256) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """The k most similar entities of each open one of two blocks, of pairs between them (within, if they are one), and what it took."""
 
-def _warp_blocks(weights: dict[str, float], k: int, bonus: float, chunk: int = 512) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    """The k most similar entities of each of two blocks, of pairs between them (within, if they are one), and what it took."""
+    def similar(d: np.ndarray, same: np.ndarray) -> np.ndarray:
+        return np.where(same, bonus, 1.0) / (1 + d)
 
-    def similar(d: float, same: bool) -> float:
-        return (bonus if same else 1.0) / (1 + d)
+    def limits(f: np.ndarray, g: np.ndarray, same: np.ndarray) -> np.ndarray:
+        """The largest distance with which a pair is among the k best of one of the two."""
+        least = np.minimum(f, g)
+        some = least > 0
+        return np.where(some, np.where(same, bonus, 1.0) / np.where(some, least, 1.0) - 1 + 1e-9, np.inf)
 
     def meet(rows: pd.DataFrame, others: pd.DataFrame | None = None) -> pd.DataFrame:
         if not len(rows) or (others is not None and not len(others)):
             return pd.DataFrame(columns=["a", "b", "similarity", "pairs", "by_ends", "by_values", "abandoned"])
         a = _Block(rows)
         b = a if others is None else _Block(others)
-        shape = len(a.ids), len(b.ids)
-        weight, ends = np.zeros(shape), np.zeros(shape)
-        items = sorted({i for s in a.series for i in s} & {i for s in b.series for i in s})
+        items = sorted(a.columns.keys() & b.columns.keys())
+        counts = dict.fromkeys(("pairs", "by_ends", "by_values", "abandoned"), 0)
+        codes: dict = {}
+        labels = [np.array([codes.setdefault(x, len(codes)) if x == x else -1 - side for x in block.labels]) for side, block in enumerate((a, b))]  # NaN is like none
+        cells = {}
+        for i in items:
+            held = [c.values[np.isfinite(c.values)] for c in (a.columns[i], b.columns[i])]
+            low, high = min(x.min() for x in held), max(x.max() for x in held)
+            width = (high - low) / _CELLS or 1.0
+            cells[i] = [c.cells(low, width) for c in (a.columns[i], b.columns[i])]
+        step = max(1, tile // len(b.ids))
+        for top in range(0, len(a.ids), dense):
+            parts = []
+            for at in range(top, min(top + dense, len(a.ids)), step):
+                r = slice(at, min(at + step, top + dense))
+                parts.append([x + (at if n == 0 else 0) for n, x in enumerate(far(a, b, r, items, cells, labels, counts))])
+            follow(a, b, *(np.concatenate(x) for x in zip(*parts, strict=True)), items, labels, counts)
+        out = [a.best(k)] if a is b else [a.best(k), b.best(k)]
+        return pd.concat([*[x for x in out if len(x)], pd.DataFrame([counts])])
+
+    def far(a: _Block, b: _Block, r: slice, items: list[str], cells: dict, labels: list[np.ndarray], counts: dict) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (row of the slice, place in b) that bounds by ends and by cells of values leave."""
+        shape = len(a.ids[r]), len(b.ids)
+        weight, ends, values = np.zeros(shape), np.zeros(shape), np.zeros(shape)
         for i in items:
-            first, last = lambda v: v[0], lambda v: v[-1]
-            away = (a.column(i, first)[:, None] - b.column(i, first)) ** 2
-            longer = (a.column(i, len)[:, None] > 1) | (b.column(i, len) > 1)
-            away = away + np.where(longer, (a.column(i, last)[:, None] - b.column(i, last)) ** 2, 0.0)
-            w = weights.get(i, 1.0)
-            ends += np.where(np.isnan(away), 0.0, w * np.sqrt(away))
-            weight += np.where(np.isnan(away), 0.0, w)
-        todo = weight > 0
+            x, y, w = a.columns[i], b.columns[i], weights.get(i, 1.0)
+            both = (x.has[r, None] & y.has) * w
+            away = (x.first[r, None] - y.first) ** 2
+            away += ((x.sizes[r, None] > 1) | (y.sizes > 1)) * (x.last[r, None] - y.last) ** 2
+            (ha, na), (hb, nb) = cells[i]
+            more = np.maximum(ha[r] @ nb.T, na[r] @ hb.T)
+            more += away
+            ends += both * np.sqrt(away)
+            values += both * np.sqrt(more)
+            weight += both
+        todo = (weight > 0) & (a.open[r, None] | b.open)
         if a is b:
-            todo &= np.triu(np.ones(shape, dtype=bool), 1)
-        x, y = np.nonzero(todo)
-        low = ends[x, y] / weight[x, y]
-        order = np.argsort(low, kind="stable")
-        x, y, low = x[order], y[order], low[order]
-        found = [[[] for _ in a.ids], [[] for _ in b.ids]] if a is not b else [[[] for _ in a.ids]] * 2
-        floors = [list(a.floor), list(b.floor)] if a is not b else [list(a.floor)] * 2
-        counts = {"pairs": len(x), "by_ends": 0, "by_values": 0, "abandoned": 0}
-        heaps: list[dict[int, list[float]]] = [{}, {}] if a is not b else [{}] * 2
-
-        def tell(side: int, who: int, other, score: float) -> None:
-            found[side][who].append((score, other))
-            heap = heaps[side].setdefault(who, [])
-            heapq.heappush(heap, score)
-            if len(heap) > k:
-                heapq.heappop(heap)
-            if len(heap) == k:
-                floors[side][who] = max(floors[side][who], heap[0])
-
-        def most(p: int, q: int) -> float:
-            """The largest distance with which the pair is among the k best of one of the two."""
-            least = min(floors[0][p], floors[1][q])
-            return similar(0.0, a.labels[p] == b.labels[q]) / least - 1 + 1e-9 if least > 0 else np.inf
-
-        for at in range(0, len(x), chunk):
-            part = []
-            for p, q, d in zip(x[at : at + chunk].tolist(), y[at : at + chunk].tolist(), low[at : at + chunk].tolist(), strict=True):
-                limit = most(p, q)
-                if d > limit:
-                    counts["by_ends"] += 1
-                    continue
-                shared = sorted(a.series[p].keys() & b.series[q].keys())
-                lows = [value_bound(a.series[p][i], b.series[q][i]) for i in shared]
-                w = [weights.get(i, 1.0) for i in shared]
-                room = limit * sum(w) - sum(u * v for u, v in zip(w, lows, strict=True))  # beyond its bounds, for all items together
-                if room < 0:
-                    counts["by_values"] += 1
-                    continue
-                part.append([p, q, shared, w, lows, room, 0.0])
-            for step in range(max((len(z[2]) for z in part), default=0)):
-                groups: dict[tuple[int, int], list[list]] = {}
-                for z in part:
-                    if step < len(z[2]):
-                        i = z[2][step]
-                        groups.setdefault((len(a.series[z[0]][i]), len(b.series[z[1]][i])), []).append(z)
-                gone = set()
-                for zs in groups.values():
-                    mine = [z[2][step] for z in zs]
-                    limits = np.array([z[4][step] + z[5] / z[3][step] for z in zs])
-                    d = warped(np.stack([a.series[z[0]][i] for z, i in zip(zs, mine, strict=True)]), np.stack([b.series[z[1]][i] for z, i in zip(zs, mine, strict=True)]), limits)
-                    for z, one in zip(zs, d.tolist(), strict=True):
-                        if one == np.inf:
-                            gone.add(id(z))
-                        else:
-                            z[5] -= z[3][step] * (one - z[4][step])
-                            z[6] += z[3][step] * one
-                counts["abandoned"] += len(gone)
-                part = [z for z in part if id(z) not in gone]
-            for p, q, _, w, _, _, total in part:
-                score = similar(total / sum(w), a.labels[p] == b.labels[q])
-                tell(0, p, b.ids[q], score)
-                tell(1, q, a.ids[p], score)
-        sides = [(a, found[0])] if a is b else [(a, found[0]), (b, found[1])]
-        out = [(block.ids[n], other, score) for block, lists in sides for n, told in enumerate(lists) for score, other in sorted(told, key=lambda z: (-z[0], z[1]))[:k]]
-        return pd.concat([pd.DataFrame(out, columns=["a", "b", "similarity"]), pd.DataFrame([counts])])
+            todo &= np.arange(len(a.ids))[r, None] < np.arange(len(b.ids))
+        limit = limits(a.floor[r, None], b.floor, labels[0][r, None] == labels[1])
+        most = np.where(todo, limit, 0.0) * weight * (1 + 1e-9) + 1e-12
+        near = todo & (ends <= most)
+        left = near & (values <= most)
+        n, m, o = (int(np.count_nonzero(x)) for x in (todo, near, left))
+        counts["pairs"], counts["by_ends"], counts["by_values"] = counts["pairs"] + n, counts["by_ends"] + n - m, counts["by_values"] + m - o
+        return np.nonzero(left)
+
+    def follow(a: _Block, b: _Block, p: np.ndarray, q: np.ndarray, items: list[str], labels: list[np.ndarray], counts: dict) -> None:
+        """Bounds by all values, and then the pairs themselves, for each entity from the least bound."""
+        w, lows = np.zeros((len(items), len(p))), np.zeros((len(items), len(p)))
+        for at in range(0, len(p), 1 << 14):
+            s = slice(at, at + (1 << 14))
+            for n, i in enumerate(items):
+                x, y = a.columns[i], b.columns[i]
+                both = np.flatnonzero(x.has[p[s]] & y.has[q[s]])
+                c, d = p[s][both], q[s][both]
+                ends = (x.first[c] - y.first[d]) ** 2 + ((x.sizes[c] > 1) | (y.sizes[d] > 1)) * (x.last[c] - y.last[d]) ** 2
+                lows[n, at + both] = np.sqrt(ends + np.maximum(_nearest(x, c, y, d), _nearest(y, d, x, c)))
+                w[n, at + both] = weights.get(i, 1.0)
+        sums = w.sum(axis=0)
+        low = (w * lows).sum(axis=0) / sums
+        order = np.lexsort((low, p))
+        begins = np.searchsorted(p[order], np.arange(len(a.ids)))
+        turn = np.empty(len(p), dtype=np.int64)
+        turn[order] = np.arange(len(p)) - begins[p[order]]  # a pair's place among those of its entity
+        open_ = order[np.argsort(turn[order], kind="stable")]
+        same = labels[0][p] == labels[1][q]
+        some = min(chunk, max(64, 2 * len(np.unique(p))))
+        while len(open_):
+            limit = limits(a.floor[p[open_]], b.floor[q[open_]], same[open_])
+            good = low[open_] <= limit * (1 + 1e-12) + 1e-12
+            counts["by_values"] += int(np.count_nonzero(~good))
+            open_, limit = open_[good], limit[good]
+            now, limit, open_ = open_[:some], limit[:some], open_[some:]
+            room, total = limit * sums[now] - (w[:, now] * lows[:, now]).sum(axis=0) + 1e-12, np.zeros(len(now))  # beyond its bounds, for all items together
+            for n, i in enumerate(items):
+                x, y, alive = a.columns[i], b.columns[i], np.ones(len(now), dtype=bool)
+                both = np.flatnonzero(w[n, now] > 0)
+                sizes = x.sizes[p[now]] << 32 | y.sizes[q[now]]
+                for size in np.unique(sizes[both]).tolist():
+                    z = both[sizes[both] == size]
+                    d = warped(x.whole(p[now[z]]), y.whole(q[now[z]]), lows[n, now[z]] + room[z] / w[n, now[z]])
+                    alive[z] = d < np.inf
+                    z, d = z[d < np.inf], d[d < np.inf]
+                    room[z] -= w[n, now[z]] * (d - lows[n, now[z]])
+                    total[z] += w[n, now[z]] * d
+                counts["abandoned"] += int(np.count_nonzero(~alive))
+                now, room, total = now[alive], room[alive], total[alive]
+            score = similar(total / sums[now], same[now])
+            a.tell(p[now], b.ids[q[now]], score, k)
+            b.tell(q[now], a.ids[p[now]], score, k)
 
     return meet
 
 
-def _warped_rows(series: DataFrame, k: int, weights: dict[str, float] | None, label_bonus: float, block: int) -> tuple[DataFrame, DataFrame]:
+def _as_runs(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, how often each) of the runs of equal values in a series."""
+    v = np.asarray(v, dtype=float)
+    at = np.append(0, np.flatnonzero(v[1:] != v[:-1]) + 1)
+    return v[at], np.diff(np.append(at, len(v)))
+
+
+def _alike(first: list, k: int, bonus: float, tile: int = 256) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Entities with their series as runs, and alike: the first k of `first` (entity, label, told with shapes) that nobody is more
+    similar than, null where these are fewer than k."""
+    places = {x["entity"]: n for n, x in enumerate(first)}
+    ids, near = [x["entity"] for x in first], np.array([x["label"] for x in first], dtype=object)
+
+    def table(every: list, items: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        has, shape = np.zeros((len(items), len(every)), dtype=bool), np.zeros((len(items), len(every)), dtype=np.int64)
+        for n, told in enumerate(every):
+            for x in told:
+                if x["item"] in items:
+                    has[items[x["item"]], n], shape[items[x["item"]], n] = True, x["shape"]
+        return has, shape
+
+    items = {i: n for n, i in enumerate(sorted({y["item"] for x in first for y in x["told"]}))}
+    theirs = table([x["told"] for x in first], items)
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            has, shape = table(pdf["told"].tolist(), items)
+            labels, found = np.array(pdf["label"].tolist(), dtype=object), [None] * len(pdf)
+            own = np.array([places.get(e, -1) for e in pdf["entity"]])
+            for at in range(0, len(pdf), tile):
+                r = slice(at, at + tile)
+                shared, other = np.zeros((2, len(own[r]), len(ids)), dtype=bool)
+                for n in range(len(items)):
+                    both = has[n, r, None] & theirs[0][n]
+                    shared |= both
+                    other |= both & (shape[n, r, None] != theirs[1][n])
+                shared &= ~other
+                shared &= own[r, None] != np.arange(len(ids))
+                if bonus != 1.0:
+                    shared &= (labels[r, None] == near) == (bonus > 1.0)
+                many = shared.sum(axis=1)
+                q = np.nonzero(shared)[1]
+                for n, end, c in zip(range(at, at + tile), np.cumsum(many).tolist(), many.tolist(), strict=False):
+                    if c >= k:
+                        found[n] = [ids[x] for x in q[end - c : end - c + k]]
+            runs = [[{"item": x["item"], "values": v, "times": t} for x in told for v, t in [_as_runs(x["v"])]] for told in pdf["told"]]
+            yield pd.DataFrame({"entity": pdf["entity"], "label": pdf["label"], "z": pdf["z"], "told": runs, "alike": found})
+
+    return find
+
+
+def _shape(v: Column) -> Column:
+    """A hash of a series without repeats of the value before: two series warp onto each other at no cost if it is the same."""
+    return F.xxhash64(F.filter(v, lambda x, n: (n == 0) | (x != F.get(v, n - 1))))
+
+
+def _warped_rows(series: DataFrame, k: int, weights: dict[str, float] | None, label_bonus: float, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(a, b, similarity of entities that are settled by shape; pairs and work of the others; all entities)."""
     weights = weights or {}
     light = [i for i, w in weights.items() if w < 0.05]
-    some = series.filter(F.exists("v", lambda x: x != 0) & ~F.col("item").isin(light) if light else F.exists("v", lambda x: x != 0))
-    entities = some.groupBy("entity").agg(F.sort_array(F.collect_list(F.struct("item", "v"))).alias("told"), F.first("label").alias("label"))
+    some = series.filter(F.exists("v", lambda x: x != 0) & ~F.exists("v", lambda x: F.isnull(x) | F.isnan(x)))
+    if light:
+        some = some.filter(~F.col("item").isin(light))
+    told = F.sort_array(F.collect_list(F.struct("item", F.col("v").cast("array<double>").alias("v"))))
+    entities = some.groupBy("entity").agg(told.alias("told"), F.first("label").alias("label"))
     mean = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v)
     places = [p for n in range(4) for x in [F.get("told", F.lit(n))["v"]] for p in (F.get(x, F.lit(0)), mean(x))]
-    rows = in_blocks(entities.withColumn("z", _curve(places)), ["z", "entity"], block)
-    kinds = dict(rows.dtypes)
+    shapes = F.transform("told", lambda x: F.struct(x["item"].alias("item"), x["v"].alias("v"), _shape(x["v"]).alias("shape")))
+    entities = kept(entities.select("entity", "label", shapes.alias("told"), _curve(places).alias("z")), "entities")
+    kinds = dict(entities.dtypes)
+    bare = F.transform("told", lambda x: F.struct(x["item"].alias("item"), x["shape"].alias("shape")))
+    first = entities.filter("entity IS NOT NULL").select("entity", "label", bare.alias("told")).orderBy("entity").limit(_FIRST).collect()
+    schema = f"entity {kinds['entity']}, label {kinds['label']}, z long, told array<struct<item:{dict(series.dtypes)['item']},values:array<double>,times:array<int>>>, alike array<{kinds['entity']}>"
+    rows = kept(entities.mapInPandas(_alike(first, k, label_bonus), schema), "alike")
+    settled = rows.select(F.col("entity").alias("a"), F.explode("alike").alias("b")).withColumn("similarity", F.lit(max(1.0, float(label_bonus))))
+
     schema = f"a {kinds['entity']}, b {kinds['entity']}, similarity double, pairs long, by_ends long, by_values long, abandoned long"
     meet = _warp_blocks(weights, k, label_bonus)
-    rows = rows.select("block", "entity", "label", "told")
-    own = kept(rows.withColumn("floor", F.lit(float("-inf"))).groupBy("block").applyInPandas(lambda x: meet(x), schema), "own")
+    open_ = in_blocks(rows.filter("alike IS NULL"), ["z", "entity"], block).select("block", "entity", "label", "told")
+    own = kept(open_.withColumn("floor", F.lit(float("-inf"))).groupBy("block").applyInPandas(lambda x: meet(x), schema), "own")
     floor = best(own.filter("b IS NOT NULL"), "a", "similarity", "b", k).filter(F.col("rank") == k).select(F.col("a").alias("entity"), F.col("similarity").alias("floor"))
-    rows = kept(rows.join(floor, "entity", "left").fillna(float("-inf"), ["floor"]), "floors")
-    blocks = rows.agg(F.max("block")).first()[0] or 0
-    left = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks)))).filter("other > block")
-    right = _again(rows).withColumnRenamed("block", "other").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks)))).filter("other > block")
+    open_ = kept(open_.join(floor, "entity", "left").fillna(float("-inf"), ["floor"]), "floors")
+    blocks = open_.agg(F.max("block")).first()[0] or 0
+    left = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks)))).filter("other > block")
+    right = _again(open_).withColumnRenamed("block", "other").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks)))).filter("other > block")
     away = left.groupBy("block", "other").cogroup(right.groupBy("block", "other")).applyInPandas(lambda p, q: meet(p, q), schema)
-    return own, away
+
+    rest = in_blocks(rows.filter("alike IS NOT NULL"), ["entity"], 16 * block).select(F.col("block").alias("other"), "entity", "label", "told", F.lit(float("inf")).alias("floor"))
+    others = rest.agg(F.max("other")).first()[0]
+    wide = F.floor(F.col("block") / 4).alias("block")  # larger blocks, so that fewer copies of the settled ones are sent
+    left = _again(open_).select(wide, "entity", "label", "told", "floor").withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(-1 if others is None else others), F.lit(1))) if others is not None else F.lit(None).cast("int"))
+    right = rest.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks // 4).cast("long"))))
+    beside = left.groupBy("block", "other").cogroup(right.groupBy("block", "other")).applyInPandas(lambda p, q: meet(p, q), schema)
+    return settled, own.unionByName(away).unionByName(beside), rows
 
 
 def dtw_topk(series: DataFrame, k: int, weights: dict[str, float] | None = None, label_bonus: float = 1.0, block: int = 512) -> DataFrame:
     """a, rank, b, similarity = 1 / (1 + weighted mean warping distance over the items both have), ties to the smaller b.
     series: entity, item, v (array), label.
 
-    Items of weight under 0.05 and series of zeros alone are left out. With label_bonus over 1 equal labels count more: that
-    leaks labels into features and is off. Exact: pairs of blocks are dealt to tasks; a pair is warped only if the bound by its
-    ends, and then the one by its values, reaches the k-th best of one of the two, and given up as soon as its path can't."""
-    own, away = _warped_rows(series, k, weights, label_bonus, block)
-    pairs = own.unionByName(away).filter("b IS NOT NULL")
+    Items of weight under 0.05, series of zeros alone and those with a null or NaN are left out. With label_bonus over 1 equal
+    labels count more: that leaks labels into features and is off. Exact: two series without repeats of the value before warp onto
+    each other at no cost if they are the same, so an entity is settled by k others, among those of the smallest ids, all of whose
+    shared items have its shapes. Those that are not meet everybody: pairs of blocks are dealt to tasks; a pair is warped only if
+    bounds by its ends, by cells of its values and by all of its values reach the k-th best of one of the two, and given up as soon
+    as its path can't."""
+    settled, pairs, _ = _warped_rows(series, k, weights, label_bonus, block)
+    pairs = settled.unionByName(pairs.filter("b IS NOT NULL").select("a", "b", "similarity"))
     return best(pairs, "a", "similarity", "b", k).select("a", "rank", "b", "similarity")
 
 
 def dtw_work(series: DataFrame, k: int, weights: dict[str, float] | None = None, label_bonus: float = 1.0, block: int = 512) -> DataFrame:
-    """pairs, and how many of them each bound kept from being warped whole: by_ends, by_values, abandoned."""
-    own, away = _warped_rows(series, k, weights, label_bonus, block)
-    return own.unionByName(away).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("pairs", "by_ends", "by_values", "abandoned")])
+    """pairs (of entities that share an item), how many of them are settled by shape, and how many of the others each bound kept from
+    being warped whole: by_ends, by_values, abandoned."""
+    _, pairs, rows = _warped_rows(series, k, weights, label_bonus, block)
+    met = pairs.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("pairs", "by_ends", "by_values", "abandoned")])
+    kinds = rows.filter("alike IS NOT NULL").groupBy(F.transform("told", lambda x: x["item"]).alias("items")).agg(F.count("*").alias("n"))
+    both = kinds.crossJoin(kinds.select(F.col("items").alias("theirs"), F.col("n").alias("m"))).filter(F.arrays_overlap("items", "theirs"))
+    settled = both.agg(F.coalesce(F.sum(F.when(F.col("items") == F.col("theirs"), F.col("n") * (F.col("n") - 1)).otherwise(F.col("n") * F.col("m"))) / 2, F.lit(0)).cast("long").alias("settled"))
+    return met.crossJoin(settled).select((F.col("pairs") + F.col("settled")).alias("pairs"), "settled", "by_ends", "by_values", "abandoned")

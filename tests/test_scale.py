@@ -196,6 +196,35 @@ def test_warped_neighbours(spark, block, bonus):
     assert whole < 0.7 * work["pairs"]
 
 
+@pytest.mark.parametrize("bonus", [1.0, 1.2])
+def test_warped_neighbours_of_one_shape(spark, monkeypatch, bonus):
+    r = random.Random(11)
+    step = lambda n: [0.0] * n + [1.0] * (10 - n)
+    told = {}
+    for e in range(140):
+        told[f"e{e:03}"] = {i: step(r.randint(1, 9)) if r.random() < 0.8 else [0.0, r.random(), *step(r.randint(1, 7))[:7], r.random()] for i in "abc" if r.random() < 0.5}
+    told |= {f"copy{n}": told["e001"] for n in range(3)} | {"minus": {"a": [-0.0, 1.0]}, "one": {"a": [1.0]}, "alone": {"z": [1.0]}}
+    told = {e: (n % 2, s) for n, (e, s) in enumerate(told.items()) if s}
+    want = []
+    for a, (la, sa) in told.items():
+        near = []
+        for b, (lb, sb) in told.items():
+            shared = sa.keys() & sb.keys() if a != b else ()
+            if shared:
+                near.append((-(bonus if la == lb else 1.0) / (1 + sum(plain_warp(sa[i], sb[i]) for i in shared) / len(shared)), b))
+        want += [(a, n + 1, b, -s) for n, (s, b) in enumerate(sorted(near)[:3])]
+    rows = [(e, i, v, n) for e, (n, s) in told.items() for i, v in s.items()] + [("e000", "y", [None, 1.0], 0), ("one", "y", [float("nan"), 1.0], 0)]
+    df = spark.createDataFrame(rows, "entity string, item string, v array<double>, label int")
+    monkeypatch.setattr(neighbours, "_FIRST", 60)
+    got = sorted(map(tuple, neighbours.dtw_topk(df, 3, label_bonus=bonus, block=32).collect()))
+    assert [g[:3] for g in got] == [w[:3] for w in sorted(want)]
+    assert [g[3] for g in got] == pytest.approx([w[3] for w in sorted(want)])
+    work = neighbours.dtw_work(df, 3, label_bonus=bonus, block=32).first().asDict()
+    pairs = work.pop("pairs")
+    assert pairs == sum(bool(x.keys() & y.keys()) for e, (_, x) in told.items() for f, (_, y) in told.items() if e < f)
+    assert pairs - sum(work.values()) < 0.2 * pairs
+
+
 @pytest.mark.parametrize("target", [1 << 20, 20])
 def test_first_after_of_a_hot_entity(spark, target):
     r = random.Random(9)
